@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lm, mixing, sharding, urls
+from . import licenses, lm, mixing, neardup, sharding, tokenstore, urls
 from .common import table
 
 
@@ -32,8 +32,19 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder, keys = tokenstore.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenstore.read_store(folder, keys)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_url_filter, op5_license_scan, op6_sharding, op7_mixing)}
+    return {f.__name__: f for f in (op1_lm_score, op3_url_filter, op5_license_scan, op6_sharding, op7_mixing, op9_near_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
