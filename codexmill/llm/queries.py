@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lm, mixing, neardup, sharding, tokenstore, urls
+from . import licenses, lm, mixing, neardup, sharding, tokenstore, toxicity, urls
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_score(table(spark, sf_dir, "documents"), order=2, held_modulus=10)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
@@ -44,7 +48,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op3_url_filter, op5_license_scan, op6_sharding, op7_mixing, op9_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op5_license_scan, op6_sharding, op7_mixing, op9_near_dedup, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
