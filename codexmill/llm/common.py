@@ -50,6 +50,12 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A broadcast of a (written) table of narrow rows if it has no more rows than `most`;
+    beyond that the join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -56,10 +56,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int,
     rows = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     rows = common.written(rows, "mix-sizes")
     sources = common.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
-    rows = rows.join(_small(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    rows = rows.join(common.small(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = with_prefix(rows, ["number", "size", "doc_id", "text_crc32"], "size")
-    first = placed.groupBy("number").agg(F.min("row_index").alias("_first"))
-    placed = placed.join(_small(first), "number")
+    first = common.written(placed.groupBy("number").agg(F.min("row_index").alias("_first")), "mix-first")
+    placed = placed.join(common.small(first), "number")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = (F.col("row_index") - F.col("_first")).cast("double")
     offset = unit(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))))
@@ -68,21 +68,16 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int,
     return placed.select("doc_id", "source", "text_crc32", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def _small(rows: DataFrame, most: int = 200_000) -> DataFrame:
-    """A broadcast of one row per source, if there are no more sources than `most`; else a
-    shuffle join."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
-
-
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is drawn, with the input's columns."""
     drawn = plan(docs, **options)
     keys = ["doc_id", "source", "text_crc32"]
     # rows that agree in all keys are interchangeable; the n-th of them takes the n-th count
-    counts = common.written(drawn, "mix-plan").groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    counts = drawn.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    counts = common.written(counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies", "_rows"), "mix-plan")
     rows = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    same = rows["doc_id"].eqNullSafe(counts["doc_id"]) & rows["source"].eqNullSafe(counts["source"]) & (rows["_crc"] == counts["text_crc32"])
-    joined = rows.join(counts, same).select(*[rows[c] for c in docs.columns], "_copies", "_rows")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_crc") == F.col("_text_crc32"))
+    joined = rows.join(common.small(counts), same).select(*docs.columns, "_copies", "_rows")
     number = F.row_number().over(Window.partitionBy(*[F.col(c) for c in ("doc_id", "source", "text")]).orderBy(F.lit(0))) - 1
     out = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
     if not counts.where("_rows > 1").isEmpty():

@@ -111,7 +111,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, doc, first = distinct_shingles(Words(raw, offsets))
             keys = band_keys(superminhash(h, doc, b - a))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(set_ids(h, first), pa.binary()), bands], ["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(first)), pa.array(set_ids(h, first), pa.binary()), bands], ["doc_id", "_text_key", "n_shingles", "set_id", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +189,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    return _grouped(docs, percent).drop("_text_key")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = common.written(texts.mapInArrow(_sign, f"doc_id {kind}, n_shingles long, set_id binary, bands array<long>"), "signed")
+    signed = common.written(texts.withColumn("_text_key", F.xxhash64("text")).mapInArrow(_sign, f"doc_id {kind}, _text_key long, n_shingles long, set_id binary, bands array<long>"), "signed")
     classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
@@ -205,9 +209,9 @@ def group(docs: DataFrame, percent: int = 85) -> DataFrame:
         rooted = joined.join(least, "root").select("set_id", "component_id")
     else:
         rooted = classes.select("set_id", F.col("rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_id").join(rooted, "set_id", "left")
+    out = signed.select("doc_id", "_text_key", "n_shingles", "set_id").join(rooted, "set_id", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "_text_key", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
@@ -257,7 +261,21 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
 
 def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows to keep, with the input's columns: all rows without words, and one row of each
-    component, that of the smallest doc_id (one of them, where rows repeat)."""
-    kept = group(docs, percent).where("kept").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    joined = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    component, that of the smallest doc_id (where rows share it, of the least text key)."""
+    marked = common.written(_grouped(docs, percent), "grouped")
+    id_key = ["_doc_id", "_text_key"]
+    named = marked.where("n_shingles > 0").withColumnRenamed("doc_id", "_doc_id")
+    stays = named.where("kept").groupBy("component_id").agg(F.min("_text_key").alias("_stay"), F.count(F.lit(1)).alias("_rows"))
+    twice = common.written(stays.where("_rows > 1"), "repeated")
+    repeated = not twice.isEmpty()
+    gone = named.where("not kept").select(*id_key)
+    if repeated:
+        also = named.where("kept").join(twice, named["component_id"].eqNullSafe(twice["component_id"])).where("_text_key <> _stay").select(*id_key)
+        gone = gone.unionByName(also)
+    gone = common.written(gone.distinct(), "gone")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key"))
+    out = docs.join(common.small(gone), same, "left_anti")
+    if repeated:  # equal rows: one of each stays
+        stay = common.small(common.written(twice.select(F.col("component_id").alias("_doc_id"), F.col("_stay").alias("_text_key")), "stay"))
+        out = out.join(stay, same, "left_anti").unionByName(out.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out

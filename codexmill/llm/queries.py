@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lm, mixing, neardup, sharding, tokenstore, toxicity, urls
+from . import decontaminate, licenses, lm, mixing, neardup, sharding, tokenstore, toxicity, urls, vafile
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.group(table(spark, sf_dir, "documents"), percent=85)
 
@@ -47,8 +55,14 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(folder, keys)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op5_license_scan, op6_sharding, op7_mixing, op9_near_dedup, op10_token_store)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -64,14 +66,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 class Words:
     """Words of some whole texts: `hash` of each, its row `doc`, byte span `start`/`end`
-    (relative to the slice) and `first`, where the words of each row begin (rows + 1)."""
+    (relative to the slice) and `first`, where the words of each row begin (rows + 1).
+    With `letters`, words are runs of ASCII letters, digits and bytes from 0x80."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True, letters: bool = False):
         n = len(offsets) - 1
         self.rows = n
         data = _LOWER[raw] if lower else raw
         self.data = data
-        word = _IS_WORD[data]
+        word = (_IS_LETTER if letters else _IS_WORD)[data]
         edge = np.empty(len(data) + 1, bool)
         edge[1:] = word
         edge[0] = False
