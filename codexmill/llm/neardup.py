@@ -7,16 +7,20 @@ are taken. Affine permutations of a prime size spread any two ranks evenly over
 pairs, which is all that the estimate's variance depends on.
 
 Grouping: texts with equal shingle sets are one class. Classes that agree in a whole band share
-a bucket. In each bucket all members are compared with one pivot (the same class in most of its
-buckets), not with each other; verified links join components. Buckets that still hold several
-components get further pivots, those of most links first and four times as many each round,
-until each is of one component or all its pairs of different components have been compared. So
-groups of copies cost pairs in proportion to their size, and no candidate pair is lost.
+a bucket. Shingles that only one member of any bucket holds bound what a class can share with
+others: pairs that these bounds rule out are not compared, which loses nothing. In each bucket
+all members are compared with one pivot, the one of the fewest such shingles (the same class in
+most of its buckets), not with each other; verified links join components. Small buckets that still hold
+several components then compare all pairs between them; larger ones get further pivots, those
+of most links first and eight times as many each round, until each is of one component or all
+its pairs of different components have been compared. So groups of copies cost pairs in
+proportion to their size, and no candidate pair is lost.
 With 24 bands of 4 rows a link of similarity 0.85 is missed once in 5 * 10**7.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of
 fewer words than a shingle has one shingle of all its words; repeated rows are of one class;
-rows that share a doc_id but not a text are told apart; a null doc_id is in its class but is
+rows that share a doc_id but not a text are linked apart, yet bear one component_id where both
+lead theirs (drop_duplicates keeps one of them); a null doc_id is in its class but is
 never the smallest id, unless all are null; extra columns are ignored.
 """
 
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -36,6 +40,9 @@ from .textcore import U64, Words, argsort64, mix64, shingles, text_slices
 SLOTS, BANDS, ROWS, SHINGLE = 97, 24, 4, 5
 #: Up to so many class representatives are broadcast to the second reading of the texts.
 BROADCAST_CLASSES = 1_000_000
+#: In buckets of so many classes at most, all pairs of different components are compared after
+#: the first round; larger ones go on with pivots.
+SMALL_BUCKET = 64
 
 
 def distinct_shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +132,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([nodes[i] for i in keep], pa.int64()), pa.array([h[first[i] : first[i + 1]].tobytes() for i in keep], pa.binary())], ["node", "items"])
 
 
+def _item_blocks(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, holder) blocks by shingle range; -1 stands for several holders."""
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            parts = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
+            items = np.concatenate(parts) if parts else np.empty(0, U64)
+            if not len(items):
+                continue
+            holder = np.repeat(nodes, [len(p) for p in parts])
+            at = argsort64(items)
+            items, holder = items[at], holder[at]
+            edge = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+            several = np.diff(np.r_[edge, len(items)]) > 1
+            items, holder = items[edge], np.where(several, -1, holder[edge])
+            shard = (items >> U64(64 - bits)).astype(np.int64)
+            cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
+            full = np.flatnonzero(np.diff(cut))
+            blocks = [items[cut[i] : cut[i + 1]].tobytes() + holder[cut[i] : cut[i + 1]].tobytes() for i in full]
+            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+    return run
+
+
+def _single_holders(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, singles) of one range: how many shingles of it only this node holds."""
+    items = np.concatenate([np.frombuffer(b, U64, len(b) // 16) for b in pdf["block"]])
+    holder = np.concatenate([np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2) for b in pdf["block"]])
+    at = argsort64(items)
+    items, holder = items[at], holder[at]
+    edge = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+    alone = holder[edge][np.diff(np.r_[edge, len(items)]) == 1]
+    node, n = np.unique(alone[alone >= 0], return_counts=True)
+    return pd.DataFrame({"node": node, "singles": n.astype(np.int64)})
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,21 +213,19 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components with the least node as root, for all nodes with an
     edge (a, b). Partitions fold their edges by union-find; large-star and small-star steps
-    then link the forests across partitions until nothing changes."""
+    then link the forests across partitions, until all links lead straight to roots."""
     now = common.written(edges.mapInPandas(_forest, "a long, b long"), "forest")
-    mark = None
     while True:
+        ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        seen = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if seen.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = common.written(small.where("a <> b").distinct(), "stars")
-        last, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def group(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -196,11 +237,11 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = common.written(texts.withColumn("_text_key", F.xxhash64("text")).mapInArrow(_sign, f"doc_id {kind}, _text_key long, n_shingles long, set_id binary, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_items"), F.first("bands").alias("bands"))
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.written(banded.join(buckets, "key"), "members")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = common.written(banded.join(shared, "key"), "members")
     rooted = classes.select("node", "rep")
     links = _links(texts, classes, members, percent)
     if links is not None:
@@ -218,45 +259,70 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     """(node, root) of the classes that have links."""
     if members.isEmpty():
         return None
-    needed = members.select("node").distinct().join(classes.select("node", "rep", "set_id"), "node")
+    needed = members.select("node").distinct().join(classes.select("node", "rep", "set_id", "n_items"), "node")
     needed = common.written(needed, "needed")
     few = needed.count() <= BROADCAST_CLASSES
     side = F.broadcast(needed) if few else needed
     sets = texts.join(side, texts["doc_id"].eqNullSafe(needed["rep"])).select("node", "text", "set_id")
     sets = common.written(sets.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "sets")
+    total = needed.agg(F.sum("n_items")).first()[0] or 0
+    bits = min(16, max(6, (total // 500_000).bit_length()))
+    alone = sets.mapInArrow(_item_blocks(bits), "shard int, block binary").groupBy("shard").applyInPandas(_single_holders, "node long, singles long")
+    alone = alone.groupBy("node").agg(F.sum("singles").alias("singles"))
+    sized = needed.select("node", "n_items").join(alone, "node", "left").select("node", "n_items", (F.col("n_items") - F.coalesce("singles", F.lit(0))).alias("common"))
+    # what a class can share with any other must reach the threshold even against itself
+    sized = common.written(sized.where(F.col("common") * 100 >= F.col("n_items") * percent), "sized")
+    members = members.join(common.small(sized), "node")
+    # fewest single shingles first: share of singles in thousandths, then the node
+    rank = (((F.col("n_items") - F.col("common")) * 1000 / F.col("n_items")).cast("long") * F.lit(1 << 50) + F.col("node")).alias("rank")
+    members = members.withColumn("rank", rank)
+    buckets = members.groupBy("key").agg(F.min("rank").alias("pivot_rank"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = common.written(members.join(buckets, "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)).drop("pivot_rank"), "ranked")
+
+    def possible() -> Column:
+        """Whether the bounds of both leave room for a link (columns n_items, common, p_items, p_common)."""
+        most = F.least("common", "p_common")
+        return most * 100 >= (F.col("n_items") + F.col("p_items") - most) * percent
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.withColumnRenamed("items", "left"), pairs["a"] == sets["node"]).select("a", "b", "left")
         both = left.join(sets.withColumnRenamed("items", "right"), left["b"] == sets["node"]).select("a", "b", "left", "right")
         return both.mapInArrow(_verify(percent), "a long, b long")
 
-    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    sizes = common.small(sized.select(F.col("node").alias("pivot"), F.col("n_items").alias("p_items"), F.col("common").alias("p_common")))
+    pairs = members.where("node <> pivot").join(sizes, "pivot")
+    pairs = pairs.where(possible()).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
     compared = common.written(pairs, "pairs")
     edges = common.written(verified(compared), "edges")
     links = components(edges)
     pivots = members.select("key", F.col("pivot").alias("node")).distinct()
-    more = 4
+    as_pivot = {"node": "pivot", "root": "pivot_root", "n_items": "p_items", "common": "p_common"}
+    more = 0
     while True:
-        named = members.select("key", "node", "n").where("n > 2").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n", "n_items", "common").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
         live = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = common.written(named.join(live, "key").select("key", "node", "root"), "open")
+        open_ = common.written(named.join(live, "key").select("key", "node", "root", "n", "n_items", "common"), "open")
+        # small buckets: every member is a pivot now; others: members of most links, one from each of `more` parts
+        fresh = open_.join(pivots, ["key", "node"], "left_anti")
+        chosen = fresh.where(f"n <= {SMALL_BUCKET}").select("key", *[F.col(c).alias(p) for c, p in as_pivot.items()]) if more == 0 else None
+        more = min(max(16, 8 * more), 1024)
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        fresh = open_.join(pivots, ["key", "node"], "left_anti").join(degree, "node", "left")
-        chosen = fresh.groupBy("key", F.pmod(F.xxhash64("node", F.lit(more)), F.lit(more)).alias("part")).agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "root")).alias("best"))
-        chosen = common.written(chosen.select("key", F.col("best.node").alias("pivot"), F.col("best.root").alias("pivot_root")), "pivots")
+        best = fresh.where(f"n > {SMALL_BUCKET}").join(degree, "node", "left").groupBy("key", F.pmod(F.xxhash64("node", F.lit(more)), F.lit(more)).alias("part")).agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "root", "n_items", "common")).alias("best"))
+        best = best.select("key", *[F.col(f"best.{c}").alias(p) for c, p in as_pivot.items()])
+        chosen = common.written(best if chosen is None else chosen.unionByName(best), "pivots")
         if chosen.isEmpty():
             return links
         pivots = pivots.unionByName(chosen.select("key", F.col("pivot").alias("node")))
-        pairs = open_.join(chosen, "key").where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        pairs = open_.join(chosen, "key").where("root <> pivot_root")
+        pairs = pairs.where(possible())
         # a pair may have been compared in either direction
-        pairs = pairs.distinct().join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = common.written(pairs, "pairs")
+        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.unionByName(pairs)
         found = common.written(verified(pairs), "edges")
         edges = edges.unionByName(found)
         if not found.isEmpty():
             links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-        more = min(4 * more, 1024)
 
 
 def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
