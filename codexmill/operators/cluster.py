@@ -37,11 +37,11 @@ def _near(threshold: float):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"a": [], "b": [], "similarity": []}
         if len(left) and len(right):
-            x, y = (np.stack([np.asarray(v, np.float64) for v in p["v"]]) for p in (left, right))
+            x, y = (np.stack([np.asarray(v, np.float64) for v in c]) for c in (left["xv"], right["yv"]))
             unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
             sim = np.round(unit(x) @ unit(y).T, 9)
             i, j = np.nonzero(sim >= threshold)
-            a, b = left["class"].to_numpy()[i], right["class"].to_numpy()[j]
+            a, b = left["xclass"].to_numpy()[i], right["yclass"].to_numpy()[j]
             keep = a < b
             out = {"a": a[keep], "b": b[keep], "similarity": sim[i, j][keep]}
         return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "similarity": "float64"})
@@ -56,10 +56,10 @@ def cosine_edges(named: DataFrame, threshold: float) -> DataFrame:
     blocks = max(1, -(-n // BLOCK))
     dealt = named.select("class", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumnRenamed("block", "i").withColumn("j", every)
-    right = dealt.withColumnRenamed("block", "j").withColumn("i", every)
-    keys = ["dim", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_near(threshold), "a long, b long, similarity double")
+    side = lambda mine, other: dealt.select(F.col("class").alias(f"{mine}class"), F.col("v").alias(f"{mine}v"), F.col("dim").alias(f"{mine}dim"), F.col("block").alias(f"{mine}{mine}"), every.alias(f"{mine}{other}"))
+    left, right = side("x", "y"), side("y", "x")
+    # both sides are grouped by (dim, block of x, block of y)
+    return left.groupBy("xdim", "xx", "xy").cogroup(right.groupBy("ydim", "yx", "yy")).applyInPandas(_near(threshold), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -264,13 +264,13 @@ def normal_names(spark, sf):
 
 
 def _edges(spark, sf):
-    return K.cosine_edges(K.classes(table(spark, sf, "embeddings"), "vec_id", "embedding"), 0.55)
+    return K.cosine_edges(K.classes(table(spark, sf, "embeddings"), "vec_id", "embedding"), 0.33)
 
 
 _EDGES = "WITH e AS (SELECT vec_id, embedding v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) n FROM (SELECT min(vec_id) vec_id, embedding FROM embeddings GROUP BY embedding)), p AS (SELECT a.vec_id a, b.vec_id b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::DOUBLE * z[2])) / (a.n * b.n), 9) similarity FROM e a JOIN e b ON a.vec_id < b.vec_id) "
 
 
-@query(_EDGES + "SELECT vec_id, count(*) links FROM (SELECT unnest([a, b]) vec_id FROM p WHERE similarity >= 0.55) GROUP BY vec_id")
+@query(_EDGES + "SELECT vec_id, count(*) links FROM (SELECT unnest([a, b]) vec_id FROM p WHERE similarity >= 0.33) GROUP BY vec_id")
 def cosine_links(spark, sf):
     return _edges(spark, sf).select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("links"))
 
@@ -283,7 +283,7 @@ def cosine_components(spark, sf):
 @query()
 def cosine_clusters(spark, sf):
     edges = K._written(_edges(spark, sf))
-    clusters = K.complete_linkage(edges, K.components(edges), 0.55)
+    clusters = K.complete_linkage(edges, K.components(edges), 0.33)
     shape = K.cohesion(edges, clusters)
     return shape.withColumn("reason", K.gate(F.col("members"), F.lit(1.0), F.col("mean_similarity"), F.col("min_similarity")))
 
