@@ -84,7 +84,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike(marked))
     texts = texts.withColumn("text", normal(F.col("text"), keep_lines=True))
     # the whole text is a unit besides its lines; with one line they are the same
-    units = texts.select("doc_id", F.posexplode(F.array_distinct(F.concat(F.array(F.regexp_replace("text", r"\n", " ")), F.split("text", "\n")))).alias("unit", "line")).where(F.col("line").rlike(marked))
+    units = texts.select("doc_id", F.posexplode(F.array_distinct(F.transform(F.concat(F.array(F.regexp_replace("text", r"\n", " ")), F.split("text", "\n")), lambda x: F.trim(F.regexp_replace(x, " +", " "))))).alias("unit", "line")).where(F.col("line").rlike(marked))
     words = F.filter(F.split("line", " +"), lambda w: w != "")
     units = units.select("doc_id", "unit", words.alias("w")).where(F.size("w") > 1)
     pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))

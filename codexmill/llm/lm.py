@@ -183,7 +183,7 @@ def _tally(counts: np.ndarray) -> list[int]:
 def _reduce(folder: str, bits: int):
     """One shard of one order >= 2: store its arrays; send on the continuation counts."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(key[0]), int(key[1])
         columns = [np.concatenate(x) for x in zip(*map(unpack, pdf["block"]))]
         grams, counts = fold(columns[:-1], columns[-1], bits)
@@ -207,7 +207,7 @@ def _reduce(folder: str, bits: int):
 def _words(folder: str):
     """One shard of words: plain counts (kind 0) and continuation counts (kind 1)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
         sides = []
         for kind in (0, 1):
@@ -353,7 +353,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, folder: str
 def _pass_words(reduce):
     """Word blocks of one shard are folded to one block; n-gram blocks are reduced."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if int(key[0]) != 0:
             return reduce(key, pdf)
         got = [unpack_words(b) for b in pdf["block"]]

@@ -65,5 +65,47 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, pipeline)}
 
 
+_OP3 = """
+WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(rh, rp, rv) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) rv FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.rv, 'allow') verdict FROM p LEFT JOIN m ON m.page_id = p.page_id
+"""
+
+_OP7 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 number FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][number % 3 + 1] weight FROM s),
+f AS (SELECT *, (sum(source_size) OVER ()) * 3 - 2 * coalesce(2 * sum(source_size) OVER before, 0) AS rem, (sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0) rest FROM w WINDOW before AS (ORDER BY source_size / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, source_size * 4 * rest <= weight * rem stops FROM f),
+t AS (SELECT *, CASE WHEN stops THEN 2.0::DOUBLE * source_size ELSE (weight * (SELECT arg_max(rem, rest) FROM g WHERE NOT stops))::DOUBLE / ((SELECT max(rest) FROM g WHERE NOT stops) * 2)::DOUBLE END target FROM g),
+o AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END rate, (('0x' || left(md5('mix:' || coalesce(d.source, chr(0) || 'null')), 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE unit, (row_number() OVER (PARTITION BY number ORDER BY d.size, d.doc_id) - 1)::DOUBLE place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, (least(floor(unit + (place + 1) * rate) - floor(unit + place * rate), 2) * size)::BIGINT taken FROM o
+"""
+
+_OP8 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
+def _op5() -> str:
+    texts = ", ".join(f"({i}, '{name}', '{text.lower().replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+    grams = "list_distinct(list_transform(list_zip({w}[:-2], {w}[2:]), lambda z: z[1] || ' ' || z[2]))"
+    return f"""
+WITH k AS (SELECT template, license, {grams.format(w="w")} b FROM (SELECT template, license, regexp_extract_all(t, '[a-z0-9]+') w FROM (VALUES {texts}) x(template, license, t))),
+x AS (SELECT doc_id, lower(text) t FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, unnest(list_distinct(list_append(string_split(t, chr(10)), replace(t, chr(10), ' ')))) line FROM x),
+u AS (SELECT doc_id, row_number() OVER () unit, {grams.format(w="w")} b FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, regexp_extract_all(line, '[a-z0-9]+') w FROM y) WHERE len(w) > 1 AND len(w) < 400)),
+s AS (SELECT doc_id, unit, license, round(2.0 * len(list_intersect(u.b, k.b)) / (len(u.b) + len(k.b)), 6)::DOUBLE dice FROM u JOIN k ON list_has_any(u.b, k.b)),
+z AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) best FROM s WHERE dice >= 0.8)
+SELECT doc_id, license, max(dice) dice, count(DISTINCT unit) AS lines FROM z WHERE dice = best GROUP BY ALL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """No SQL for trained models (1, 2), alignment (4), checksums of texts (6), components (9),
+    tokenizers (10) and the pipeline: tests compare those with brute force."""
+    return {"op3_url_filter": _OP3, "op5_license_scan": _op5(), "op7_mixing": _OP7, "op8_vector_search": _OP8}

@@ -225,7 +225,7 @@ def slots(h: np.ndarray, ends: np.ndarray, words: np.ndarray, rank: np.ndarray,
 
 
 def _index(folder: str):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])
         h = key_hash([None if pd.isna(x) else x for x in pdf["doc_id"].astype(object)], pdf["number"].to_numpy())
         ends, words, rank, rest = perfect_hash(h)
