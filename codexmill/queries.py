@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import compare as C
+from .functions import gates as G
 from .functions import privacy as P
 from .functions import text as T
 from .operators import access as A
 from .operators import cluster as K
+from .operators import compile as M
 from .operators import folds as D
 from .operators import incremental as I
 from .operators import ledger as L
 from .operators import resolve as E
 from .operators import retrieval as R
 from .operators import rules as U
+from .operators import verdicts as V
 from .plans import recall as plans
 from .session import table
 from .streaming import ingest as S
@@ -625,3 +628,178 @@ def user_stated(spark, sf):
 @query("SELECT doc_id, (length(coalesce(text, '')) // 4)::INT tokens FROM documents")
 def prompt_estimates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.prompt_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+# --- gates and schedules -----------------------------------------------------------------------
+
+
+@query(
+    "SELECT reason, count(*) n FROM (SELECT CASE WHEN doc_id % 50 = 0 THEN 'flag' WHEN source LIKE 'src1_' THEN 'scope' WHEN contains(t, 'station')::INT + contains(t, 'worthless')::INT + contains(t, 'loser')::INT >= 2 THEN 'markers' END reason FROM (SELECT *, lower(coalesce(text, '')) t FROM documents)) GROUP BY reason"
+)
+def ephemeral_pages(spark, sf):
+    reason = G.ephemeral(F.col("doc_id") % 50 == 0, F.col("source"), F.col("text"), ["src1?"], ["station", "worthless", "loser"])
+    return table(spark, sf, "documents").select(reason.alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN NOT regexp_matches(nm, '\\s') AND regexp_extract(lower(nm), '\\.([a-z0-9]+)$', 1) IN ('py', 'md', 'sql') AND lower(nm) <> 'readme.md' THEN 'extension' END rule FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'mod' || p_size || '.py' WHEN 1 THEN 'A file.md' WHEN 2 THEN 'README.md' WHEN 3 THEN 'src/x' ELSE 'notes.' || p_size || '.SQL' END nm FROM part)")
+def code_artifacts(spark, sf):
+    name = F.expr("CASE p_partkey % 5 WHEN 0 THEN 'mod' || p_size || '.py' WHEN 1 THEN 'A file.md' WHEN 2 THEN 'README.md' WHEN 3 THEN 'src/x' ELSE 'notes.' || p_size || '.SQL' END")
+    return table(spark, sf, "part").select("p_partkey", G.code_artifact(name, ("readme.md",)).alias("rule"))
+
+
+_GROUPS = "SELECT p_size, count(*) pages, count(DISTINCT CASE WHEN p_partkey % 4 > 0 THEN p_brand END) kinds, bool_or(p_partkey % 97 = 0) pii, bool_or(p_partkey % 89 = 0) axiom, bool_or(p_partkey % 83 = 0) dup FROM part GROUP BY p_size"
+
+
+@query(f"SELECT p_size, pages >= 2 AND kinds > 1 cross_class, CASE WHEN pages > 60 THEN 'too-many-pages' WHEN pii THEN 'pii' WHEN axiom THEN 'axiom' WHEN kinds > 1 THEN 'cross-class' WHEN dup THEN 'live-source' END reason FROM ({_GROUPS})")
+def merge_gates(spark, sf):
+    p = table(spark, sf, "part")
+    any_ = lambda n: F.bool_or(F.col("p_partkey") % n == 0)
+    g = p.groupBy("p_size").agg(F.count(F.lit(1)).alias("pages"), F.count_distinct(F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand"))).alias("kinds"), any_(97).alias("pii"), any_(89).alias("axiom"), any_(83).alias("dup"))
+    return g.select("p_size", G.cross_class(F.col("pages"), F.col("kinds")).alias("cross_class"), G.safe_class(F.col("pages"), F.col("pii"), F.col("axiom"), F.col("kinds"), F.col("dup"), 60).alias("reason"))
+
+
+@query("SELECT event_id FROM events WHERE coalesce(event_type = 'view' AND user_id % 2 = 0 AND ts < TIMESTAMP '2024-01-30' - INTERVAL 14 DAY, false)")
+def decayed_suppressions(spark, sf):
+    e = table(spark, sf, "events")
+    by, action = F.when(F.col("event_type") == "view", "auto").otherwise("human"), F.when(F.col("user_id") % 2 == 0, "not_a_conflict").otherwise("keep")
+    return e.where(G.decayed(by, action, F.col("ts"), F.lit("2024-01-30").cast("timestamp"), 14)).select("event_id")
+
+
+@query("SELECT user_id, CASE WHEN user_id = 1 THEN 'on-demand' WHEN files >= 70 THEN 'backlog-files' WHEN bytes >= 3000 THEN 'backlog-bytes' WHEN h IS NULL OR h >= 20 THEN 'interval' WHEN h >= 24 THEN 'nightly-backstop' ELSE 'none' END reason FROM (SELECT user_id, count(*) files, sum(event_id % 100) bytes, CASE WHEN user_id % 5 > 0 THEN user_id * 3 END h FROM events GROUP BY user_id)")
+def run_triggers(spark, sf):
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("files"), F.sum(F.col("event_id") % 100).alias("bytes"))
+    hours = F.when(F.col("user_id") % 5 > 0, F.col("user_id") * 3)
+    return e.select("user_id", G.trigger(F.col("user_id") == 1, F.col("files"), F.col("bytes"), hours, 70, 3000, 20).alias("reason"))
+
+
+@query("SELECT rate, round_even(b * rate / 100.0, 0)::BIGINT decisions, round_even(round_even(b * rate / 100.0, 0) / 20.0, 0)::BIGINT AS days, round_even(round_even(b * rate / 100.0, 0) / 20.0, 0) > 182 breaches FROM (SELECT count(*) b FROM documents), (VALUES (10), (25), (50), (100)) r(rate)")
+def sensitivity(spark, sf):
+    backlog = table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("b"))
+    rows = backlog.select("b", F.explode(F.array(*[F.lit(x) for x in (10, 25, 50, 100)])).alias("rate"))
+    decisions = F.bround(F.col("b") * F.col("rate") / 100.0, 0)
+    days = F.bround(decisions / 20.0, 0)
+    return rows.select("rate", decisions.cast("long").alias("decisions"), days.cast("long").alias("days"), (days > 182).alias("breaches"))
+
+
+@query("SELECT n_nationkey, CASE WHEN c = 0 THEN 0.0 WHEN n_nationkey % 6 = 0 THEN 'inf'::DOUBLE ELSE ceil(c / (n_nationkey % 6))::DOUBLE END nights, CASE WHEN n_nationkey % 4 = 0 THEN 'indeterminate' WHEN c <= 60 AND c * 10 <= 550 THEN 'closes' ELSE 'does-not-close' END verdict FROM (SELECT n_nationkey, count(c_custkey) c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1)")
+def night_closure(spark, sf):
+    n = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("c"))
+    seconds = F.when(F.col("n_nationkey") % 4 != 0, F.col("c") * 10)
+    return n.select("n_nationkey", G.eta(F.col("c"), F.col("n_nationkey") % 6).alias("nights"), G.closure(F.col("c"), 60, seconds, 550).alias("verdict"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_retailprice <= 0 THEN 0 WHEN p_retailprice <= b THEN b WHEN p_retailprice <= 2 * b THEN 2 * b WHEN p_retailprice <= 5 * b THEN 5 * b ELSE 10 * b END::DOUBLE AS budget FROM (SELECT p_partkey, p_retailprice, pow(10.0, floor(log10(p_retailprice))) b FROM part)")
+def budget_steps(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", G.budget_step(F.col("p_retailprice")).alias("budget"))
+
+
+@query("SELECT o_orderkey, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN a = b THEN 'same' ELSE 'different' END WHEN x = y THEN 'same' ELSE 'unknown' END relation FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 5 END a, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 5 END b, lower(o_orderstatus) x, lower(left(o_orderpriority, 1)) y FROM orders)")
+def compare_asserters(spark, sf):
+    o = table(spark, sf, "orders")
+    a, b = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey") % 5), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 5)
+    return o.select("o_orderkey", G.asserters(a, F.col("o_orderstatus"), b, F.substring("o_orderpriority", 1, 1)).alias("relation"))
+
+
+@query()
+def display_names(spark, sf):
+    mails = table(spark, sf, "documents").select("doc_id", F.explode(P.emails(F.col("text"))).alias("email"))
+    return mails.select("doc_id", "email", G.display_name(F.col("email")).alias("name"), G.hard_bounce(F.concat("email", F.lit(" 5.1.1")), F.array("email")).alias("bounced"))
+
+
+@query("SELECT doc_id, list_filter([CASE WHEN NOT coalesce(lang = 'en', false) THEN 'english' END, CASE WHEN NOT coalesce(n_chars > 1000, false) THEN 'long' END, CASE WHEN NOT coalesce(source = 'src0', false) THEN 'trusted' END], lambda x: x IS NOT NULL) unmet FROM documents")
+def unmet_conditions(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", G.unmet({"english": F.col("lang") == "en", "long": F.col("n_chars") > 1000, "trusted": F.col("source") == "src0"}).alias("unmet"))
+
+
+@query("SELECT kind, count(*) n FROM (SELECT CASE WHEN lower(trim(source)) IN ('src0', 'src1') THEN lower(trim(source)) ELSE 'unsourced' END kind FROM documents) GROUP BY kind")
+def source_kinds(spark, sf):
+    return table(spark, sf, "documents").select(G.source_kind(F.col("source"), ("src0", "src1")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- compilation -------------------------------------------------------------------------------
+
+
+@query(
+    "WITH p AS (SELECT conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\\n+')) p, generate_subscripts(string_split_regex(coalesce(text, ''), '\\n+'), 1) i FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(p, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) ORDER BY turn, i) n FROM p WHERE trim(p) <> '') "
+    "SELECT conv_id, md5(string_agg(p, chr(10) || chr(10) ORDER BY turn, i)) digest, count(*) paragraphs FROM k WHERE n = 1 GROUP BY conv_id"
+)
+def compiled_bodies(spark, sf):
+    done = M.bodies(table(spark, sf, "conversations"), "conv_id", "turn", F.col("text"))
+    return done.select("conv_id", F.md5(F.col("body").cast("binary")).alias("digest"), "paragraphs")
+
+
+@query()
+def applied_corrections(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("field"), F.round("value", 0).alias("value"), (F.col("event_id") % 9 + 1).alias("rank"), F.col("event_id").alias("line"))
+    pages = e.groupBy("page", "field").agg(F.lit(None).cast("double").alias("value"), F.lit(9).alias("rank"))
+    return M.corrections(e, pages, "page", "field", "value", "rank", "line")
+
+
+@query("SELECT o_orderkey, l_partkey FROM (SELECT DISTINCT o_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def retraction_cascade(spark, sf):
+    o, parts = table(spark, sf, "orders"), table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("l_partkey"))
+    merged = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_partkey").alias("sources"))  # an order has few lines
+    merged = merged.join(o.select("o_orderkey"), "o_orderkey", "left_semi")
+    return M.cascade(parts, merged, o.where("o_orderstatus = 'F'"), "l_partkey", "sources", "o_orderkey")
+
+
+@query("SELECT o_orderkey, list(link ORDER BY i) links FROM (SELECT o_orderkey, link, min(i) i FROM (SELECT l_orderkey o_orderkey, CASE WHEN l_partkey % 3 = 0 THEN 'p' || (l_partkey // 2)::VARCHAR ELSE 'p' || l_partkey::VARCHAR END link, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) i FROM lineitem) GROUP BY ALL) GROUP BY o_orderkey")
+def rewritten_links(spark, sf):
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: F.concat(F.lit("p"), x["l_partkey"].cast("string"))).alias("l"))
+    old = table(spark, sf, "lineitem").where("l_partkey % 3 = 0").select(name(F.col("l_partkey")).alias("old"), name(F.floor(F.col("l_partkey") / 2)).alias("new")).distinct()
+    return M.relinked(lines, "o_orderkey", F.col("l"), old, "old", "new")
+
+
+@query("SELECT a.p_partkey, b.p_partkey pooled FROM (SELECT p_partkey, p_size s FROM part WHERE p_partkey % 3 = 0) a JOIN (SELECT p_partkey, p_size s FROM part WHERE p_partkey % 3 <> 0 AND p_size % 7 = 0) b ON a.s = b.s")
+def pooled_ancestors(spark, sf):
+    p = table(spark, sf, "part").where("p_partkey % 3 = 0 or p_size % 7 = 0")
+    scope = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("s"), "p_size", F.lit("/x"))).otherwise(F.concat(F.lit("s"), "p_size"))
+    return M.pooled(p.select("p_partkey", scope.alias("scope")), "p_partkey", "scope")
+
+
+@query("SELECT 'questions' queue, event_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d') created FROM events WHERE event_type = 'error' UNION ALL SELECT 'orders', o_orderkey::VARCHAR, '' FROM orders WHERE o_orderstatus = 'P'")
+def pending_decisions(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("at"))
+    o = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"), F.lit(None).cast("string").alias("at"))
+    return M.decisions({"questions": e, "orders": o}, "id", "at")
+
+
+@query("SELECT 'text' field, count(text) populated, round(count(text) / count(*), 6)::DOUBLE ratio FROM documents UNION ALL SELECT 'source', count(CASE WHEN doc_id % 9 > 0 THEN source END), round(count(CASE WHEN doc_id % 9 > 0 THEN source END) / count(*), 6) FROM documents")
+def field_coverage(spark, sf):
+    d = table(spark, sf, "documents").withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
+    return M.coverage(d, ["text", "source"])
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", M.hash_embedding()(F.col("text")).alias("vector"))
+
+
+@query()
+def sentence_claims(spark, sf):
+    M.register(spark)
+    table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t")).createOrReplaceTempView("_turns")
+    return spark.sql("SELECT conv_id, turn, s.at, s.sentence FROM _turns, LATERAL sentences_of(t) s")
+
+
+# --- staleness ---------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 THEN 'earlier' WHEN p_brand = (SELECT min(p_brand) FROM part) AND p_size % 2 = 0 THEN 'content-hash' WHEN p_size % 5 = 0 THEN 'dimension-named' WHEN p_size % 11 = 0 THEN 'coordinate-challenged' WHEN p_size < 10 AND p_partkey % 2 = 0 THEN 'tree-epoch' WHEN p_partkey % 13 = 0 THEN 'authority-revoked' WHEN p_partkey % 17 > 8 AND p_size % 3 > 0 THEN 'comparator-epoch' END stale FROM part"
+)
+def stale_verdicts(spark, sf):
+    p = table(spark, sf, "part")
+    least = p.agg(F.min("p_brand").alias("least"))  # one row
+    p = p.join(F.broadcast(least))
+    e = p.select("p_partkey", F.when(F.col("p_partkey") % 10 == 3, "earlier").alias("stale"), "p_size", "p_brand", "least",
+        F.array(F.when(F.col("p_brand") == F.col("least"), "page").otherwise("other"), F.lit("b")).alias("sides"),
+        F.array(F.when(F.col("p_size") % 2 == 0, "old").otherwise("new"), F.lit("h")).alias("hashes"),
+        F.array(F.when(F.col("p_size") % 5 == 0, "scope").otherwise("none")).alias("assumed"),
+        F.create_map(F.lit("subject"), F.when(F.col("p_size") % 11 == 0, "ans-1").otherwise("ans-2")).alias("origins"),
+        F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2).alias("epoch"), F.array(F.when(F.col("p_size") < 10, "org/a/x").otherwise("org/b"), F.lit(None).cast("string")).alias("coords"),
+        F.when(F.col("p_partkey") % 13 == 0, "grant-1").otherwise("grant-2").alias("basis"),
+        F.when(F.col("p_partkey") % 17 > 8, F.when(F.col("p_size") % 3 > 0, "v1.gate2.a").otherwise("v1.gate2.b")).otherwise("v1.gate1").alias("version"))
+    reasons = [V.changed_page("page", F.col("sides"), F.col("hashes"), "new"), V.dimension_change("scope", F.col("assumed"), F.array().cast("array<string>"), F.col("sides"), ["nobody"]), V.challenged("ans-1", F.col("origins")), V.tree_epoch(F.col("epoch"), 2, F.col("coords"), ["org/a"]), V.authority(F.col("basis"), "grant-1"), V.comparator(F.col("version"), "v1.gate2", "v1.gate2.b")]
+    return V.mark(e, reasons).select("p_partkey", "stale")
