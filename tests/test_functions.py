@@ -75,7 +75,7 @@ def test_source_rank(spark, source, rank):
     assert one(spark, C.source_rank(F.col("v")), v=source) == rank
 
 
-@pytest.mark.parametrize("token,bad", [("+1-555-0100", False), ("(555) 010-0100", False), ("917-231-6130", False), ("256-257-280", True), ("02-08-2018", True), ("2019-2020", True), ("00075741", True), ("9781234567897", True), ("445--436--435--374", True), ("410-414-416-412", True), ("2015-9988-12", True)])
+@pytest.mark.parametrize("token,bad", [("+1-555-0100", False), ("(555) 010-0100", False), ("917-231-6130", False), ("256-257-280", True), ("02-08-2018", True), ("2019-2020", True), ("00075741", True), ("9781234567897", True), ("445--436--435--374", True), ("410-414-416-412", True), ("2015-9988-12", False)])
 def test_phone_shapes(spark, token, bad):
     assert one(spark, P.not_a_phone(F.col("v")), v=token) is bad
 
