@@ -8,11 +8,12 @@ pairs, which is all that the estimate's variance depends on.
 
 Grouping: texts with equal shingle sets are one class. Classes that agree in a whole band share
 a bucket. Shingles that only one member of any bucket holds bound what a class can share with
-others: pairs that these bounds rule out are not compared, which loses nothing. In each bucket
+others, and so does what both share with one pivot: after the first round, pairs that these
+bounds rule out are not compared, which loses nothing. In each bucket
 all members are compared with one pivot, the one of the fewest such shingles (the same class in
 most of its buckets), not with each other; verified links join components. Small buckets that still hold
 several components then compare all pairs between them; larger ones get further pivots, those
-of most links first and eight times as many each round, until each is of one component or all
+of most links first and sixteen times as many each round, until each is of one component or all
 its pairs of different components have been compared. So groups of copies cost pairs in
 proportion to their size, and no candidate pair is lost.
 With 24 bands of 4 rows a link of similarity 0.85 is missed once in 5 * 10**7.
@@ -172,21 +173,17 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = (batch.column(i) for i in range(4))
-            keep, last, other = [], None, None
+            shared, linked, last, other = [], [], None, None
             for i in range(batch.num_rows):
                 mine = np.frombuffer(left[i].as_buffer(), U64)
                 if b[i] != last:
                     last, other = b[i], np.frombuffer(right[i].as_buffer(), U64)
                 n = len(mine) + len(other)
-                few = min(len(mine), len(other))
-                if 100 * few < percent * (n - few):  # the sizes alone rule it out
-                    continue
                 at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
                 both = int(np.count_nonzero(other[at] == mine))
-                if 100 * both >= percent * (n - both):
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.record_batch([a.take(take), b.take(take)], ["a", "b"])
+                shared.append(both)
+                linked.append(100 * both >= percent * (n - both))
+            yield pa.record_batch([a, b, pa.array(shared, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "hits", "linked"])
 
     return run
 
@@ -277,49 +274,60 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     rank = (((F.col("n_items") - F.col("common")) * 1000 / F.col("n_items")).cast("long") * F.lit(1 << 50) + F.col("node")).alias("rank")
     members = members.withColumn("rank", rank)
     buckets = members.groupBy("key").agg(F.min("rank").alias("pivot_rank"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.written(members.join(buckets, "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)).drop("pivot_rank"), "ranked")
+    members = common.written(members.join(buckets, "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)), "ranked")
 
     def possible() -> Column:
-        """Whether the bounds of both leave room for a link (columns n_items, common, p_items, p_common)."""
+        """Whether bounds leave room for a link. Two classes share at most what each shares with
+        any other; and of two with one reference, at most the lesser of what they share with it
+        and the lesser of what else they share with any other."""
         most = F.least("common", "p_common")
+        around = F.least("hits", "p_hits") + F.greatest(F.lit(0), F.least(F.col("common") - F.col("hits"), F.col("p_common") - F.col("p_hits")))
+        most = F.when(F.col("ref") == F.col("p_ref"), F.least(most, around)).otherwise(most)
         return most * 100 >= (F.col("n_items") + F.col("p_items") - most) * percent
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.withColumnRenamed("items", "left"), pairs["a"] == sets["node"]).select("a", "b", "left")
         both = left.join(sets.withColumnRenamed("items", "right"), left["b"] == sets["node"]).select("a", "b", "left", "right")
-        return both.mapInArrow(_verify(percent), "a long, b long")
+        return both.mapInArrow(_verify(percent), "a long, b long, hits long, linked boolean")
 
-    sizes = common.small(sized.select(F.col("node").alias("pivot"), F.col("n_items").alias("p_items"), F.col("common").alias("p_common")))
-    pairs = members.where("node <> pivot").join(sizes, "pivot")
-    pairs = pairs.where(possible()).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-    compared = common.written(pairs, "pairs")
-    edges = common.written(verified(compared), "edges")
+    pairs = members.where("node <> pivot").select("node", "pivot", "pivot_rank").distinct()
+    first = common.written(pairs, "pairs")
+    compared = first.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    seen = common.written(verified(compared), "verified")
+    edges = seen.where("linked").select("a", "b")
     links = components(edges)
+    # each class's reference: of its pivots the one that ranks first, or itself where it ranks before them
+    told = first.join(seen, (F.col("a") == F.greatest("node", "pivot")) & (F.col("b") == F.least("node", "pivot"))).select("node", F.struct("pivot_rank", F.col("pivot").alias("ref"), "hits").alias("r"))
+    itself = members.where("node = pivot").select("node", F.struct("pivot_rank", F.col("pivot").alias("ref"), F.col("n_items").alias("hits")).alias("r")).distinct()
+    refs = told.unionByName(itself).groupBy("node").agg(F.min("r").alias("r"))
+    sized = common.written(sized.join(refs, "node").select("node", "n_items", "common", "r.ref", "r.hits"), "referenced")
     pivots = members.select("key", F.col("pivot").alias("node")).distinct()
-    as_pivot = {"node": "pivot", "root": "pivot_root", "n_items": "p_items", "common": "p_common"}
+    as_pivot = {"node": "pivot", "root": "pivot_root", "n_items": "p_items", "common": "p_common", "ref": "p_ref", "hits": "p_hits", "bands": "p_bands"}
     more = 0
     while True:
-        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n", "n_items", "common").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
         live = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = common.written(named.join(live, "key").select("key", "node", "root", "n", "n_items", "common"), "open")
+        open_ = named.join(live, "key").select("key", "node", "root", "n").join(common.small(sized), "node")
+        open_ = common.written(open_.join(classes.select("node", "bands"), "node"), "open")
         # small buckets: every member is a pivot now; others: members of most links, one from each of `more` parts
         fresh = open_.join(pivots, ["key", "node"], "left_anti")
         chosen = fresh.where(f"n <= {SMALL_BUCKET}").select("key", *[F.col(c).alias(p) for c, p in as_pivot.items()]) if more == 0 else None
-        more = min(max(16, 8 * more), 1024)
+        more = 256 if more == 0 else 16 * more
         degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        best = fresh.where(f"n > {SMALL_BUCKET}").join(degree, "node", "left").groupBy("key", F.pmod(F.xxhash64("node", F.lit(more)), F.lit(more)).alias("part")).agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "node", "root", "n_items", "common")).alias("best"))
+        best = fresh.where(f"n > {SMALL_BUCKET}").join(degree, "node", "left").groupBy("key", F.pmod(F.xxhash64("node", F.lit(more)), F.lit(more)).alias("part")).agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), *as_pivot)).alias("best"))
         best = best.select("key", *[F.col(f"best.{c}").alias(p) for c, p in as_pivot.items()])
         chosen = common.written(best if chosen is None else chosen.unionByName(best), "pivots")
         if chosen.isEmpty():
             return links
         pivots = pivots.unionByName(chosen.select("key", F.col("pivot").alias("node")))
-        pairs = open_.join(chosen, "key").where("root <> pivot_root")
-        pairs = pairs.where(possible())
+        # a pair is made once, in the least bucket that it shares
+        once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key")
+        pairs = open_.join(chosen, "key").where((F.col("root") != F.col("pivot_root")) & possible() & once)
         # a pair may have been compared in either direction
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = compared.unionByName(pairs)
-        found = common.written(verified(pairs), "edges")
+        found = common.written(verified(pairs).where("linked").select("a", "b"), "edges")
         edges = edges.unionByName(found)
         if not found.isEmpty():
             links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
