@@ -78,6 +78,21 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def affected(prior: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(class) of all classes that a change can reach: those linked, through new edges or earlier
+    clusters (class, cluster), to a changed class. Only they need clustering again."""
+    stars = prior.where("class <> cluster").select(F.col("class").alias("a"), F.col("cluster").alias("b"))
+    roots = components(edges.select("a", "b").unionByName(stars))
+    whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    hit = whole.join(changed.select(F.col("class").alias("node")).distinct(), "node").select("root").distinct()
+    return whole.join(hit, "root", "left_semi").select(F.col("node").alias("class")).unionByName(changed.select("class")).distinct()
+
+
+def spliced(prior: DataFrame, reach: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Earlier clusters with the rows of affected classes replaced."""
+    return prior.join(reach, "class", "left_anti").unionByName(fresh)
+
+
 def _linkage(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Greedy complete linkage: the pair of groups with the highest least similarity joins,

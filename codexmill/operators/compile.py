@@ -114,6 +114,30 @@ def hash_embedding(size: int = 384):
     return embed
 
 
+def json_object():
+    """A pandas UDF: the first whole JSON object in prose or a code fence, as compact JSON with
+    sorted keys; raw control characters inside strings are taken as they are; null without one."""
+    import json
+
+    @F.pandas_udf(Ty.StringType())
+    def extract(texts: pd.Series) -> pd.Series:
+        decode = json.JSONDecoder(strict=False).raw_decode
+
+        def first(text: str | None) -> str | None:
+            at = (text or "").find("{")
+            while at >= 0:
+                try:
+                    found, _ = decode(text, at)
+                    return json.dumps(found, sort_keys=True, separators=(",", ":"))
+                except ValueError:
+                    at = text.find("{", at + 1)
+            return None
+
+        return texts.map(first)
+
+    return extract
+
+
 class FencedBlocks:
     """A UDTF body: a text's blocks by their headings, where a heading inside a code fence begins
     none. Yields (at, title, body)."""

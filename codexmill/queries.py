@@ -577,6 +577,21 @@ def audit_sample(spark, sf):
     return table(spark, sf, "part").where(T.sampled(F.lit("tier"), F.col("p_partkey").cast("string"), 0.2)).select("p_partkey")
 
 
+@query("SELECT doc_id, len(e) n, md5(text) = md5(replace(text, '@', '#')) clean FROM (SELECT doc_id, coalesce(text, '') text, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) e FROM documents)")
+def routed_values(spark, sf):
+    text, vault = P.routed(F.col("doc_id"), F.coalesce("text", F.lit("")), "email", P.EMAIL)
+    return table(spark, sf, "documents").select("doc_id", F.size(vault).cast("long").alias("n"), (~F.contains(F.coalesce("text", F.lit("")), F.lit("@")) & text.isNotNull()).alias("clean"))
+
+
+@query()
+def affected_clusters(spark, sf):
+    """Classes that a change of every seventh vector can reach."""
+    edges = K._written(_edges(spark, sf))
+    prior = K.complete_linkage(edges, K.components(edges), 0.33)
+    changed = table(spark, sf, "embeddings").where("vec_id % 7 = 0").select(F.col("vec_id").alias("class"))
+    return K.affected(prior, edges, changed)
+
+
 # --- incremental and transcripts ---------------------------------------------------------------
 
 _DELTA = "WITH b AS (SELECT doc_id, sha256(coalesce(text, '')) h FROM documents WHERE doc_id % 10 <> 3), a AS (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) h FROM documents WHERE doc_id % 11 <> 5), x AS (SELECT coalesce(a.doc_id, b.doc_id) doc_id, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' END change FROM b FULL JOIN a ON a.doc_id = b.doc_id) "

@@ -129,3 +129,47 @@ def test_cursor_is_opaque_json():
     import base64
 
     assert json.loads(base64.urlsafe_b64decode(R.cursor(1, 2.0, "", "u"))) == [1, 2.0, "", "u"]
+
+
+def test_delta_clustering_equals_full(spark):
+    old = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.7), (5, 6, 0.8), (8, 9, 0.9)], "a long, b long, similarity double")
+    new = spark.createDataFrame([(1, 2, 0.9), (2, 4, 0.95), (5, 6, 0.8), (8, 9, 0.9), (4, 5, 0.6)], "a long, b long, similarity double")
+
+    def clusters(edges):
+        roots = K.components(edges)
+        whole = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        return K.complete_linkage(edges, whole, 0.55)
+
+    prior = clusters(old)
+    reach = K.affected(prior, new, spark.createDataFrame([(4,), (3,)], "class long"))
+    assert rows(reach, "class") == [(x,) for x in (1, 2, 3, 4, 5, 6)]
+    inside = new.join(reach.withColumnRenamed("class", "a"), "a", "left_semi")
+    assert rows(K.spliced(prior, reach, clusters(inside)), "class", "cluster") == rows(clusters(new), "class", "cluster")
+
+
+def test_json_and_blocks(spark):
+    from codexmill.operators import compile as M
+
+    d = spark.createDataFrame([('say {"b": 1, "a": "x\ny"} done',), ("{broken {\"k\": [1]}",), ("none",), (None,)], "t string")
+    assert [r[0] for r in d.select(M.json_object()(F.col("t"))).collect()] == ['{"a":"x\\ny","b":1}', '{"k":[1]}', None, None]
+    assert list(M.FencedBlocks().eval("lead\n## A\n```\n## not\n```\n## B\nx")) == [(0, "", "lead"), (1, "A", "```\n## not\n```"), (2, "B", "x")]
+    assert [s for _, s in M.Sentences().eval("Dr. Who came. It was 3.14 then! Yes? nay. End.")] == ["Dr. Who came", "It was 3.14 then", "Yes? nay", "End"]
+
+
+def test_corrections_apply_in_order(spark):
+    from codexmill.operators import compile as M
+
+    pages = spark.createDataFrame([("p", "f", "old", 5)], "k string, f string, v string, r int")
+    news = spark.createDataFrame([("p", "f", "low", 7, 1), ("p", "f", "api", 3, 2), ("p", "f", "script", 7, 3), ("p", "f", "user", 1, 4)], "k string, f string, v string, r int, n long")
+    got = M.corrections(news, pages, "k", "f", "v", "r", "n").first()
+    assert (got.value, got["rank"], got.applied) == ("user", 1, 2)
+
+
+def test_routing_leaves_no_value(spark):
+    from codexmill.functions import privacy as P
+
+    text, vault = P.routed(F.col("k"), F.col("t"), "email", P.EMAIL)
+    r = spark.createDataFrame([(1, "a@x.io b.a@x.io a@x.io")], "k int, t string").select(text.alias("t"), vault.alias("v")).first()
+    assert "@" not in r.t and sorted(x.value for x in r.v) == ["a@x.io", "b.a@x.io"] and all(x.pointer in r.t for x in r.v)
+    streets = spark.createDataFrame([("at 12 N. Main Street, or 5 Oak Hill Rd. but 7 days a week",)], "t string").select(P.street_addresses(F.col("t"))).first()[0]
+    assert streets == ["12 N. Main Street", "5 Oak Hill Rd."]
