@@ -2,7 +2,8 @@
 
 Token labels: documents carry labels, tokens don't, so tokens are labelled from the training
 rows: a word of a toxic row is toxic where the word, or its stem (first letters), is found in
-toxic rows far more often than in clean ones; words of clean rows are not toxic.
+a hundredth of the toxic rows or more and far more often than in clean ones, near copies counted
+once; words of clean rows are not toxic.
 
 Model: two states; features of a word are its letters, its stems of 3 to 6 letters and its
 end, hashed; transitions couple neighbours. Trained by Adam on the exact log-likelihood
@@ -23,15 +24,17 @@ score alike; a doc_id with several labels counts as toxic if any is; extra colum
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textcore import U64, Words, crc_mod, mix64, text_slices
+from .textcore import U64, Words, crc_mod, mix64, shingles, text_slices, unique_inverse
 
 CHAIN = 64
 HASH_BITS = 20
@@ -39,6 +42,8 @@ HASH_BITS = 20
 STEMS, END = (3, 4, 5, 6), 4
 SAMPLE, ROW_CHAINS = 2500, 24
 SPAN = 0.5
+#: A mark of toxic rows is found in this share of them at least.
+SUPPORT = 0.01
 
 
 class _Letters:
@@ -69,7 +74,8 @@ class _Letters:
             columns.append(mix64(tail + U64(9 << 56)))
             second = lanes[np.minimum(start + 8, len(data))] & keep[np.clip(size - 8, 0, 8)]
             columns.append(mix64(mix64(first & keep[np.minimum(size, 8)]) + second + size.astype(U64) * U64(0x9E3779B97F4A7C15)))
-        self.keys = np.stack([c >> U64(64 - HASH_BITS) for c in columns], 1).astype(np.int64) if len(start) else np.empty((0, len(STEMS) + 2), np.int64)
+        self.columns = columns
+        self.keys = np.stack([(c >> U64(64 - HASH_BITS)).astype(np.int32) for c in columns], 1) if len(start) else np.empty((0, len(STEMS) + 2), np.int32)
 
 
 def chains(first: np.ndarray, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
@@ -167,15 +173,26 @@ class Tagger:
         self.plain = float(y.mean()) if len(y) else 0.5
         if not len(y) or y.min() == y.max():
             return self
-        keys, rows, firsts, at = [], [], [0], 0
+        keys, hashes, rows, firsts, at, kept, seen = [], [], [], [0], 0, [], set()
         for a, b, raw, offsets in text_slices(pa.array(texts, pa.string())):
             w = Words(raw, offsets)
-            keys.append(_Letters(w).keys)
-            rows.append(w.doc + a)
-            firsts.extend((w.first[1:] + at).tolist())
-            at += len(w.hash)
-        keys, rows, first = np.concatenate(keys), np.concatenate(rows), np.array(firsts)
-        toxic = self._label(keys, rows, y) & (y[rows] == 1)
+            letters = _Letters(w)
+            fresh = _fresh(w, seen)  # of near copies one row: copies would make all their words tell
+            take = fresh[w.doc]
+            keys.append(letters.keys[take])
+            hashes.append(np.stack(letters.columns, 1)[take] if len(take) else np.empty((0, len(STEMS) + 2), U64))
+            number = np.cumsum(fresh) - 1 + len(kept)
+            rows.append(number[w.doc[take]].astype(np.int32))
+            firsts.extend((np.cumsum(w.count[fresh]) + at).tolist())
+            at = firsts[-1]
+            kept.extend((np.flatnonzero(fresh) + a).tolist())
+        y = y[kept]
+        if y.min() == y.max():
+            return self
+        keys, hashes, rows, first = np.concatenate(keys), np.concatenate(hashes), np.concatenate(rows), np.array(firsts)
+        del texts
+        toxic = self._label(hashes, rows, y) & (y[rows] == 1)
+        del hashes
         begin, size = chains(first)
         # windows of training: spread evenly over each row, at most row_chains of one
         many = -(-np.diff(first) // CHAIN)
@@ -220,16 +237,31 @@ class Tagger:
     @staticmethod
     def _label(keys: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Words that mark toxic rows, by rows with the word or one of its stems of four or more."""
-        size = 1 << HASH_BITS
-        strong = np.zeros(size, bool)
         share = max(int(y.sum()), 1) / max(int((1 - y).sum()), 1)
+        least = max(3, int(np.ceil(SUPPORT * y.sum())))
+        out = np.zeros(len(rows), bool)
         for column in range(1, keys.shape[1]):
-            pair = np.unique(keys[:, column] * len(y) + rows)
-            key, row = pair // len(y), pair % len(y)
-            bad = np.bincount(key, y[row], size)
-            good = np.bincount(key, 1 - y[row], size)
-            strong |= (bad >= 4) & (bad > 12 * share * (good + 0.25))
-        return strong[keys[:, 1:]].any(1)
+            names, key = unique_inverse(keys[:, column])
+            pair = np.unique(key * len(y) + rows)
+            bad = np.bincount(pair // len(y), y[pair % len(y)], len(names))
+            good = np.bincount(pair // len(y), 1 - y[pair % len(y)], len(names))
+            out |= ((bad >= least) & (bad > 12 * share * (good + 0.25)))[key]
+        return out
+
+
+def _fresh(w: Words, seen: set) -> np.ndarray:
+    """Which rows share none of four min-hashes of five-word shingles with an earlier row."""
+    h, doc = shingles(w, 5)
+    out = np.ones(w.rows, bool)
+    if not len(h):
+        return out
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    least = [np.minimum.reduceat(mix64(h ^ U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), begin).tolist() for k in range(1, 5)]
+    for row, marks in zip(doc[begin].tolist(), zip(*least)):
+        out[row] = seen.isdisjoint(marks)
+        if out[row]:
+            seen.update(marks)
+    return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -254,9 +286,22 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE,
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("toxic") == t).orderBy(*order).limit(sample) for t in (0, 1)]
     chosen = common.written(picked[0].unionByName(picked[1]), "labelled")  # at most 2 * sample rows
-    # the words of one row that training can use: row_chains windows of words of 64 bytes
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return Tagger().fit([r["text"] or "" for r in texts], [r["toxic"] for r in texts], row_chains)
+    # the bounded sample meets in one task, which returns the model (4 MB)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    fitted = texts.select("doc_id", "text", "toxic").repartition(1).mapInPandas(_fit(row_chains), "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else Tagger()
+
+
+def _fit(row_chains: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        tagger = Tagger()
+        if frames:
+            rows = pd.concat(frames).sort_values("doc_id", kind="stable")
+            tagger.fit([x or "" for x in rows["text"]], rows["toxic"].tolist(), row_chains)
+        yield pd.DataFrame({"model": [pickle.dumps(tagger)]})
+
+    return run
 
 
 def _score(tagger, held_modulus: int, held: int, threshold: float):
