@@ -185,21 +185,30 @@ def _indexed(docs: DataFrame, items: list) -> object:
     return spark.sparkContext.broadcast(seeds.choose(counts, total))
 
 
-def _find(seeds, threshold: float):
+def _find(seeds, threshold: float, begin: bool, end: bool):
+    """One pass: adds what it finds to item_id, score and items of the rows (begin: there are
+    none yet); the text goes on to the next pass unless this is the last (end)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Seeds = seeds.value
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(1)):
-                best, found = [(-1.0, None)] * (b - a), [[] for _ in range(b - a)]
+                n = b - a
+                item_of, score_of, found = ([None] * n, [0.0] * n, [[] for _ in range(n)]) if begin else (batch.column(k).slice(a, n).to_pylist() for k in (2, 3, 4))
                 for row, item, score in index.find(Words(raw, offsets, letters=True)):
                     item_id = int(index.ids[item])
-                    if score > best[row][0] or (score == best[row][0] and item_id < best[row][1]):
-                        best[row] = (score, item_id)
+                    if score > score_of[row] or (score == score_of[row] and item_of[row] is not None and item_id < item_of[row]):
+                        score_of[row], item_of[row] = score, item_id
                     if score >= threshold:
                         found[row].append(item_id)
+                head = [batch.column(k).slice(a, n) for k in ((0,) if end else (0, 1))]
+                if end:
+                    head.append(pa.array([bool(f) for f in found], pa.bool_()))
+                    item_of = [x if f else None for x, f in zip(item_of, found)]
+                    found = [sorted(set(f)) for f in found]
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array([bool(f) for f in found]), pa.array([x[1] if f else None for x, f in zip(best, found)], pa.int64()), pa.array([max(x[0], 0.0) for x in best]), pa.array([sorted(set(f)) for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "contaminated", "item_id", "score", "items"],
+                    [*head, pa.array(item_of, pa.int64()), pa.array(score_of, pa.float64()), pa.array(found, pa.list_(pa.int64()))],
+                    ["doc_id", "contaminated" if end else "text", "item_id", "score", "items"],
                 )
 
     return run
@@ -217,16 +226,13 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list]:
 def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, contaminated, item_id (of the best score), score and items of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, contaminated boolean, item_id long, score double, items array<long>"
-    parts = [docs.select("doc_id", "text").mapInArrow(_find(_indexed(docs, items), threshold), schema) for items in blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    best = F.max_by(F.struct("item_id", "score"), F.struct("score", (-F.coalesce("item_id", F.lit(0))).alias("i")))
-    merged = out.groupBy("doc_id").agg(F.max("contaminated").alias("contaminated"), best.alias("best"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "contaminated", "best.item_id", "best.score", "items")
+    found = "item_id long, score double, items array<long>"
+    out, parts = docs.select("doc_id", "text"), list(blocks(benchmark))
+    for k, items in enumerate(parts):
+        end = k == len(parts) - 1
+        # each row takes its findings along from pass to pass, so rows of one doc_id stay apart
+        out = out.mapInArrow(_find(_indexed(docs, items), threshold, k == 0, end), f"doc_id {kind}, {'contaminated boolean' if end else 'text string'}, {found}")
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -108,6 +108,20 @@ def test_planted_passages_are_found(spark, docs, prose, monkeypatch):
     assert not any(r.contaminated for r in dc.scan(docs(rows), bench.limit(0)).collect())
 
 
+def test_several_passes_keep_every_row(spark, docs, prose, monkeypatch):
+    items = [(i, prose(25)) for i in range(6)]
+    rows = [(1, prose(20)), (1, prose(10) + " " + items[2][1]), (1, items[4][1] + " " + items[0][1]), (None, prose(20)), (None, items[5][1]), (7, None), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    seen = []
+    for limit in (8 << 20, 200):
+        monkeypatch.setattr(dc, "blocks", lambda b, f=dc.blocks, n=limit: f(b, n))
+        seen.append(sorted(((r.doc_id, r.contaminated, r.item_id, r.score, r["items"]) for r in dc.scan(docs(rows), bench).collect()), key=repr))
+        monkeypatch.undo()
+    assert len(seen[1]) == len(rows) and sum(r[1] for r in seen[1]) == 3
+    assert [r[:3] + r[4:] for r in seen[1]] == [r[:3] + r[4:] for r in seen[0]]
+    assert {(r[2], tuple(r[4])) for r in seen[1] if r[1]} == {(2, (2,)), (0, (0, 4)), (5, (5,))}
+
+
 def test_scores_match_alignment_of_the_whole_text(spark, docs, prose):
     import re
 
