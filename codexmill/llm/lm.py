@@ -53,20 +53,32 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(words.rows), count), first
 
 
-def contexts(hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """[length-1 contexts, length-2 contexts, ...] before each token, up to order - 1."""
+def before(hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """[the word one back, two back, ...] of each token, up to order - 1."""
     out, place = [], np.arange(len(hashes)) - first[:-1][rows]
-    ctx = np.zeros(len(hashes), U64)
     for back in range(1, order):
         word = np.full(len(hashes), BEGIN)
         has = place >= back
         word[has] = hashes[np.flatnonzero(has) - back]
+        out.append(word)
+    return out
+
+
+def chain(words: list[np.ndarray]) -> list[np.ndarray]:
+    """[length-1 contexts, length-2 contexts, ...] of the words one back, two back, ..."""
+    out, ctx = [], U64(0)
+    for word in words:
         with np.errstate(over="ignore"):
             ctx = mix64(ctx * U64(0x9E3779B97F4A7C15) + word)
         out.append(ctx)
     return out
 
 
+def contexts(hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """[length-1 contexts, length-2 contexts, ...] before each token, up to order - 1."""
+    return chain(before(hashes, rows, first, order))
+
+
 def gram_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Sorted-array key: the first bits of the context, then a hash of context and word."""
     with np.errstate(over="ignore"):
@@ -97,6 +109,34 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return [np.repeat(head, runs), *rest, counts.astype(np.int64)]
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers (none below 0) in the narrowest type that holds them all."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def pack_grams(words: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """n-grams as numbers in the block's own list of words (contexts follow from the words);
+    rows stand in the order of the oldest word, which is stored as runs."""
+    known, back = unique_inverse(np.concatenate(words))
+    back = back.reshape(len(words), -1)
+    at = np.argsort(back[-1], kind="stable")
+    runs, counts, back = narrow(np.bincount(back[-1], minlength=len(known))), narrow(counts[at]), narrow(back[:-1, at])
+    head = np.array([len(counts), len(known), len(words), back.itemsize, runs.itemsize, counts.itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, known, runs, counts, back))
+
+
+def unpack_grams(block: bytes) -> list[np.ndarray]:
+    """[word, the word one back, ..., counts]"""
+    n, known, width, *sizes = (int(x) for x in np.frombuffer(block, np.int64, 6))
+    index, run, count = (np.dtype(f"u{x}") for x in sizes)
+    at = 48
+    words = np.frombuffer(block, U64, known, at)
+    runs = np.frombuffer(block, run, known, at := at + 8 * known)
+    counts = np.frombuffer(block, count, n, at := at + runs.nbytes)
+    back = np.frombuffer(block, index, n * (width - 1), at + counts.nbytes).reshape(width - 1, n)
+    return [*(words[x] for x in back), np.repeat(words, runs), counts.astype(np.int64)]
+
+
 def fold(columns: list[np.ndarray], counts: np.ndarray, skip: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct (columns[0], columns[1]) pairs with summed counts, ordered by the first bits of
     columns[0]; with `skip`, the number of first bits that all rows share, wholly ordered."""
@@ -123,12 +163,13 @@ def fold(columns: list[np.ndarray], counts: np.ndarray, skip: int | None = None)
 
 
 def blocks(kind: int, columns: list[np.ndarray], counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Folded columns cut into one block per shard (by the first `bits` bits)."""
+    """Folded columns cut into one block per shard (by the first `bits` bits); of n-grams, all
+    but the context in columns[0] is packed."""
     shard = (columns[0] >> U64(64 - bits)).astype(np.int64)
     cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
     for s in np.flatnonzero(np.diff(cut)):
         part = slice(cut[s], cut[s + 1])
-        yield kind, int(s), pack([*(c[part] for c in columns), counts[part]])
+        yield kind, int(s), pack([columns[0][part], counts[part]]) if len(columns) == 1 else pack_grams([c[part] for c in columns[1:]], counts[part])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -147,8 +188,8 @@ def _count(order: int, bits: int):
             columns = [np.concatenate(x) for x in zip(*held)]
             out = []
             if order > 1:
-                # columns: word, ctx1, ... ctx(order-1); key order: longest context, word, shorter contexts
-                grams, n = fold([columns[-1], columns[0], *columns[-2:0:-1]], np.ones(len(columns[0]), np.int64))
+                # longest context, word, words one back, two back, ...
+                grams, n = fold([chain(columns[1:])[-1], *columns], np.ones(len(columns[0]), np.int64))
                 out += blocks(order, grams, n, bits)
             words, n = fold([columns[0]], np.ones(len(columns[0]), np.int64))
             return [*out, *blocks(0, words, n, bits)]
@@ -156,7 +197,7 @@ def _count(order: int, bits: int):
         for batch in batches:
             for _, _, raw, offsets in text_slices(batch.column(0)):
                 h, rows, first = tokens(Words(raw, offsets))
-                held.append([h, *contexts(h, rows, first, order)])
+                held.append([h, *before(h, rows, first, order)])
                 size += len(h)
                 if size >= FOLD_TOKENS:
                     yield _batch(flush())
@@ -185,18 +226,23 @@ def _reduce(folder: str, bits: int):
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(key[0]), int(key[1])
-        columns = [np.concatenate(x) for x in zip(*map(unpack, pdf["block"]))]
-        grams, counts = fold(columns[:-1], columns[-1], bits)
+        *words, counts = [np.concatenate(x) for x in zip(*map(unpack_grams, pdf["block"]))]
+        grams, counts = fold([chain(words[1:])[-1], *words], counts, bits)
         keys = gram_key(grams[0], grams[1])
         at = argsort64(keys)
-        _save(folder, f"k{kind}-{shard:05d}", keys[at])
-        _save(folder, f"n{kind}-{shard:05d}", counts[at].astype(np.uint32))
+        # what occurs once is most of the entries: a key without numbers
+        keys, n = keys[at], counts[at]
+        _save(folder, f"s{kind}-{shard:05d}", keys[n == 1])
+        _save(folder, f"k{kind}-{shard:05d}", keys[n > 1])
+        _save(folder, f"n{kind}-{shard:05d}", narrow(n[n > 1]))
         edge = np.flatnonzero(np.r_[True, grams[0][1:] != grams[0][:-1]])
         per = np.stack([np.add.reduceat(x.astype(np.int64), edge) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
-        _save(folder, f"c{kind}-{shard:05d}", grams[0][edge])
-        _save(folder, f"t{kind}-{shard:05d}", per)
-        # below: [shorter context, word, still shorter ...], or just the word
-        below = [grams[2], grams[1], *grams[3:]] if len(grams) > 2 else [grams[1]]
+        ctx, once = grams[0][edge], per[:, 0] == 1
+        _save(folder, f"e{kind}-{shard:05d}", ctx[once])
+        _save(folder, f"c{kind}-{shard:05d}", ctx[~once])
+        _save(folder, f"t{kind}-{shard:05d}", narrow(per[~once]))
+        # below: [shorter context, word, words one back, ...] without the oldest, or just the word
+        below = [chain(grams[2:-1])[-1], *grams[1:-1]] if kind > 2 else [grams[1]]
         below, n = fold(below, np.ones(len(counts), np.int64))
         out = [(kind, -1, np.array(_tally(counts), np.int64).tobytes()), *((kind - 1, s, b) for _, s, b in blocks(0, below, n, bits))]
         return pd.DataFrame(out, columns=["kind", "shard", "block"])
@@ -258,25 +304,30 @@ def _open(path: str) -> np.ndarray | None:
     return np.load(path, mmap_mode="r") if os.path.exists(path) else None
 
 
-def _find(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0) -> np.ndarray:
-    """Values of sorted keys in memory-mapped sorted arrays; 0 where absent."""
+def _find(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0, once: str | None = None) -> np.ndarray:
+    """Values of sorted keys in memory-mapped sorted arrays; 0 where absent. Keys of the arrays
+    `once` have the value 1 (in columns 0 and 1 where there are several)."""
     out = np.zeros((len(query), width) if width else len(query), np.int64)
     shard = (query >> U64(64 - model.bits)).astype(np.int64)
     cut = np.searchsorted(shard, np.arange((1 << model.bits) + 1))
     for s in np.flatnonzero(np.diff(cut)):
-        keys = _open(f"{model.folder}/{keys_of}-{s:05d}.npy")
-        if keys is None or not len(keys):
-            continue
         part = query[cut[s] : cut[s + 1]]
-        at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-        same = np.flatnonzero(keys[at] == part)
-        out[cut[s] + same] = _open(f"{model.folder}/{values_of}-{s:05d}.npy")[at[same]]
+        for name in (keys_of, once) if once else (keys_of,):
+            keys = _open(f"{model.folder}/{name}-{s:05d}.npy")
+            if keys is None or not len(keys):
+                continue
+            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+            same = np.flatnonzero(keys[at] == part)
+            if name == once:
+                out[(cut[s] + same, slice(0, 2)) if width else cut[s] + same] = 1
+            else:
+                out[cut[s] + same] = _open(f"{model.folder}/{values_of}-{s:05d}.npy")[at[same]]
     return out
 
 
-def _lookup(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0) -> np.ndarray:
+def _lookup(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0, once: str | None = None) -> np.ndarray:
     unique, back = unique_inverse(query)
-    return _find(model, keys_of, values_of, unique, width)[back]
+    return _find(model, keys_of, values_of, unique, width, once)[back]
 
 
 def _probability(model: Model, h: np.ndarray, ctx: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +342,8 @@ def _probability(model: Model, h: np.ndarray, ctx: list[np.ndarray]) -> tuple[np
         p = (plain + 0.1) / (model.total + 0.1 * (model.words + 1))
     for k in range(2, model.order + 1):
         c = ctx[k - 2]
-        seen = _lookup(model, f"c{k}", f"t{k}", c, 4)
-        count = _lookup(model, f"k{k}", f"n{k}", gram_key(c, h))
+        seen = _lookup(model, f"c{k}", f"t{k}", c, 4, f"e{k}")
+        count = _lookup(model, f"k{k}", f"n{k}", gram_key(c, h), once=f"s{k}")
         d = np.array(model.discount.get(k, [0.0] * 4))
         total = np.maximum(seen[:, 0], 1)
         mixed = (np.maximum(count - d[np.minimum(count, 3)], 0) + (seen[:, 1] * d[1] + seen[:, 2] * d[2] + seen[:, 3] * d[3]) * p) / total
@@ -329,22 +380,18 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2, folder: str
     bits = min(TOP, max(6, int(size // (8 << 20)).bit_length()))  # 64 shards, or as many as keep one at some MB
     folder = folder or common.mounted(common.shared_path(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
-    level = common.written(rows.mapInArrow(_count(order, bits), BLOCK), "lm-blocks") if order > 2 else rows.mapInArrow(_count(order, bits), BLOCK)
     stats: dict[int, list[int]] = {}
-    if order == 2:
-        # words ride along with the n-gram blocks, so the texts are read once
-        level = common.written(level.groupBy("kind", "shard").applyInPandas(_pass_words(_reduce(folder, bits)), BLOCK), "lm-level")
-        words = level.where("kind in (0, 1)")
-    else:
-        words = level.where("kind = 0")
-        for k in range(order, 1, -1):
-            level = common.written(level.where(F.col("kind") == k).where("shard >= 0").groupBy("kind", "shard").applyInPandas(_reduce(folder, bits), BLOCK), "lm-level")
-            for r in level.where((F.col("kind") == k) & (F.col("shard") < 0)).toLocalIterator():
-                _add(stats, k, np.frombuffer(r["block"], np.int64))
-        words = words.unionByName(level.where("kind = 1 and shard >= 0")) if order > 1 else words
-    if order == 2:
+    # words ride along with the blocks of the highest order, so the texts are read once
+    level = rows.mapInArrow(_count(order, bits), BLOCK).groupBy("kind", "shard").applyInPandas(_pass_words(_reduce(folder, bits)), BLOCK)
+    words = None
+    for k in range(order, 1, -1):
+        level = common.written(level, "lm-level")
         for r in level.where("shard < 0").toLocalIterator():
             _add(stats, int(r["kind"]), np.frombuffer(r["block"], np.int64))
+        rest = level.where("kind in (0, 1) and shard >= 0")
+        words = rest if words is None else words.unionByName(rest)
+        level = level.where((F.col("kind") == k - 1) & (F.col("shard") >= 0)).groupBy("kind", "shard").applyInPandas(_reduce(folder, bits), BLOCK)
+    words = level if words is None else words
     for r in words.where("shard >= 0").groupBy("shard").applyInPandas(_words(folder), STATS).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("entries", "total", "n1", "n2", "n3", "n4"))).collect():
         _add(stats, r["kind"], np.array(r[1:]))
     return Model(folder, order, bits, stats)

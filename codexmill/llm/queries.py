@@ -12,7 +12,7 @@ from .common import table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_score(table(spark, sf_dir, "documents"), order=2, held_modulus=10)
+    return lm.lm_score(table(spark, sf_dir, "documents"), order=3, held_modulus=10)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,14 @@ def test_empty_tables_and_repeated_rows(spark, docs):
     assert lm.lm_score(docs([])).count() == 0
     got = lm.lm_score(docs([(1, "a b"), (1, "a b"), (None, "a")])).collect()
     assert len(got) == 3 and all(math.isfinite(r.score) for r in got)
+
+
+def test_the_query_sees_more_than_one_word_back(spark, docs, prose, tmp_path):
+    from codexmill.llm import queries
+
+    base = prose(60).split()
+    rows = [(i, " ".join(base[i % 7 :]) + " " + prose(20)) for i in range(40)] + [(100, None), (101, "one " * 300)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(rows, 3)
+    got = {r.doc_id: r.score for r in queries.op1_lm_score(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i][5], rel=1e-6) for i in want)
