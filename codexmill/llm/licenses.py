@@ -1,5 +1,5 @@
 """License scans: Dice coefficient over word bigrams between license templates and the lines
-of a text, and the text as a whole.
+of a text, the text as a whole, and its passages.
 
 Normal form: lower case, runs of other characters than letters a-z and digits as one space.
 With sets A of the unit and B of a template, Dice >= t needs |A| between t/(2-t)*|B| and
@@ -7,6 +7,12 @@ With sets A of the unit and B of a template, Dice >= t needs |A| between t/(2-t)
 shared bigrams, so a text without any word of a small set, chosen so that the bigrams holding
 one leave too few others in every template, can't match and is skipped before it is split.
 
+Passages are all windows of up to 1.5 times a template's words, over the ends of lines, within the
+size bounds; they are compared with the notices and with the whole texts of license_texts. Of
+overlapping passages the one that shares most bigrams counts (then the highest Dice). Only
+texts that share t/(2-t)*|B| bigrams with a template are searched for its passages. A license that
+lines and passages show counts the greater number of the two.
+
 Defined results: null and empty texts match nothing; repeated rows give one finding per
 doc_id and license; a unit counts for the license of its nearest template, or for all equally near ones; extra columns are ignored.
 """
@@ -15,10 +21,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import common
+from .license_texts import TEXTS
+
 THRESHOLD = 0.8
 #: Up to so many template bigrams are broadcast; more are joined by a shuffle.
 BROADCAST_BIGRAMS = 500_000
@@ -59,8 +69,8 @@ def marker_words(templates, threshold: float) -> list[str]:
         gain: dict[str, int] = {}
         for b, n in need:
             if n > 0:
-                for w in {w for x in b for w in x.split()}:
-                    gain[w] = gain.get(w, 0) + min(n, sum(w in x.split() for x in b))
+                for w, k in Counter(w for x in b for w in set(x.split())).items():
+                    gain[w] = gain.get(w, 0) + min(n, k)
         word = max(gain, key=lambda w: (w not in COMMON and not w.isdigit(), gain[w], w))
         chosen.append(word)
         for entry in need:
@@ -74,20 +84,86 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "template int, license string, template_size int, bigram string")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _marked(templates, threshold: float) -> str:
+    return "(?<![a-z0-9])(?:" + "|".join(sorted(marker_words(templates, threshold))) + ")(?![a-z0-9])"
+
+
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def passages(docs: DataFrame, templates, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice and lines (passages of different words) of the windows that match."""
+    spark, low, high = docs.sparkSession, threshold / (2 - threshold), (2 - threshold) / threshold
+    known = template_table(spark, templates)
+    small = known.select("bigram").distinct().count() <= BROADCAST_BIGRAMS
+    hint = F.broadcast if small else lambda x: x
+    texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike(_marked(templates, threshold)))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    pairs = _pairs(F.filter(F.split(normal(F.col("text")), " "), lambda x: x != ""))
+    # texts that share enough with a template as a whole
+    shared = texts.select("doc_id", "h", F.explode(F.array_distinct(pairs)).alias("bigram")).join(hint(known), "bigram")
+    shared = shared.groupBy("doc_id", "h", "template", "license", "template_size").agg(F.count_distinct("bigram").alias("n")).where(F.col("n") >= F.col("template_size") * low - 1e-9)
+    fits = shared.groupBy("doc_id", "h").agg(F.collect_list(F.struct("template", "license", "template_size")).alias("near"))
+    fits = common.small(common.written(fits.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "near"), "license-fits"))
+    texts = texts.join(fits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).dropDuplicates(["doc_id", "h"])
+    # each bigram with the place where it last stood and the templates that hold it
+    marks = known.groupBy("bigram").agg(F.collect_set("template").alias("of"))
+    places = texts.select("doc_id", "h", F.posexplode(pairs).alias("at", "bigram"))
+    places = places.withColumn("last", F.coalesce(F.lag("at").over(Window.partitionBy("doc_id", "h", "bigram").orderBy("at")), F.lit(-1))).join(hint(marks), "bigram", "left")
+    rows = places.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("at", "last", "bigram", F.coalesce("of", F.array().cast("array<int>")).alias("of")))).alias("seq"))
+    near = fits.select("d", "g", F.explode("near").alias("t"))
+    rows = rows.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("doc_id", "h", "seq", "t.template", "t.license", "t.template_size")
+    size = F.col("template_size")
+    words = F.element_at(F.create_map(*(F.lit(x) for i, (_, text) in enumerate(templates) for x in (i, math.ceil(1.5 * len(re.findall("[a-z0-9]+", text.lower())))))), F.col("template"))
+
+    def best(s: Column) -> Column:
+        """The window from s on of highest Dice: its last place, shared bigrams, Dice."""
+
+        def step(acc: Column, x: Column) -> Column:
+            new = x["last"] < s["at"]
+            n, k = acc["n"] + F.when(new, 1).otherwise(0), acc["k"] + F.when(new & F.array_contains(x["of"], F.col("template")), 1).otherwise(0)
+            dice = 2.0 * k / (n + size)
+            better = (dice > acc["dice"]) & (n >= size * low - 1e-9) & (n <= size * high + 1e-9)
+            return F.struct(n.alias("n"), k.alias("k"), F.when(better, x["at"]).otherwise(acc["end"]).alias("end"), F.when(better, k).otherwise(acc["shared"]).alias("shared"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(-1).alias("end"), F.lit(0).alias("shared"), F.lit(0.0).alias("dice"))
+        return F.aggregate(F.slice(F.col("seq"), s["at"] + 1, words), zero, step)
+
+    starts = F.filter("seq", lambda x: F.array_contains(x["of"], F.col("template")))
+    found = rows.select("doc_id", "h", "license", F.explode(F.transform(starts, lambda s: F.struct(s["at"].alias("at"), best(s).alias("b"), F.lit(0).alias("z")))).alias("x"), "seq").where(F.col("x.b.dice") >= threshold)
+    found = found.select("doc_id", "h", "license", F.col("x.at").alias("at"), F.col("x.b.end").alias("end"), F.struct(F.col("x.b.shared").alias("shared"), F.round("x.b.dice", 6).alias("dice")).alias("rank"), F.xxhash64(F.transform(F.slice("seq", F.col("x.at") + 1, F.col("x.b.end") - F.col("x.at") + 1), lambda y: y["bigram"])).alias("words"))
+    # a passage counts where no place of it lies in one that ranks higher (of equal ones of a
+    # license, the first)
+    key = ["doc_id", "h", "license", "at", "end", "rank", "words"]
+    spread = found.select(*key, F.explode(F.sequence("at", "end")).alias("place"), F.struct("rank", -F.col("at"), -F.col("end")).alias("own"))
+    top, first = Window.partitionBy("doc_id", "h", "place"), Window.partitionBy("doc_id", "h", "place", "license")
+    spread = spread.withColumn("keep", (F.col("rank") == F.max("rank").over(top)) & (F.col("own") == F.max("own").over(first)))
+    held = spread.groupBy(*key).agg(F.bool_and("keep").alias("keep")).where("keep")
+    return held.groupBy("doc_id", "license").agg(F.max("rank.dice").alias("dice"), F.count_distinct("words").alias("lines"))
+
+
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, texts=TEXTS) -> DataFrame:
     """doc_id, license, dice (rounded to 6 places) and lines (units that match), a row for
     each license found in a document."""
+    both = _lines(docs, templates, threshold).unionByName(passages(docs, [*templates, *texts], threshold))
+    return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.max("lines").alias("lines"))
+
+
+def _lines(docs: DataFrame, templates, threshold: float) -> DataFrame:
+    """The findings of whole lines and whole texts."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
     known = F.broadcast(known) if sum(len(_bigrams(t)) for _, t in templates) <= BROADCAST_BIGRAMS else known
-    marked = "(?<![a-z0-9])(?:" + "|".join(sorted(marker_words(templates, threshold))) + ")(?![a-z0-9])"
+    marked = _marked(templates, threshold)
     texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike(marked))
     texts = texts.withColumn("text", normal(F.col("text"), keep_lines=True))
     # the whole text is a unit besides its lines; with one line they are the same
     units = texts.select("doc_id", F.posexplode(F.array_distinct(F.transform(F.concat(F.array(F.regexp_replace("text", r"\n", " ")), F.split("text", "\n")), lambda x: F.trim(F.regexp_replace(x, " +", " "))))).alias("unit", "line")).where(F.col("line").rlike(marked))
     words = F.filter(F.split("line", " +"), lambda w: w != "")
     units = units.select("doc_id", "unit", words.alias("w")).where(F.size("w") > 1)
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    pairs = F.array_distinct(_pairs(F.col("w")))
     units = units.select("doc_id", "unit", pairs.alias("b")).withColumn("unit_size", F.size("b"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     largest, least = max(len(_bigrams(t)) for _, t in templates), min(len(_bigrams(t)) for _, t in templates)

@@ -157,6 +157,27 @@ def test_licenses_match_all_pairs(spark, docs, prose):
     assert licenses.scan(docs([])).count() == 0
 
 
+def test_license_passages(spark, docs, prose):
+    import textwrap
+
+    whole = dict(licenses.TEXTS)
+    wrap = lambda t, n=70, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    bsd = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause")
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(whole["MIT"])),
+        (2, prose(40) + "\n" + wrap(bsd) + "\n" + prose(40)),
+        (3, "#!/bin/sh\n" + wrap(whole["GPL-3.0"], 60, "# ") + "\n" + prose(200)),
+        (4, "Author bio follows. Released under the MIT License. All other rights " + prose(9)),
+        (5, prose(30) + " Licensed under\nCC BY-NC 4.0. " + prose(30)),
+        (6, wrap(whole["BSD-2-Clause"]) + "\n" + prose(10)),
+        (7, prose(300)),
+        (None, "x y Released under the MIT License. z"),
+    ]
+    got = {(r.doc_id, r.license): (r.dice, r.lines) for r in licenses.scan(docs(rows)).collect()}
+    want = {(1, "MIT"), (2, "BSD-3-Clause"), (3, "GPL-3.0"), (4, "MIT"), (5, "CC-BY-NC-4.0"), (6, "BSD-2-Clause"), (None, "MIT")}
+    assert got == {k: (1.0, 1) for k in want}
+
+
 def test_pipeline_stages(spark, tmp_path, docs, prose):
     import corpus_pipeline
 
