@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 #: Splits a text into words; `[^\x20\x09-\x0D]+` is a word.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A table is broadcast if its rows come to no more than so many bytes.
+BROADCAST_BYTES = 24 << 20
+#: A key with more rows than this is joined apart from the others.
+HOT_ROWS = 50_000
+#: Removes a query's shuffle files when it has been written: what follows reads the written table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +26,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own
-    where that is unset (tests, a single machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset one
+    of our own serves a single machine; on a cluster it would not be shared, which is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.environ.setdefault("CODEXMILL_SHARED", tempfile.mkdtemp(prefix="codexmill-"))
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
+    if "CODEXMILL_SHARED" not in os.environ:
+        os.environ["CODEXMILL_SHARED"] = tempfile.mkdtemp(prefix="codexmill-")
+    return os.environ["CODEXMILL_SHARED"].rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, as a URI for Spark."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder, as a URI for Spark. What is written there goes when
+    the application ends, or before that by `remove`."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    fs, at = _file_system(spark, path)
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder that nothing reads any more."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def mounted(uri: str) -> str:
@@ -42,18 +69,54 @@ def mounted(uri: str) -> str:
     raise ValueError(f"memory-mapped files need a mounted shared folder, not {uri}: pass one as the folder parameter")
 
 
-def written(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, and a lost
-    executor costs no recomputation of what stands before it."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written_at(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
+    """Write a table to the shared folder and read it again: (the table, its path). Cuts the
+    lineage, so a lost executor costs no recomputation of what stands before it; the shuffle
+    files of the writing query, which nothing reads any more, go at once."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def small(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A broadcast of a (written) table of narrow rows if it has no more rows than `most`;
-    beyond that the join shuffles."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+def written(df: DataFrame, label: str = "cut") -> DataFrame:
+    return written_at(df, label)[0]
+
+
+def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast of a (written) table whose rows come to at most `most` bytes (8 for a number,
+    text and lists by their length, 16 for each row); beyond that the join shuffles."""
+    width = lambda c, t: F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.lit(8)
+    row = sum((F.coalesce(width(F.col(f"`{c}`"), t), F.lit(0)) for c, t in rows.dtypes), F.lit(16))
+    size = rows.agg(F.sum(row.cast("long"))).first()[0] or 0
+    return F.broadcast(rows) if size <= most else rows
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like `names` that no column bears (Spark compares without regard to case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, copies: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Rows with the facts of their key (nulls where it has none). `facts` has one row per key
+    and, in `copies`, how many rows bear it. A key of more than `hot` rows would go to one task,
+    so such keys (at most rows / hot) are broadcast and the others joined by a shuffle."""
+    many = facts.where(F.col(copies) > hot).drop(copies)
+    if many.isEmpty():
+        return rows.join(small(facts.drop(copies)), key, "left")
+    names = small(many)
+    return rows.join(names, key).unionByName(rows.join(names.select(key), key, "left_anti").join(small(facts.where(F.col(copies) <= hot).drop(copies)), key, "left"))
 
 
 def lower_ascii(text: Column) -> Column:

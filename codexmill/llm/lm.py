@@ -1,10 +1,18 @@
 """LM scoring: an interpolated modified Kneser-Ney n-gram model.
 
-Counting: map tasks fold the n-grams of their rows into sorted arrays and send one packed block
-per shard; a shard is a range of context hashes, so one task sees all n-grams of its contexts,
-and a frequent n-gram costs one entry per map task. Storing: each shard becomes a sorted array
-of 64-bit n-gram keys with counts, in the shared folder. Scoring: workers map the arrays into
-memory and look sorted batches of keys up by binary search.
+Words: map tasks fold the words of their rows and send one block per shard (a range of hashes);
+a shard becomes a sorted array of hashes with counts. A word's number follows from its shard and
+its rank by count there, so frequent words have small numbers.
+
+Counting: map tasks write n-grams as word numbers, fold them and send one packed block per shard,
+a range of context hashes, so one task sees all n-grams of its contexts and a frequent n-gram
+costs one entry per map task. The reducer of one order sends on the counts of the order below.
+
+Storing: each shard becomes sorted arrays of n-gram and context hashes with counts in the shared
+folder. A shard's arrays keep the next bits of the hashes: buckets of about eight keys by the
+first of them, 24 bits in three bytes for each key, so an absent n-gram is taken for a present
+one about once in two million look-ups. Scoring: workers map the arrays into memory and search
+the buckets of sorted batches of keys.
 
 Every order below the highest counts distinct preceding words (continuation counts); the
 lowest interpolates with the uniform distribution over the vocabulary and one unknown word.
@@ -30,13 +38,20 @@ from pyspark.sql import functions as F
 from . import common
 from .textcore import U64, Words, argsort64, crc_mod, mix64, text_slices, unique_inverse
 
-END, BEGIN = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
-#: Shards are ranges of the first 16 bits of a context's hash.
-TOP = 16
+END = U64(0x243F6A8885A308D3)
+#: Word numbers that no word of the vocabulary has.
+BEGIN, UNKNOWN, FIRST = 0, 1, 2
+#: A shard holds the n-grams of about so many bytes of text; there are at least 2**6 shards and
+#: at most 2**22 (32 TB of text, beyond which shards grow).
+SHARD_TEXT, LEAST_BITS, MOST_BITS = 8 << 20, 6, 22
+#: Bits of a key beside those of its shard and bucket.
+PRINT = 24
 #: A map task folds its n-grams after so many tokens.
 FOLD_TOKENS = 900_000
 BLOCK = "kind int, shard int, block binary"
 STATS = "kind int, entries long, total long, n1 long, n2 long, n3 long, n4 long"
+#: Layers of a table of counts: all ones, those below 256, the rest.
+LAYERS = ("a", "b", "c")
 
 
 def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +68,13 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(words.rows), count), first
 
 
-def before(hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+def before(numbers: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
     """[the word one back, two back, ...] of each token, up to order - 1."""
-    out, place = [], np.arange(len(hashes)) - first[:-1][rows]
+    out, place = [], np.arange(len(numbers)) - first[:-1][rows]
     for back in range(1, order):
-        word = np.full(len(hashes), BEGIN)
+        word = np.full(len(numbers), BEGIN, numbers.dtype)
         has = place >= back
-        word[has] = hashes[np.flatnonzero(has) - back]
+        word[has] = numbers[np.flatnonzero(has) - back]
         out.append(word)
     return out
 
@@ -69,107 +84,86 @@ def chain(words: list[np.ndarray]) -> list[np.ndarray]:
     out, ctx = [], U64(0)
     for word in words:
         with np.errstate(over="ignore"):
-            ctx = mix64(ctx * U64(0x9E3779B97F4A7C15) + word)
+            ctx = mix64(ctx * U64(0x9E3779B97F4A7C15) + word.astype(U64) + U64(1))
         out.append(ctx)
     return out
 
 
-def contexts(hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
-    """[length-1 contexts, length-2 contexts, ...] before each token, up to order - 1."""
-    return chain(before(hashes, rows, first, order))
+def gram_key(ctx: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of the context in the first bits, then a hash of context and word."""
+    with np.errstate(over="ignore"):
+        mixed = mix64(ctx * U64(0xD1342543DE82EF95) + word.astype(U64))
+    return (ctx >> U64(64 - bits) << U64(64 - bits)) | (mixed >> U64(bits))
 
 
-def gram_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Sorted-array key: the first bits of the context, then a hash of context and word."""
-    with np.errstate(over="ignore"):
-        mixed = mix64(ctx * U64(0xD1342543DE82EF95) + word)
-    return (ctx >> U64(64 - TOP) << U64(64 - TOP)) | (mixed >> U64(TOP))
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers (none below 0) in the narrowest type that holds them all."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
-    """Columns of one block; the first, sorted one is stored as runs."""
-    head, *rest = arrays
-    edge = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.empty(0, np.int64)
-    runs = np.diff(np.r_[edge, len(head)]).astype(np.uint32)
-    parts = [np.array([len(head), len(edge), len(arrays)], np.int64), head[edge], *rest[:-1], rest[-1].astype(np.uint32), runs]
-    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+def _edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)
 
 
-def unpack(block: bytes) -> list[np.ndarray]:
-    n, edges, width = (int(x) for x in np.frombuffer(block, np.int64, 3))
-    at = 24
-    head = np.frombuffer(block, U64, edges, at)
-    at += 8 * edges
-    rest = []
-    for _ in range(width - 2):
-        rest.append(np.frombuffer(block, U64, n, at))
-        at += 8 * n
-    counts = np.frombuffer(block, np.uint32, n, at)
-    runs = np.frombuffer(block, np.uint32, edges, at + 4 * n)
-    return [np.repeat(head, runs), *rest, counts.astype(np.int64)]
+def parts(sorted_keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """The shards that sorted keys fall into, and where."""
+    shard = sorted_keys >> U64(64 - bits)
+    edge = _edges(shard)
+    for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(shard)]):
+        yield int(shard[a]), slice(a, z)
 
 
-def narrow(a: np.ndarray) -> np.ndarray:
-    """The same numbers (none below 0) in the narrowest type that holds them all."""
-    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of unsigned numbers as planes of bytes, compressed; the first, in ascending order,
+    as differences."""
+    held = [narrow(np.diff(columns[0], prepend=columns[0].dtype.type(0))), *map(narrow, columns[1:])]
+    body = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in held)
+    head = np.array([len(columns[0]), len(held), *(c.itemsize for c in held)], np.int64)
+    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def pack_grams(words: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """n-grams as numbers in the block's own list of words (contexts follow from the words);
-    rows stand in the order of the oldest word, which is stored as runs."""
-    known, back = unique_inverse(np.concatenate(words))
-    back = back.reshape(len(words), -1)
-    at = np.argsort(back[-1], kind="stable")
-    runs, counts, back = narrow(np.bincount(back[-1], minlength=len(known))), narrow(counts[at]), narrow(back[:-1, at])
-    head = np.array([len(counts), len(known), len(words), back.itemsize, runs.itemsize, counts.itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, known, runs, counts, back))
+def unpack(block: bytes) -> list[np.ndarray]:
+    n, width = (int(x) for x in np.frombuffer(block, np.int64, 2))
+    sizes = np.frombuffer(block, np.int64, width, 16).tolist()
+    body = pa.decompress(block[16 + 8 * width :], n * sum(sizes), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for size in sizes:
+        planes = np.frombuffer(body, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{size}").ravel().astype(U64))
+        at += n * size
+    with np.errstate(over="ignore"):
+        out[0] = np.cumsum(out[0], dtype=U64)
+    return out
+
+
+def pack_grams(ids: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """n-grams of one shard in the order of the oldest word, then of the one after it."""
+    oldest, *rest = ids[::-1]
+    at = argsort64(oldest << U64(32) | rest[0] & U64(0xFFFFFFFF)) if rest and int(oldest.max(initial=0)) < 1 << 32 else argsort64(oldest)
+    return pack([oldest[at], *(x[at] for x in rest), counts[at].astype(U64)])
 
 
 def unpack_grams(block: bytes) -> list[np.ndarray]:
     """[word, the word one back, ..., counts]"""
-    n, known, width, *sizes = (int(x) for x in np.frombuffer(block, np.int64, 6))
-    index, run, count = (np.dtype(f"u{x}") for x in sizes)
-    at = 48
-    words = np.frombuffer(block, U64, known, at)
-    runs = np.frombuffer(block, run, known, at := at + 8 * known)
-    counts = np.frombuffer(block, count, n, at := at + runs.nbytes)
-    back = np.frombuffer(block, index, n * (width - 1), at + counts.nbytes).reshape(width - 1, n)
-    return [*(words[x] for x in back), np.repeat(words, runs), counts.astype(np.int64)]
-
-
-def fold(columns: list[np.ndarray], counts: np.ndarray, skip: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct (columns[0], columns[1]) pairs with summed counts, ordered by the first bits of
-    columns[0]; with `skip`, the number of first bits that all rows share, wholly ordered."""
-    if not len(counts):
-        return columns, counts
-    if len(columns) > 1:
-        half = U64(32)
-        first, second = columns[0] << U64(skip or 0) >> half, columns[1] >> half
-        at = argsort64(first << half | second)
-        same = (first[at][1:] == first[at][:-1]) & ((second[at][1:] == second[at][:-1]) | (skip is not None))
-        differ = columns[0][at][1:] != columns[0][at][:-1]
-        if skip is None:
-            differ |= columns[1][at][1:] != columns[1][at][:-1]
-        if (same & differ).any():  # keys that their halves don't tell apart
-            at = np.lexsort((columns[1], columns[0]))
-    else:
-        at = argsort64(columns[0])
-    columns = [c[at] for c in columns]
-    new = columns[0][1:] != columns[0][:-1]
-    if len(columns) > 1:
-        new |= columns[1][1:] != columns[1][:-1]
-    edge = np.flatnonzero(np.r_[True, new])
-    return [c[edge] for c in columns], np.add.reduceat(counts[at], edge)
-
-
-def blocks(kind: int, columns: list[np.ndarray], counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Folded columns cut into one block per shard (by the first `bits` bits); of n-grams, all
-    but the context in columns[0] is packed."""
-    shard = (columns[0] >> U64(64 - bits)).astype(np.int64)
-    cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
-    for s in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[s], cut[s + 1])
-        yield kind, int(s), pack([columns[0][part], counts[part]]) if len(columns) == 1 else pack_grams([c[part] for c in columns[1:]], counts[part])
+    *ids, counts = unpack(block)
+    return [*ids[::-1], counts.astype(np.int64)]
+
+
+def fold(ids: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(sorted keys, their n-grams' words, contexts, summed counts) of distinct n-grams."""
+    ctx = chain(ids[1:])[-1] if len(ids) > 1 else ids[0] << U64(64 - bits)
+    key = gram_key(ctx, ids[0], bits)
+    at = argsort64(key)
+    edge = _edges(key[at])
+    first = at[edge]
+    return key[first], [x[first] for x in ids], ctx[first], np.add.reduceat(counts[at], edge) if len(edge) else counts
+
+
+def blocks(kind: int, key: np.ndarray, ids: list[np.ndarray], counts: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """Folded n-grams cut into one block per shard."""
+    for s, part in parts(key, bits):
+        yield kind, s, pack_grams([x[part] for x in ids], counts[part])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,45 +171,171 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["kind", "shard", "block"])
 
 
-def _count(order: int, bits: int):
-    """Blocks of the highest order (kind = order) and of plain words (kind 0)."""
+def _save(path: str, arrays: list[np.ndarray]) -> None:
+    """Arrays in one file, whole or not at all: a repeated task writes the same file again."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], np.int64).tobytes())
+        for a in arrays:
+            f.write(a.tobytes())
+            f.write(bytes(-a.nbytes % 8))
+    os.replace(part, path)
+
+
+@lru_cache(maxsize=8192)
+def _open(path: str) -> list[np.ndarray] | None:
+    """The arrays of a file, mapped into memory; None where there is no such file."""
+    if not os.path.exists(path):
+        return None
+    raw = np.memmap(path, np.uint8, "r")
+    n = int(raw[:8].view(np.int64)[0])
+    head = raw[8 : 8 + 16 * n].view(np.int64)
+    out, at = [], 8 + 16 * n
+    for size, length in zip(head[::2].tolist(), head[1::2].tolist()):
+        out.append(raw[at : at + size * length].view(f"u{size}"))
+        at += -(-size * length // 8) * 8
+    return out
+
+
+def store(folder: str, name: str, shard: int, bits: int, key: np.ndarray, columns: list[np.ndarray]) -> None:
+    """A table of one shard: sorted keys with columns of counts, the first of which is the
+    largest, in layers."""
+    most = columns[0]
+    for layer, take in zip(LAYERS, (most == 1, (most > 1) & (most < 256), most > 255)):
+        some = key[take]
+        if not len(some):
+            continue
+        spare = max(0, (len(some) >> 3).bit_length() - 1)
+        rest = some << U64(bits) >> U64(64 - PRINT - spare)
+        ends = np.searchsorted(rest >> U64(PRINT), np.arange((1 << spare) + 1).astype(U64)).astype(np.uint32)
+        values = [] if layer == LAYERS[0] else [narrow(c[take]) for c in columns]
+        _save(f"{folder}/{name}{layer}-{shard:07d}", [ends, rest.astype(np.uint16), (rest >> U64(16)).astype(np.uint8), *values])
+
+
+def _search(arrays: list[np.ndarray], query: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which queries are found, where) in one layer."""
+    ends, low, high = arrays[:3]
+    spare = (len(ends) - 1).bit_length() - 1
+    rest = query << U64(bits) >> U64(64 - PRINT - spare)
+    bucket, want = (rest >> U64(PRINT)).astype(np.int64), (rest & U64((1 << PRINT) - 1)).astype(np.int64)
+    a, z = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    stop = z.copy()
+    while (a < z).any():
+        middle = (a + z) >> 1
+        at = np.minimum(middle, len(low) - 1)
+        less = (low[at].astype(np.int64) | high[at].astype(np.int64) << 16) < want
+        open_ = a < z
+        a, z = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, z)
+    at = np.minimum(a, len(low) - 1)
+    return np.flatnonzero((a < stop) & ((low[at].astype(np.int64) | high[at].astype(np.int64) << 16) == want)), at
+
+
+def find(model: Model, name: str, query: np.ndarray, width: int) -> np.ndarray:
+    """`width` columns of counts of each key; 0 where absent. Ones of the first layer stand in
+    the first two columns."""
+    unique, back = unique_inverse(query)
+    out = np.zeros((len(unique), width), np.int64)
+    for s, part in parts(unique, model.bits):
+        for layer in LAYERS:
+            arrays = _open(f"{model.folder}/{name}{layer}-{s:07d}")
+            if arrays is None:
+                continue
+            hit, at = _search(arrays, unique[part], model.bits)
+            if layer == LAYERS[0]:
+                out[part.start + hit, : min(2, width)] = 1
+            else:
+                for k, values in enumerate(arrays[3:]):
+                    out[part.start + hit, k] = values[at[hit]]
+    return out[back]
+
+
+def vocabulary(model: Model, h: np.ndarray) -> np.ndarray:
+    """(number, count, continuation count) of each word; (UNKNOWN, 0, 0) outside. Words are
+    compared by all bits of their hashes."""
+    unique, back = unique_inverse(h)
+    out = np.zeros((len(unique), 3), np.int64)
+    out[:, 0] = UNKNOWN
+    for s, part in parts(unique, model.bits):
+        arrays = _open(f"{model.folder}/w-{s:07d}")
+        if arrays is None:
+            continue
+        keys, counts, rank = arrays
+        at = np.minimum(np.searchsorted(keys, unique[part]), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == unique[part])
+        place = rank[at[hit]].astype(np.int64)
+        out[part.start + hit, 0] = FIRST + (place << model.bits) + s
+        out[part.start + hit, 1] = counts[at[hit]]
+        lower = _open(f"{model.folder}/l-{s:07d}") if model.stats else None
+        if lower is not None:
+            out[part.start + hit, 2] = lower[0][place]
+    return out[back]
+
+
+def _count_words(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush():
+            every = np.sort(np.concatenate(held))
+            edge = _edges(every)
+            keys, counts = every[edge], np.diff(np.r_[edge, len(every)])
+            return _batch([(0, s, pack([keys[part], counts[part].astype(U64)])) for s, part in parts(keys, bits)])
+
+        for batch in batches:
+            for _, _, raw, offsets in text_slices(batch.column(0)):
+                held.append(tokens(Words(raw, offsets))[0])
+                if sum(map(len, held)) >= FOLD_TOKENS:
+                    yield flush()
+                    held = []
+        if held:
+            yield flush()
+
+    return run
+
+
+def _vocabulary(folder: str):
+    """One shard of words: hashes in order, counts, ranks by count."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = (np.concatenate(x) for x in zip(*map(unpack, pdf["block"])))
+        at = argsort64(keys)
+        edge = _edges(keys[at])
+        own, n = keys[at][edge], np.add.reduceat(counts[at].astype(np.int64), edge)
+        rank = np.empty(len(own), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(own))
+        _save(f"{folder}/w-{int(key[0]):07d}", [own, narrow(n), narrow(rank)])
+        return pd.DataFrame([(0, *_tally(n))], columns=["kind", "entries", "total", "n1", "n2", "n3", "n4"])
+
+    return run
+
+
+def _count_grams(model: Model):
+    """Blocks of the n-grams of the highest order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush():
-            columns = [np.concatenate(x) for x in zip(*held)]
-            out = []
-            if order > 1:
-                # longest context, word, words one back, two back, ...
-                grams, n = fold([chain(columns[1:])[-1], *columns], np.ones(len(columns[0]), np.int64))
-                out += blocks(order, grams, n, bits)
-            words, n = fold([columns[0]], np.ones(len(columns[0]), np.int64))
-            return [*out, *blocks(0, words, n, bits)]
+            ids = [np.concatenate(x).astype(U64) for x in zip(*held)]
+            key, ids, _, n = fold(ids, np.ones(len(ids[0]), np.int64), model.bits)
+            return _batch([*blocks(model.order, key, ids, n, model.bits)])
 
         for batch in batches:
             for _, _, raw, offsets in text_slices(batch.column(0)):
                 h, rows, first = tokens(Words(raw, offsets))
-                held.append([h, *before(h, rows, first, order)])
+                numbers = vocabulary(model, h)[:, 0]
+                held.append([numbers, *before(numbers, rows, first, model.order)])
                 size += len(h)
                 if size >= FOLD_TOKENS:
-                    yield _batch(flush())
+                    yield flush()
                     held, size = [], 0
         if held:
-            yield _batch(flush())
+            yield flush()
 
     return run
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Whole or not at all: a repeated task writes the same file again."""
-    part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, f"{folder}/{name}.npy")
-
-
 def _tally(counts: np.ndarray) -> list[int]:
     few = np.bincount(np.minimum(counts, 5), minlength=6)
     return [len(counts), int(counts.sum()), *(int(x) for x in few[1:5])]
@@ -226,56 +346,37 @@ def _reduce(folder: str, bits: int):
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kind, shard = int(key[0]), int(key[1])
-        *words, counts = [np.concatenate(x) for x in zip(*map(unpack_grams, pdf["block"]))]
-        grams, counts = fold([chain(words[1:])[-1], *words], counts, bits)
-        keys = gram_key(grams[0], grams[1])
-        at = argsort64(keys)
-        # what occurs once is most of the entries: a key without numbers
-        keys, n = keys[at], counts[at]
-        _save(folder, f"s{kind}-{shard:05d}", keys[n == 1])
-        _save(folder, f"k{kind}-{shard:05d}", keys[n > 1])
-        _save(folder, f"n{kind}-{shard:05d}", narrow(n[n > 1]))
-        edge = np.flatnonzero(np.r_[True, grams[0][1:] != grams[0][:-1]])
-        per = np.stack([np.add.reduceat(x.astype(np.int64), edge) for x in (counts, counts == 1, counts == 2, counts >= 3)], 1)
-        ctx, once = grams[0][edge], per[:, 0] == 1
-        _save(folder, f"e{kind}-{shard:05d}", ctx[once])
-        _save(folder, f"c{kind}-{shard:05d}", ctx[~once])
-        _save(folder, f"t{kind}-{shard:05d}", narrow(per[~once]))
-        # below: [shorter context, word, words one back, ...] without the oldest, or just the word
-        below = [chain(grams[2:-1])[-1], *grams[1:-1]] if kind > 2 else [grams[1]]
-        below, n = fold(below, np.ones(len(counts), np.int64))
-        out = [(kind, -1, np.array(_tally(counts), np.int64).tobytes()), *((kind - 1, s, b) for _, s, b in blocks(0, below, n, bits))]
+        *ids, counts = [np.concatenate(x) for x in zip(*map(unpack_grams, pdf["block"]))]
+        keys, ids, ctx, counts = fold(ids, counts, bits)
+        store(folder, f"g{kind}", shard, bits, keys, [counts])
+        at = argsort64(ctx)
+        n, edge = counts[at], _edges(ctx[at])
+        per = [np.add.reduceat(x.astype(np.int64), edge) for x in (n, n == 1, n == 2, n >= 3)]
+        store(folder, f"c{kind}", shard, bits, ctx[at][edge], per)
+        # without the oldest word; a single word goes to the shard that its number names
+        below = ids[:-1] if kind > 2 else [ids[0] - U64(FIRST)]
+        low, below, _, n = fold(below, np.ones(len(counts), np.int64), bits)
+        out = [(kind, -1, np.array(_tally(counts), np.int64).tobytes()), *blocks(kind - 1, low, below, n, bits)]
         return pd.DataFrame(out, columns=["kind", "shard", "block"])
 
     return run
 
 
-def _words(folder: str):
-    """One shard of words: plain counts (kind 0) and continuation counts (kind 1)."""
+def _lowest(folder: str, bits: int):
+    """Continuation counts of one shard of words, by rank."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(key[0])
-        sides = []
-        for kind in (0, 1):
-            got = [unpack_words(b) for b in pdf.loc[pdf["kind"] == kind, "block"]]
-            sides.append(fold([np.concatenate([g[0] for g in got])], np.concatenate([g[1] for g in got])) if got else ([np.empty(0, U64)], np.empty(0, np.int64)))
-        (own,), plain = sides[0]
-        (after,), kinds = sides[1]
-        lower = np.zeros(len(own), np.int64)
-        if len(after):
-            lower[np.searchsorted(own, after)] = kinds
-        _save(folder, f"w-{shard:05d}", own)
-        _save(folder, f"u-{shard:05d}", np.stack([plain, lower], 1))
-        return pd.DataFrame([(k, *_tally(x[x > 0])) for k, x in ((0, plain), (1, lower))], columns=["kind", "entries", "total", "n1", "n2", "n3", "n4"])
+        ids, counts = (np.concatenate(x) for x in zip(*map(unpack_grams, pdf["block"])))
+        keys = _open(f"{folder}/w-{shard:07d}")[0]
+        after = np.zeros(len(keys), np.int64)
+        np.add.at(after, (ids >> U64(bits)).astype(np.int64), counts)
+        _save(f"{folder}/l-{shard:07d}", [narrow(after)])
+        return pd.DataFrame([(1, *_tally(after[after > 0]))], columns=["kind", "entries", "total", "n1", "n2", "n3", "n4"])
 
     return run
 
 
-def unpack_words(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    head, counts = unpack(block)
-    return head, counts
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """[0, D1, D2, D3+] of modified Kneser-Ney; 0.5, 1 and 1.5 where too few counts exist."""
     out, spare = [0.0], (0.5, 1.0, 1.5)
@@ -290,7 +391,7 @@ class Model:
     """What a worker needs: the folder of arrays, discounts and totals."""
 
     def __init__(self, folder: str, order: int, bits: int, stats: dict[int, list[int]]):
-        self.folder, self.order, self.bits = folder, order, bits
+        self.folder, self.order, self.bits, self.stats = folder, order, bits, stats
         self.words, self.total = stats.get(0, [0, 0])[:2]
         self.kinds = stats.get(1, [0, 0])[1]
         self.discount = {k: discounts(*v[2:]) for k, v in stats.items()}
@@ -299,42 +400,11 @@ class Model:
         self.free = (low[1] * n1 + low[2] * n2 + low[3] * (n - n1 - n2)) / self.kinds if self.kinds else 1.0
 
 
-@lru_cache(maxsize=8192)
-def _open(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
-
-
-def _find(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0, once: str | None = None) -> np.ndarray:
-    """Values of sorted keys in memory-mapped sorted arrays; 0 where absent. Keys of the arrays
-    `once` have the value 1 (in columns 0 and 1 where there are several)."""
-    out = np.zeros((len(query), width) if width else len(query), np.int64)
-    shard = (query >> U64(64 - model.bits)).astype(np.int64)
-    cut = np.searchsorted(shard, np.arange((1 << model.bits) + 1))
-    for s in np.flatnonzero(np.diff(cut)):
-        part = query[cut[s] : cut[s + 1]]
-        for name in (keys_of, once) if once else (keys_of,):
-            keys = _open(f"{model.folder}/{name}-{s:05d}.npy")
-            if keys is None or not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-            same = np.flatnonzero(keys[at] == part)
-            if name == once:
-                out[(cut[s] + same, slice(0, 2)) if width else cut[s] + same] = 1
-            else:
-                out[cut[s] + same] = _open(f"{model.folder}/{values_of}-{s:05d}.npy")[at[same]]
-    return out
-
-
-def _lookup(model: Model, keys_of: str, values_of: str, query: np.ndarray, width: int = 0, once: str | None = None) -> np.ndarray:
-    unique, back = unique_inverse(query)
-    return _find(model, keys_of, values_of, unique, width, once)[back]
-
-
-def _probability(model: Model, h: np.ndarray, ctx: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(plain count, interpolated probability) of each token."""
-    plain, lower = _lookup(model, "w", "u", h, 2).T
+def probability(model: Model, words: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
+    """Interpolated probability of each token, from its row of `vocabulary` and its contexts."""
+    number, plain, lower = words.T
     uniform = 1.0 / (model.words + 1)
-    p = np.full(len(h), uniform)
+    p = np.full(len(words), uniform)
     if model.kinds:
         cut = np.array(model.discount[1])[np.minimum(lower, 3)]
         p = np.maximum(lower - cut, 0) / model.kinds + model.free * uniform
@@ -342,13 +412,13 @@ def _probability(model: Model, h: np.ndarray, ctx: list[np.ndarray]) -> tuple[np
         p = (plain + 0.1) / (model.total + 0.1 * (model.words + 1))
     for k in range(2, model.order + 1):
         c = ctx[k - 2]
-        seen = _lookup(model, f"c{k}", f"t{k}", c, 4, f"e{k}")
-        count = _lookup(model, f"k{k}", f"n{k}", gram_key(c, h), once=f"s{k}")
+        seen = find(model, f"c{k}", c, 4)
+        count = find(model, f"g{k}", gram_key(c, number, model.bits), 1)[:, 0]
         d = np.array(model.discount.get(k, [0.0] * 4))
         total = np.maximum(seen[:, 0], 1)
         mixed = (np.maximum(count - d[np.minimum(count, 3)], 0) + (seen[:, 1] * d[1] + seen[:, 2] * d[2] + seen[:, 3] * d[3]) * p) / total
         p = np.where(seen[:, 0] > 0, mixed, p)
-    return plain, p
+    return p
 
 
 def _score(model: Model, held_modulus: int):
@@ -357,7 +427,9 @@ def _score(model: Model, held_modulus: int):
             ids = batch.column(1)
             for a, b, raw, offsets in text_slices(batch.column(0)):
                 h, rows, first = tokens(Words(raw, offsets))
-                plain, p = _probability(model, h, contexts(h, rows, first, model.order))
+                words = vocabulary(model, h)
+                p = probability(model, words, chain(before(words[:, 0], rows, first, model.order)))
+                plain = words[:, 1]
                 base = np.log10((plain + 0.1) / (model.total + 0.1 * (model.words + 1)))
                 add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  no row is without tokens
                 part = ids.slice(a, b - a)
@@ -371,45 +443,40 @@ def _score(model: Model, held_modulus: int):
     return run
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = 2, folder: str | None = None) -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = 3, folder: str | None = None) -> Model:
     """Count the n-grams of whole texts and store the model's arrays below `folder` (a folder
     that all nodes mount; by default a new one in the shared folder)."""
     spark = texts.sparkSession
     rows = texts.select(F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(TOP, max(6, int(size // (8 << 20)).bit_length()))  # 64 shards, or as many as keep one at some MB
+    bits = min(MOST_BITS, max(LEAST_BITS, int(size // SHARD_TEXT).bit_length()))
     folder = folder or common.mounted(common.shared_path(spark, "lm"))
     os.makedirs(folder, exist_ok=True)
     stats: dict[int, list[int]] = {}
-    # words ride along with the blocks of the highest order, so the texts are read once
-    level = rows.mapInArrow(_count(order, bits), BLOCK).groupBy("kind", "shard").applyInPandas(_pass_words(_reduce(folder, bits)), BLOCK)
-    words = None
+
+    def gather(table: DataFrame) -> None:
+        table = common.written(table, "lm-stats")
+        for r in table.groupBy("kind").agg(*(F.sum(c).alias(c) for c in table.columns[1:])).collect():  # a row per kind
+            _add(stats, r["kind"], np.array(r[1:]))
+
+    gather(rows.mapInArrow(_count_words(bits), BLOCK).groupBy("shard").applyInPandas(_vocabulary(folder), STATS))
+    if order < 2 or not stats:
+        return Model(folder, order, bits, stats)
+    counting = Model(folder, order, bits, {})
+    level, path = rows.mapInArrow(_count_grams(counting), BLOCK), None
     for k in range(order, 1, -1):
-        level = common.written(level, "lm-level")
-        for r in level.where("shard < 0").toLocalIterator():
+        reduced, made = common.written_at(level.groupBy("kind", "shard").applyInPandas(_reduce(folder, bits), BLOCK), "lm-level")
+        if path:
+            common.remove(spark, path)
+        path = made
+        for r in reduced.where("shard < 0").toLocalIterator():
             _add(stats, int(r["kind"]), np.frombuffer(r["block"], np.int64))
-        rest = level.where("kind in (0, 1) and shard >= 0")
-        words = rest if words is None else words.unionByName(rest)
-        level = level.where((F.col("kind") == k - 1) & (F.col("shard") >= 0)).groupBy("kind", "shard").applyInPandas(_reduce(folder, bits), BLOCK)
-    words = level if words is None else words
-    for r in words.where("shard >= 0").groupBy("shard").applyInPandas(_words(folder), STATS).groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("entries", "total", "n1", "n2", "n3", "n4"))).collect():
-        _add(stats, r["kind"], np.array(r[1:]))
+        level = reduced.where("shard >= 0")
+    gather(level.groupBy("shard").applyInPandas(_lowest(folder, bits), STATS))
+    common.remove(spark, path)
     return Model(folder, order, bits, stats)
 
 
-def _pass_words(reduce):
-    """Word blocks of one shard are folded to one block; n-gram blocks are reduced."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if int(key[0]) != 0:
-            return reduce(key, pdf)
-        got = [unpack_words(b) for b in pdf["block"]]
-        (own,), n = fold([np.concatenate([g[0] for g in got])], np.concatenate([g[1] for g in got]))
-        return pd.DataFrame([(0, int(key[1]), pack([own, n]))], columns=["kind", "shard", "block"])
-
-    return run
-
-
 def _add(stats: dict[int, list[int]], kind: int, values: np.ndarray) -> None:
     stats[kind] = [int(a + b) for a, b in zip(stats.get(kind, [0] * 6), values)]
 
@@ -420,6 +487,6 @@ def score(docs: DataFrame, model: Model, held_modulus: int = 10) -> DataFrame:
     return docs.select("text", "doc_id").mapInArrow(_score(model, held_modulus), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def lm_score(docs: DataFrame, order: int = 2, held_modulus: int = 10) -> DataFrame:
+def lm_score(docs: DataFrame, order: int = 3, held_modulus: int = 10) -> DataFrame:
     """Train on the rows that are not held out, score all rows."""
     return score(docs, train(docs.where(common.crc_mod(F.col("doc_id"), held_modulus) != 0), order=order), held_modulus)

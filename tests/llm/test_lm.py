@@ -76,10 +76,39 @@ def test_probabilities_sum_to_one(spark, docs, prose):
     ((_, _, raw, offsets),) = text_slices(pa.array([" ".join(vocabulary)]))
     every = np.append(Words(raw, offsets).hash, lm.END)
     every = np.append(every, U64(12345))  # one unknown word
-    for context in every[:5]:
-        ctx = lm.contexts(np.array([context, U64(1)]), np.zeros(2, int), np.array([0, 2]), 2)[0][1]
-        _, p = lm._probability(model, every, [np.full(len(every), ctx)])
-        assert p.sum() == pytest.approx(1.0, abs=1e-9)
+    words = lm.vocabulary(model, every)
+    assert (words[:-1, 0] >= lm.FIRST).all() and words[-1].tolist() == [lm.UNKNOWN, 0, 0] and len(set(words[:, 0])) == len(words)
+    for one, two in zip(words[:5, 0], words[5:10, 0]):
+        ctx = lm.chain([np.full(len(every), one), np.full(len(every), two)])
+        assert lm.probability(model, words, ctx).sum() == pytest.approx(1.0, abs=1e-9)
+
+
+def test_tables_hold_what_was_stored(tmp_path):
+    import numpy as np
+
+    from codexmill.llm.textcore import U64, mix64
+
+    keys = np.sort(mix64(np.arange(1, 60001).astype(U64)))
+    keys = keys[keys >> U64(58) == 5]
+    counts = np.arange(len(keys)) % 700 + 1
+    counts[3] = 1 << 40
+    lm.store(str(tmp_path), "g2", 5, 6, keys, [counts])
+    model = lm.Model(str(tmp_path), 2, 6, {})
+    assert lm.find(model, "g2", keys[::-1], 1)[:, 0].tolist() == counts[::-1].tolist()
+    absent = mix64(np.arange(100_000, 160_000).astype(U64))
+    assert lm.find(model, "g2", absent, 1).sum() == 0
+
+
+def test_blocks_keep_their_columns():
+    import numpy as np
+
+    from codexmill.llm.textcore import U64
+
+    rng = np.random.default_rng(1)
+    ids = [rng.integers(0, m, 500).astype(U64) for m in (9, 70_000, 1 << 33)]
+    counts = rng.integers(1, 1 << 20, 500)
+    got = lm.unpack_grams(lm.pack_grams(ids, counts))
+    assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(*(x.tolist() for x in [*ids, counts])))
 
 
 def test_empty_tables_and_repeated_rows(spark, docs):
