@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast if its rows come to no more than so many bytes.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 8 << 20
 #: A key with more rows than this is joined apart from the others.
 HOT_ROWS = 50_000
-#: Removes a query's shuffle files when it has been written: what follows reads the written table.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its query's shuffle files go when it has ended, as what follows reads
+#: the table; Arrow batches of whole texts stay small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,12 +76,14 @@ def written_at(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     files of the writing query, which nothing reads any more, go at once."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
         df.write.mode("overwrite").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -88,13 +91,17 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return written_at(df, label)[0]
 
 
-def small(rows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast of a (written) table whose rows come to at most `most` bytes (8 for a number,
-    text and lists by their length, 16 for each row); beyond that the join shuffles."""
+def fits(rows: DataFrame, most: int | None = None) -> bool:
+    """Whether a (written) table's rows come to at most `most` bytes: 8 for a number, text and
+    lists by their length, 16 for each row."""
     width = lambda c, t: F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.lit(8)
     row = sum((F.coalesce(width(F.col(f"`{c}`"), t), F.lit(0)) for c, t in rows.dtypes), F.lit(16))
-    size = rows.agg(F.sum(row.cast("long"))).first()[0] or 0
-    return F.broadcast(rows) if size <= most else rows
+    return (rows.agg(F.sum(row.cast("long"))).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """A broadcast of a (written) table that `fits`; beyond that the join shuffles."""
+    return F.broadcast(rows) if fits(rows, most) else rows
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:
@@ -108,15 +115,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, copies: str, hot: int = HOT_ROWS) -> DataFrame:
-    """Rows with the facts of their key (nulls where it has none). `facts` has one row per key
-    and, in `copies`, how many rows bear it. A key of more than `hot` rows would go to one task,
-    so such keys (at most rows / hot) are broadcast and the others joined by a shuffle."""
-    many = facts.where(F.col(copies) > hot).drop(copies)
-    if many.isEmpty():
-        return rows.join(small(facts.drop(copies)), key, "left")
-    names = small(many)
-    return rows.join(names, key).unionByName(rows.join(names.select(key), key, "left_anti").join(small(facts.where(F.col(copies) <= hot).drop(copies)), key, "left"))
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Rows with the facts of their key, nulls where it has none. `facts` is a written table of a
+    row per key. Where it is too large for a broadcast, the keys of `hot` (those that more than
+    HOT_ROWS rows bear, so few) are still broadcast: none of them goes to one task."""
+    if fits(facts) or hot.isEmpty():
+        return rows.join(small(facts), keys, "left")
+    many = small(written(hot.select(*keys).join(facts, keys, "left"), "hot"))
+    return rows.join(many, keys).unionByName(rows.join(many.select(*keys), keys, "left_anti").join(facts, keys, "left"))
 
 
 def lower_ascii(text: Column) -> Column:

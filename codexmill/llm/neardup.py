@@ -234,22 +234,24 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = common.written(texts.withColumn("_text_key", F.xxhash64("text")).mapInArrow(_sign, f"doc_id {kind}, _text_key long, n_shingles long, set_id binary, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_items"), F.first("bands").alias("bands"))
+    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_items"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = common.written(banded.join(shared, "key"), "members")
-    rooted = classes.select("node", "rep")
+    shared = common.written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    # a large group of near copies shares its keys: they are not dealt by key where a broadcast does
+    members = common.written(banded.join(common.small(shared), "key"), "members")
     links = _links(texts, classes, members, percent)
     if links is not None:
-        joined = classes.join(links, "node", "left").select("node", "rep", "set_id", F.coalesce("root", "node").alias("root"))
-        least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-        rooted = joined.join(least, "root").select("set_id", "component_id")
+        joined = classes.select("node", "rep", "set_id").join(common.small(links), "node", "left").select("rep", "set_id", F.coalesce("root", "node").alias("root"))
+        least = common.written(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+        rooted = joined.join(common.small(least), "root").select("set_id", "component_id")
     else:
         rooted = classes.select("set_id", F.col("rep").alias("component_id"))
-    out = signed.select("doc_id", "_text_key", "n_shingles", "set_id").join(rooted, "set_id", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "_text_key", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # texts without words have no class, and the many copies of one text are not dealt to one task
+    names = ["doc_id", "_text_key", "n_shingles"]
+    some = common.attach(signed.where("n_shingles > 0").select(*names, "set_id"), common.written(rooted, "rooted"), ["set_id"], classes.where(F.col("rows") > common.HOT_ROWS))
+    out = some.select(*names, "component_id").unionByName(signed.where("n_shingles = 0").select(*names, F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
@@ -269,12 +271,12 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     sized = needed.select("node", "n_items").join(alone, "node", "left").select("node", "n_items", (F.col("n_items") - F.coalesce("singles", F.lit(0))).alias("common"))
     # what a class can share with any other must reach the threshold even against itself
     sized = common.written(sized.where(F.col("common") * 100 >= F.col("n_items") * percent), "sized")
-    members = members.join(common.small(sized), "node")
+    members = common.written(members.join(common.small(sized), "node"), "members")
     # fewest single shingles first: share of singles in thousandths, then the node
     rank = (((F.col("n_items") - F.col("common")) * 1000 / F.col("n_items")).cast("long") * F.lit(1 << 50) + F.col("node")).alias("rank")
     members = members.withColumn("rank", rank)
-    buckets = members.groupBy("key").agg(F.min("rank").alias("pivot_rank"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.written(members.join(buckets, "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)), "ranked")
+    buckets = common.written(members.groupBy("key").agg(F.min("rank").alias("pivot_rank"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = common.written(members.join(common.small(buckets), "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)), "ranked")
 
     def possible() -> Column:
         """Whether bounds leave room for a link. Two classes share at most what each shares with
@@ -305,9 +307,9 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     as_pivot = {"node": "pivot", "root": "pivot_root", "n_items": "p_items", "common": "p_common", "ref": "p_ref", "hits": "p_hits", "bands": "p_bands"}
     more = 0
     while True:
-        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n").join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        open_ = named.join(live, "key").select("key", "node", "root", "n").join(common.small(sized), "node")
+        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n").join(common.small(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        live = common.written(named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "live")
+        open_ = named.join(common.small(live), "key").select("key", "node", "root", "n").join(common.small(sized), "node")
         open_ = common.written(open_.join(classes.select("node", "bands"), "node"), "open")
         # small buckets: every member is a pivot now; others: members of most links, one from each of `more` parts
         fresh = open_.join(pivots, ["key", "node"], "left_anti")
@@ -322,7 +324,7 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         pivots = pivots.unionByName(chosen.select("key", F.col("pivot").alias("node")))
         # a pair is made once, in the least bucket that it shares
         once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key")
-        pairs = open_.join(chosen, "key").where((F.col("root") != F.col("pivot_root")) & possible() & once)
+        pairs = open_.join(common.small(chosen), "key").where((F.col("root") != F.col("pivot_root")) & possible() & once)
         # a pair may have been compared in either direction
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
@@ -337,19 +339,19 @@ def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows to keep, with the input's columns: all rows without words, and one row of each
     component, that of the smallest doc_id (where rows share it, of the least text key)."""
     marked = common.written(_grouped(docs, percent), "grouped")
-    id_key = ["_doc_id", "_text_key"]
-    named = marked.where("n_shingles > 0").withColumnRenamed("doc_id", "_doc_id")
-    stays = named.where("kept").groupBy("component_id").agg(F.min("_text_key").alias("_stay"), F.count(F.lit(1)).alias("_rows"))
+    id_key = common.fresh(docs.columns, "_id", "_key")
+    named = marked.where("n_shingles > 0").withColumnsRenamed(dict(zip(("doc_id", "_text_key"), id_key)))
+    stays = named.where("kept").groupBy("component_id").agg(F.min(id_key[1]).alias("_stay"), F.count(F.lit(1)).alias("_rows"))
     twice = common.written(stays.where("_rows > 1"), "repeated")
     repeated = not twice.isEmpty()
     gone = named.where("not kept").select(*id_key)
     if repeated:
-        also = named.where("kept").join(twice, named["component_id"].eqNullSafe(twice["component_id"])).where("_text_key <> _stay").select(*id_key)
+        also = named.where("kept").join(common.small(twice), named["component_id"].eqNullSafe(twice["component_id"])).where(F.col(id_key[1]) != F.col("_stay")).select(*id_key)
         gone = gone.unionByName(also)
     gone = common.written(gone.distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_key[0])) & (F.xxhash64("text") == F.col(id_key[1]))
     out = docs.join(common.small(gone), same, "left_anti")
     if repeated:  # equal rows: one of each stays
-        stay = common.small(common.written(twice.select(F.col("component_id").alias("_doc_id"), F.col("_stay").alias("_text_key")), "stay"))
+        stay = common.small(common.written(twice.select(F.col("component_id").alias(id_key[0]), F.col("_stay").alias(id_key[1])), "stay"))
         out = out.join(stay, same, "left_anti").unionByName(out.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

@@ -107,3 +107,23 @@ def test_extra_columns_are_kept(spark, docs, prose):
     d = docs([(1, prose(30)), (2, prose(30))]).withColumn("set_id", F.lit(1)).withColumn("bands", F.lit("x"))
     assert nd.drop_duplicates(d).columns == d.columns
     assert nd.group(d).count() == 2
+
+
+def test_columns_of_any_name_are_kept(spark, docs, prose):
+    from pyspark.sql import functions as F
+
+    text = prose(30)
+    d = docs([(1, text), (1, text), (2, text + " x"), (1, prose(30)), (None, text)])
+    names = ("_doc_id", "_text_key", "_id", "_key", "component_id", "kept", "_stay", "_rows")
+    for name in names:
+        d = d.withColumn(name, F.lit(f"user's {name}"))
+    kept = nd.drop_duplicates(d, 80)
+    assert kept.columns == d.columns
+    assert kept.count() == 1 and all(r[n] == f"user's {n}" for r in kept.collect() for n in names)
+
+
+def test_nothing_fits_a_broadcast(spark, docs, prose, monkeypatch):
+    monkeypatch.setattr(nd.common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(nd.common, "HOT_ROWS", 5)
+    rows = family(prose, 0, 30, 80, (0, 3), 1) + [(100 + i, prose(1) if i % 2 else None) for i in range(9)] + [(200 + i, "a b c d e f") for i in range(9)]
+    check(spark, docs, rows)
