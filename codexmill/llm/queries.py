@@ -85,9 +85,9 @@ SELECT doc_id, size, source_size, target, (least(floor(unit + (place + 1) * rate
 """
 
 _OP8 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+WITH v AS (SELECT row_number() OVER () n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.n, a.vec_id query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT score FROM v a JOIN v b ON a.n <> b.n AND len(a.q) = len(b.q) WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
 """
 
 
@@ -98,7 +98,7 @@ def _op5() -> str:
 WITH k AS (SELECT template, license, {grams.format(w="w")} b FROM (SELECT template, license, regexp_extract_all(t, '[a-z0-9]+') w FROM (VALUES {texts}) x(template, license, t))),
 x AS (SELECT doc_id, lower(text) t FROM documents WHERE text IS NOT NULL),
 y AS (SELECT doc_id, unnest(list_distinct(list_append(string_split(t, chr(10)), replace(t, chr(10), ' ')))) line FROM x),
-u AS (SELECT doc_id, row_number() OVER () unit, {grams.format(w="w")} b FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, regexp_extract_all(line, '[a-z0-9]+') w FROM y) WHERE len(w) > 1 AND len(w) < 400)),
+u AS (SELECT doc_id, row_number() OVER () unit, {grams.format(w="w")} b FROM (SELECT DISTINCT doc_id, w FROM (SELECT doc_id, regexp_extract_all(line, '[a-z0-9]+') w FROM y) WHERE len(w) > 1)),
 s AS (SELECT doc_id, unit, license, round(2.0 * len(list_intersect(u.b, k.b)) / (len(u.b) + len(k.b)), 6)::DOUBLE dice FROM u JOIN k ON list_has_any(u.b, k.b)),
 z AS (SELECT *, max(dice) OVER (PARTITION BY doc_id, unit) best FROM s WHERE dice >= 0.8)
 SELECT doc_id, license, max(dice) dice, count(DISTINCT unit) AS lines FROM z WHERE dice = best GROUP BY ALL

@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codexmill.llm import tokenstore, vafile
 
@@ -51,22 +52,61 @@ def test_hash_is_minimal_and_perfect(n):
     assert sorted(slots.tolist()) == list(range(n))
 
 
-def test_top_k_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(vafile, "BLOCK", 64)
-    monkeypatch.setattr(vafile, "QUERY_BLOCK", 8)
+def best_rows(rows, k=20):
+    """[(query_id, rank, vec_id, score)] by comparing all pairs of rows."""
+    whole = []
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) and abs(64 * x) < 1 << 63 for x in v):
+            whole.append((i, [math.floor(64 * x) for x in v]))
+    out = []
+    for n, (q, mine) in enumerate(whole):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(mine, v)), i) for m, (i, v) in enumerate(whole) if m != n and len(v) == len(mine))[:k]
+            out += [(q, r, i, -s if abs(s) < 1 << 63 else None) for r, (s, i) in enumerate(best, 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("spread", [0.125, 40.0])
+def test_top_k_is_exact(spark, monkeypatch, spread):
+    monkeypatch.setattr(vafile, "SEGMENT", 64)
+    monkeypatch.setattr(vafile, "QUERIES", 3)
+    monkeypatch.setattr(vafile, "STEP", 50)
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.125, 16)]) for i in range(400)]
+    rows = [(i, [float(x) for x in rng.normal(0, spread, 16)]) for i in range(400)]
     rows += [(1000 + i, rows[20][1]) for i in range(60)]  # ties
-    rows += [(2000, None), (2020, [1.0, None] + [0.0] * 14), (2040, [math.nan] * 16), (2060, [math.inf] + [0.0] * 15), (2080, [0.5] * 3), (2100, []), (20, rows[20][1]), (None, rows[1][1]), (2120, [1e30] + [0.0] * 15)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(d, d.vec_id % 20 == 0).collect())
-    whole = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            whole[i] = [max(-(1 << 28), min(1 << 28, math.floor(64 * x) if abs(x) < 1e20 else (1 << 60))) for x in v]
-    want = []
-    for q in sorted(i for i in whole if i % 20 == 0):
-        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:20]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    rows += [(2000, None), (2020, [1.0, None] + [0.0] * 14), (2040, [math.nan] * 16), (2060, [math.inf] + [0.0] * 15), (2080, [0.5] * 3), (2100, []), (None, rows[1][1])]
+    rows += [(20, rows[20][1]), (40, rows[7][1]), (2120, [1e30] + [0.0] * 15)]  # repeated ids, and one too large
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
+    got = sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(d, d.vec_id % 20 == 0).collect()), key=str)
+    assert got == best_rows(rows)
     assert vafile.top_k(d.limit(0), d.vec_id % 20 == 0).count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    rows = [(0, [5e6, 0.0]), (1, [5e6, 0.0]), (2, [4.9e6, 0.0]), (3, [-5e6, 1.0]), (20, [1e14, 1.0]), (21, [1e14, -1.0]), (22, [1e14, 3e15])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in vafile.top_k(d, d.vec_id % 20 == 0, k=3).collect()), key=str)
+    assert got == best_rows(rows, 3)
+    assert any(r[3] is None for r in got) and (20, 1, 22, None) in got
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert [r.score for r in vafile.top_k(few, few.vec_id % 20 == 0, k=2).orderBy("rank").collect()] == [102400000000000000, 100352000000000000]
+
+
+def test_bounds_hold_and_few_exact_rows_are_read(tmp_path):
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-5000, 5000, (3000, 8))
+    vafile.Segment.write(str(tmp_path / "s"), np.arange(3000), rows, np.ones(3000, bool))
+    seg = vafile.Segment(str(tmp_path / "s"))
+    corner = seg.base + seg.cells.astype(np.int64) * seg.width
+    assert (corner <= rows).all() and (rows < corner + seg.width).all() and seg.cells.dtype == np.uint8
+    reads = []
+
+    class Counted:
+        def __getitem__(self, at):
+            reads.extend(at.tolist())
+            return rows[at]
+
+    seg.rows = Counted()
+    ((_, best),) = vafile.search(rows[:1], (seg.path, np.array([0])), [seg], 10)
+    scores = sorted((-(rows[1:] @ rows[0])).tolist())[:10]
+    assert [-s for _, s in best] == scores and len(reads) < 300
