@@ -1,21 +1,26 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased. At each position of a test item the seed
-is the shortest n-gram of 3, 5 or 8 words that is rare: the number of times that the training
-documents would hold it by chance, from their word counts, is below RARE. Copies of a passage
-hardly change that number, so a widely copied item keeps its seeds. Where no n-gram is rare the
-longest is taken, and an item shorter than three words is its own seed.
-
-A document that holds a seed is aligned with the item around it: Smith-Waterman over words
-(match 2, mismatch -1, gap -1). The score is the best alignment's share of the whole item's,
-1 for a full copy; at THRESHOLD or more the document is contaminated.
-
-Items are indexed on the driver and broadcast in blocks of at most BLOCK_BYTES of text; a larger
-benchmark takes several passes over the documents, all items against all documents.
-
-Defined results: null and empty texts are clean; items without words match nothing; repeated
-items are reported for each item_id, repeated rows for each row; an empty benchmark leaves all
-documents clean; among equal scores the least item_id is named; extra columns are ignored.
+is the shortest n-gram of 3, 5 or 8 words that is rare: chance alone would put fewer than RARE of
+it into PER_WORDS words of the training documents, by their words' counts. Copies of a passage
+hardly change that number, so a widely copied item keeps its seeds, and as it is a rate the seeds
+don't depend on the size of the corpus. Where no n-gram is rare the longest is taken. An item
+shorter than three words is its own seed if chance would put less than one of it into all
+documents, so a single common word is none.
+
+Seeds join documents by equality of n-gram hashes: documents send the n-grams that pass a bit
+filter of all seeds, each with its place. A text with a seed of an item is aligned with that item
+around the seeds: Smith-Waterman over words (match 2, mismatch -1, gap -1). The score is the best
+alignment's share of the whole item's, 1 for a full copy; at THRESHOLD or more the document is
+contaminated. Texts stand by their md5: equal texts are aligned once.
+
+Tables are broadcast only where they are small; the filter has at most FILTER_BITS bits and the
+join removes what it lets through.
+
+Defined results: null and empty texts are clean; items without words or without item_id match
+nothing; repeated items are reported once for each item_id, repeated rows for each row; an empty
+benchmark leaves all documents clean; among equal scores the least item_id is named; extra
+columns are ignored by `scan` and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -24,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import U64, Words, mix64, text_slices
+from . import common
+from .textcore import U64, Words, mix64, text_slices, unique_inverse
 
 LENGTHS = (3, 5, 8)
-RARE, THRESHOLD = 0.01, 0.5
+RARE, PER_WORDS, THRESHOLD = 0.01, 10_000_000, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_BYTES = 8 << 20
+#: Bits of the filter: so many for each seed, in all at least and at most so many.
+SEED_BITS, LEAST_BITS, FILTER_BITS = 128, 1 << 16, 1 << 28
 _MULT = mix64(np.arange(1, max(LENGTHS) + 1, dtype=U64)) | U64(1)
 
 
@@ -59,198 +66,208 @@ def align(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-class Seeds:
-    """One block of items: their words, and their seeds by length."""
+def near_seeds(item: np.ndarray, text: np.ndarray, diagonals: np.ndarray) -> int:
+    """Best alignment score of an item with a text around its seeds. `diagonals`: places in the
+    text less places in the item, in ascending order; near ones share a window."""
+    slack, full, best = len(item) // 4 + 2, MATCH * len(item), 0
+    begins = np.flatnonzero(np.r_[True, np.diff(diagonals) > slack])
+    ends = np.r_[begins[1:], len(diagonals)] - 1
+    # windows of most seeds first; a full copy ends the search
+    for k in np.argsort(begins - ends, kind="stable").tolist():
+        first, last = int(diagonals[begins[k]]), int(diagonals[ends[k]])
+        if first >= 0 and np.array_equal(text[first : first + len(item)], item):
+            return full
+        best = max(best, align(item, text[max(0, first - slack) : last + len(item) + slack]))
+        if best == full:
+            break
+    return best
+
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
-        words = []
-        for _, _, raw, offsets in text_slices(pa.array(texts, pa.string())):
+def choose(words: np.ndarray, counts: np.ndarray, total: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """[(hashes, places), ...] of an item's seeds, by its words' counts over all documents."""
+    n, out = len(words), []
+    if not n:
+        return out
+    log = np.log((counts + 0.5) / (total + 1.0))
+    if n < LENGTHS[0]:
+        return [(grams(words, np.zeros(1, np.int64), n), np.zeros(1, np.int64))] if log.sum() + np.log(max(total, 1)) < 0 else out
+    sums = np.concatenate([[0.0], np.cumsum(log)])
+    open_ = np.arange(n - LENGTHS[0] + 1)
+    for i, length in enumerate(LENGTHS):
+        fits = open_[open_ + length <= n]
+        rare = sums[fits + length] - sums[fits] + np.log(PER_WORDS) < np.log(RARE)
+        take = fits if length == LENGTHS[-1] or LENGTHS[i + 1] > n else fits[rare]
+        if len(take):
+            out.append((grams(words, take, length), take))
+        open_ = np.setdiff1d(open_, take)
+    return out
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, item_id, words) of items with words."""
+    for batch in batches:
+        for a, b, raw, offsets in text_slices(batch.column(2)):
             w = Words(raw, offsets, letters=True)
-            words += [w.hash[w.first[i] : w.first[i + 1]] for i in range(w.rows)]
-        self.words = words
-        self.vocabulary = np.unique(np.concatenate(words)) if words else np.empty(0, U64)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def choose(self, counts: np.ndarray, total: int) -> Seeds:
-        """Pick seeds by the corpus counts of the vocabulary's words."""
-        log = np.log((counts + 0.5) / (total + 1.0))
-        limit, size = np.log(RARE), np.log(max(total, 1))
-        found: dict[int, list[np.ndarray]] = {}
-        for i, w in enumerate(self.words):
-            n = len(w)
-            if not n:
-                continue
-            sums = np.concatenate([[0.0], np.cumsum(log[np.searchsorted(self.vocabulary, w)])])
-            open_ = np.arange(max(1, n - LENGTHS[0] + 1))
-            for length in (LENGTHS if n >= LENGTHS[0] else (n,)):
-                fits = open_[open_ + length <= n]
-                rare = sums[fits + length] - sums[fits] + size < limit
-                last = length == LENGTHS[-1] or n < LENGTHS[0] or LENGTHS[LENGTHS.index(length) + 1] > n
-                take = fits if last else fits[rare]
-                if len(take):
-                    found.setdefault(length, []).append(np.stack([grams(w, take, length), np.full(len(take), i, U64), take.astype(U64)], 1))
-                open_ = np.setdiff1d(open_, take)
-        for length, parts in found.items():
-            rows = np.concatenate(parts)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            self.tables[length] = (rows[:, 0].copy(), rows[:, 1].astype(np.int64), rows[:, 2].astype(np.int64))
-        return self
-
-    def _hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, position in the item) of all seeds found in the words."""
-        h, n = w.hash, len(w.hash)
-        place = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        known = self.vocabulary[place] == h
-        until = np.zeros(n + 1, np.int64)
-        np.cumsum(known, out=until[1:])
-        stop = w.first[1:][w.doc]
-        out = []
-        for length, (keys, item, at) in self.tables.items():
-            begin = np.flatnonzero(known)
-            begin = begin[begin + length <= stop[begin]]
-            begin = begin[until[begin + length] - until[begin] == length]
-            g = grams(h, begin, length)
-            left = np.searchsorted(keys, g, "left")
-            hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == g)
-            many = np.searchsorted(keys, g[hit], "right") - left[hit]
-            entry = np.repeat(left[hit], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-            out.append((np.repeat(begin[hit], many), item[entry], at[entry]))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
-
-    def find(self, w: Words) -> list[tuple[int, int, float]]:
-        """(row, item number, score) of the best alignment of each row and item with a seed."""
-        if not len(w.hash) or not self.tables:
-            return []
-        pos, item, at = self._hits(w)
-        if not len(pos):
-            return []
-        row, diagonal = w.doc[pos], pos - at
-        order = np.lexsort((diagonal, item, row))
-        row, item, diagonal = row[order], item[order], diagonal[order]
-        slack = np.array([len(x) // 4 + 2 for x in self.words])
-        pair = np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])]
-        window = pair | np.r_[True, np.diff(diagonal) > slack[item[1:]]]
-        begins = np.flatnonzero(window)
-        ends = np.r_[begins[1:], len(row)] - 1
-        best: dict[tuple[int, int], int] = {}
-        # windows of most hits first; a full copy ends the search for its row and item
-        for k in np.argsort(begins - ends, kind="stable").tolist():
-            a, z = begins[k], ends[k]
-            key = (int(row[a]), int(item[a]))
-            words = self.words[key[1]]
-            full = MATCH * len(words)
-            if best.get(key, 0) == full:
-                continue
-            first, last = w.first[key[0]], w.first[key[0] + 1]
-            d = diagonal[a]
-            if first <= d and d + len(words) <= last and np.array_equal(w.hash[d : d + len(words)], words):
-                best[key] = full
-                continue
-            lo = max(first, d - slack[key[1]])
-            hi = min(last, diagonal[z] + len(words) + slack[key[1]])
-            best[key] = max(best.get(key, 0), align(words, w.hash[lo:hi]))
-        return [(r, i, s / (MATCH * len(self.words[i]))) for (r, i), s in best.items()]
-
-
-def _count(seeds):
+            words = [w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in range(w.rows)]
+            yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(words, pa.binary())], ["item", "item_id", "words"]).filter(pa.array(w.count > 0))
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, at, word): every word of every item."""
+    for batch in batches:
+        words = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+        size = [len(w) for w in words]
+        at = np.concatenate([np.arange(n) for n in size]) if size else np.empty(0, np.int64)
+        yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(at, pa.int32()), pa.array(np.concatenate(words) if words else at)], ["item", "at", "word"])
+
+
+def _count(known):
+    """(word, n) of each slice, and (null, words in all); only of known words where those are given."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = seeds.value.vocabulary
-        counts, total = np.zeros(len(vocabulary), np.int64), 0
+        total = 0
         for batch in batches:
             for _, _, raw, offsets in text_slices(batch.column(0)):
                 h = Words(raw, offsets, letters=True).hash
                 total += len(h)
-                if len(h) and len(vocabulary):
-                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                    counts += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
-        seen = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(np.r_[-1, seen]), pa.array(np.r_[total, counts[seen]])], ["word", "n"])
+                if known is not None:
+                    at = np.minimum(np.searchsorted(known.value, h), max(len(known.value) - 1, 0))
+                    h = h[known.value[at] == h] if len(known.value) else h[:0]
+                words, back = unique_inverse(h)
+                if len(words):
+                    yield pa.record_batch([pa.array(words.view(np.int64)), pa.array(np.bincount(back))], ["word", "n"])
+        yield pa.record_batch([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])
 
     return run
 
 
-def _indexed(docs: DataFrame, items: list) -> object:
-    """The broadcast seeds of one block of items, chosen by counts over all documents."""
-    spark = docs.sparkSession
-    seeds = Seeds([r[0] for r in items], [r[1] or "" for r in items])
-    words = spark.sparkContext.broadcast(seeds)
-    counted = docs.select("text").mapInArrow(_count(words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per word of the block
-    counts, total = np.zeros(len(seeds.vocabulary), np.int64), 0
-    for word, n in counted:
-        if word < 0:
-            total = n
-        else:
-            counts[word] = n
-    return spark.sparkContext.broadcast(seeds.choose(counts, total))
-
-
-def _find(seeds, threshold: float, begin: bool, end: bool):
-    """One pass: adds what it finds to item_id, score and items of the rows (begin: there are
-    none yet); the text goes on to the next pass unless this is the last (end)."""
+def _choose(total: int):
+    """(gram, item, at): the seeds of items given as (item, [(at, word, n), ...])."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, spots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = np.array([s["word"] for s in spots], np.int64).view(U64)
+                for hashes, places in choose(words, np.array([s["n"] for s in spots], np.int64), total):
+                    out += [(g, item, p) for g, p in zip(hashes.view(np.int64).tolist(), places.tolist())]
+            gram, item, at = zip(*out) if out else ((),) * 3
+            yield pa.record_batch([pa.array(gram, pa.int64()), pa.array(item, pa.int64()), pa.array(at, pa.int32())], ["gram", "item", "at"])
+
+    return run
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two filter bits of each hash."""
+    return (h & U64(bits - 1)).astype(np.int64), (h >> U64(34) & U64(bits - 1)).astype(np.int64)
+
+
+def _emit(known, seen, bits: int, lengths: tuple[int, ...]):
+    """(text, gram, at): n-grams that may be seeds, by the md5 of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = seen.value
+        for batch in batches:
+            for a, b, raw, offsets in text_slices(batch.column(1)):
+                w = Words(raw, offsets, letters=True)
+                h, stop = w.hash, w.first[1:][w.doc]
+                if known is not None:
+                    place = np.minimum(np.searchsorted(known.value, h), max(len(known.value) - 1, 0))
+                    ok = known.value[place] == h if len(known.value) else np.zeros(len(h), bool)
+                else:
+                    ok = np.ones(len(h), bool)
+                until = np.concatenate([[0], np.cumsum(ok)])
+                for length in lengths:
+                    begin = np.flatnonzero(ok)
+                    begin = begin[begin + length <= stop[begin]]
+                    begin = begin[until[begin + length] - until[begin] == length]
+                    g = grams(h, begin, length)
+                    one, two = _bits(g, bits)
+                    hit = np.flatnonzero((held[one >> 3] >> (one & 7) & 1) & (held[two >> 3] >> (two & 7) & 1))
+                    if len(hit):
+                        row = w.doc[begin[hit]]
+                        keys = batch.column(0).slice(a, b - a).take(pa.array(row))
+                        yield pa.record_batch([keys, pa.array(g[hit].view(np.int64)), pa.array(begin[hit] - w.first[row], pa.int32())], ["text", "gram", "at"])
+
+    return run
+
+
+def _align(threshold: float):
+    """(text, item_id, score, items) of texts with their candidates [(item_id, words, diagonals), ...]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Seeds = seeds.value
         for batch in batches:
             for a, b, raw, offsets in text_slices(batch.column(1)):
-                n = b - a
-                item_of, score_of, found = ([None] * n, [0.0] * n, [[] for _ in range(n)]) if begin else (batch.column(k).slice(a, n).to_pylist() for k in (2, 3, 4))
-                for row, item, score in index.find(Words(raw, offsets, letters=True)):
-                    item_id = int(index.ids[item])
-                    if score > score_of[row] or (score == score_of[row] and item_of[row] is not None and item_id < item_of[row]):
-                        score_of[row], item_of[row] = score, item_id
-                    if score >= threshold:
-                        found[row].append(item_id)
-                head = [batch.column(k).slice(a, n) for k in ((0,) if end else (0, 1))]
-                if end:
-                    head.append(pa.array([bool(f) for f in found], pa.bool_()))
-                    item_of = [x if f else None for x, f in zip(item_of, found)]
-                    found = [sorted(set(f)) for f in found]
-                yield pa.record_batch(
-                    [*head, pa.array(item_of, pa.int64()), pa.array(score_of, pa.float64()), pa.array(found, pa.list_(pa.int64()))],
-                    ["doc_id", "contaminated" if end else "text", "item_id", "score", "items"],
-                )
+                w = Words(raw, offsets, letters=True)
+                found = []
+                for row, near in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
+                    text = w.hash[w.first[row] : w.first[row + 1]]
+                    best: dict[int, float] = {}
+                    for c in near:
+                        item = np.frombuffer(c["words"], U64)
+                        score = near_seeds(item, text, np.array(c["diagonals"], np.int64)) / (MATCH * len(item))
+                        best[c["item_id"]] = max(score, best.get(c["item_id"], 0.0))
+                    top = min(best, key=lambda i: (-best[i], i))
+                    found.append((top, best[top], sorted(i for i, s in best.items() if s >= threshold)))
+                item_id, score, items = zip(*found)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(item_id, pa.int64()), pa.array(score, pa.float64()), pa.array(items, pa.list_(pa.int64()))], ["text", "item_id", "score", "items"])
 
     return run
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list]:
-    """The items in blocks of about `limit` bytes of text."""
-    rows = benchmark.where("item_id is not null").select("item_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = max(1, -(-size // limit))
-    for i in range(many):
-        yield rows.where(F.pmod(F.xxhash64("item_id"), F.lit(many)) == i).orderBy("item_id").collect()
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def findings(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """text (md5), item_id, score and items of each distinct text that holds a seed. A written
+    table."""
+    spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
+    texts = docs.select("text").where("text is not null")
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = common.written(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(_items, "item long, item_id long, words binary"), "items")
+    lengths = {r[0] for r in items.select(F.least(F.octet_length("words") / 8, F.lit(LENGTHS[0])).cast("int")).distinct().collect()}  # at most LENGTHS[0] rows
+    if not lengths:
+        return spark.createDataFrame([], "text binary, item_id long, score double, items array<long>")
+    spots = items.select("item", "words").mapInArrow(_spots, "item long, at int, word long")
+    words = common.written(spots.select("word").distinct(), "item-words")
+    # a word costs 24 bytes by the measure of `fits`, and 8 in the array that is broadcast
+    known = share(np.sort(np.array([r[0] for r in words.collect()], np.int64).view(U64))) if common.fits(words) else None
+    counts = texts.mapInArrow(_count(known), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = common.written(counts, "word-counts")
+    total = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    told = spots.join(common.small(counts.where("word is not null")), "word", "left").select("item", F.struct("at", "word", F.coalesce("n", F.lit(0)).alias("n")).alias("s"))
+    told = told.groupBy("item").agg(F.array_sort(F.collect_list("s")).alias("spots"))  # as long as the item
+    seeds = common.written(told.mapInArrow(_choose(total), "gram long, item long, at int"), "seeds")
+    bits = min(FILTER_BITS, max(LEAST_BITS, 1 << (SEED_BITS * seeds.count()).bit_length()))
+    both = F.explode(F.array(F.col("gram").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("gram", 34).bitwiseAND(F.lit(bits - 1)))).alias("bit")
+    octets = seeds.select(both).groupBy(F.shiftright("bit", 3).alias("octet")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("set"))
+    seen = np.zeros(bits >> 3, np.uint8)
+    for octet, value in common.written(octets, "seed-bits").toLocalIterator():  # at most bits / 8 rows
+        seen[octet] = value
+    found = texts.select(_key(F.col("text")).alias("key"), "text").mapInArrow(_emit(known, share(seen), bits, (*sorted(lengths - {LENGTHS[0]}), *LENGTHS)), "text binary, gram long, at int")
+    # copies of a text send the same rows: once a task, then once in all
+    hits = found.distinct().join(common.small(seeds.withColumnRenamed("at", "of")), "gram")
+    pairs = hits.groupBy("text", "item").agg(F.array_sort(F.collect_set(F.col("at") - F.col("of"))).alias("diagonals"))
+    near = pairs.join(common.small(items), "item").groupBy("text").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("near"))
+    near = common.written(near.withColumnRenamed("text", "key"), "candidates")
+    held = texts.select(_key(F.col("text")).alias("key"), "text").join(common.small(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
+    return common.written(held.join(near, "key").select("key", "text", "near").mapInArrow(_align(threshold), "text binary, item_id long, score double, items array<long>"), "findings")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, contaminated, item_id (of the best score), score and items of every row."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = "item_id long, score double, items array<long>"
-    out, parts = docs.select("doc_id", "text"), list(blocks(benchmark))
-    for k, items in enumerate(parts):
-        end = k == len(parts) - 1
-        # each row takes its findings along from pass to pass, so rows of one doc_id stay apart
-        out = out.mapInArrow(_find(_indexed(docs, items), threshold, k == 0, end), f"doc_id {kind}, {'contaminated boolean' if end else 'text string'}, {found}")
-    return out
+    """doc_id, contaminated, item_id (of the best score), score and items of every row; item_id
+    only where the row is contaminated."""
+    found = findings(docs, benchmark, threshold).withColumnRenamed("text", "key")
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"))
+    rows = common.attach(rows, found, ["key"], rows.groupBy("key").count().where(F.col("count") > common.HOT_ROWS))
+    hit = F.coalesce(F.size("items") > 0, F.lit(False))
+    return rows.select("doc_id", hit.alias("contaminated"), F.when(hit, F.col("item_id")).alias("item_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows without a benchmark item, with the input's columns."""
-    at = docs.columns.index("text")
-
-    def cleaner(seeds):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, raw, offsets in text_slices(batch.column(at)):
-                    clean = np.ones(b - a, bool)
-                    for row, _, score in seeds.value.find(Words(raw, offsets, letters=True)):
-                        clean[row] &= score < threshold
-                    yield batch.slice(a, b - a).filter(pa.array(clean))
-
-        return run
-
-    out = docs
-    for items in blocks(benchmark):
-        out = out.mapInArrow(cleaner(_indexed(docs, items)), docs.schema)
-    return out
+    (key,) = common.fresh(docs.columns, "key")
+    gone = common.written(findings(docs, benchmark, threshold).where(F.size("items") > 0).select(F.col("text").alias(key)), "contaminated")
+    return docs.join(common.small(gone), _key(F.col("text")) == F.col(key), "left_anti")
