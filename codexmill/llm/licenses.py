@@ -14,7 +14,10 @@ texts that share t/(2-t)*|B| bigrams with a template are searched for its passag
 lines and passages show counts the greater number of the two.
 
 Defined results: null and empty texts match nothing; repeated rows give one finding per
-doc_id and license; a unit counts for the license of its nearest template, or for all equally near ones; extra columns are ignored.
+doc_id and license; rows that share a doc_id but not a text are scanned apart and counted
+together; a null doc_id has findings like any other; a unit counts for the license of its nearest
+template, or for all equally near ones; extra columns are ignored. Templates are a parameter: a
+list of (license, text), or a table with these columns.
 """
 
 from __future__ import annotations
@@ -144,9 +147,20 @@ def passages(docs: DataFrame, templates, threshold: float = THRESHOLD) -> DataFr
     return held.groupBy("doc_id", "license").agg(F.max("rank.dice").alias("dice"), F.count_distinct("words").alias("lines"))
 
 
+def listed(templates) -> list[tuple[str, str]]:
+    """Templates as a list. A table of them is read whole: license lists have some hundred texts."""
+    if isinstance(templates, DataFrame):
+        templates = [(r["license"], r["text"]) for r in templates.select("license", "text").orderBy("license", "text").collect()]
+    return [(name, text) for name, text in templates if name and _bigrams(text or "")]
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, texts=TEXTS) -> DataFrame:
     """doc_id, license, dice (rounded to 6 places) and lines (units that match), a row for
-    each license found in a document."""
+    each license found in a document. `templates` (notices) are compared with lines, texts as a
+    whole and passages, `texts` (whole license texts) with passages."""
+    templates, texts = listed(templates), listed(texts)
+    if not templates:
+        raise ValueError("no template holds two words")
     both = _lines(docs, templates, threshold).unionByName(passages(docs, [*templates, *texts], threshold))
     return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.max("lines").alias("lines"))
 
@@ -158,22 +172,23 @@ def _lines(docs: DataFrame, templates, threshold: float) -> DataFrame:
     known = F.broadcast(known) if sum(len(_bigrams(t)) for _, t in templates) <= BROADCAST_BIGRAMS else known
     marked = _marked(templates, threshold)
     texts = docs.select("doc_id", F.lower("text").alias("text")).where(F.col("text").rlike(marked))
-    texts = texts.withColumn("text", normal(F.col("text"), keep_lines=True))
+    # rows are told apart by their text: equal doc_ids don't pool their words
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), normal(F.col("text"), keep_lines=True).alias("text"))
     # the whole text is a unit besides its lines; with one line they are the same
-    units = texts.select("doc_id", F.posexplode(F.array_distinct(F.transform(F.concat(F.array(F.regexp_replace("text", r"\n", " ")), F.split("text", "\n")), lambda x: F.trim(F.regexp_replace(x, " +", " "))))).alias("unit", "line")).where(F.col("line").rlike(marked))
+    units = texts.select("doc_id", "h", F.posexplode(F.array_distinct(F.transform(F.concat(F.array(F.regexp_replace("text", r"\n", " ")), F.split("text", "\n")), lambda x: F.trim(F.regexp_replace(x, " +", " "))))).alias("unit", "line")).where(F.col("line").rlike(marked))
     words = F.filter(F.split("line", " +"), lambda w: w != "")
-    units = units.select("doc_id", "unit", words.alias("w")).where(F.size("w") > 1)
+    units = units.select("doc_id", "h", "unit", words.alias("w")).where(F.size("w") > 1)
     pairs = F.array_distinct(_pairs(F.col("w")))
-    units = units.select("doc_id", "unit", pairs.alias("b")).withColumn("unit_size", F.size("b"))
+    units = units.select("doc_id", "h", "unit", pairs.alias("b")).withColumn("unit_size", F.size("b"))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    largest, least = max(len(_bigrams(t)) for _, t in templates), min(len(_bigrams(t)) for _, t in templates)
-    units = units.where((F.col("unit_size") >= math.floor(low * least)) & (F.col("unit_size") <= math.ceil(high * largest)))
-    grams = units.select("doc_id", "unit", "unit_size", F.explode("b").alias("bigram"))
+    sizes = [len(_bigrams(t)) for _, t in templates] or [0]
+    units = units.where((F.col("unit_size") >= math.floor(low * min(sizes))) & (F.col("unit_size") <= math.ceil(high * max(sizes))))
+    grams = units.select("doc_id", "h", "unit", "unit_size", F.explode("b").alias("bigram"))
     fits = (F.col("unit_size") >= F.col("template_size") * low - 1e-9) & (F.col("unit_size") <= F.col("template_size") * high + 1e-9)
-    shared = grams.join(known, "bigram").where(fits).groupBy("doc_id", "unit", "unit_size", "template", "license", "template_size").agg(F.count_distinct("bigram").alias("shared"))
+    shared = grams.join(known, "bigram").where(fits).groupBy("doc_id", "h", "unit", "unit_size", "template", "license", "template_size").agg(F.count_distinct("bigram").alias("shared"))
     dice = 2.0 * F.col("shared") / (F.col("unit_size") + F.col("template_size"))
     found = shared.withColumn("dice", F.round(dice, 6)).where(dice >= threshold)
     # a unit speaks for the template it is nearest to, or for each of several equally near
-    best = found.groupBy("doc_id", "unit").agg(F.max("dice").alias("dice"))
-    found = found.join(best, ["doc_id", "unit", "dice"])
-    return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("lines"))
+    near = found.groupBy("doc_id", "h", "unit").agg(F.collect_list(F.struct("dice", "license")).alias("all"), F.max("dice").alias("dice"))
+    found = near.select("doc_id", "h", "unit", "dice", F.explode(F.array_distinct(F.transform(F.filter("all", lambda x: x["dice"] == F.col("dice")), lambda x: x["license"]))).alias("license"))
+    return found.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count_distinct("h", "unit").alias("lines"))

@@ -217,17 +217,17 @@ def _search(arrays: list[np.ndarray], query: np.ndarray, bits: int) -> tuple[np.
     ends, low, high = arrays[:3]
     spare = (len(ends) - 1).bit_length() - 1
     rest = query << U64(bits) >> U64(64 - PRINT - spare)
-    bucket, want = (rest >> U64(PRINT)).astype(np.int64), (rest & U64((1 << PRINT) - 1)).astype(np.int64)
-    a, z = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
-    stop = z.copy()
-    while (a < z).any():
-        middle = (a + z) >> 1
-        at = np.minimum(middle, len(low) - 1)
-        less = (low[at].astype(np.int64) | high[at].astype(np.int64) << 16) < want
-        open_ = a < z
-        a, z = np.where(open_ & less, middle + 1, a), np.where(open_ & ~less, middle, z)
-    at = np.minimum(a, len(low) - 1)
-    return np.flatnonzero((a < stop) & ((low[at].astype(np.int64) | high[at].astype(np.int64) << 16) == want)), at
+    bucket, want = (rest >> U64(PRINT)).astype(np.int64), (rest & U64((1 << PRINT) - 1)).astype(np.int32)
+    a, stop = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
+    left, last = stop - a, len(low) - 1
+    for _ in range(int(left.max(initial=0)).bit_length()):
+        half = left >> 1
+        at = np.minimum(a + half, last)
+        less = (left > 0) & ((low[at] | high[at].astype(np.int32) << 16) < want)
+        a += np.where(less, half + 1, 0)
+        left = np.where(less, left - half - 1, half)
+    at = np.minimum(a, last)
+    return np.flatnonzero((a < stop) & ((low[at] | high[at].astype(np.int32) << 16) == want)), at
 
 
 def find(model: Model, name: str, query: np.ndarray, width: int) -> np.ndarray:
@@ -236,16 +236,18 @@ def find(model: Model, name: str, query: np.ndarray, width: int) -> np.ndarray:
     unique, back = unique_inverse(query)
     out = np.zeros((len(unique), width), np.int64)
     for s, part in parts(unique, model.bits):
+        left = np.arange(part.start, part.stop)  # a key is in one layer only
         for layer in LAYERS:
-            arrays = _open(f"{model.folder}/{name}{layer}-{s:07d}")
+            arrays = _open(f"{model.folder}/{name}{layer}-{s:07d}") if len(left) else None
             if arrays is None:
                 continue
-            hit, at = _search(arrays, unique[part], model.bits)
+            hit, at = _search(arrays, unique[left], model.bits)
             if layer == LAYERS[0]:
-                out[part.start + hit, : min(2, width)] = 1
+                out[left[hit], : min(2, width)] = 1
             else:
                 for k, values in enumerate(arrays[3:]):
-                    out[part.start + hit, k] = values[at[hit]]
+                    out[left[hit], k] = values[at[hit]]
+            left = np.delete(left, hit)
     return out[back]
 
 
@@ -413,7 +415,9 @@ def probability(model: Model, words: np.ndarray, ctx: list[np.ndarray]) -> np.nd
     for k in range(2, model.order + 1):
         c = ctx[k - 2]
         seen = find(model, f"c{k}", c, 4)
-        count = find(model, f"g{k}", gram_key(c, number, model.bits), 1)[:, 0]
+        known = np.flatnonzero(seen[:, 0])  # an unseen context has no n-grams
+        count = np.zeros(len(words), np.int64)
+        count[known] = find(model, f"g{k}", gram_key(c[known], number[known], model.bits), 1)[:, 0]
         d = np.array(model.discount.get(k, [0.0] * 4))
         total = np.maximum(seen[:, 0], 1)
         mixed = (np.maximum(count - d[np.minimum(count, 3)], 0) + (seen[:, 1] * d[1] + seen[:, 2] * d[2] + seen[:, 3] * d[3]) * p) / total

@@ -30,25 +30,26 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
 
     Sources fill in the order of most * size / weight. After the first k have stopped, the rest
     share what is left by weight; a source has stopped if it is below that level when its turn
-    comes. Sums are integers, so the levels don't depend on the order of addition."""
-    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("string").cast("binary"))
+    comes. Sums are integers, so the levels don't depend on the order of addition. Both orders
+    are prefix sums over ranges of sources, so sources may be as many as hosts."""
     up, down = share
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    out = sources.withColumn("number", (F.row_number().over(order) - 1).cast("int"))
-    out = out.withColumn("weight", cycle[F.col("number") % len(weights)].cast("long"))
-    fill = Window.orderBy((F.col("source_size") / F.col("weight")).asc(), "number")
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    out = out.withColumn("_all", F.sum("source_size").over(every)).withColumn("_w", F.sum("weight").over(every))
-    out = out.withColumn("_full", F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most)
-    out = out.withColumn("_rest", F.col("_w") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    left = F.col("_all") * up - F.col("_full") * down  # words left to share, times `down`
-    stops = F.col("source_size") * most * down * F.col("_rest") <= F.col("weight") * left
-    out = out.withColumn("_stops", stops).withColumn("_left", left)
+    out = sources.withColumns({"_none": F.col("source").isNull(), "_code": F.col("source").cast("string").cast("binary"), "_one": F.lit(1).cast("long")})
+    out = with_prefix(out, ["_none", "_code"], "_one", "number", "_before")
+    out = out.withColumn("weight", cycle[(F.col("number") % len(weights)).cast("int")].cast("long"))
+    out = out.withColumn("_rate", F.col("source_size") / F.col("weight"))
+    out = common.written(out.select("source", "source_size", "number", "weight", "_rate"), "mix-sources")
+    whole = out.agg(F.sum("source_size").alias("_all"), F.sum("weight").alias("_w"))  # one row
+    out = with_prefix(out, ["_rate", "number"], "source_size", "_place", "_full")
+    out = with_prefix(out, ["_rate", "number"], "weight", "_place", "_gone").join(F.broadcast(whole))
+    left = F.col("_all") * up - F.col("_full") * most * down  # words left to share, times `down`
+    out = out.withColumn("_rest", F.col("_w") - F.col("_gone")).withColumn("_left", left)
+    out = common.written(out.withColumn("_stops", F.col("source_size") * most * down * F.col("_rest") <= F.col("weight") * F.col("_left")), "mix-filled")
     # the first that doesn't stop has the largest rest of weights
-    out = out.withColumn("_level", F.max(F.when(~F.col("_stops"), F.struct("_rest", "_left"))).over(every))
+    level = out.where("not _stops").agg(F.max(F.struct("_rest", "_left")).alias("_level"))  # one row
+    out = out.join(F.broadcast(level))
     share_of = F.col("weight") * F.col("_level._left") / (F.col("_level._rest") * down)
-    return out.select("source", "source_size", "number", "weight", F.when(F.col("_stops"), (F.col("source_size") * most).cast("double")).otherwise(share_of).alias("target"))
+    return out.select("source", "source_size", F.col("number").cast("int").alias("number"), "weight", F.when(F.col("_stops"), (F.col("source_size") * most).cast("double")).otherwise(share_of).alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
@@ -72,16 +73,18 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is drawn, with the input's columns."""
     drawn = plan(docs, **options)
     keys = ["doc_id", "source", "text_crc32"]
+    doc_id, source, crc, copies, rows, own, nth, times, draw = common.fresh(docs.columns, "_id", "_source", "_crc", "_copies", "_rows", "_own", "_nth", "_times", "_draw")
     # rows that agree in all keys are interchangeable; the n-th of them takes the n-th count
-    counts = drawn.groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    counts = common.written(counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies", "_rows"), "mix-plan")
-    rows = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_crc") == F.col("_text_crc32"))
-    joined = rows.join(common.small(counts), same).select(*docs.columns, "_copies", "_rows")
-    number = F.row_number().over(Window.partitionBy(*[F.col(c) for c in ("doc_id", "source", "text")]).orderBy(F.lit(0))) - 1
-    out = joined.where("_rows = 1").withColumn("_times", F.col("_copies"))
-    if not counts.where("_rows > 1").isEmpty():
-        again = joined.where("_rows > 1").withColumn("_i", number)
-        out = out.unionByName(again.withColumn("_times", F.expr("_copies div _rows + if(_i < _copies % _rows, 1, 0)")).drop("_i"))
-    draws = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times").cast("long"))).alias("_draw")
-    return out.where("_times > 0").select(*docs.columns, draws).drop("_draw")
+    counts = drawn.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).withColumnsRenamed(dict(zip(keys, (doc_id, source, crc))))
+    counts = common.written(counts, "mix-plan")
+    named = docs.withColumn(own, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(crc))
+    joined = named.join(common.small(counts), same).select(*[F.col(f"`{c}`") for c in docs.columns], copies, rows)
+    out = joined.where(F.col(rows) == 1).withColumn(times, F.col(copies))
+    if not counts.where(F.col(rows) > 1).isEmpty():
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", "text").orderBy(F.lit(0))) - 1
+        again = joined.where(F.col(rows) > 1).withColumn(nth, number)
+        each = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(nth) < F.col(copies) % F.col(rows), 1).otherwise(0)
+        out = out.unionByName(again.withColumn(times, each).drop(nth))
+    draws = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))).alias(draw)
+    return out.where(F.col(times) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], draws).drop(draw)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
 from .ordering import with_prefix
 
 ROW_OVERHEAD = 8
@@ -35,15 +36,16 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
     """All columns of the rows, with shard and slot. Rows that agree in doc_id, checksum and
     size are told apart by their number among such rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    clash = {c for c in docs.columns if c.lower() in ("size", "text_crc32", "shard", "slot", "_copy")}
-    key = lambda df: df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_none": F.col("doc_id").isNull()})
-    names = ["_id", "_none", "text_crc32", "size"]
-    rows = key(docs.drop(*clash).withColumn("size", (F.octet_length(text) + ROW_OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary"))))
+    added = ("size", "text_crc32", "shard", "slot")
+    kept = [c for c in docs.columns if c.lower() not in added]
+    id_, none, copy, first, n, skip = common.fresh([*kept, *added], "_id", "_none", "_copy", "_first", "_n", "_skip")
+    key = lambda df: df.withColumns({id_: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), none: F.col("doc_id").isNull()})
+    names = [id_, none, "text_crc32", "size"]
+    rows = key(docs.select(*[F.col(f"`{c}`") for c in kept], (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
     # one row per (key, shard): where copies of one row straddle shards, the n-th copy takes the n-th place
-    spans = key(assign(docs, shards)).groupBy(*names, "shard").agg(F.min("slot").alias("_slot"), F.count(F.lit(1)).alias("_n"))
+    spans = key(assign(docs, shards)).groupBy(*names, "shard").agg(F.min("slot").alias(first), F.count(F.lit(1)).alias(n))
     earlier = Window.partitionBy(*names).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    numbered = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))) - 1)
-    inside = "_copy >= _skip and _copy < _skip + _n"
-    placed = numbered.join(spans, names).where(inside)
-    return placed.select(*[c for c in docs.columns if c not in clash], "size", "text_crc32", "shard", (F.col("_slot") + F.col("_copy") - F.col("_skip")).alias("slot"))
+    spans = spans.withColumn(skip, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    numbered = rows.withColumn(copy, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))) - 1)
+    placed = numbered.join(spans, names).where((F.col(copy) >= F.col(skip)) & (F.col(copy) < F.col(skip) + F.col(n)))
+    return placed.select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col(first) + F.col(copy) - F.col(skip)).alias("slot"))

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (two multiply-xorshift rounds)."""
     x = np.asarray(x, U64).copy()
@@ -29,8 +30,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _LANE = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_IS_LETTER = np.zeros(256, bool)
-_IS_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: ASCII letters, digits and all bytes from 0x80.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -74,7 +76,7 @@ class Words:
         self.rows = n
         data = _LOWER[raw] if lower else raw
         self.data = data
-        word = (_IS_LETTER if letters else _IS_WORD)[data]
+        word = (LETTERS if letters else _IS_WORD)[data]
         edge = np.empty(len(data) + 1, bool)
         edge[1:] = word
         edge[0] = False
@@ -91,19 +93,20 @@ class Words:
         self.first = np.searchsorted(self.start, offsets, "left")
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
-        self.hash = self._hash(data)
+        self.hash = self.hash_spans(self.start, self.end)
 
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        """64-bit hashes, eight bytes of every word at a time."""
-        if not len(self.start):
+    def hash_spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans, eight bytes of every one at a time."""
+        data = self.data
+        if not len(start):
             return np.empty(0, U64)
         padded = np.zeros(len(data) + 8, np.uint8)
         padded[: len(data)] = data
         lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
-        size = self.end - self.start
+        size = end - start
         with np.errstate(over="ignore"):
             out = size.astype(U64) * U64(0xA0761D6478BD642F)
-            at, left, into = self.start, size, None
+            at, left, into = start, size, None
             while len(at):
                 lane = (lanes[at] & _LANE[np.minimum(left, 8)]) * U64(0x9FB21C651E98DF25)
                 lane ^= lane >> U64(29)

@@ -2,8 +2,8 @@
 
 Token labels: documents carry labels, tokens don't, so tokens are labelled from the training
 rows: a word of a toxic row is toxic where the word, or its stem (first letters), is found in
-a hundredth of the toxic rows or more and far more often than in clean ones, near copies counted
-once; words of clean rows are not toxic.
+a hundredth of the toxic rows or more and far more often than in clean ones, near copies of rows
+with one label counted once; words of clean rows are not toxic.
 
 Model: two states; features of a word are its letters, its stems of 3 to 6 letters and its
 end, hashed; transitions couple neighbours. Trained by Adam on the exact log-likelihood
@@ -14,52 +14,54 @@ Score: forward-backward marginals of all words; the largest and the sum of those
 go through a logistic curve fitted on the training rows. Spans of words of marginal 0.5 or more
 are reported as byte offsets.
 
-The model is fitted on a bounded sample: up to `sample` rows of each label, in the order of a
-hash of doc_id, and of each row the words of at most `row_chains` windows, spread evenly.
+The model is fitted on a bounded sample of whole rows: in the order of a hash of doc_id, up to
+`sample` rows of each label, and of those as many as come to `sample_bytes` of text. Of a sampled
+row every word takes part in training.
 
 Defined results: null and empty texts score the curve at no toxic word; without training rows
 of both labels every score is the share of toxic rows (0.5 where there are none); repeated rows
-score alike; a doc_id with several labels counts as toxic if any is; extra columns are ignored.
+score alike; a doc_id with several labels counts as toxic if any is, and one with several texts
+is trained on the one of the least hash; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .textcore import U64, Words, crc_mod, mix64, shingles, text_slices, unique_inverse
+from .textcore import LETTERS, U64, Words, crc_mod, mix64, shingles, text_slices, unique_inverse
 
 CHAIN = 64
 HASH_BITS = 20
 #: Stems by number of bytes, and the last bytes of a word.
 STEMS, END = (3, 4, 5, 6), 4
-SAMPLE, ROW_CHAINS = 2500, 24
+#: The fit takes up to so many rows of each label, and up to so many bytes of text in all.
+SAMPLE, SAMPLE_BYTES = 2500, 48 << 20
 SPAN = 0.5
 #: A mark of toxic rows is found in this share of them at least.
 SUPPORT = 0.01
 
 
 class _Letters:
-    """The words of a slice without leading and trailing ASCII punctuation, as features."""
+    """The words of a slice without leading and trailing ASCII punctuation, as features; a word
+    of punctuation alone stays as it is."""
 
     def __init__(self, words: Words):
-        data, start, end = words.data, words.start.copy(), words.end.copy()
-        mark = np.ones(256, bool)
-        mark[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
-        for _ in range(8):  # punctuation beyond eight bytes at an end stays
-            more = (end - start > 1) & mark[data[np.minimum(start, len(data) - 1)]]
-            less = (end - start > 1) & mark[data[end - 1]]
-            if not (more.any() or less.any()):
-                break
-            start, end = start + more, np.maximum(end - less, start + more)
-        size = np.maximum(end - start, 1)
+        data = words.data
+        letters = np.append(np.flatnonzero(LETTERS[data]), len(data))
+        at = np.searchsorted(letters, words.start)
+        some = letters[at] < words.end
+        start = np.where(some, letters[at], words.start)
+        end = np.where(some, letters[np.maximum(np.searchsorted(letters, words.end) - 1, 0)] + 1, words.end)
+        size = end - start
         padded = np.zeros(len(data) + 16, np.uint8)
         padded[: len(data)] = data
         lanes = np.ndarray((len(data) + 9,), "<u8", padded, 0, (1,))
@@ -72,8 +74,7 @@ class _Letters:
                 columns.append(mix64(part + U64((i + 1) << 56)))
             tail = lanes[np.maximum(end - END, start)] & keep[np.minimum(size, END)]
             columns.append(mix64(tail + U64(9 << 56)))
-            second = lanes[np.minimum(start + 8, len(data))] & keep[np.clip(size - 8, 0, 8)]
-            columns.append(mix64(mix64(first & keep[np.minimum(size, 8)]) + second + size.astype(U64) * U64(0x9E3779B97F4A7C15)))
+            columns.append(words.hash_spans(start, end))  # the whole word
         self.columns = columns
         self.keys = np.stack([(c >> U64(64 - HASH_BITS)).astype(np.int32) for c in columns], 1) if len(start) else np.empty((0, len(STEMS) + 2), np.int32)
 
@@ -168,16 +169,16 @@ class Tagger:
         c, a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(c + a * top + b * total, -35, 35)))
 
-    def fit(self, texts: list[str], labels: list[int], row_chains: int = ROW_CHAINS, epochs: int = 6, seed: int = 7) -> Tagger:
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 6, seed: int = 7) -> Tagger:
         y = np.array(labels, np.int64)
         self.plain = float(y.mean()) if len(y) else 0.5
         if not len(y) or y.min() == y.max():
             return self
-        keys, hashes, rows, firsts, at, kept, seen = [], [], [], [0], 0, [], set()
+        keys, hashes, rows, firsts, at, kept, seen = [], [], [], [0], 0, [], ({}, {})
         for a, b, raw, offsets in text_slices(pa.array(texts, pa.string())):
             w = Words(raw, offsets)
             letters = _Letters(w)
-            fresh = _fresh(w, seen)  # of near copies one row: copies would make all their words tell
+            fresh = _fresh(w, y[a:b], seen)  # of near copies one row: copies would make all their words tell
             take = fresh[w.doc]
             keys.append(letters.keys[take])
             hashes.append(np.stack(letters.columns, 1)[take] if len(take) else np.empty((0, len(STEMS) + 2), U64))
@@ -187,19 +188,12 @@ class Tagger:
             at = firsts[-1]
             kept.extend((np.flatnonzero(fresh) + a).tolist())
         y = y[kept]
-        if y.min() == y.max():
-            return self
         keys, hashes, rows, first = np.concatenate(keys), np.concatenate(hashes), np.concatenate(rows), np.array(firsts)
         del texts
         toxic = self._label(hashes, rows, y) & (y[rows] == 1)
         del hashes
         begin, size = chains(first)
-        # windows of training: spread evenly over each row, at most row_chains of one
-        many = -(-np.diff(first) // CHAIN)
-        row = np.repeat(np.arange(len(many)), many)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        stride = -(-many // row_chains)
-        pick = np.flatnonzero(nth % np.maximum(stride[row], 1) == 0)
+        pick = np.arange(len(begin))  # every window of every row
         rng = np.random.default_rng(seed)
         w, extra = np.zeros(len(self.weight)), np.array([self.bias, 0, 0, 0, 0.0])
         m, v = np.zeros(len(w)), np.zeros(len(w))
@@ -249,18 +243,23 @@ class Tagger:
         return out
 
 
-def _fresh(w: Words, seen: set) -> np.ndarray:
-    """Which rows share none of four min-hashes of five-word shingles with an earlier row."""
+def _fresh(w: Words, labels: np.ndarray, seen: tuple[dict, dict], marks: int = 20, same: int = 16) -> np.ndarray:
+    """Which rows are no near copies of an earlier row of their label: fewer than `same` of
+    `marks` min-hashes of five-word shingles agree with any one of those (a similarity of 0.8)."""
     h, doc = shingles(w, 5)
     out = np.ones(w.rows, bool)
     if not len(h):
         return out
     begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    least = [np.minimum.reduceat(mix64(h ^ U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), begin).tolist() for k in range(1, 5)]
-    for row, marks in zip(doc[begin].tolist(), zip(*least)):
-        out[row] = seen.isdisjoint(marks)
+    least = np.stack([np.minimum.reduceat(mix64(h ^ U64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)), begin) for k in range(1, marks + 1)], 1)
+    for row, mine in zip(doc[begin].tolist(), least.tolist()):
+        known = seen[int(labels[row])]  # (which min-hash, its value) -> kept rows that have it
+        with_ = Counter(r for k, v in enumerate(mine) for r in known.get((k, v), ()))
+        out[row] = not with_ or max(with_.values()) < same
         if out[row]:
-            seen.update(marks)
+            name = known["rows"] = known.get("rows", 0) + 1
+            for k, v in enumerate(mine):
+                known.setdefault((k, v), []).append(name)
     return out
 
 
@@ -277,31 +276,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE, row_chains: int = ROW_CHAINS) -> Tagger:
+def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Tagger:
     """Fit on up to `sample` labelled rows of each label among those that `usable` (a condition
-    on doc_id) lets through."""
+    on doc_id) lets through, and of those on as many as come to `sample_bytes` of text."""
     known = labels.where("doc_id is not null and toxic is not null")
     known = known.where(usable) if usable is not None else known
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("toxic") == t).orderBy(*order).limit(sample) for t in (0, 1)]
     chosen = common.written(picked[0].unionByName(picked[1]), "labelled")  # at most 2 * sample rows
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    each = held.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
+    each = common.written(each.select("doc_id", "toxic", F.coalesce("t.text", F.lit("")).alias("text")), "sample")
+    # the labels take turns, so a bound on bytes keeps both
+    turn = Window.partitionBy("toxic").orderBy(*order)
+    sizes = each.select("doc_id", "toxic", F.octet_length("text").alias("size")).withColumn("turn", F.row_number().over(turn))
+    until = Window.orderBy("turn", "toxic", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 2 * sample rows
+    fits = sizes.withColumn("until", F.sum("size").over(until)).where(F.col("until") <= sample_bytes).select("doc_id")
     # the bounded sample meets in one task, which returns the model (4 MB)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    fitted = texts.select("doc_id", "text", "toxic").repartition(1).mapInPandas(_fit(row_chains), "model binary").first()
+    fitted = each.join(F.broadcast(fits), "doc_id", "left_semi").repartition(1).mapInPandas(_fit, "model binary").first()
     return pickle.loads(fitted["model"]) if fitted else Tagger()
 
 
-def _fit(row_chains: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [b for b in batches if len(b)]
-        tagger = Tagger()
-        if frames:
-            rows = pd.concat(frames).sort_values("doc_id", kind="stable")
-            tagger.fit([x or "" for x in rows["text"]], rows["toxic"].tolist(), row_chains)
-        yield pd.DataFrame({"model": [pickle.dumps(tagger)]})
-
-    return run
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    frames = [b for b in batches if len(b)]
+    tagger = Tagger()
+    if frames:
+        rows = pd.concat(frames).sort_values("doc_id", kind="stable")
+        tagger.fit(rows["text"].tolist(), rows["toxic"].tolist())
+    yield pd.DataFrame({"model": [pickle.dumps(tagger)]})
 
 
 def _score(tagger, held_modulus: int, held: int, threshold: float):

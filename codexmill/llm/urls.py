@@ -65,11 +65,11 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow", url: str
     entries = entries.groupBy("rule_host", "rule_path").agg(F.min("rule_verdict").alias("rule_verdict"))
     n, lengths = entries.agg(F.count(F.lit(1)), F.collect_set(F.length("rule_path"))).first()  # at most as many lengths as the longest path
     blocks = max(1, -(-n * 12 // (64 * WORDS)))  # about 12 bits an entry
-    urls = pages.where("host <> ''").select("host", "path").distinct()
+    urls = common.written(pages.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("rows")), "urls")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefix_of = F.filter(F.array(*[F.lit(int(x)) for x in sorted(lengths)]) if lengths else F.array().cast("array<int>"), lambda k: k <= F.length("path"))
-    candidates = urls.withColumn("rule_host", F.explode(suffixes)).withColumn("_k", F.explode(prefix_of)).withColumn("rule_path", F.expr("substring(path, 1, _k)"))
+    candidates = urls.select("host", "path").withColumn("rule_host", F.explode(suffixes)).withColumn("_k", F.explode(prefix_of)).withColumn("rule_path", F.expr("substring(path, 1, _k)"))
     candidates = candidates.withColumn("_h", _hash(F.col("rule_host"), F.col("rule_path"))).withColumn("block", F.pmod(F.col("_h"), F.lit(blocks)))
     filters = bloom(entries, blocks)
     hits = candidates.join(F.broadcast(filters) if blocks <= BROADCAST_BLOCKS else filters, "block")
@@ -81,5 +81,8 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow", url: str
     exact = hits.join(F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries, ["rule_host", "rule_path"])
     rule = F.concat("rule_host", "rule_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("m"), rule.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
-    best = best.select("host", "path", "best.rule", "best.verdict")
-    return pages.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = common.written(best.select("host", "path", "best.rule", "best.verdict"), "judged")
+    # urls without a host need no look-up, and one url on very many pages is not dealt to one task
+    named = common.attach(pages.where("host <> ''"), best, ["host", "path"], urls.where(F.col("rows") > common.HOT_ROWS))
+    none = pages.where("host = ''").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    return named.unionByName(none).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -102,3 +102,30 @@ def test_mix_edge_tables(spark, docs):
     only = mixing.plan(docs([(1, None), (2, "")])).collect()
     assert all((r.target, r.taken) == (0.0, 0) for r in only)
     assert mixing.mix_rows(docs([(1, None)])).count() == 0
+
+
+def clash(d, *names):
+    for name in names:
+        d = d.withColumn(name, F.lit(f"user's {name}"))
+    return d
+
+
+def test_columns_of_any_name_are_kept(spark, docs, mixture):
+    names = ("_crc", "_copies", "_rows", "_id", "_source", "_TIMES", "number", "row_index", "shard", "_none", "_skip", "_first")
+    d = clash(docs(mixture[:40] + [mixture[0]] * 3), *names)
+    mixed = mixing.mix_rows(d)
+    assert mixed.columns == d.columns and mixed.count() > 0
+    assert all(r[n] == f"user's {n}" for r in mixed.collect() for n in names)
+    placed = sharding.shard_rows(d, 4)
+    kept = [n for n in names if n != "shard"]
+    assert placed.count() == 43 and all(r[n] == f"user's {n}" for r in placed.collect() for n in kept)
+    assert sorted(r.shard for r in placed.collect()) == sorted(r.shard for r in sharding.assign(d, 4).collect())
+
+
+def test_many_sources(spark, docs):
+    rows = [(i, "w " * (i % 7 + 1), f"host{i % 97}") for i in range(500)]
+    got = {r.source: r for r in mixing.plan(docs(rows)).collect()}
+    names = sorted({s for _, _, s in rows})
+    sizes = [sum(len(words_of(t)) for _, t, s in rows if s == n) for n in names]
+    want = water(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))])
+    assert all(got[n].target == pytest.approx(w) and got[n].source_size == z for n, w, z in zip(names, want, sizes))

@@ -55,3 +55,11 @@ def test_empty_tables(spark):
     no_rules = spark.createDataFrame([], "rule_host string, rule_path string, rule_verdict string")
     got = urls.judge(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), no_rules).first()
     assert (got.rule, got.verdict) == (None, "allow")
+
+
+def test_hot_urls_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(urls.common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(urls.common, "HOT_ROWS", 3)
+    pages = [(i, u) for i, u in enumerate(["http://a.net/x"] * 9 + ["http://b.com/"] * 9 + [None] * 9 + ["nothing"] * 5 + ["http://c.net/"])]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), urls.rule_table(spark)).collect()
+    assert len(got) == len(pages) and all((r.host, r.path, r.rule, r.verdict) == brute(pages[r.page_id][1], urls.RULES) for r in got)
