@@ -18,8 +18,11 @@ BROADCAST_BYTES = 8 << 20
 #: A key with more rows than this is joined apart from the others.
 HOT_ROWS = 50_000
 #: While a table is written: its query's shuffle files go when it has ended, as what follows reads
-#: the table; Arrow batches of whole texts stay small.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: the table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Arrow batches of whole texts are bounded by bytes, not only by rows, in a session that uses
+#: these operators.
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,7 @@ def _file_system(spark: SparkSession, path: str):
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, as a URI for Spark. What is written there goes when
     the application ends, or before that by `remove`."""
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     fs, at = _file_system(spark, path)
     fs.mkdirs(at)  # only what exists can be marked
@@ -76,14 +80,12 @@ def written_at(df: DataFrame, label: str = "cut") -> tuple[DataFrame, str]:
     files of the writing query, which nothing reads any more, go at once."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = {key: spark.conf.get(key) for key in _WRITING}
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
-        for key, value in _WRITING.items():
-            spark.conf.set(key, value)
         df.write.mode("overwrite").parquet(path)
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -79,7 +79,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     counts = common.written(counts, "mix-plan")
     named = docs.withColumn(own, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(crc))
-    joined = named.join(common.small(counts), same).select(*[F.col(f"`{c}`") for c in docs.columns], copies, rows)
+    # whole texts move once, whatever their number: a broadcast would hold a row for each document
+    joined = named.join(counts, same).select(*[F.col(f"`{c}`") for c in docs.columns], copies, rows)
     out = joined.where(F.col(rows) == 1).withColumn(times, F.col(copies))
     if not counts.where(F.col(rows) > 1).isEmpty():
         number = F.row_number().over(Window.partitionBy("doc_id", "source", "text").orderBy(F.lit(0))) - 1

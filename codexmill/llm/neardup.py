@@ -218,10 +218,11 @@ def components(edges: DataFrame) -> DataFrame:
         if seen.where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        # a root has as many links as its component has nodes: they are not dealt by root where a broadcast does
+        least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = common.written(both.where("b > a").join(common.small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
+        least = common.written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(common.small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = common.written(small.where("a <> b").distinct(), "stars")
 
 

@@ -44,7 +44,7 @@ HASH_BITS = 20
 #: Stems by number of bytes, and the last bytes of a word.
 STEMS, END = (3, 4, 5, 6), 4
 #: The fit takes up to so many rows of each label, and up to so many bytes of text in all.
-SAMPLE, SAMPLE_BYTES = 2500, 48 << 20
+SAMPLE, SAMPLE_BYTES = 2500, 24 << 20
 SPAN = 0.5
 #: A mark of toxic rows is found in this share of them at least.
 SUPPORT = 0.01
@@ -181,14 +181,14 @@ class Tagger:
             fresh = _fresh(w, y[a:b], seen)  # of near copies one row: copies would make all their words tell
             take = fresh[w.doc]
             keys.append(letters.keys[take])
-            hashes.append(np.stack(letters.columns, 1)[take] if len(take) else np.empty((0, len(STEMS) + 2), U64))
+            hashes.append([c[take] for c in letters.columns[1:]])
             number = np.cumsum(fresh) - 1 + len(kept)
             rows.append(number[w.doc[take]].astype(np.int32))
             firsts.extend((np.cumsum(w.count[fresh]) + at).tolist())
             at = firsts[-1]
             kept.extend((np.flatnonzero(fresh) + a).tolist())
         y = y[kept]
-        keys, hashes, rows, first = np.concatenate(keys), np.concatenate(hashes), np.concatenate(rows), np.array(firsts)
+        keys, rows, first = np.concatenate(keys), np.concatenate(rows), np.array(firsts)
         del texts
         toxic = self._label(hashes, rows, y) & (y[rows] == 1)
         del hashes
@@ -229,13 +229,14 @@ class Tagger:
         return self
 
     @staticmethod
-    def _label(keys: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Words that mark toxic rows, by rows with the word or one of its stems of four or more."""
+    def _label(hashes: list[list[np.ndarray]], rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Words that mark toxic rows, by rows with the word or one of its stems of four or more;
+        `hashes`: the hashes of both for each slice."""
         share = max(int(y.sum()), 1) / max(int((1 - y).sum()), 1)
         least = max(3, int(np.ceil(SUPPORT * y.sum())))
         out = np.zeros(len(rows), bool)
-        for column in range(1, keys.shape[1]):
-            names, key = unique_inverse(keys[:, column])
+        for column in zip(*hashes):
+            names, key = unique_inverse(np.concatenate(column))
             pair = np.unique(key * len(y) + rows)
             bad = np.bincount(pair // len(y), y[pair % len(y)], len(names))
             good = np.bincount(pair // len(y), 1 - y[pair % len(y)], len(names))
