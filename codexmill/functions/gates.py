@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 
 from codexmill.operators.rules import glob
 
-# Extensions of files of code and configuration.
-CODE_EXTENSIONS = ("py", "js", "ts", "md", "yaml", "yml", "json", "toml", "sh", "sql", "go", "rs", "java", "c", "h", "cpp")
+# Extensions of files of code and configuration, and local parts of role addresses.
+CODE_EXTENSIONS = tuple(
+    "md markdown rst txt py pyi ipynb ts tsx js jsx mjs cjs json yaml yml toml ini cfg conf env sh bash zsh fish ps1 "
+    "go rs rb java kt swift php pl c cc cpp cxx h hpp cs m mm css scss sass less html htm xml svg sql graphql proto lock mk dockerfile gradle".split()
+)
+ROLES = tuple(
+    "info information sales support admin administrator noreply no-reply donotreply contact hello help office team billing accounts hr jobs careers press media marketing "
+    "webmaster postmaster abuse security privacy legal enquiries inquiries general mail email newsletter subscribe unsubscribe notifications alerts feedback service services orders shop store".split()
+)
 
 
 def _has(text: Column, marker: str) -> Column:
@@ -90,11 +97,12 @@ def asserters(a_uid: Column, a_name: Column, b_uid: Column, b_name: Column) -> C
 
 
 def display_name(email: Column) -> Column:
-    """A name from the local part of an address: two to four words of letters, else null."""
-    local = F.regexp_replace(F.split(email, "@")[0], r"\+.*$", "")
-    words = F.filter(F.split(local, r"[._-]+"), lambda w: w != "")
-    good = F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike("^[A-Za-z]+$") & (F.length(w) > 1))
-    return F.when(good, F.array_join(F.transform(words, lambda w: F.initcap(w)), " "))
+    """A name from the local part of an address: two or more words of at least three letters,
+    joined by . _ or -. Null for roles, tags, digits and anything else that leaves a doubt."""
+    local = F.trim(F.substring_index(email, "@", 1))
+    words = F.filter(F.split(local, "[._-]"), lambda w: w != "")
+    good = F.contains(email, F.lit("@")) & ~F.lower(local).isin(*ROLES) & (F.size(words) >= 2) & F.forall(words, lambda w: w.rlike(r"^\p{L}{3,}$"))
+    return F.when(good, F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))), " "))
 
 
 def hard_bounce(text: Column, emails: Column) -> Column:

@@ -20,6 +20,11 @@ def normal_claim(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")))
 
 
+def neat(text: Column) -> Column:
+    """White space collapsed and trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def pair_fingerprint(a: Column, b: Column, kind: Column) -> Column:
     """16 hex digits that don't depend on the order of the two claims."""
     x, y = normal_claim(a), normal_claim(b)

@@ -1,14 +1,16 @@
 """Clustering by cosine: edges, components, complete linkage, cohesion, labels, claims.
 
-Equal vectors are one class. Classes meet in pairs of blocks of bounded size, one matrix product
-each; only pairs at or above the threshold leave a task. Components run on those edges by
-alternating minimum steps with written rounds."""
+Equal vectors are one class. Classes meet in pairs of blocks of bounded size, each pair of blocks
+once, one matrix product each; only pairs at or above the threshold leave a task. Components run
+on those edges by alternating minimum steps with written rounds."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -18,14 +20,29 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
+def shared(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, gone when the application ends;
+    where that is unset, a folder of our own serves a single machine, and a cluster raises."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if "CODEXMILL_SHARED" not in os.environ:
+            os.environ["CODEXMILL_SHARED"] = tempfile.mkdtemp(prefix="codexmill-")
+        root = os.environ["CODEXMILL_SHARED"]
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)  # only what exists can be marked
+    fs.deleteOnExit(at)
+    return path
+
+
 def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir; where that is unset (one
-    machine), in a folder of our own."""
-    spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.environ.setdefault("CODEXMILL_SHARED", tempfile.mkdtemp(prefix="codexmill-"))
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut the lineage by a written table."""
+    path = shared(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -42,8 +59,8 @@ def _near(threshold: float):
             sim = np.round(unit(x) @ unit(y).T, 9)
             i, j = np.nonzero(sim >= threshold)
             a, b = left["xclass"].to_numpy()[i], right["yclass"].to_numpy()[j]
-            keep = a < b
-            out = {"a": a[keep], "b": b[keep], "similarity": sim[i, j][keep]}
+            keep = a < b if left["xx"].iloc[0] == right["yy"].iloc[0] else np.ones(len(a), bool)
+            out = {"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[i, j][keep]}
         return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "similarity": "float64"})
 
     return run
@@ -55,11 +72,10 @@ def cosine_edges(named: DataFrame, threshold: float) -> DataFrame:
     n = named.count()
     blocks = max(1, -(-n // BLOCK))
     dealt = named.select("class", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    side = lambda mine, other: dealt.select(F.col("class").alias(f"{mine}class"), F.col("v").alias(f"{mine}v"), F.col("dim").alias(f"{mine}dim"), F.col("block").alias(f"{mine}{mine}"), every.alias(f"{mine}{other}"))
-    left, right = side("x", "y"), side("y", "x")
-    # both sides are grouped by (dim, block of x, block of y)
-    return left.groupBy("xdim", "xx", "xy").cogroup(right.groupBy("ydim", "yx", "yy")).applyInPandas(_near(threshold), "a long, b long, similarity double")
+    # x stands in its block with all blocks from there on, y in its block with all up to it
+    x = dealt.select(F.col("class").alias("xclass"), F.col("v").alias("xv"), F.col("dim").alias("xdim"), F.col("block").alias("xx"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("xy"))
+    y = dealt.select(F.col("class").alias("yclass"), F.col("v").alias("yv"), F.col("dim").alias("ydim"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("yx"), F.col("block").alias("yy"))
+    return x.groupBy("xdim", "xx", "xy").cogroup(y.groupBy("ydim", "yx", "yy")).applyInPandas(_near(threshold), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -93,35 +109,50 @@ def spliced(prior: DataFrame, reach: DataFrame, fresh: DataFrame) -> DataFrame:
     return prior.join(reach, "class", "left_anti").unionByName(fresh)
 
 
+def linked(edges: Iterable[tuple[int, int, float]], threshold: float) -> dict[int, int]:
+    """{node: least node of its group}: of all pairs of groups whose members are all linked, the
+    pair with the highest least similarity joins, ties by the least members; memory grows with
+    the edges, not with the square of the nodes."""
+    near: dict[int, dict[int, float]] = {}
+    heap = []
+    for a, b, s in edges:
+        a, b = min(a, b), max(a, b)
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = s
+        heap.append((-s, a, b))
+    heapify(heap)
+    group = {x: [x] for x in near}
+    while heap:
+        s, a, b = heappop(heap)
+        if -s < threshold:
+            break
+        if near.get(a, {}).get(b) != -s:  # one of them has joined another group since
+            continue
+        left, right = near.pop(a), near.pop(b)
+        both = {x: min(left[x], right[x]) for x in left.keys() & right.keys()}
+        for x in left.keys() | right.keys():
+            if x in near:
+                near[x].pop(a, None)
+                near[x].pop(b, None)
+        near[a] = both
+        for x, v in both.items():
+            near[x][a] = v
+            heappush(heap, (-v, min(a, x), max(a, x)))
+        group[a] += group.pop(b)
+    return {x: min(g) for g in group.values() for x in g}
+
+
 def _linkage(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy complete linkage: the pair of groups with the highest least similarity joins,
-        while that reaches the threshold; ties by least member."""
-        nodes = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {x: i for i, x in enumerate(nodes)}
-        sim = np.full((len(nodes), len(nodes)), -1.0)
-        for a, b, s in zip(pdf["a"], pdf["b"], pdf["similarity"]):
-            sim[at[a], at[b]] = sim[at[b], at[a]] = s
-        np.fill_diagonal(sim, -1.0)
-        group = {i: [i] for i in range(len(nodes))}
-        while True:
-            i, j = np.unravel_index(np.argmax(sim), sim.shape)
-            if i == j or sim[i, j] < threshold:
-                break
-            i, j = min(i, j), max(i, j)
-            low = np.minimum(sim[i], sim[j])
-            sim[i], sim[:, i] = low, low
-            sim[i, i] = -1.0
-            sim[j], sim[:, j] = -1.0, -1.0
-            group[i] += group.pop(j)
-        return pd.DataFrame([(nodes[m], nodes[min(g)]) for g in group.values() for m in g], columns=["class", "cluster"]).astype("int64")
+        found = linked(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["similarity"].tolist()), threshold)
+        return pd.DataFrame(sorted(found.items()), columns=["class", "cluster"]).astype("int64")
 
     return run
 
 
 def complete_linkage(edges: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """(class, cluster): complete linkage inside each component of classes with an edge."""
-    inside = edges.join(roots, edges["a"] == roots["node"]).select("root", "a", "b", "similarity")
+    # the larger end of an edge is never its component's least node, which `roots` leaves out
+    inside = edges.join(roots, edges["b"] == roots["node"]).select("root", "a", "b", "similarity")
     return inside.groupBy("root").applyInPandas(_linkage(threshold), "class long, cluster long")
 
 

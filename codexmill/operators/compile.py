@@ -24,23 +24,19 @@ def bodies(rows: DataFrame, group: str, order: str, body: Column) -> DataFrame:
 def corrections(records: DataFrame, pages: DataFrame, key: str, field: str, value: str, rank: str, order: str) -> DataFrame:
     """(key, field, value, rank, applied): each page's field after its corrections in line order.
     A correction applies if its source ranks no lower than what stands; equal values are no
-    change. The order inside one field matters, so a field's records go through one function;
-    a field has few, pages have many."""
+    change. Order matters inside one field of one page only, which has few records: they are
+    folded in place."""
+    side = lambda rows, at: rows.select(F.col(key).cast("string").alias("key"), F.col(field).alias("field"), F.struct(at.cast("long").alias("seq"), F.col(value).cast("string").alias("value"), F.col(rank).cast("int").alias("rank")).alias("r"))
+    rows = side(pages, F.lit(-1)).unionByName(side(records, F.col(order)))
+    start = F.struct(F.lit(None).cast("string").alias("value"), F.lit(99).alias("rank"), F.lit(0).alias("applied"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_seq", kind="stable")
-        now, now_rank, applied = None, 99, 0
-        for v, r in zip(pdf["_value"], pdf["_rank"]):
-            if v == now:
-                continue
-            if r <= now_rank:
-                applied += now is not None
-                now, now_rank = v, r
-        return pd.DataFrame({"key": [pdf["_key"].iloc[0]], "field": [pdf["_field"].iloc[0]], "value": [now], "rank": [now_rank], "applied": [applied]})
+    def step(now: Column, r: Column) -> Column:
+        takes = ~r["value"].eqNullSafe(now["value"]) & (r["rank"] <= now["rank"])
+        one = F.when(now["value"].isNotNull(), 1).otherwise(0)
+        return F.when(takes, F.struct(r["value"].alias("value"), r["rank"].alias("rank"), (now["applied"] + one).alias("applied"))).otherwise(now)
 
-    base = pages.select(F.col(key).cast("string").alias("_key"), F.col(field).alias("_field"), F.col(value).cast("string").alias("_value"), F.col(rank).cast("int").alias("_rank"), F.lit(-1).cast("long").alias("_seq"))
-    news = records.select(F.col(key).cast("string").alias("_key"), F.col(field).alias("_field"), F.col(value).cast("string").alias("_value"), F.col(rank).cast("int").alias("_rank"), F.col(order).cast("long").alias("_seq"))
-    return base.unionByName(news).groupBy("_key", "_field").applyInPandas(run, "key string, field string, value string, rank int, applied int")
+    folded = rows.groupBy("key", "field").agg(F.array_sort(F.collect_list("r")).alias("all"))
+    return folded.select("key", "field", F.aggregate("all", start, step).alias("s")).select("key", "field", "s.value", "s.rank", "s.applied")
 
 
 def cascade(retracted: DataFrame, provenance: DataFrame, reviewed: DataFrame, item: str, sources: str, key: str) -> DataFrame:
@@ -159,33 +155,24 @@ class FencedBlocks:
 
 
 # Words before a full stop that don't end a sentence.
-ABBREVIATIONS = frozenset("mr mrs ms dr prof sr jr st vs etc e.g i.e no inc ltd co corp u.s approx dept est fig".split())
+ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "dr", "mr", "mrs", "ms", "prof", "inc", "ltd", "co", "corp", "u.s", "u.k", "a.m", "p.m", "ph.d", "st", "no", "fig", "approx", "jr", "sr", "al")
+_CUT = "\ue000"  # of the private area: no text means anything by it
 
 
-class Sentences:
-    """A UDTF body: sentences end at . ! or ? before white space and a capital or digit, but not
-    after an abbreviation. Yields (at, sentence)."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, str]]:
-        import re
-
-        text, start, at = (text or "").strip(), 0, 0
-        for m in re.finditer(r"[.!?]+\s+", text):
-            after = text[m.end() : m.end() + 1]
-            before = text[start : m.start()]
-            words = before.split()
-            if not (after.isupper() or after.isdigit()) or (words and words[-1].lower() in ABBREVIATIONS):
-                continue
-            if before.strip():
-                yield at, before.strip()
-                at += 1
-            start = m.end()
-        tail = text[start:].strip().rstrip(".!?").strip()
-        if tail:
-            yield at, tail
+def sentences(text: Column) -> Column:
+    """The sentences of a text in order. One ends at a run of . ! ? before white space and an
+    upper-case letter or digit, unless the word before the run is an abbreviation; the text's
+    last sentence loses its end marks. A cut is marked by one replacement, so no row is parsed
+    outside the engine."""
+    words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    end = rf"(?U)(?<![.!?])(?<!(?:^|\s)(?i:{words})\s{{0,4}})[.!?]+\s+(?=[\p{{Lu}}\p{{Nd}}])"
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(whole, end, _CUT), _CUT)
+    last = F.regexp_replace(F.element_at(parts, -1), r"(?U)[.!?]+\s*$", "")
+    every = F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(last))
+    return F.filter(F.transform(every, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def register(spark) -> None:
-    """Make the table functions `fenced_blocks` and `sentences_of` known to SQL."""
+    """Make the table function `fenced_blocks` known to SQL."""
     spark.udtf.register("fenced_blocks", F.udtf(FencedBlocks, returnType="at int, title string, body string"))
-    spark.udtf.register("sentences_of", F.udtf(Sentences, returnType="at int, sentence string"))

@@ -44,12 +44,14 @@ def lookup(names: DataFrame, index: DataFrame, name: str, alias: str, target: st
 
 def names_in_texts(texts: DataFrame, key: str, body: Column, names: DataFrame, name: str, words: int) -> DataFrame:
     """(key, name): names of `words` words that occur in a text at word boundaries. Word n-grams
-    meet names by an equality join, not by a search for each name in each text."""
+    meet names by an equality join, not by a search for each name in each text; an n-gram is a
+    pairwise concatenation of the text's words with the words after them."""
     w = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    parts = texts.select(key, w.alias("w")).where(F.size("w") >= words)
-    grams = parts.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " ")))).alias("gram"))
+    grams, parts = F.col("w"), texts.select(key, w.alias("w")).where(F.size("w") >= words)
+    for k in range(1, words):
+        grams = F.zip_with(F.slice(grams, 1, F.size("w") - k), F.slice("w", k + 1, F.size("w") - k), lambda a, b: F.concat(a, F.lit(" "), b))
     wanted = names.select(F.lower(name).alias("gram"), F.col(name).alias("name")).distinct()
-    return grams.join(wanted, "gram").select(key, "name")
+    return parts.select(key, F.explode(grams).alias("gram")).join(wanted, "gram").select(key, "name").distinct()
 
 
 def divergence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -59,12 +61,13 @@ def divergence(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def longest_prefix(rows: DataFrame, value: str, rates: DataFrame, prefix: str, lengths: list[int]) -> DataFrame:
-    """Rows with the entry whose prefix is the longest that fits (nulls where none fits). Prefix
-    lengths are few, so candidates are exploded and joined by equality."""
-    ids = rows.withColumn("_row", F.monotonically_increasing_id())
-    cut = ids.select("_row", F.explode(F.array(*[F.substring(F.col(value), 1, n) for n in sorted(lengths)])).alias(prefix)).distinct()
-    fits = cut.join(rates, prefix).groupBy("_row").agg(F.max_by(F.struct(*rates.columns), F.length(prefix)).alias("_rate"))
-    return ids.join(fits, "_row", "left").select(*rows.columns, *[F.col(f"_rate.{c}").alias(c) for c in rates.columns])
+    """Rows with the entry whose prefix is the longest that fits (nulls where none fits). Only
+    distinct values are looked up; prefix lengths are few, so candidates are exploded and joined
+    by equality."""
+    names = rows.select(F.col(value).alias("_value")).distinct()
+    cut = names.select("_value", F.explode(F.array_distinct(F.array(*[F.substring(F.col("_value"), 1, n) for n in sorted(lengths)]))).alias(prefix))
+    fits = cut.join(rates, prefix).groupBy("_value").agg(F.max_by(F.struct(*rates.columns), F.length(prefix)).alias("_rate"))
+    return rows.join(fits, rows[value] == fits["_value"], "left").select(*rows.columns, *[F.col(f"_rate.{c}").alias(c) for c in rates.columns])
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

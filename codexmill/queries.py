@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import compare as C
@@ -16,32 +16,31 @@ from .operators import cluster as K
 from .operators import compile as M
 from .operators import folds as D
 from .operators import incremental as I
+from .operators import lexical as X
 from .operators import ledger as L
 from .operators import resolve as E
 from .operators import retrieval as R
 from .operators import rules as U
 from .operators import verdicts as V
 from .plans import recall as plans
+from .registered import ALL, Query, query
 from .session import table
 from .streaming import ingest as S
 
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
-def query(sql: str | None = None):
-    def put(f):
-        _ALL[f.__name__] = (f, sql)
-        return f
+def _every() -> dict[str, tuple[Query, str | None]]:
+    from . import catalog  # noqa: F401  registers the rest
 
-    return put
+    return ALL
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _every().items() if sql}
 
 
 AUDIENCE = "CASE doc_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'internal' WHEN 2 THEN 'confidential' END"
@@ -83,28 +82,40 @@ def _bm25_sql(terms: list[str], where: str, k: int) -> str:
     stats = ", ".join(f"count(*) FILTER (t{i} > 0) d{i}" for i in range(len(terms)))
     score = " + ".join(f"CASE WHEN t{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / a)) ELSE 0 END" for i in range(len(terms)))
     return (
-        f"WITH d AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w FROM documents), c AS (SELECT doc_id, lang, len(w) len, {counts} FROM d), s AS (SELECT count(*)::DOUBLE n, avg(len) a, {stats} FROM c) "
+        f"WITH d AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w FROM documents), c AS (SELECT doc_id, lang, source, len(w) len, {counts} FROM d), s AS (SELECT count(*)::DOUBLE n, avg(len) a, {stats} FROM c) "
         f"SELECT doc_id, score FROM (SELECT doc_id, round({score}, 6) score FROM c, s WHERE {where}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {k}"
     )
 
 
+_INDEXES: dict[tuple[str, str], X.Index] = {}
+
+
+def _index(spark, sf) -> X.Index:
+    """The stored index of the documents, built once per application and table."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        path = K.shared(spark, "lexical")
+        _INDEXES[at] = X.build(table(spark, sf, "documents"), "doc_id", {"text": F.col("text")}, path, ["lang", "source"])
+    return _INDEXES[at]
+
+
 _BM25_QUERY, _BM25_TERMS = "Where is the station of worthless thing, erthing and heration?", ["station", "worthless", "erthing", "heration"]
 
 
 @query(_bm25_sql(_BM25_TERMS, "true", 20))
 def recall_bm25(spark, sf):
-    return R.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), _BM25_QUERY, 20)
+    return X.search(spark, _index(spark, sf), _BM25_QUERY, 20)
 
 
 @query(_bm25_sql(_BM25_TERMS, "lang = 'en' AND doc_id % 4 = 0", 10))
 def recall_bm25_filtered(spark, sf):
     where = (F.col("lang") == "en") & A.authorized(_audience(), F.array().cast("array<string>"), ["none"])
-    return R.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), _BM25_QUERY, 10, where)
+    return X.search(spark, _index(spark, sf), _BM25_QUERY, 10, where)
 
 
 @query("SELECT term, count(*) df, sum(tf)::BIGINT cf FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) term FROM documents) GROUP BY ALL) GROUP BY term")
 def index_dictionary(spark, sf):
-    return R.index_terms(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return X.dictionary(spark, _index(spark, sf))
 
 
 def _probe() -> list[float]:
@@ -135,18 +146,22 @@ def recall_degenerate(spark, sf):
     "SELECT doc_id, arm, position FROM (SELECT doc_id, arm, row_number() OVER (ORDER BY arm, rank) position FROM b) WHERE position <= 3"
 )
 def recall_hybrid(spark, sf):
-    lexical = R.ranked(R.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), _BM25_QUERY, 3), [F.desc("score"), F.col("doc_id")])
+    lexical = R.ranked(X.search(spark, _index(spark, sf), _BM25_QUERY, 3), [F.desc("score"), F.col("doc_id")])
     vector = R.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", _probe(), 3).withColumnRenamed("vec_id", "doc_id")
     return R.hybrid(lexical, R.ranked(vector, [F.col("distance"), F.col("doc_id")]), "doc_id")
 
 
 @query(f"SELECT doc_id, score, row_number() OVER (ORDER BY (doc_id % 3 = 0)::INT, score DESC, doc_id) position FROM ({_bm25_sql(_BM25_TERMS, 'true', 20)})")
 def recall_by_currency(spark, sf):
-    hits = R.ranked(R.bm25(table(spark, sf, "documents"), "doc_id", F.col("text"), _BM25_QUERY, 20), [F.desc("score"), F.col("doc_id")])
+    hits = R.ranked(X.search(spark, _index(spark, sf), _BM25_QUERY, 20), [F.desc("score"), F.col("doc_id")])
     return R.by_currency(hits, F.pmod("doc_id", F.lit(3)) == 0).select("doc_id", "score", "position")
 
 
-@query()
+_ALLOWED = f"coalesce({AUDIENCE} = 'open' OR source IN ('src0', 'src2'), false)"
+_FIRST = "least({})".format(", ".join(f"nullif(instr(lower(text), '{t}'), 0)" for t in T.query_tokens(_BM25_QUERY, 3)))
+
+
+@query(f"SELECT doc_id, score, row_number() OVER (ORDER BY (doc_id % 5 = 0)::INT, score DESC, doc_id) AS position, substr(text, greatest(1, coalesce({_FIRST}, 1) - 30), 120) snippet FROM ({_bm25_sql(_BM25_TERMS, _ALLOWED, 10)}) JOIN documents USING (doc_id)")
 def recall_plan(spark, sf):
     docs = table(spark, sf, "documents")
     return plans.recall(docs, "doc_id", "text", _BM25_QUERY, 10, A.authorized(_audience(), F.array("source"), ["src0", "src2"]), F.pmod("doc_id", F.lit(5)) == 0)
@@ -278,7 +293,7 @@ def cosine_links(spark, sf):
     return _edges(spark, sf).select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("links"))
 
 
-@query()
+@query(_EDGES.replace("WITH e", "WITH RECURSIVE e") + ", g AS (SELECT a x, b y FROM p WHERE similarity >= 0.33 UNION ALL SELECT b, a FROM p WHERE similarity >= 0.33), r AS (SELECT DISTINCT x node, x reach FROM g UNION SELECT r.node, g.y FROM r JOIN g ON g.x = r.reach) SELECT node, min(reach) root FROM r GROUP BY node HAVING min(reach) <> node")
 def cosine_components(spark, sf):
     return K.components(_edges(spark, sf))
 
@@ -315,11 +330,13 @@ def shared_words(spark, sf):
     return K.shared_words(table(spark, sf, "conversations"), "conv_id", "turn", _words())
 
 
-@query("SELECT a.doc_id, left(sha1(least(a.c, b.c) || chr(10) || greatest(a.c, b.c) || chr(10) || 'kind'), 16) print, least(a.doc_id, b.doc_id)::VARCHAR || '+' || greatest(a.doc_id, b.doc_id)::VARCHAR pair FROM (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) c FROM documents) a JOIN (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) c FROM documents) b ON b.doc_id = a.doc_id + 1 WHERE length(a.doc_id::VARCHAR) = length(b.doc_id::VARCHAR)")
+_CLAIM = "SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) c FROM documents"
+
+
+@query(f"SELECT a.doc_id, left(sha1(least(a.c, b.c) || chr(10) || greatest(a.c, b.c) || chr(10) || 'kind'), 16) print, least(a.doc_id::VARCHAR, b.doc_id::VARCHAR) || '+' || greatest(a.doc_id::VARCHAR, b.doc_id::VARCHAR) pair FROM ({_CLAIM}) a JOIN ({_CLAIM}) b ON b.doc_id = a.doc_id + 1")
 def claim_fingerprints(spark, sf):
     a = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("ta"))
-    b = a.select(F.col("doc_id").alias("other"), F.col("ta").alias("tb"))
-    both = a.join(b, F.col("other") == F.col("doc_id") + 1).where(F.length(F.col("doc_id").cast("string")) == F.length(F.col("other").cast("string")))
+    both = a.join(a.select(F.col("doc_id").alias("other"), F.col("ta").alias("tb")), F.col("other") == F.col("doc_id") + 1)
     return both.select("doc_id", T.pair_fingerprint(F.col("ta"), F.col("tb"), F.lit("kind")).alias("print"), T.pair_key(F.col("doc_id").cast("string"), F.col("other").cast("string")).alias("pair"))
 
 
@@ -549,12 +566,48 @@ def inline_emails(spark, sf):
     return d.select("doc_id", F.array_sort("e").alias("emails"), F.size("e").cast("long").alias("n"))
 
 
-@query()
+def _phones_sql() -> str:
+    """The rules for numbers in SQL, one condition each over the token t."""
+    labels = "|".join(P.LABELS)
+    body = r"\d[\d\-.\s()]{6,}\d"
+    source = f"regexp_replace(coalesce(text, ''), '(^|[^A-Za-z0-9])(?:{labels})[\\s`''\"(:=\\-]*[+(]?{body}\\b', '\\1 ', 'gi')"
+    bare = "regexp_replace(regexp_replace(t, '^[+(]', ''), '\\)$', '')"
+    flat = f"regexp_replace({bare}, '[()]', '', 'g')"
+    part = lambda i: f"regexp_extract({bare}, '^(\\d{{1,4}})[-./](\\d{{1,4}})[-./](\\d{{1,4}})$', {i})"
+    year = lambda x: f"regexp_matches({x}, '^(?:19|20)\\d\\d$')"
+    other = f"try_cast(CASE WHEN {year(part(1))} THEN {part(3)} ELSE {part(1)} END AS INT)"
+    middle = f"try_cast({part(2)} AS INT)"
+    bad = [
+        "regexp_matches(t, '[\\r\\n\\t]')",
+        "length(replace(t, '(', '')) <> length(replace(t, ')', ''))",
+        f"({year(part(1))} <> {year(part(3))} AND coalesce({other} BETWEEN 1 AND 31 AND {middle} BETWEEN 1 AND 31 AND ({other} <= 12 OR {middle} <= 12), false))",
+        f"regexp_matches({bare}, '^(?:19|20)\\d\\d[-.\\s]+(?:19|20)\\d\\d$')",
+        f"(regexp_matches({bare}, '^\\d+$') AND (length({bare}) < 10 OR length({bare}) > 15))",
+        f"regexp_matches({bare}, '^97[89]\\d{{10}}$')",
+        f"regexp_matches({flat}, '\\d[^\\d][^\\d]+\\d')",
+        f"(len(regexp_extract_all({flat}, '\\d+')) >= 4 AND NOT starts_with(t, '+'))",
+        f"len(regexp_extract_all({flat}, '\\d+')) > 4",
+        f"(len(regexp_extract_all({flat}, '\\d+')) >= 2 AND NOT starts_with(t, '+') AND length(regexp_replace(t, '\\D', '', 'g')) < 10)",
+    ]
+    found = f"SELECT doc_id, unnest(f) t, generate_subscripts(f, 1) i FROM (SELECT doc_id, regexp_extract_all({source}, '(?:\\B[+(]|\\b){body}\\b') f FROM documents)"
+    return f"SELECT doc_id, list(t ORDER BY i) phones FROM (SELECT doc_id, t, min(i) i FROM ({found}) WHERE length(regexp_replace(t, '\\D', '', 'g')) >= 7 AND NOT ({' OR '.join(bad)}) GROUP BY doc_id, t) GROUP BY doc_id"
+
+
+@query(_phones_sql())
 def inline_phones(spark, sf):
     return table(spark, sf, "documents").select("doc_id", P.phones(F.col("text")).alias("phones")).where(F.size("phones") > 0)
 
 
-@query()
+def _medical_sql() -> str:
+    """The same signs for an engine whose word boundaries know ASCII letters only."""
+    edge = lambda p: re.sub(r"\\b$", r"(?:$|[^\\p{L}\\p{N}_])", re.sub(r"^(\(\?i\))?\\b", r"\1(?:^|[^\\p{L}\\p{N}_])", p))
+    any_ = lambda c, patterns: "(" + " OR ".join(f"regexp_matches({c}, '{edge(p)}')" for p in patterns) + ")"
+    drugs = f"regexp_extract_all(low, '{edge(P.DOSAGE_OF)}', 1)".replace(r"(\w+)", r"([\p{L}\p{N}_]+)")
+    otc = ", ".join(f"'{x}'" for x in P.OTC)
+    return f"SELECT doc_id, CASE WHEN {any_('low', P.HIGH)} OR len(list_filter({drugs}, lambda d: d NOT IN ({otc}))) > 0 OR ({any_('low', P.MEDIUM)} AND ({any_('low', P.CONTEXT)} OR {any_('t', [P.ICD])})) THEN 'personal' END AS access FROM (SELECT doc_id, coalesce(text, '') t, lower(coalesce(text, '')) low FROM documents)"
+
+
+@query(_medical_sql())
 def medical_screen(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(P.is_medical(F.col("text")), "personal").alias("access"))
 
@@ -577,10 +630,12 @@ def audit_sample(spark, sf):
     return table(spark, sf, "part").where(T.sampled(F.lit("tier"), F.col("p_partkey").cast("string"), 0.2)).select("p_partkey")
 
 
-@query("SELECT doc_id, len(e) n, md5(text) = md5(replace(text, '@', '#')) clean FROM (SELECT doc_id, coalesce(text, '') text, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) e FROM documents)")
+@query(
+    f"SELECT doc_id, len(e)::BIGINT n, md5(list_reduce(list_prepend(text, list_transform(list_sort(list_transform(e, lambda v: {{'k': -length(v), 'v': v}})), lambda z: z.v)), lambda acc, v: replace(acc, v, '[[email:' || left(sha256('email|' || doc_id::VARCHAR || '|' || v), 16) || ']]'))) digest FROM (SELECT doc_id, coalesce(text, '') AS text, e FROM documents JOIN ({_EMAILS}) USING (doc_id))"
+)
 def routed_values(spark, sf):
     text, vault = P.routed(F.col("doc_id"), F.coalesce("text", F.lit("")), "email", P.EMAIL)
-    return table(spark, sf, "documents").select("doc_id", F.size(vault).cast("long").alias("n"), (~F.contains(F.coalesce("text", F.lit("")), F.lit("@")) & text.isNotNull()).alias("clean"))
+    return table(spark, sf, "documents").select("doc_id", F.size(vault).cast("long").alias("n"), F.md5(text.cast("binary")).alias("digest"))
 
 
 @query()
@@ -632,12 +687,20 @@ def temporal_classes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.temporal_class(F.to_date("o_orderdate"), F.lit("1997-01-01").cast("date")).alias("class"))
 
 
-@query("WITH u AS (SELECT conv_id, string_agg(lower(coalesce(text, '')), ' ' ORDER BY turn) t FROM conversations WHERE role = 'user' GROUP BY conv_id) SELECT c.conv_id, c.turn, contains(coalesce(u.t, ''), left(lower(coalesce(c.text, '')), 24)) stated FROM conversations c LEFT JOIN u USING (conv_id) WHERE c.role <> 'user'")
+_NEAT = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
+
+
+@query(
+    f"WITH u AS (SELECT conv_id, list({_NEAT.format(c='text')}) said FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id), l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) \"at\" FROM conversations WHERE role <> 'user') "
+    f'SELECT conv_id, turn, "at", ' f"{_NEAT.format(c='line')} <> '' AND len(list_filter(coalesce(said, []), lambda x: contains(x, {_NEAT.format(c='line')}))) > 0 stated FROM l LEFT JOIN u USING (conv_id)"
+)
 def user_stated(spark, sf):
+    """Whether each whole line of the other side was said, white space and case aside, by the user."""
     c = table(spark, sf, "conversations")
-    turns = c.where("role = 'user'").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.lower(F.coalesce("text", F.lit(""))).alias("t")))), lambda x: x["t"]), " ").alias("said"))
-    rows = c.where("role <> 'user'").join(turns, "conv_id", "left")
-    return rows.select("conv_id", "turn", F.contains(F.coalesce("said", F.lit("")), F.substring(F.lower(F.coalesce("text", F.lit(""))), 1, 24)).alias("stated"))
+    said = c.where("role = 'user' and text is not null").groupBy("conv_id").agg(F.collect_list(T.neat(F.col("text"))).alias("said"))  # a conversation's own turns
+    lines = c.where("role <> 'user'").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("claim", T.neat(F.col("line")))
+    stated = F.exists(F.coalesce("said", F.array().cast("array<string>")), lambda x: F.contains(x, F.col("claim")))
+    return lines.join(said, "conv_id", "left").select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("at"), ((F.col("claim") != "") & stated).alias("stated"))
 
 
 @query("SELECT doc_id, (length(coalesce(text, '')) // 4)::INT tokens FROM documents")
@@ -715,7 +778,10 @@ def compare_asserters(spark, sf):
     return o.select("o_orderkey", G.asserters(a, F.col("o_orderstatus"), b, F.substring("o_orderpriority", 1, 1)).alias("relation"))
 
 
-@query()
+@query(
+    f"SELECT doc_id, email, CASE WHEN lower(l) NOT IN ({', '.join(repr(x) for x in G.ROLES)}) AND len(w) >= 2 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^\\p{{L}}{{3,}}$'))) = 0 THEN array_to_string(list_transform(w, lambda x: upper(left(x, 1)) || lower(substr(x, 2))), ' ') END AS name, email bounced "
+    f"FROM (SELECT doc_id, email, l, list_filter(string_split_regex(l, '[._-]'), lambda x: x <> '') w FROM (SELECT doc_id, email, split_part(email, '@', 1) l FROM (SELECT doc_id, unnest(e) email FROM ({_EMAILS}))))"
+)
 def display_names(spark, sf):
     mails = table(spark, sf, "documents").select("doc_id", F.explode(P.emails(F.col("text"))).alias("email"))
     return mails.select("doc_id", "email", G.display_name(F.col("email")).alias("name"), G.hard_bounce(F.concat("email", F.lit(" 5.1.1")), F.array("email")).alias("bounced"))
@@ -743,11 +809,16 @@ def compiled_bodies(spark, sf):
     return done.select("conv_id", F.md5(F.col("body").cast("binary")).alias("digest"), "paragraphs")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_type, round_even(value, 0) v, (event_id % 9 + 1)::INT r, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) n, count(*) OVER (PARTITION BY user_id, event_type) m FROM events), "
+    "f AS (SELECT user_id, event_type, m, 0::BIGINT n, NULL::DOUBLE v, 9 r, 0 applied FROM e WHERE n = 1 UNION ALL SELECT f.user_id, f.event_type, f.m, e.n, CASE WHEN t THEN e.v ELSE f.v END, CASE WHEN t THEN e.r ELSE f.r END, f.applied + (t AND f.v IS NOT NULL)::INT "
+    "FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.n = f.n + 1, LATERAL (SELECT e.v IS DISTINCT FROM f.v AND e.r <= f.r t)) "
+    "SELECT user_id::VARCHAR AS key, event_type field, round(v, 0)::BIGINT AS value, r AS rank, applied FROM f WHERE n = m"
+)
 def applied_corrections(spark, sf):
-    e = table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("field"), F.round("value", 0).alias("value"), (F.col("event_id") % 9 + 1).alias("rank"), F.col("event_id").alias("line"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("field"), F.bround("value", 0).alias("value"), (F.col("event_id") % 9 + 1).alias("rank"), F.col("event_id").alias("line"))
     pages = e.groupBy("page", "field").agg(F.lit(None).cast("double").alias("value"), F.lit(9).alias("rank"))
-    return M.corrections(e, pages, "page", "field", "value", "rank", "line")
+    return M.corrections(e, pages, "page", "field", "value", "rank", "line").withColumn("value", F.col("value").cast("double").cast("long"))
 
 
 @query("SELECT o_orderkey, l_partkey FROM (SELECT DISTINCT o_orderkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1) AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
@@ -786,16 +857,28 @@ def field_coverage(spark, sf):
     return M.coverage(d, ["text", "source"])
 
 
-@query()
+@query(
+    "WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(replace(text, '_', ' ')), '[\\s\\p{Z}\\x1c-\\x1f\\x85]+')) w FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, sha256(w) x FROM t WHERE length(w) >= 2), "
+    "s AS (SELECT doc_id, ('0x' || left(x, 8))::BIGINT % 384 p, sum(CASE WHEN ('0x' || substr(x, 9, 2))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE v FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) n FROM s GROUP BY 1) "
+    "SELECT doc_id, p AS \"at\", round((v / n)::FLOAT::DOUBLE, 6) AS value FROM s JOIN n USING (doc_id) WHERE v <> 0 UNION ALL SELECT doc_id, 0, 1.0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE n > 0)"
+)
 def hashed_embeddings(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", M.hash_embedding()(F.col("text")).alias("vector"))
+    """Each text's vector: its places that are not 0."""
+    v = table(spark, sf, "documents").select("doc_id", M.hash_embedding()(F.col("text")).alias("v")).select("doc_id", F.posexplode("v").alias("at", "x"))
+    return v.where("x <> 0").select("doc_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
-@query()
+_ABBR = "|".join(a.replace(".", r"\.") for a in M.ABBREVIATIONS)
+_SENTENCES = (
+    "SELECT conv_id, turn, unnest(s) line, generate_subscripts(s, 1) i, len(s) n FROM (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), "
+    f"'(^|\\s)((?i:{_ABBR}))(\\s*)([.!?]+)', '\\1\\2\\3\\4' || chr(57345), 'g'), '[.!?]+\\s+([\\p{{Lu}}\\p{{Nd}}])', chr(57344) || '\\1', 'g'), chr(57344)) s FROM conversations)"
+)
+
+
+@query(f"SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS \"at\", sentence FROM (SELECT conv_id, turn, i, trim(CASE WHEN i = n THEN regexp_replace(replace(line, chr(57345), ''), '[.!?]+\\s*$', '') ELSE replace(line, chr(57345), '') END, ' ' || chr(9) || chr(10) || chr(13)) sentence FROM ({_SENTENCES})) WHERE sentence <> ''")
 def sentence_claims(spark, sf):
-    M.register(spark)
-    table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t")).createOrReplaceTempView("_turns")
-    return spark.sql("SELECT conv_id, turn, s.at, s.sentence FROM _turns, LATERAL sentences_of(t) s")
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(M.sentences(F.col("text"))).alias("at", "sentence")).withColumn("at", F.col("at").cast("long"))
 
 
 # --- staleness ---------------------------------------------------------------------------------

@@ -80,10 +80,29 @@ def test_phone_shapes(spark, token, bad):
     assert one(spark, P.not_a_phone(F.col("v")), v=token) is bad
 
 
-@pytest.mark.parametrize("text,medical", [("she was diagnosed last year", True), ("a headache", False), ("my doctor says it is a headache", True), ("take 20 mg of ibuprofen", False), ("take 20 mg of zorpium", True), ("", False), (None, False)])
+@pytest.mark.parametrize("text,medical", [("she was diagnosed last year", True), ("a headache", False), ("my doctor says it is a headache", True), ("take 20 mg of ibuprofen", False), ("take 20 mg of zorpium", True), ("", False), (None, False), ("she is pregnant", True), ("seizure disorder noted", True), ("her a1c is high", True), ("cholesterol of 240", True), ("major depressive episode", True), ("radiotherapy next week", True), ("saw the doctor about a cough", True), ("a cough, J45.1", True), ("J45.1 alone", False), ("a cough", False)])
 def test_medical(spark, text, medical):
     assert one(spark, P.is_medical(F.col("v")), v=text) is medical
 
 
 def test_emails_in_order_once(spark):
     assert one(spark, P.emails(F.col("v")), v="b@x.io, a@x.io b@x.io") == ["b@x.io", "a@x.io"]
+
+
+@pytest.mark.parametrize("text,found", [("she paid 415-555-1234", ["415-555-1234"]), ("upstream 415-555-1234", ["415-555-1234"]), ("account 415-555-1234", ["415-555-1234"]), ("QBO realm: 1008563730", []), ("stream `5139685489`", []), ("ISBN-13 9798123456789", []), ("call (555) 010-0100, or +1-555-0100; (555) 010-0100", ["(555) 010-0100", "+1-555-0100"]), ("on 2024-01-05 or 13-13-2013", ["13-13-2013"][:0]), (None, [])])
+def test_phones(spark, text, found):
+    assert one(spark, P.phones(F.col("v")), v=text) == found
+
+
+@pytest.mark.parametrize("mail,name", [("jane.doe@x.io", "Jane Doe"), ("JANE_van-doe@x.io", "Jane Van Doe"), ("jane.doe+tag@x.io", None), ("info@x.io", None), ("no-reply@x.io", None), ("j.doe@x.io", None), ("jane@x.io", None), ("jane.doe2@x.io", None), ("nobody", None)])
+def test_display_name(spark, mail, name):
+    from codexmill.functions import gates as G
+
+    assert one(spark, G.display_name(F.col("v")), v=mail) == name
+
+
+@pytest.mark.parametrize("name,rule", [("notes.rst", "extension"), ("a.ipynb", "extension"), ("style.CSS", "extension"), ("index.html", "extension"), ("The Registry", None), ("my file.md", None), ("src/x", None), ("README.md", None)])
+def test_code_artifact(spark, name, rule):
+    from codexmill.functions import gates as G
+
+    assert one(spark, G.code_artifact(F.col("v"), ("readme.md",)), v=name) == rule

@@ -153,7 +153,10 @@ def test_json_and_blocks(spark):
     d = spark.createDataFrame([('say {"b": 1, "a": "x\ny"} done',), ("{broken {\"k\": [1]}",), ("none",), (None,)], "t string")
     assert [r[0] for r in d.select(M.json_object()(F.col("t"))).collect()] == ['{"a":"x\\ny","b":1}', '{"k":[1]}', None, None]
     assert list(M.FencedBlocks().eval("lead\n## A\n```\n## not\n```\n## B\nx")) == [(0, "", "lead"), (1, "A", "```\n## not\n```"), (2, "B", "x")]
-    assert [s for _, s in M.Sentences().eval("Dr. Who came. It was 3.14 then! Yes? nay. End.")] == ["Dr. Who came", "It was 3.14 then", "Yes? nay", "End"]
+    texts = ["Dr. Who came. It was 3.14 then! Yes? nay. End.", "  See e.g. The cat... Then U.S. Law.\n2 more?! ", "", None, "etc.. A b. C", "No. One", "Ends here ... "]
+    want = [["Dr. Who came", "It was 3.14 then", "Yes? nay", "End"], ["See e.g. The cat", "Then U.S. Law", "2 more"], [], [], ["etc.. A b", "C"], ["No. One"], ["Ends here"]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", M.sentences(F.col("t")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == want
 
 
 def test_corrections_apply_in_order(spark):
@@ -173,3 +176,51 @@ def test_routing_leaves_no_value(spark):
     assert "@" not in r.t and sorted(x.value for x in r.v) == ["a@x.io", "b.a@x.io"] and all(x.pointer in r.t for x in r.v)
     streets = spark.createDataFrame([("at 12 N. Main Street, or 5 Oak Hill Rd. but 7 days a week",)], "t string").select(P.street_addresses(F.col("t"))).first()[0]
     assert streets == ["12 N. Main Street", "5 Oak Hill Rd."]
+
+
+def test_stored_index_update_equals_rebuild(spark, tmp_path):
+    from codexmill.operators import lexical as X
+
+    rows = [(i, f"alpha {'beta ' * (i % 4)}gamma{i % 3}", f"title {i % 5}", "en" if i % 2 else "de") for i in range(60)]
+    pages = spark.createDataFrame(rows, "k int, body string, name string, lang string")
+    fields = {"name": F.col("name"), "body": F.col("body")}
+    index = X.build(pages, "k", fields, str(tmp_path / "a"), ["lang"])
+    edited = spark.createDataFrame([(3, "beta delta", "title", "en"), (70, "beta beta beta beta", "new", "en"), (71, None, None, None)], pages.schema)
+    gone = spark.createDataFrame([(5,), (7,)], "k int")
+    after = X.update(index, edited, fields, gone)
+    whole = pages.where("k not in (3, 5, 7)").unionByName(edited)
+    fresh = X.build(whole, "k", fields, str(tmp_path / "b"), ["lang"])
+    assert (after.pages, after.mean) == (fresh.pages, fresh.mean) == (60, fresh.mean)
+    for query, where in (("beta gamma1", None), ("delta title", None), ("beta", F.col("lang") == "en"), ("nothing", None), ("", None)):
+        got, want = (X.search(spark, x, query, 9, where).collect() for x in (after, fresh))
+        assert got == want
+    assert X.search(spark, after, "delta", 5).first().k == 3
+    assert [r.k for r in X.search(spark, index, "beta", 60).collect()] != [r.k for r in X.search(spark, after, "beta", 60).collect()]
+    assert sorted(map(tuple, X.dictionary(spark, after).collect())) == sorted(map(tuple, X.dictionary(spark, fresh).collect()))
+    assert X.search(spark, after, "title", 1, weights=(5.0, 1.0)).first().score > X.search(spark, after, "title", 1).first().score
+    scan = R.bm25(whole, "k", F.concat_ws(" ", "name", "body"), "beta gamma1", 9).collect()
+    assert scan == X.search(spark, fresh, "beta gamma1", 9).collect()
+
+
+def test_linkage_against_a_matrix():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(30):
+        n = rng.randint(2, 12)
+        edges = {(a, b): round(rng.random(), 2) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6}
+        edges = {p: s for p, s in edges.items() if s >= 0.3}
+        group = {x: {x} for p in edges for x in p}
+        while True:
+            pairs = []
+            for a in group:
+                for b in group:
+                    if a < b:
+                        least = [edges.get((min(x, y), max(x, y)), -1) for x in group[a] for y in group[b]]
+                        if min(least) >= 0.3:
+                            pairs.append((-min(least), a, b))
+            if not pairs:
+                break
+            _, a, b = min(pairs)
+            group[a] |= group.pop(b)
+        assert K.linked([(a, b, s) for (a, b), s in edges.items()], 0.3) == {x: min(g) for g in group.values() for x in g}
