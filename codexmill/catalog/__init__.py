@@ -1 +1,3 @@
 """Queries by subject, registered on import."""
+
+from . import decisions, identity  # noqa: F401

@@ -83,11 +83,29 @@ def verdict(existing_rank: Column, incoming_rank: Column, same: Column, observed
 
 def scope_verdict(org: Column, locale: Column, window: Column) -> Column:
     """From the relations of two claims in two trees and in time: DISJOINT where any meet is
-    empty, OVERRIDE where the left is strictly below in both trees, else OVERLAP. Tree relations
-    are BELOW, ABOVE, EQUAL or DISJOINT."""
+    empty, OVERRIDE where one is below or equal in both trees and not equal in both, else OVERLAP.
+    Tree relations are BELOW, ABOVE, EQUAL or DISJOINT."""
+    same = (org == "EQUAL") & (locale == "EQUAL")
     return (
         F.when((org == "DISJOINT") | (locale == "DISJOINT") | (window == "DISJOINT"), "DISJOINT")
-        .when((org == "BELOW") & (locale == "BELOW"), "OVERRIDE_LEFT")
-        .when((org == "ABOVE") & (locale == "ABOVE"), "OVERRIDE_RIGHT")
+        .when(~same & org.isin("BELOW", "EQUAL") & locale.isin("BELOW", "EQUAL"), "OVERRIDE_LEFT")
+        .when(~same & org.isin("ABOVE", "EQUAL") & locale.isin("ABOVE", "EQUAL"), "OVERRIDE_RIGHT")
         .otherwise("OVERLAP")
     )
+
+
+def tree_leq(a: Column, b: Column, separator: str = "/") -> Column:
+    """Whether a stands below or at b; an undeclared place is the whole tree."""
+    inside = F.startswith(F.concat(a, F.lit(separator)), F.concat(b, F.lit(separator)))
+    return b.isNull() | (a.isNotNull() & F.coalesce(inside, F.lit(False)))
+
+
+def tree_relation(a: Column, b: Column, separator: str = "/") -> Column:
+    up, down = tree_leq(a, b, separator), tree_leq(b, a, separator)
+    return F.when(up & down, "EQUAL").when(up, "BELOW").when(down, "ABOVE").otherwise("DISJOINT")
+
+
+def interval_leq(a_from: Column, a_until: Column, b_from: Column, b_until: Column) -> Column:
+    """Whether window a lies in window b; null bounds are open."""
+    inside = lambda x: F.coalesce(x, F.lit(False))
+    return (b_from.isNull() | inside(a_from >= b_from)) & (b_until.isNull() | inside(a_until <= b_until))

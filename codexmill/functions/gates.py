@@ -113,3 +113,8 @@ def hard_bounce(text: Column, emails: Column) -> Column:
 def unmet(conditions: dict[str, Column]) -> Column:
     """All conditions that don't hold, not only the first."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(c, F.lit(False)), name) for name, c in conditions.items()]))
+
+
+def ingestion(enabled: Column, instrumented: Column, records: Column) -> Column:
+    """Why ingestion may go on (disabled, healthy) or not (no instrumentation, no records)."""
+    return F.when(~enabled, "disabled").when(~instrumented, "no instrumentation").when(records == 0, "no records").otherwise("healthy")

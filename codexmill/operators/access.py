@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,9 @@ def more_restrictive(a: Column, b: Column) -> Column:
     """The stricter of two access levels; an unknown one gives way."""
     rank = lambda c: F.coalesce(F.try_element_at(F.create_map(*[x for i, v in enumerate(("open", "internal", "confidential", "personal")) for x in (F.lit(v), F.lit(i))]), F.lower(F.trim(c))), F.lit(-1))
     return F.when(rank(a) >= rank(b), a).otherwise(b)
+
+
+def swept(pages: DataFrame, bucket: Column, valid_until: Column, as_of: Column) -> DataFrame:
+    """Pages of the daily bucket with their disposition: kill when expired, else kept."""
+    rows = pages.where(F.coalesce(bucket, F.lit("")) == "daily")
+    return rows.withColumn("disposition", F.when(expired(valid_until, as_of), "kill").otherwise("keep: not yet expired"))

@@ -171,6 +171,11 @@ def gate(sources: Column, confidence: Column, mean: Column, least: Column, thres
     return F.when(sources > 5, "size").when(least < threshold, "chain").when(mean < 0.6, "cohesion").when(confidence < 0.0, "confidence")
 
 
+def low_cohesion(mean: Column, scopes: Column, floor: float, least: int) -> Column:
+    """A loose group over many scopes; a floor of 0 turns the test off."""
+    return F.lit(floor > 0) & (mean < floor) & (scopes >= least)
+
+
 def cluster_id(members: Column, scope: Column) -> Column:
     """Content address: scope, then eight hex digits of the sorted members."""
     return F.concat(F.coalesce(F.nullif(F.regexp_replace(scope, "^[-_]+|[-_]+$", ""), F.lit("")), F.lit("unscoped")), F.lit("-"), F.substring(F.sha1(F.array_join(F.array_sort(members), "\n").cast("binary")), 1, 8))

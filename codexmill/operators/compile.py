@@ -45,6 +45,13 @@ def cascade(retracted: DataFrame, provenance: DataFrame, reviewed: DataFrame, it
     return rests.join(reviewed.select(key).distinct(), key, "left_anti").select(key, item)
 
 
+def owned(pages: DataFrame, key: str, topics: str, owners: DataFrame) -> DataFrame:
+    """(key, source, topic): the first of a page's topics that a live source owns (topic, source)."""
+    each = pages.select(key, F.posexplode(topics).alias("at", "t")).select(key, "at", F.lower(F.trim("t")).alias("topic"))
+    met = each.join(owners, "topic").groupBy(key).agg(F.min(F.struct("at", "source", "topic")).alias("m"))
+    return met.select(key, "m.source", "m.topic")
+
+
 def relinked(pages: DataFrame, key: str, links: Column, renamed: DataFrame, old: str, new: str) -> DataFrame:
     """(key, links): links in order with old targets replaced, each once."""
     each = pages.select(key, F.posexplode(links).alias("at", "link")).join(renamed.select(F.col(old).alias("link"), F.col(new).alias("_to")), "link", "left")

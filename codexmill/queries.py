@@ -374,7 +374,7 @@ def compare_scopes(spark, sf):
 
 
 @query(
-    "SELECT org, locale, win, CASE WHEN org = 'DISJOINT' OR locale = 'DISJOINT' OR win = 'DISJOINT' THEN 'DISJOINT' WHEN org = 'BELOW' AND locale = 'BELOW' THEN 'OVERRIDE_LEFT' WHEN org = 'ABOVE' AND locale = 'ABOVE' THEN 'OVERRIDE_RIGHT' ELSE 'OVERLAP' END verdict, count(*) n "
+    "SELECT org, locale, win, CASE WHEN org = 'DISJOINT' OR locale = 'DISJOINT' OR win = 'DISJOINT' THEN 'DISJOINT' WHEN org = 'EQUAL' AND locale = 'EQUAL' THEN 'OVERLAP' WHEN org IN ('BELOW', 'EQUAL') AND locale IN ('BELOW', 'EQUAL') THEN 'OVERRIDE_LEFT' WHEN org IN ('ABOVE', 'EQUAL') AND locale IN ('ABOVE', 'EQUAL') THEN 'OVERRIDE_RIGHT' ELSE 'OVERLAP' END verdict, count(*) n "
     "FROM (SELECT ['BELOW', 'ABOVE', 'EQUAL', 'DISJOINT'][p_size % 4 + 1] org, ['BELOW', 'ABOVE', 'EQUAL', 'DISJOINT'][p_partkey % 4 + 1] locale, CASE WHEN p_partkey % 9 = 0 THEN 'DISJOINT' ELSE 'OVERLAPS' END win FROM part) GROUP BY ALL"
 )
 def compare_scope_verdicts(spark, sf):
