@@ -78,6 +78,13 @@ def cosine_edges(named: DataFrame, threshold: float) -> DataFrame:
     return x.groupBy("xdim", "xx", "xy").cogroup(y.groupBy("ydim", "yx", "yy")).applyInPandas(_near(threshold), "a long, b long, similarity double")
 
 
+def cross_pairs(edges: DataFrame, settled: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """Similar pairs of which at least one side is not settled, without known pairs."""
+    ids = settled.select(F.col(key).alias("_s"), F.lit(1).alias("_y"))
+    left = edges.join(ids.withColumnsRenamed({"_s": "a", "_y": "_l"}), "a", "left").join(ids.withColumnsRenamed({"_s": "b", "_y": "_r"}), "b", "left")
+    return left.where("_l is null or _r is null").join(known, ["a", "b"], "left_anti").select("a", "b", "similarity")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of nodes with an edge: least node of each connected component."""
     now = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())

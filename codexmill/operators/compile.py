@@ -52,6 +52,33 @@ def owned(pages: DataFrame, key: str, topics: str, owners: DataFrame) -> DataFra
     return met.select(key, "m.source", "m.topic")
 
 
+def claim_source(claims: DataFrame, turns: DataFrame, key: str, session: str, claim: str, role: str, body: str, channels: list[tuple[str, str]]) -> DataFrame:
+    """(key, source): the first of the channels (role, source) whose turns of the session hold the
+    whole claim, white space and case aside; inferred where none does, unavailable without a
+    transcript."""
+    said = turns.groupBy(session).agg(*[F.collect_list(F.when(F.col(role) == r, T.neat(F.col(body)))).alias(f"_c{i}") for i, (r, _) in enumerate(channels)], F.lit(True).alias("_here"))
+    rows = claims.join(said, session, "left").withColumn("_n", T.neat(F.coalesce(claim, F.lit(""))))
+    out = F.when(F.col("_here").isNull(), "unavailable").when(F.col("_n") == "", "inferred")
+    for i, (_, name) in enumerate(channels):
+        out = out.when(F.exists(f"_c{i}", lambda x: F.contains(x, F.col("_n"))), name)
+    return rows.select(key, out.otherwise("inferred").alias("source"))
+
+
+def edited(body: Column, edits: list[tuple[str, str]], where: Column) -> Column:
+    """A body after edits that name the passage they replace; one whose passage is missing does nothing."""
+    out = body
+    for anchor, text in edits:
+        out = F.replace(out, F.lit(anchor), F.lit(text))
+    return F.when(where, out).otherwise(body)
+
+
+def as_of(members: DataFrame, group: str, key: str, valid_until: Column, day: Column) -> DataFrame:
+    """(group, members, last, tag) of each cluster from the members valid at a day."""
+    live = members.where(~F.coalesce(day > valid_until, F.lit(False)))
+    names = F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n")
+    return live.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.max(key).alias("last"), F.substring(F.sha1(names.cast("binary")), 1, 8).alias("tag"))
+
+
 def relinked(pages: DataFrame, key: str, links: Column, renamed: DataFrame, old: str, new: str) -> DataFrame:
     """(key, links): links in order with old targets replaced, each once."""
     each = pages.select(key, F.posexplode(links).alias("at", "link")).join(renamed.select(F.col(old).alias("link"), F.col(new).alias("_to")), "link", "left")

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexmill.functions.records import envelope
+from codexmill.operators.rules import glob
+
 # Fixed value: intake names carry a time stamp and eight hex digits.
 INTAKE = r"^(\d{8}T\d{6}Z?)-([0-9a-f]{8})\.(md|jsonl)$"
 
 
+def relative(root: str) -> Column:
+    """The part of a file's path below a root folder."""
+    last = root.rstrip("/").rsplit("/", 1)[-1] + "/"
+    return F.substring(F.col("path"), F.instr(F.col("path"), F.lit(last)) + len(last), F.length("path"))
+
+
 def pages(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """(name, path, length, modified, content) of markdown pages; names and folders that begin
     with `_` are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    relative = F.substring(F.col("path"), F.locate(root.rstrip("/").rsplit("/", 1)[-1] + "/", F.col("path")) + len(root.rstrip("/").rsplit("/", 1)[-1]) + 1, 10_000)
-    rows = files.select(relative.alias("name"), "path", "length", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
+    rows = files.select(relative(root).alias("name"), "path", "length", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
     return rows.where(~F.exists(F.split("name", "/"), lambda part: part.startswith("_")))
 
 
@@ -58,6 +69,109 @@ def intake(spark: SparkSession, root: str) -> DataFrame:
     return rows.orderBy("stamp", "path")
 
 
+def all_entries(spark: SparkSession, wiki: str, extras: dict[str, str], include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Pages of the wiki and, by recursion, of extra roots, whose names begin with the root's; a
+    name must fit an `include` pattern, if there are any, and no `exclude` pattern."""
+    rows = pages(spark, wiki)
+    for name, root in extras.items():
+        rows = rows.unionByName(pages(spark, root, recursive=True).withColumn("name", F.concat(F.lit(name + "/"), "name")))
+    return rows.where(passes(F.col("name"), include or [], exclude or []))
+
+
+def passes(name: Column, include: list[str], exclude: list[str]) -> Column:
+    hit = lambda globs: reduce(lambda a, b: a | b, [name.rlike(glob(g)) for g in globs], F.lit(False))
+    return (hit(include) if include else F.lit(True)) & ~hit(exclude)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(name, length, version) of all files below a root, without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    stamp = F.unix_micros("modificationTime").cast("string")
+    return files.select(relative(root).alias("name"), "length", F.concat_ws("-", stamp, F.col("length").cast("string")).alias("version"))
+
+
+def changed(listed: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(name, change) between a listing and a manifest (name, version): only these are read."""
+    both = listed.select("name", F.col("version").alias("_a")).join(manifest.select("name", F.col("version").alias("_b")), "name", "full_outer")
+    return both.select("name", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").alias("change")).where("change is not null")
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """Replace a manifest; a reader sees the old one or the new one."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def memories(spark: SparkSession, root: str, kinds: list[str]) -> DataFrame:
+    """(scope, kind, slug, path, content) of `<scope>/<kind>_<slug>.md` files; indexes and names
+    of other kinds are left out."""
+    shape = r"([^/]+)/(" + "|".join(kinds) + r")_([^/]+)\.md$"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(root)
+    part = lambda i: F.regexp_extract("path", shape, i)
+    return files.where(F.col("path").rlike(shape)).select(part(1).alias("scope"), part(2).alias("kind"), part(3).alias("slug"), "path", F.col("content").cast("string").alias("content"))
+
+
+def batches(spark: SparkSession, root: str) -> DataFrame:
+    """(name, first) of the JSON-lines files whose first line opens a batch."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root)
+    first = F.split(F.col("content").cast("string"), "\n")[0]
+    return files.select(relative(root).alias("name"), first.alias("first")).where(envelope(F.col("first")))
+
+
+def unclaimed(listed: DataFrame, claimed: DataFrame, exempt: DataFrame) -> DataFrame:
+    """(name, reason) of intake files that no reader takes: a wrong extension at the first level,
+    or a depth that none looks at. Claimed and exempt names are left out."""
+    parts = F.split("name", "/")
+    ext = F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1))
+    reason = F.when((F.size(parts) == 2) & ~ext.isin("md", "jsonl"), "unmatched-extension").when(F.size(parts) > 2, "too-deep")
+    rows = listed.where(F.element_at(parts, -1) != ".gitkeep").join(claimed.select("name"), "name", "left_anti").join(exempt.select("name"), "name", "left_anti")
+    return rows.select("name", reason.alias("reason")).where("reason is not null")
+
+
+def dangling(index: DataFrame, listed: DataFrame) -> DataFrame:
+    """(scope, target) of index lines `- [..](target)` whose file is gone; `index`: scope, content."""
+    targets = index.select("scope", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*[-*]\s+\[[^\]]*\]\(([^)\s]+)\)"), 1)).alias("target"))
+    return targets.withColumn("name", F.concat_ws("/", "scope", "target")).join(listed.select("name"), "name", "left_anti").select("scope", "target")
+
+
+def put(spark: SparkSession, path: str, text: str, expect: str | None = None) -> str:
+    """Write a small text file if its present version is the expected one ('' for none); its new
+    version. A lost race raises FileExistsError."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    version = lambda: (lambda st: f"{st.getModificationTime()}-{st.getLen()}")(fs.getFileStatus(at)) if fs.exists(at) else ""
+    if expect is not None and version() != expect:
+        raise FileExistsError(f"{path}: version {version()!r}, not {expect!r}")
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if expect is not None and expect:
+        fs.delete(at, False)
+    elif expect is None and fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(part, at):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+    return version()
+
+
+def snapshot(rows: DataFrame, root: str, label: str) -> str:
+    """A copy of a table under a version's label; labels are never written twice."""
+    path = f"{root.rstrip('/')}/v={label}"
+    rows.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def torn(spark: SparkSession, path: str, schema: str) -> int:
+    """How many lines of a ledger can't be read by its schema."""
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).select(parsed.alias("r")).where("r._bad is not null").count()
+
+
 def ledger(spark: SparkSession, path: str, schema: str, ts: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """A JSON-lines ledger with a schema; torn lines are left out; [since, until) by `ts`."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
