@@ -148,11 +148,10 @@ def _item_blocks(bits: int):
             edge = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
             several = np.diff(np.r_[edge, len(items)]) > 1
             items, holder = items[edge], np.where(several, -1, holder[edge])
-            shard = (items >> U64(64 - bits)).astype(np.int64)
-            cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            full = np.flatnonzero(np.diff(cut))
-            blocks = [items[cut[i] : cut[i + 1]].tobytes() + holder[cut[i] : cut[i + 1]].tobytes() for i in full]
-            yield pa.record_batch([pa.array(full.astype(np.int32)), pa.array(blocks, pa.binary())], ["shard", "block"])
+            shard = (items >> U64(64 - bits)).astype(np.int32)
+            begin = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            blocks = [items[a:z].tobytes() + holder[a:z].tobytes() for a, z in zip(begin, [*begin[1:], len(items)])]
+            yield pa.record_batch([pa.array(shard[begin]), pa.array(blocks, pa.binary())], ["shard", "block"])
 
     return run
 
@@ -266,7 +265,7 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     sets = texts.join(side, texts["doc_id"].eqNullSafe(needed["rep"])).select("node", "text", "set_id")
     sets = common.written(sets.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "sets")
     total = needed.agg(F.sum("n_items")).first()[0] or 0
-    bits = min(16, max(6, (total // 500_000).bit_length()))
+    bits = min(30, max(6, (total // 500_000).bit_length()))  # half a million shingles a range
     alone = sets.mapInArrow(_item_blocks(bits), "shard int, block binary").groupBy("shard").applyInPandas(_single_holders, "node long, singles long")
     alone = alone.groupBy("node").agg(F.sum("singles").alias("singles"))
     sized = needed.select("node", "n_items").join(alone, "node", "left").select("node", "n_items", (F.col("n_items") - F.coalesce("singles", F.lit(0))).alias("common"))
