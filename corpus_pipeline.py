@@ -2,6 +2,12 @@
 
 Each stage works on all rows that the one before it kept, written as Parquet in between; the
 first four return the columns of documents, the last the placement of every drawn row.
+
+Defined results: an empty table passes all stages and gives no rows. Null and empty texts are
+not toxic, no duplicates and not contaminated; the mix draws them like other rows of their
+source, and they take a place of 8 bytes in a shard. Rows of a null doc_id are rows like others.
+Repeated rows with words are copies, of which one stays. Extra columns pass the first four stages
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
