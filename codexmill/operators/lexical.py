@@ -41,21 +41,32 @@ class Index:
     version: int
     pages: int
     mean: float
+    schema: str = ""
 
     def docs(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/docs/v={self.version}")
 
     def postings(self, spark: SparkSession, terms: list[str] | None = None) -> DataFrame:
-        """Live postings, of some terms or of all."""
-        rows = spark.read.parquet(f"{self.path}/postings")
-        if terms is not None:
-            buckets = spark.range(1).select(F.array_distinct(F.array(*[_bucket(F.lit(t)) for t in terms])).alias("b")).first()["b"]
-            rows = rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+        """Live postings, of some terms or of all; of terms only their buckets are listed and read."""
+        at = f"{self.path}/postings"
+        if terms is None:
+            rows = spark.read.schema(self.schema).parquet(at)
+        else:
+            buckets = spark.sql("SELECT 1").select(F.array_distinct(F.array(*[_bucket(F.lit(t)) for t in terms])).alias("b")).first()["b"]
+            held = [d for d in (f"{at}/bucket={b}" for b in buckets) if _exists(spark, d)]
+            if not held:
+                return spark.createDataFrame([], self.schema)
+            rows = spark.read.schema(self.schema).option("basePath", at).parquet(*held).where(F.col("term").isin(*terms))
         if self.version:
             rows = rows.join(self.docs(spark).select(self.key, "segment"), [self.key, "segment"], "left_semi")
         return rows
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def _segment(pages: DataFrame, key: str, fields: dict[str, Column], extra: list[str], number: int) -> tuple[DataFrame, DataFrame]:
     """(docs, postings) of some pages."""
     words = pages.select(key, *extra, *[tokens(c).alias(f"_w{i}") for i, c in enumerate(fields.values())])
@@ -82,7 +93,8 @@ def build(pages: DataFrame, key: str, fields: dict[str, Column], path: str, extr
     docs, postings = _segment(pages, key, fields, extra or [], 0)
     docs.write.mode("overwrite").parquet(f"{path}/docs/v=0")
     _write(postings, path, "overwrite")
-    return _open(pages.sparkSession, Index(path, key, tuple(fields), 0, 0, 0.0))
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*postings.dtypes, ("bucket", "int")])
+    return _open(pages.sparkSession, Index(path, key, tuple(fields), 0, 0, 0.0, schema))
 
 
 def update(index: Index, changed: DataFrame, fields: dict[str, Column], removed: DataFrame) -> Index:
