@@ -284,12 +284,12 @@ def undeclared_members(spark, sf):
     return L.undeclared(p, "p_size", "p_partkey", pairs)
 
 
-_WINDOW = "SELECT o_custkey, o_orderdate::DATE f, (o_orderdate::DATE + (o_orderkey % 40)::INT) l FROM orders WHERE o_orderkey % 5 = 0"
+_WINDOW = "SELECT o_custkey, o_orderdate::DATE f, (o_orderdate::DATE + (o_orderkey % 40)::INT) l FROM orders"
 
 
 @query(f"WITH w AS ({_WINDOW}), n AS (SELECT o_custkey, row_number() OVER () i, f, l FROM w) SELECT a.o_custkey, count(DISTINCT a.i) >= 2 AND count(b.i) = 0 disjoint FROM n a LEFT JOIN n b ON a.o_custkey = b.o_custkey AND a.i <> b.i AND NOT (a.l < b.f OR b.l < a.f) GROUP BY 1")
 def windows_disjoint(spark, sf):
-    o = frame(spark, sf, "orders", {"o_custkey": "o_custkey", "f": "cast(o_orderdate AS date)", "l": "cast(o_orderdate AS date) + cast(o_orderkey % 40 AS int)"}, "o_orderkey % 5 = 0")
+    o = frame(spark, sf, "orders", {"o_custkey": "o_custkey", "f": "cast(o_orderdate AS date)", "l": "cast(o_orderdate AS date) + cast(o_orderkey % 40 AS int)"})
     return L.all_disjoint(o, "o_custkey", "f", "l")
 
 

@@ -149,13 +149,13 @@ def entities_read(spark, sf):
     return N.read_batch(wanted, _pages(spark, sf).select("uid", "type"), records, "uid").select("uid", "type", F.coalesce("records", F.lit(0)).alias("records"))
 
 
-_MARKS = "SELECT 'P' || (o_custkey % 900)::VARCHAR || '@x.io' identifier, o_orderdate::DATE d FROM orders WHERE o_orderkey % 10 = 0"
+_MARKS = "SELECT 'P' || (o_custkey % 900)::VARCHAR || '@x.io' identifier, o_orderdate::DATE d FROM orders"
 _LISTED = f"SELECT lower(email) e, min(record) r FROM {RECORDS_SQL} GROUP BY 1"
 
 
 @query(f"SELECT coalesce(r, 'bounce-' || identifier) record, identifier, d valid_until, r IS NULL is_new FROM (SELECT lower(identifier) identifier, min(d) d FROM ({_MARKS}) GROUP BY 1) LEFT JOIN ({_LISTED}) ON e = identifier")
 def bounce_marks(spark, sf):
-    marks = frame(spark, sf, "orders", {"identifier": "'P' || cast(o_custkey % 900 AS string) || '@x.io'", "observed_at": "cast(o_orderdate AS date)"}, "o_orderkey % 10 = 0")
+    marks = frame(spark, sf, "orders", {"identifier": "'P' || cast(o_custkey % 900 AS string) || '@x.io'", "observed_at": "cast(o_orderdate AS date)"})
     return N.mark(marks, frame(spark, sf, "customer", RECORD, RECORDS).withColumn("emails", F.array("email")), "record", "emails")
 
 

@@ -151,15 +151,16 @@ _SAID = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"
 
 
 @query(
-    f"WITH s AS (SELECT conv_id, list({_SAID.format(c='text')}) FILTER (role = 'user' AND text IS NOT NULL) u, list({_SAID.format(c='text')}) FILTER (role = 'system' AND text IS NOT NULL) t FROM conversations GROUP BY 1), c AS (SELECT doc_id, doc_id % 300 conv_id, {_SAID.format(c='claim')} n FROM (SELECT doc_id, (SELECT min(string_split(text, chr(10))[1]) FROM conversations v WHERE v.conv_id = doc_id % 50) claim FROM documents)) "
-    "SELECT doc_id, CASE WHEN s.conv_id IS NULL THEN 'unavailable' WHEN coalesce(n, '') = '' THEN 'inferred' WHEN len(list_filter(coalesce(u, []), lambda x: contains(x, n))) > 0 THEN 'user-stated' WHEN len(list_filter(coalesce(t, []), lambda x: contains(x, n))) > 0 THEN 'agent-observed' ELSE 'inferred' END source FROM c LEFT JOIN s ON s.conv_id = c.conv_id"
+    f"WITH s AS (SELECT conv_id, list({_SAID.format(c='text')}) FILTER (role = 'user' AND text IS NOT NULL) u, list({_SAID.format(c='text')}) FILTER (role = 'system' AND text IS NOT NULL) t FROM conversations GROUP BY 1), c AS (SELECT conv_id * 1000 + turn turn_id, CASE WHEN turn % 5 = 4 THEN conv_id + 1000000 ELSE conv_id - conv_id % 2 END conv_id, {_SAID.format(c='string_split(text, chr(10))[1]')} n FROM conversations) "
+    "SELECT turn_id, CASE WHEN s.conv_id IS NULL THEN 'unavailable' WHEN coalesce(n, '') = '' THEN 'inferred' WHEN len(list_filter(coalesce(u, []), lambda x: contains(x, n))) > 0 THEN 'user-stated' WHEN len(list_filter(coalesce(t, []), lambda x: contains(x, n))) > 0 THEN 'agent-observed' ELSE 'inferred' END source FROM c LEFT JOIN s ON s.conv_id = c.conv_id"
 )
 def claim_sources(spark, sf):
-    """Which channel of its session first holds a claim."""
+    """Which channel of a session first holds the first line of each turn: of its own session, of
+    the one before it, or of one without a transcript."""
     v = table(spark, sf, "conversations")
-    lines = v.where("conv_id < 50").groupBy("conv_id").agg(F.min(F.split("text", "\n")[0]).alias("claim"))
-    d = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 50).alias("conv_id")).join(lines, "conv_id", "left").select("doc_id", (F.col("doc_id") % 300).alias("conv_id"), "claim")
-    return M.claim_source(d, v, "doc_id", "conv_id", "claim", "role", "text", [("user", "user-stated"), ("system", "agent-observed")])
+    session = F.when(F.col("turn") % 5 == 4, F.col("conv_id") + 1000000).otherwise(F.col("conv_id") - F.col("conv_id") % 2)
+    claims = v.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), session.alias("conv_id"), F.split("text", "\n")[0].alias("claim"))
+    return M.claim_source(claims, v, "turn_id", "conv_id", "claim", "role", "text", [("user", "user-stated"), ("system", "agent-observed")])
 
 
 @query("SELECT doc_id, len(e) > 0 AS emails, len(e) > 0 OR coalesce(len(p), 0) > 0 contact FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') e, p FROM documents LEFT JOIN (SELECT doc_id, phones p FROM (PHONES)) USING (doc_id))".replace("PHONES", _phones_sql()))

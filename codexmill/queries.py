@@ -837,11 +837,12 @@ def rewritten_links(spark, sf):
     return M.relinked(lines, "o_orderkey", F.col("l"), old, "old", "new")
 
 
-@query("SELECT a.p_partkey, b.p_partkey pooled FROM (SELECT p_partkey, p_size s FROM part WHERE p_partkey % 3 = 0) a JOIN (SELECT p_partkey, p_size s FROM part WHERE p_partkey % 3 <> 0 AND p_size % 7 = 0) b ON a.s = b.s")
+@query("SELECT a.p_partkey, b.p_partkey pooled FROM part a JOIN part b ON a.p_partkey // 6 = b.p_partkey // 6 AND a.p_partkey % 3 = 0 AND b.p_partkey % 3 <> 0")
 def pooled_ancestors(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 3 = 0 or p_size % 7 = 0")
-    scope = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("s"), "p_size", F.lit("/x"))).otherwise(F.concat(F.lit("s"), "p_size"))
-    return M.pooled(p.select("p_partkey", scope.alias("scope")), "p_partkey", "scope")
+    """Every third part stands below the scope that it shares with the others of its six."""
+    six = F.concat(F.lit("s"), F.floor(F.col("p_partkey") / 6).cast("string"))
+    scope = F.when(F.col("p_partkey") % 3 == 0, F.concat(six, F.lit("/x"))).otherwise(six)
+    return M.pooled(table(spark, sf, "part").select("p_partkey", scope.alias("scope")), "p_partkey", "scope")
 
 
 @query("SELECT 'questions' queue, event_id::VARCHAR AS key, strftime(ts, '%Y-%m-%d') created FROM events WHERE event_type = 'error' UNION ALL SELECT 'orders', o_orderkey::VARCHAR, '' FROM orders WHERE o_orderstatus = 'P'")
