@@ -80,10 +80,14 @@ def enacted(action: Column, older: Column, bound: Column) -> Column:
 def undeclared(members: DataFrame, group: str, key: str, declared_pairs: DataFrame) -> DataFrame:
     """(group, key): members that have an undeclared partner in their group. A member whose pairs
     are all declared needs no comparison. Counted, not paired: a member of a group of n is left
-    out if n - 1 declared pairs name it."""
-    size = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    names = declared_pairs.select(group, F.explode(F.array("a", "b")).alias(key), F.when(F.lit(True), 1).alias("_d"))
-    told = names.groupBy(group, key).agg(F.count(F.lit(1)).alias("_d"))
+    out if n - 1 different members are declared against it. A pair counts once, however often and
+    in whatever order it is declared; pairs with itself or with one outside the group don't."""
+    there = members.select(group, key).distinct()
+    size = there.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = declared_pairs.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(there.withColumnRenamed(key, side), [group, side], "left_semi")
+    told = pairs.select(group, F.explode(F.array("a", "b")).alias(key)).groupBy(group, key).agg(F.count(F.lit(1)).alias("_d"))
     rows = members.join(size, group).join(told, [group, key], "left")
     return rows.where((F.col("_n") >= 2) & (F.coalesce("_d", F.lit(0)) < F.col("_n") - 1)).select(group, key)
 

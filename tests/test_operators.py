@@ -224,3 +224,13 @@ def test_linkage_against_a_matrix():
             _, a, b = min(pairs)
             group[a] |= group.pop(b)
         assert K.linked([(a, b, s) for (a, b), s in edges.items()], 0.3) == {x: min(g) for g in group.values() for x in g}
+
+
+def test_a_pair_is_declared_once(spark):
+    from codexmill.operators import ladder
+
+    members = spark.createDataFrame([(1, "x"), (1, "y"), (1, "z"), (2, "p"), (2, "q"), (3, "alone")], "g int, k string")
+    # stated twice, both ways round, against itself and against one that is no member
+    pairs = spark.createDataFrame([(1, "x", "y"), (1, "x", "y"), (1, "y", "x"), (1, "z", "z"), (1, "z", "w"), (1, "z", "v"), (2, "q", "p")], "g int, a string, b string")
+    left = {tuple(r) for r in ladder.undeclared(members, "g", "k", pairs).collect()}
+    assert left == {(1, "x"), (1, "y"), (1, "z")}
