@@ -48,10 +48,15 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold no more than BATCH_BYTES."""
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, as a URI for Spark. What is written there goes when
     the application ends, or before that by `remove`."""
-    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    bound_batches(spark)
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     fs, at = _file_system(spark, path)
     fs.mkdirs(at)  # only what exists can be marked

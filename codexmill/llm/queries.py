@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, mixing, neardup, sharding, tokenstore, toxicity, urls, vafile
+from . import decontaminate, licenses, lm, mixing, neardup, periodic, sharding, tokenstore, toxicity, urls, vafile
 from .common import table
 
 
@@ -55,6 +55,17 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(folder, keys)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.repeats(periodic.looped(table(spark, sf_dir, "documents")))
+    best = periodic.longest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", "collapsed", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.array_join(lines, "").alias("lines"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    milli = F.floor(length * 1000 / period)
+    digest = lambda c, name: F.sha2(F.col(c).cast("binary"), 256).alias(name)
+    return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), digest("lines", "runs_sha256"), digest("collapsed", "collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, pipeline)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, op11_periodic_runs, pipeline)}
 
 
 _OP3 = """
