@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, mixing, neardup, periodic, sharding, tokenstore, toxicity, urls, vafile
+from . import align, decontaminate, licenses, lm, mixing, neardup, periodic, sharding, tokenstore, toxicity, urls, vafile
 from .common import table
 
 
@@ -66,6 +66,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), digest("lines", "runs_sha256"), digest("collapsed", "collapsed_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, op11_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, op11_periodic_runs, op13_token_alignment, pipeline)}
 
 
 _OP3 = """
