@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, decontaminate, licenses, lm, mixing, neardup, periodic, sharding, tokenstore, toxicity, urls, vafile
+from . import align, decontaminate, licenses, lm, mixing, neardup, periodic, runindex, sharding, tokenstore, toxicity, urls, vafile
 from .common import table
 
 
@@ -66,6 +66,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), milli.alias("exponent_milli"), digest("lines", "runs_sha256"), digest("collapsed", "collapsed_sha256"))
 
 
+def op12_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runindex.drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, op11_periodic_runs, op13_token_alignment, pipeline)}
+    return {f.__name__: f for f in (op1_lm_score, op2_toxicity, op3_url_filter, op4_decontamination, op5_license_scan, op6_sharding, op7_mixing, op8_vector_search, op9_near_dedup, op10_token_store, op11_periodic_runs, op12_repeated_substrings, op13_token_alignment, pipeline)}
 
 
 _OP3 = """
