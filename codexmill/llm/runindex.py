@@ -43,10 +43,12 @@ from .textcore import U64, Words, mix64, text_buffers
 LENGTH = 200
 #: Bytes of a name's hash at first, and for names that too many segments share.
 NAMES = (32, 116, 180, LENGTH)
-#: A block of the index has about so many bytes; a name with more is named again.
-BLOCK = 1 << 20
+#: A block of the index has about so many bytes.
+BLOCK = 1 << 18
+#: A name with more bytes of different segments is named again.
+SHARED = 1 << 20
 #: Texts are read in pieces of so many bytes (a piece's last windows reach into the next).
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 class Bytes(Words):
@@ -157,24 +159,36 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([flat.field("name"), flat.field("digest"), flat.field("copies"), pa.array(parts, pa.binary())], ["name", "digest", "copies", "bytes"])
 
 
-def suffixes(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of a sequence whose last symbol is unique: prefix doubling that sorts only
-    what is still tied."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    ranked = symbols[order]
-    new = np.ones(n, bool)
-    new[1:] = ranked[1:] != ranked[:-1]
+def suffixes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The suffix array of segments, each with a wall of its own behind it, walls before bytes and
+    in the order of segments: seven bytes at once, then prefix doubling that sorts only what is
+    still tied."""
+    parts = len(offsets) - 1
+    n = len(data) + parts
+    of = np.repeat(np.arange(parts), np.diff(offsets))
+    place = np.arange(len(data)) + of
+    left = np.minimum(offsets[of + 1] - np.arange(len(data)), 7)
+    lanes = np.ndarray((len(data),), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,)).astype(U64)
+    drop = U64(64) - left.astype(U64) * U64(8)
+    key = np.zeros(n, U64)
+    key[place] = (lanes >> drop << drop) | left.astype(U64)
+    ends = np.ones(n, bool)  # a wall is among the first seven symbols
+    ends[place] = left < 7
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    new = ends[order]
+    new[1:] |= (ranked[1:] != ranked[:-1]) | new[:-1]
+    new[0] = True
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    tied, h = np.arange(n), 1
+    tied, h = np.arange(n), 7
     while True:
         alone = new[tied] & np.concatenate([new, [True]])[tied + 1]
         tied = tied[~alone]
         if not len(tied):
             return order
         at = order[tied]
-        key = (rank[at] << 32) | rank[at + h]  # a tied suffix has no unique symbol among its first h
+        key = (rank[at] << 32) | rank[at + h]  # a tied suffix has no wall among its first h symbols
         by = np.argsort(key)
         order[tied], key = at[by], key[by]
         new[tied] = np.concatenate([[True], key[1:] != key[:-1]])
@@ -220,7 +234,7 @@ class RunIndex:
         text[self.place] = data.astype(np.int64) + parts
         walls = offsets[1:] + np.arange(parts)
         text[walls] = np.arange(parts)
-        order = suffixes(text)
+        order = suffixes(data, offsets)
         before = text[order - 1]
         head = np.ones(len(text), bool)
         head[1:] = before[1:] != before[:-1]
@@ -299,10 +313,10 @@ def _index(length: int):
     return run
 
 
-def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[int, ...] = NAMES, block: int | None = None) -> DataFrame:
+def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[int, ...] = NAMES, shared: int | None = None) -> DataFrame:
     """row, start, end of stretches that cover all windows of texts (row, bytes) which start more
     than once. A written table; stretches may overlap."""
-    block, spark = BLOCK if block is None else block, texts.sparkSession
+    shared, spark = SHARED if shared is None else shared, texts.sparkSession
     final = level == len(names) - 1
     kind = "name long, digest long, row long, begin long, size long, twice boolean"
     found, at_found = common.written_at(texts.mapInArrow(_emit(names[level], length), kind), "segments")
@@ -318,7 +332,7 @@ def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[i
     if not final and not mixed.isEmpty():
         one = mixed.groupBy("name", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "begin", "size")).alias("one"))
         one = common.written(one.select("name", "digest", "copies", "one.*"), "distinct")
-        hot = common.written(one.groupBy("name").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > block).select("name"), "hot-names")
+        hot = common.written(one.groupBy("name").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > shared).select("name"), "hot-names")
         chosen = one.groupBy("row").agg(F.collect_list(F.struct("name", "digest", "copies", "begin", "size")).alias("chosen"))
         fetched = texts.join(common.small(chosen), "row").select("bytes", "chosen").mapInArrow(_fetch, "name long, digest long, copies long, bytes binary")
         fetched, at_fetched = common.written_at(fetched, "fetched")
@@ -329,7 +343,7 @@ def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[i
         if not hot.isEmpty():
             many = fetched.join(common.small(hot), "name").withColumn("row", F.monotonically_increasing_id())
             many = common.written(many, "hot-segments")
-            again = marks(many.select("row", "bytes"), level + 1, length, names, block)
+            again = marks(many.select("row", "bytes"), level + 1, length, names, shared)
             spans = spans.unionByName(again.join(many, "row").select("name", "digest", "start", "end"))
         # a segment with copies repeats whole, whatever else matches it
         copied = one.where("copies > 1").select("name", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))

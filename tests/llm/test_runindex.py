@@ -56,10 +56,11 @@ def test_matching_statistics_and_samples():
 
 def test_suffixes_are_in_order():
     rng = random.Random(1)
-    for n, letters in ((1, 1), (50, 2), (3000, 3), (900, 1)):
-        line = np.array([rng.randint(1, letters) for _ in range(n)] + [0])
-        got = runindex.suffixes(line).tolist()
-        assert got == sorted(range(n + 1), key=lambda i: line[i:].tolist())
+    for n, letters in ((1, 1), (50, 2), (3000, 3), (900, 1), (400, 0)):
+        parts = [bytes(rng.randint(0, letters) for _ in range(rng.choice((0, 3, 9, 60)))) for _ in range(n // 30 + 2)]
+        line = [x for i, p in enumerate(parts) for x in [*(b + len(parts) for b in p), i]]
+        got = runindex.suffixes(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])).tolist()
+        assert got == sorted(range(len(line)), key=lambda i: line[i:])
 
 
 def test_agreement_of_long_and_unlike_stretches():
@@ -119,8 +120,8 @@ def test_query_matches_brute_force(spark, docs, prose, tmp_path):
 
 
 def test_names_that_many_segments_share(spark, docs, prose, monkeypatch):
-    """With tiny blocks nearly all names are named again, down to whole windows."""
-    monkeypatch.setattr(runindex, "BLOCK", 900)
+    """With a tiny bound nearly all names are named again, down to whole windows."""
+    monkeypatch.setattr(runindex, "SHARED", 900)
     rows = corpus(prose)
     got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in runindex.drop_repeats(docs(rows)).collect()]
     want = [(i, len(raw), spans_of(g), bytes(np.frombuffer(raw, np.uint8)[~g])) for (i, _), (raw, g) in zip(rows, brute([t for _, t in rows], 200))]
