@@ -58,6 +58,11 @@ class Bytes(Words):
         self.data = data
 
 
+def byte_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column, whose entries may cut characters."""
+    return text_buffers(column.cast(pa.large_binary()).view(pa.large_string()))
+
+
 def _names(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k >= 8 bytes from each place on (none for the last k - 1)."""
     out = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)) * U64(0x9FB21C651E98DF25)
@@ -135,7 +140,7 @@ def _pieces(rows: np.ndarray, raw: np.ndarray, offsets: np.ndarray, length: int)
 def _emit(k: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = text_buffers(batch.column(1))
+            raw, offsets = byte_buffers(batch.column(1))
             for rows, data, own, base in _pieces(batch.column(0).to_numpy(), raw, offsets, length):
                 name, begin, end, twice = segments(data, own, k, length)
                 digest = Bytes(data).hash_spans(begin, end)
@@ -153,7 +158,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, counts = chosen.flatten(), np.diff(chosen.offsets.to_numpy())
         begin, size = flat.field("begin").to_numpy(), flat.field("size").to_numpy()
         own = np.repeat(np.arange(len(counts)), counts)
-        raw, offsets = text_buffers(text)
+        raw, offsets = byte_buffers(text)
         data, start = memoryview(raw), offsets[own] + begin
         parts = [bytes(data[a:b]) for a, b in zip(start.tolist(), (start + size).tolist())]
         yield pa.record_batch([flat.field("name"), flat.field("digest"), flat.field("copies"), pa.array(parts, pa.binary())], ["name", "digest", "copies", "bytes"])

@@ -107,6 +107,8 @@ def corpus(prose):
     base = prose(200).split()
     rows += [(300 + i, " ".join("edit" if j == 7 * i else w for j, w in enumerate(base))) for i in range(20)]
     rows += [(400 + i, rows[3][1]) for i in range(5)]
+    accents = base[:90]
+    rows += [(600 + i, " ".join("édité" if j == 9 * i else w.replace("e", "é").replace("n", "語") for j, w in enumerate(accents))) for i in range(10)]
     half = prose(80)
     rows += [(500, f"{half} {half}"), (501, "a" * 900), (502, "a" * 205), (503, "b" * 200), (504, "b" * 199), (505, "xy" * 150), (506, "é" * 130), (507, prose(50) + "é" * 99 + "ü"), (508, None), (509, ""), (None, passage), (None, None), (7, rows[7][1])]
     return rows
