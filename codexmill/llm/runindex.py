@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -318,6 +318,15 @@ def _index(length: int):
     return run
 
 
+def joined(marked: DataFrame) -> DataFrame:
+    """row, start, end of marks that overlap or touch, put together."""
+    by = Window.partitionBy("row").orderBy("start", "end")
+    far = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = marked.withColumn("begins", F.when(far.isNull() | (F.col("start") > far), 1).otherwise(0))
+    nth = F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return begins.withColumn("nth", nth).groupBy("row", "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nth")
+
+
 def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[int, ...] = NAMES, shared: int | None = None) -> DataFrame:
     """row, start, end of stretches that cover all windows of texts (row, bytes) which start more
     than once. A written table; stretches may overlap."""
@@ -348,7 +357,7 @@ def marks(texts: DataFrame, level: int = 0, length: int = LENGTH, names: tuple[i
         if not hot.isEmpty():
             many = fetched.join(common.small(hot), "name").withColumn("row", F.monotonically_increasing_id())
             many = common.written(many, "hot-segments")
-            again = marks(many.select("row", "bytes"), level + 1, length, names, shared)
+            again = joined(marks(many.select("row", "bytes"), level + 1, length, names, shared))
             spans = spans.unionByName(again.join(many, "row").select("name", "digest", "start", "end"))
         # a segment with copies repeats whole, whatever else matches it
         copied = one.where("copies > 1").select("name", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
