@@ -12,11 +12,11 @@ units are whole texts). A worker aligns each distinct unit once:
   groups, as two tokens lie in one component exactly if no common end parts them;
 - members of the components, in order, make the group's text; the graph's edges are the links.
 
-Counts: a task tallies how often it met each unit and sends on one row per linked id pair; Spark
-adds them up by pair. The pairs, ranges of ascending codes in arrays of their own, lie in the
-shared folder, where workers map them into memory for the second pass; they are bounded by the
-product of the vocabularies, whatever the corpus, and a worker's share of memory is its units.
-The best count of each id of the second tokenizer comes to the driver, a row per id.
+Texts are encoded once. Rows are stored with their links, whose pairs Spark counts. The counted
+pairs, ranges of ascending codes in arrays of their own, lie in the shared folder, where workers
+map them into memory to sum up each row's links; they are bounded by the product of the
+vocabularies, whatever the corpus. The best count of each id of the second tokenizer comes to the
+driver, a row per id.
 
 Defined results: a text that is null, empty, or that either tokenizer does not give back byte for
 byte (after a space) has no tokens: zeros and empty groups; repeated rows count each time; rows
@@ -31,10 +31,11 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -93,10 +94,10 @@ class Entries:
 
 
 class Aligner:
-    """Two tokenizers and the units that a worker has met. `codes` and `counts` of the corpus's
-    pairs, and `best` of the second tokenizer's ids, are there in the second pass."""
+    """Two tokenizers and the units that a worker has met. By the slot of a unit: its groups'
+    text, facts (broken, n_a, n_b, n_groups, n_links) and links, flat."""
 
-    def __init__(self, byte_path: str, piece_path: str, pairs: tuple | None):
+    def __init__(self, byte_path: str, piece_path: str):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -106,16 +107,25 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.of_a, self.of_b = Entries(_byte_entries(self.a)), Entries(_piece_entries(self.b))
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.of_b.entries)
-        self.pairs = pairs
-        self.forget()
-
-    def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.bytes = 0
-        self.texts: list[bytes] = []  # the groups of a unit
-        self.facts = np.zeros((7, 1024), np.int64)  # broken, n_a, n_b, n_groups, n_links, n_best, count_sum
-        self.links: list[np.ndarray] = []
-        self.met = np.zeros(1024, np.int64)
+        self._keep(np.empty(0, np.int64))
+
+    def _keep(self, slots: np.ndarray) -> None:
+        """Go on with some of the units met so far."""
+        old = getattr(self, "names", [])
+        self.names = [old[i] for i in slots.tolist()]
+        self.slot = {u: i for i, u in enumerate(self.names)}
+        self.texts = [self.texts[i] for i in slots.tolist()] if old else []
+        self.facts = self.facts[:, slots] if old else np.zeros((5, 0), np.int64)
+        self.links = self.links[_ranges(self.link_at[slots], self.facts[4])] if old else np.empty(0, np.int64)
+        self.link_at = np.cumsum(self.facts[4]) - self.facts[4]
+        self.met = np.zeros(len(slots), np.int64)
+        self.bytes = sum(map(len, self.texts))
+
+    def rest(self) -> None:
+        """Make room: units that came but once since the last time go, or all if that is too few."""
+        if len(self.texts) > KNOWN_UNITS or self.bytes > KNOWN_BYTES:
+            again = np.flatnonzero(self.met > 1)
+            self._keep(again if len(again) < KNOWN_UNITS // 2 else again[:0])
 
     def units(self, text: str) -> Iterator[list[str]]:
         """The units of a text, a piece of it at a time."""
@@ -128,132 +138,135 @@ class Aligner:
     def slots(self, units: list[str]) -> np.ndarray:
         known = self.slot
         if new := [u for u in dict.fromkeys(units) if u not in known]:
-            for i in range(0, len(new), 20_000):
-                self._learn(new[i : i + 20_000])
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+            # a few thousand at once: numpy's calls cost little, its arrays stay in the cache
+            found = [self._learned(new[i : i + 8000]) for i in range(0, len(new), 8000)]
+            texts, facts, links = zip(*found)
+            known.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+            self.names += new
+            self.texts += [t for some in texts for t in some]
+            self.facts = np.concatenate([self.facts, *facts], 1)
+            self.links = np.concatenate([self.links, *links])
+            self.link_at = np.cumsum(self.facts[4]) - self.facts[4]
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.bytes += sum(len(t) for some in texts for t in some)
+        out = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        self.met += np.bincount(out, minlength=len(self.met))
+        return out
 
-    def _learn(self, units: list[str]) -> None:
+    def _learned(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(groups, facts, links) of some units."""
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
         raw = [b" " + u.encode() for u in units]
-        whole = lambda entries, ids: b"".join(map(entries.__getitem__, ids))
-        good = [whole(self.of_a.entries, x) == r and whole(self.of_b.entries, y) == r for x, y, r in zip(ids_a, ids_b, raw)]
-        if not all(good):
-            ids_a, ids_b = ([x if ok else [] for x, ok in zip(ids, good)] for ids in (ids_a, ids_b))
-            raw = [r if ok else b"" for r, ok in zip(raw, good)]
-        flat = lambda lists: (np.fromiter((i for x in lists for i in x), np.int64), np.array([len(x) for x in lists], np.int64))
+        flat = lambda lists: (np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
         (a, n_a), (b, n_b) = flat(ids_a), flat(ids_b)
+        count = lambda x, w=None: np.bincount(x, w, len(units)).astype(np.int64)
+        unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
+        size, line = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
+        whole = lambda entries, ids: b"".join(map(entries.__getitem__, ids))
+        broken = np.zeros(len(units), np.int64)
+        same = (count(unit_a, self.of_a.width[a]) == size).all() and (count(unit_b, self.of_b.width[b]) == size).all()
+        if not (same and whole(self.of_a.entries, a.tolist()) == line and whole(self.of_b.entries, b.tolist()) == line):
+            broken[:] = [whole(self.of_a.entries, x) != r or whole(self.of_b.entries, y) != r for x, y, r in zip(ids_a, ids_b, raw)]
+            a, b = a[broken[unit_a] == 0], b[broken[unit_b] == 0]
+            n_a, n_b = n_a * (1 - broken), n_b * (1 - broken)
+            unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         end_a, end_b = np.cumsum(self.of_a.width[a]), np.cumsum(self.of_b.width[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         left, right = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         group = components(left, len(a) + right, len(a) + len(b))
         # tokens in the order of group, side and place
-        order = np.lexsort((np.arange(len(group)), group))
+        order = np.argsort(group, kind="stable")
         ids, side = np.concatenate([a, b])[order], (np.arange(len(group)) >= len(a))[order]
         group = group[order]
-        ends_group = np.ones(len(group), bool)
-        ends_group[:-1] = group[1:] != group[:-1]
+        last = np.ones(len(group), bool)
+        last[:-1] = group[1:] != group[:-1]
         closing = np.full(len(group), ord(","), np.uint8)
         closing[:-1][~side[:-1] & side[1:]] = ord("|")
-        closing[ends_group] = ord(";")
-        size = np.where(side, self.of_b.size[ids * side], self.of_a.size[ids * ~side])
-        to = np.cumsum(size + 1) - size - 1
-        out = np.empty(int((size + 1).sum()), np.uint8)
-        out[to + size] = closing
+        closing[last] = ord(";")
+        wide = np.where(side, self.of_b.size[ids * side], self.of_a.size[ids * ~side])
+        to = np.cumsum(wide + 1) - wide - 1
+        out = np.empty(int((wide + 1).sum()), np.uint8)
+        out[to + wide] = closing
         for entries, own in ((self.of_a, ~side), (self.of_b, side)):
-            n, start = size[own], entries.at[ids[own]]
-            fine = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            out[np.repeat(to[own], n) + fine] = entries.digits[np.repeat(start, n) + fine]
-        unit_a = np.repeat(np.arange(len(units)), n_a)
-        unit_b = np.repeat(np.arange(len(units)), n_b)
+            out[_ranges(to[own], wide[own])] = entries.digits[_ranges(entries.at[ids[own]], wide[own])]
         token_unit = np.concatenate([unit_a, unit_b])[order]
-        link_unit = unit_a[left]
-        codes = a[left] * len(self.of_b.entries) + b[right]
-        count = lambda x, w=None: np.bincount(x, w, len(units)).astype(np.int64)
-        facts = [np.array([not x for x in good], np.int64), n_a, n_b, count(token_unit[ends_group]), count(link_unit), np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)]
-        if self.pairs is not None:
-            n = self._counted(codes)
-            facts[5] = count(link_unit[n == self.pairs[2][b[right]]])
-            total = np.zeros(len(units) + 1, np.int64)
-            np.cumsum(count(link_unit), out=total[1:])
-            sums = np.concatenate([[0], np.cumsum(n)])
-            facts[6] = np.diff(sums[total])
-        first, until = len(self.texts), len(self.texts) + len(units)
-        while self.facts.shape[1] < until:
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)], 1)
-            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
-        self.facts[:, first:until] = facts
-        cut = np.concatenate([[0], np.cumsum(count(token_unit, size + 1))]).tolist()
-        text = out.tobytes()
-        self.texts += [text[x:y] for x, y in zip(cut, cut[1:])]
-        if self.pairs is None:
-            cut = np.concatenate([[0], np.cumsum(count(link_unit))]).tolist()
-            self.links += [codes[x:y] for x, y in zip(cut, cut[1:])]
-        self.slot.update(zip(units, range(first, until)))
-        self.bytes += sum(map(len, raw)) + len(text)
-
-    def _counted(self, codes: np.ndarray) -> np.ndarray:
-        """The corpus's counts of pairs, from the mapped arrays."""
-        own, counts, _ = self.pairs
-        out = np.zeros(len(codes), np.int64)
-        asked, back = np.unique(codes, return_inverse=True)
-        edges = np.searchsorted(asked, [int(x[0]) for x in own] + [1 << 62])
-        held = np.zeros(len(asked), np.int64)
-        for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a < b:
-                held[a:b] = counts[k][np.searchsorted(own[k], asked[a:b])]
-        out[:] = held[back]
-        return out
+        facts = np.stack([broken, n_a, n_b, count(token_unit[last]), count(unit_a[left])])
+        cut, text = np.concatenate([[0], np.cumsum(count(token_unit, wide + 1))]).tolist(), out.tobytes()
+        return [text[x:y] for x, y in zip(cut, cut[1:])], facts, a[left] * len(self.of_b.entries) + b[right]
 
-    def full(self) -> bool:
-        return len(self.texts) > KNOWN_UNITS or self.bytes > KNOWN_BYTES
 
-    def tally(self) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts) of the pairs of all units met since the last tally."""
-        some = np.flatnonzero(self.met[: len(self.texts)])
-        if not len(some):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        links = [self.links[i] for i in some.tolist()]
-        times = np.repeat(self.met[some], [len(x) for x in links])
-        codes = np.concatenate(links)
-        self.met[:] = 0
-        order = np.argsort(codes)
-        codes, times = codes[order], times[order]
-        edge = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
-        return codes[edge], np.add.reduceat(times, edge) if len(edge) else times
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each entry, `count` of them."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - start, count)
 
 
 @lru_cache(maxsize=1)
-def _aligner(byte_path: str, piece_path: str, folder: str | None) -> Aligner:
-    pairs = None
-    if folder:
-        load = lambda name: np.load(f"{folder}/{name}", mmap_mode="r")
-        ranges = sorted((int(load(x)[0]), x) for x in os.listdir(folder) if x.startswith("codes-"))
-        pairs = ([load(x) for _, x in ranges], [load(x.replace("codes-", "counts-")) for _, x in ranges], load("best.npy"))
-    return Aligner(byte_path, piece_path, pairs)
+def _aligner(byte_path: str, piece_path: str) -> Aligner:
+    return Aligner(byte_path, piece_path)
 
 
-def _count(byte_path: str, piece_path: str):
+def _encode(byte_path: str, piece_path: str):
+    """Counts, groups and links of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _aligner(byte_path, piece_path, None)
-        at.met[:] = 0  # what a task that failed has left
-        rows = lambda: pa.record_batch([pa.array(x) for x in at.tally()], ["code", "n"])
+        at = _aligner(byte_path, piece_path)
         for batch in batches:
-            for text in batch.column(0):
-                if text := text.as_py():
-                    # a text that is not given back counts nowhere, so its pieces are kept till its end
-                    slots = [at.slots(u) for u in at.units(text)]
-                    if not any(at.facts[0][s].any() for s in slots):
-                        for s in slots:
-                            np.add.at(at.met, s, 1)
-                if at.full():
-                    yield rows()
-                    at.forget()
-        yield rows()
+            texts = batch.column(1).to_pylist()
+            slots, docs, units, of = [], [], [], []
+
+            def take():
+                slots.append(at.slots(units))
+                docs.append(np.repeat([d for d, _ in of], [n for _, n in of]))
+                units.clear(), of.clear()
+
+            for doc, text in enumerate(texts):
+                for piece in at.units(text) if text else ():
+                    units.extend(piece)
+                    of.append((doc, len(piece)))
+                    if len(units) > PIECE:
+                        take()
+            take()
+            slot, doc = np.concatenate(slots).astype(np.int64), np.concatenate(docs).astype(np.int64)
+            bad = np.bincount(doc, at.facts[0][slot], len(texts)) > 0
+            slot, doc = slot[~bad[doc]], doc[~bad[doc]]
+            sums = [np.bincount(doc, f[slot], len(texts)).astype(np.int64) for f in at.facts[1:]]
+            until = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+            every = [at.texts[i] for i in slot.tolist()]
+            groups = [b"".join(every[x:y])[:-1].decode() for x, y in zip([0, *until], until)]
+            links = at.links[_ranges(at.link_at[slot], at.facts[4][slot])]
+            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums[3])]), pa.int32()), pa.array(links))
+            yield pa.record_batch([batch.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), listed], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+            at.rest()
 
     return run
 
 
+class Pairs:
+    """The corpus's counted pairs: ranges of ascending codes, their counts, and the best count of
+    each id of the second tokenizer."""
+
+    def __init__(self, folder: str):
+        load = lambda name: np.load(f"{folder}/{name}", mmap_mode="r")
+        names = sorted(x for x in os.listdir(folder) if x.startswith("codes-"))
+        self.codes, self.counts, self.best = [load(x) for x in names], [load(x.replace("codes-", "counts-")) for x in names], load("best.npy")
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        asked, back = np.unique(codes, return_inverse=True)
+        edges = np.searchsorted(asked, [int(x[0]) for x in self.codes] + [1 << 62])
+        out = np.zeros(len(asked), np.int64)
+        for own, counts, a, b in zip(self.codes, self.counts, edges, edges[1:]):
+            if a < b:
+                out[a:b] = counts[np.searchsorted(own, asked[a:b])]
+        return out[back]
+
+
+@lru_cache(maxsize=1)
+def _pairs(folder: str) -> Pairs:
+    return Pairs(folder)
+
+
 def _save(folder: str):
     """Store ranges of pairs; files appear whole or not at all, and a repeated task's are the
     same. Ranges are named by their first code."""
@@ -271,50 +284,61 @@ def _save(folder: str):
     return run
 
 
-def _place(byte_path: str, piece_path: str, folder: str | None):
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
+def _sum(folder: str, size: int):
+    """n_best and count_sum of each row's links, in the place of the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = _aligner(byte_path, piece_path, folder)
         for batch in batches:
-            sums, groups = [], []
-            for text in batch.column(1):
-                slots = [at.slots(u) for u in at.units(text)] if (text := text.as_py()) else []
-                if not slots or any(at.facts[0][s].any() for s in slots):
-                    sums.append([0] * 6)
-                    groups.append("")
-                else:
-                    sums.append(sum(at.facts[1:, s].sum(1) for s in slots).tolist())
-                    groups.append(b"".join([at.texts[i] for s in slots for i in s.tolist()])[:-1].decode())
-                if at.full():
-                    at.forget()
-            yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (zip(*sums) if sums else [[]] * 6)), pa.array(groups, pa.string())], names)
+            listed = batch.column(0)
+            codes, ends = listed.flatten().to_numpy(), np.diff(listed.offsets.to_numpy())
+            n_best = count_sum = np.zeros(len(listed), np.int64)
+            if len(codes):
+                pairs, row = _pairs(folder), np.repeat(np.arange(len(listed)), ends)
+                n = pairs.of(codes)
+                n_best = np.bincount(row[n == pairs.best[codes % size]], minlength=len(listed))
+                sums = np.concatenate([[0], np.cumsum(n)])  # whole numbers, exact
+                until = np.cumsum(ends)
+                count_sum = sums[until] - sums[until - ends]
+            yield pa.record_batch([*batch.columns[1:], pa.array(n_best), pa.array(count_sum)], [*batch.schema.names[1:], "n_best", "count_sum"])
 
     return run
 
 
-def pair_counts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """code, n: how many links of the corpus hold each pair of ids, of which the code is
-    id of the first * size of the second vocabulary + id of the second."""
+def encoded(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups (`a1,a2|b1;a3|b2,b3`) and links of every row. A
+    link is a code: id of the first * size of the second vocabulary + id of the second."""
     common.bound_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(_count(byte_path, piece_path), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_encode(byte_path, piece_path), f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>")
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, folder: str | None = None) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups of every row; `groups` as
-    `a1,a2|b1;a3|b2,b3`. `folder`: a folder that all nodes mount, for the pairs."""
+def align(docs: DataFrame, byte_path: str, piece_path: str, folder: str | None = None, groups: Column | None = None) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups, n_best and count_sum of every row. `groups`:
+    what is to be kept of the column groups, by default its text. `folder`: a folder that all nodes
+    mount, for the pairs."""
     import sentencepiece
 
     spark = docs.sparkSession
     size = sentencepiece.SentencePieceProcessor(model_file=piece_path).get_piece_size()
     folder = folder or common.mounted(common.shared_path(spark, "pairs"))
     os.makedirs(folder, exist_ok=True)
-    counts = common.written(pair_counts(docs, byte_path, piece_path), "pair-counts")
+    rows = encoded(docs, byte_path, piece_path).withColumn("groups", F.col("groups") if groups is None else groups)
+    short = size * _entries(byte_path) <= 1 << 31  # codes that fit four bytes are stored in four
+    rows = common.written(rows.withColumn("links", F.col("links").cast("array<int>")) if short else rows, "aligned")
+    counts = rows.select(F.explode("links").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    counts = common.written(counts.select(F.col("code").cast("long").alias("code"), "n"), "pair-counts")
     best = np.zeros(size, np.int64)
     for b, n in counts.groupBy((F.col("code") % size).alias("b")).agg(F.max("n")).collect():  # a row per id
         best[b] = n
     np.save(f"{folder}/best.npy", best)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts.repartitionByRange(parts, "code").sortWithinPartitions("code").mapInArrow(_save(folder), "n long").agg(F.sum("n")).collect()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_place(byte_path, piece_path, folder), f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups"]
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select("links", *kept).mapInArrow(_sum(folder, size), f"{kinds}, n_best long, count_sum long")
+
+
+def _entries(byte_path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(byte_path).get_vocab_size(True)

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
@@ -101,40 +102,23 @@ def test_query_matches_brute_force(spark, docs, prose, tmp_path):
 
 def test_real_texts_in_pieces_with_a_small_memory(spark, docs, tmp_path, monkeypatch):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(25).collect()]
-    rows.append((999, " ".join(t for _, t in rows)[:40_000]))
-    want = brute(rows[:-1])
-    aligner = align.Aligner(A, B, None)
+    assert run(spark, docs, rows, tmp_path) == order(brute(rows))
+    batch = lambda some: pa.record_batch([pa.array([i for i, _ in some]), pa.array([t for _, t in some])], ["doc_id", "text"])
+    rows += [(50 + i, t) for i, t in enumerate(ODD)] + [(999, " ".join(t for _, t in rows)[:40_000])]
+    align._aligner.cache_clear()
+    whole = [r for b in align._encode(A, B)(iter([batch(rows)])) for r in b.to_pylist()]
     monkeypatch.setattr(align, "PIECE", 700)
-    for doc_id, text in rows:
-        assert " ".join(u for part in aligner.units(text) for u in part) == text
-    assert run(spark, docs, rows[:-1], tmp_path) == order(want)
-    whole, parts = [], []
-    for kept, piece in ((whole, 1 << 20), (parts, 700)):
-        monkeypatch.setattr(align, "PIECE", piece)
-        for u in aligner.units(rows[-1][1]):
-            kept.append(b"".join(aligner.texts[i] for i in aligner.slots(u)))
-    assert len(parts) > 20 and b"".join(parts) == b"".join(whole)
-
-
-def test_forgotten_units_change_no_count(spark, prose):
-    import pyarrow as pa
-
-    texts = [prose(40) for _ in range(30)] * 2
-    batch = pa.record_batch([pa.array(texts)], ["text"])
-    total = Counter()
+    monkeypatch.setattr(align, "KNOWN_UNITS", 300)
+    parts = [r for b in align._encode(A, B)(iter([batch(rows[i : i + 5]) for i in range(0, len(rows), 5)])) for r in b.to_pylist()]
+    assert parts == whole
+    assert len(align._aligner(A, B).names) < 3000
     align._aligner.cache_clear()
-    for b in align._count(A, B)(iter([batch])):
-        total.update(dict(zip(*(b.column(i).to_pylist() for i in (0, 1)))))
-    known, align.KNOWN_UNITS = align.KNOWN_UNITS, 100
-    try:
-        few = Counter()
-        out = list(align._count(A, B)(iter([batch])))
-        for b in out:
-            for c, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                few[c] += n
-        assert len(out) > 3 and few == total
-    finally:
-        align.KNOWN_UNITS = known
+
+
+def test_groups_as_text(spark, docs):
+    got = align.align(docs([(1, "hello there"), (2, None)]), A, B).orderBy("doc_id").collect()
+    assert [g.split("|")[0] for g in got[0].groups.split(";")] == [str(i) for i in Tokenizer.from_file(A).encode(" hello there").ids]
+    assert (got[1].groups, got[1].n_links, got[1].count_sum) == ("", 0, 0)
 
 
 def test_components_are_those_of_a_search():
