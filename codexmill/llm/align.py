@@ -26,12 +26,13 @@ other than doc_id and text are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .textcore import slices, text_buffers
 
 #: A worker forgets its units when it holds so many, or so many bytes of them.
-KNOWN_UNITS, KNOWN_BYTES = 400_000, 48 << 20
-#: Longer texts are taken in pieces of about so many characters.
+KNOWN_UNITS, KNOWN_BYTES = 280_000, 32 << 20
+#: Texts are taken together up to so many bytes; longer ones in pieces of about so many characters.
 PIECE = 1 << 20
+#: Units of characters below this, whose classes no version of Unicode changes, are encoded joined.
+_PLAIN_END = "\u0250"
 _CUT = re.compile(r"(?<=\S) (?=.)", re.S)
+#: Fixed: how byte-level splitting cuts a text.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Printable bytes stand for themselves in byte-level entries, the others, in order, for 256 on.
 _PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -58,6 +64,24 @@ def _byte_entries(tokenizer) -> list[bytes]:
     return out
 
 
+def _joined(path: str, entries: list[bytes]):
+    """The same vocabulary and merges for long joined texts, or None where the file asks for more
+    than byte-level splitting and merges in the order of their ids."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model, vocabulary = spec.get("pre_tokenizer") or {}, spec["model"], spec["model"]["vocab"]
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+    ids = [vocabulary[m] for m in merged]
+    alphabet = [i for token, i in vocabulary.items() if len(token) == 1]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not spec.get("normalizer")
+    if not (plain and ids == sorted(ids) and len(alphabet) == 256 and max(alphabet) < ids[0] and not model.get("ignore_merges")):
+        return None
+    ranks = {entries[i]: i for i in [*alphabet, *ids]}
+    return tiktoken.Encoding("joined", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _piece_entries(model) -> list[bytes]:
     out = []
     for i in range(model.get_piece_size()):
@@ -106,6 +130,7 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.of_a, self.of_b = Entries(_byte_entries(self.a)), Entries(_piece_entries(self.b))
+        self.joined = _joined(byte_path, self.of_a.entries)
         self.cuts = not any(b" " in x.lstrip(b" ") for x in self.of_b.entries)
         self._keep(np.empty(0, np.int64))
 
@@ -139,7 +164,11 @@ class Aligner:
         known = self.slot
         if new := [u for u in dict.fromkeys(units) if u not in known]:
             # a few thousand at once: numpy's calls cost little, its arrays stay in the cache
-            found = [self._learned(new[i : i + 8000]) for i in range(0, len(new), 8000)]
+            fast = self.joined and self.cuts
+            told = [fast and max(u) < _PLAIN_END and not u[-1].isspace() for u in new]
+            plain, rest = list(compress(new, told)), [u for u, t in zip(new, told) if not t]
+            new = [*plain, *rest]
+            found = [self._learned(some[i : i + 8000], some is plain) for some in (plain, rest) for i in range(0, len(some), 8000)]
             texts, facts, links = zip(*found)
             known.update(zip(new, range(len(self.names), len(self.names) + len(new))))
             self.names += new
@@ -153,13 +182,21 @@ class Aligner:
         self.met += np.bincount(out, minlength=len(self.met))
         return out
 
-    def _learned(self, units: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def _first(self, units: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each unit) of the first tokenizer."""
+        if plain:
+            ids = self.joined.encode_to_numpy(" " + " ".join(units), allowed_special=set(), disallowed_special=()).astype(np.int64)
+            ends = np.cumsum(self.of_a.width[ids])
+            until = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+            at = np.searchsorted(ends, until)
+            if np.array_equal(ends[np.minimum(at, len(ends) - 1)], until):
+                return ids, np.diff(at + 1, prepend=0)
+        return _flat([e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)])
+
+    def _learned(self, units: list[str], plain: bool) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(groups, facts, links) of some units."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        ids_b = self.b.encode(units, num_threads=1)
+        (a, n_a), (b, n_b) = self._first(units, plain), _flat(self.b.encode(units, num_threads=1))
         raw = [b" " + u.encode() for u in units]
-        flat = lambda lists: (np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))
-        (a, n_a), (b, n_b) = flat(ids_a), flat(ids_b)
         count = lambda x, w=None: np.bincount(x, w, len(units)).astype(np.int64)
         unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         size, line = np.fromiter(map(len, raw), np.int64, len(raw)), b"".join(raw)
@@ -167,7 +204,8 @@ class Aligner:
         broken = np.zeros(len(units), np.int64)
         same = (count(unit_a, self.of_a.width[a]) == size).all() and (count(unit_b, self.of_b.width[b]) == size).all()
         if not (same and whole(self.of_a.entries, a.tolist()) == line and whole(self.of_b.entries, b.tolist()) == line):
-            broken[:] = [whole(self.of_a.entries, x) != r or whole(self.of_b.entries, y) != r for x, y, r in zip(ids_a, ids_b, raw)]
+            parts = lambda ids, n: [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            broken[:] = [whole(self.of_a.entries, x) != r or whole(self.of_b.entries, y) != r for x, y, r in zip(parts(a, n_a), parts(b, n_b), raw)]
             a, b = a[broken[unit_a] == 0], b[broken[unit_b] == 0]
             n_a, n_b = n_a * (1 - broken), n_b * (1 - broken)
             unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
@@ -197,6 +235,10 @@ class Aligner:
         return [text[x:y] for x, y in zip(cut, cut[1:])], facts, a[left] * len(self.of_b.entries) + b[right]
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each entry, `count` of them."""
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - start, count)
@@ -213,32 +255,37 @@ def _encode(byte_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = _aligner(byte_path, piece_path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            slots, docs, units, of = [], [], [], []
-
-            def take():
-                slots.append(at.slots(units))
-                docs.append(np.repeat([d for d, _ in of], [n for _, n in of]))
-                units.clear(), of.clear()
-
-            for doc, text in enumerate(texts):
-                for piece in at.units(text) if text else ():
-                    units.extend(piece)
-                    of.append((doc, len(piece)))
-                    if len(units) > PIECE:
-                        take()
-            take()
-            slot, doc = np.concatenate(slots).astype(np.int64), np.concatenate(docs).astype(np.int64)
-            bad = np.bincount(doc, at.facts[0][slot], len(texts)) > 0
-            slot, doc = slot[~bad[doc]], doc[~bad[doc]]
-            sums = [np.bincount(doc, f[slot], len(texts)).astype(np.int64) for f in at.facts[1:]]
-            until = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
-            every = [at.texts[i] for i in slot.tolist()]
-            groups = [b"".join(every[x:y])[:-1].decode() for x, y in zip([0, *until], until)]
-            links = at.links[_ranges(at.link_at[slot], at.facts[4][slot])]
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums[3])]), pa.int32()), pa.array(links))
-            yield pa.record_batch([batch.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), listed], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
-            at.rest()
+            _, offsets = text_buffers(batch.column(1))
+            for x, y in slices(offsets, PIECE):
+                yield some(at, batch.slice(x, y - x))
+                at.rest()
+
+    def some(at: Aligner, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        slots, docs, units, of = [], [], [], []
+
+        def take():
+            slots.append(at.slots(units))
+            docs.append(np.repeat([d for d, _ in of], [n for _, n in of]))
+            units.clear(), of.clear()
+
+        for doc, text in enumerate(texts):
+            for piece in at.units(text) if text else ():
+                units.extend(piece)
+                of.append((doc, len(piece)))
+                if len(units) > PIECE:
+                    take()
+        take()
+        slot, doc = np.concatenate(slots).astype(np.int64), np.concatenate(docs).astype(np.int64)
+        bad = np.bincount(doc, at.facts[0][slot], len(texts)) > 0
+        slot, doc = slot[~bad[doc]], doc[~bad[doc]]
+        sums = [np.bincount(doc, f[slot], len(texts)).astype(np.int64) for f in at.facts[1:]]
+        until = np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+        every = [at.texts[i] for i in slot.tolist()]
+        groups = [b"".join(every[x:y])[:-1].decode() for x, y in zip([0, *until], until)]
+        links = at.links[_ranges(at.link_at[slot], at.facts[4][slot])]
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums[3])]), pa.int32()), pa.array(links))
+        return pa.record_batch([batch.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), listed], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
     return run
 

@@ -121,6 +121,17 @@ def test_groups_as_text(spark, docs):
     assert (got[1].groups, got[1].n_links, got[1].count_sum) == ("", 0, 0)
 
 
+def test_joined_units_have_the_ids_of_single_ones():
+    rng, aligner = random.Random(9), align.Aligner(A, B)
+    letters = [chr(c) for c in range(1, 0x250)] + list("abcde'  .,01\n\t") * 20
+    units = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    units = list(dict.fromkeys(u for u in units if not u[-1].isspace()))
+    assert aligner.joined is not None
+    ids, n = aligner._first(units, True)
+    want, m = aligner._first(units, False)
+    assert n.tolist() == m.tolist() and ids.tolist() == want.tolist()
+
+
 def test_components_are_those_of_a_search():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60, 400):
