@@ -122,6 +122,11 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed (maps can't)."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Rows with the facts of their key, nulls where it has none. `facts` is a written table of a
     row per key. Where it is too large for a broadcast, the keys of `hot` (those that more than

@@ -18,9 +18,10 @@ Tables are broadcast only where they are small; the filter has at most FILTER_BI
 join removes what it lets through.
 
 Defined results: null and empty texts are clean; items without words or without item_id match
-nothing; repeated items are reported once for each item_id, repeated rows for each row; an empty
-benchmark leaves all documents clean; among equal scores the least item_id is named; extra
-columns are ignored by `scan` and kept by `drop_contaminated`.
+nothing; item ids keep their type (whole numbers become long); repeated items are reported once
+for each item_id, repeated rows for each row; an empty benchmark leaves all documents clean; among
+equal scores the least item_id is named; extra columns are ignored by `scan` and kept by
+`drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -210,7 +211,8 @@ def _align(threshold: float):
                     top = min(best, key=lambda i: (-best[i], i))
                     found.append((top, best[top], sorted(i for i, s in best.items() if s >= threshold)))
                 item_id, score, items = zip(*found)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(item_id, pa.int64()), pa.array(score, pa.float64()), pa.array(items, pa.list_(pa.int64()))], ["text", "item_id", "score", "items"])
+                kind = batch.column(2).type.value_type.field("item_id").type
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(item_id, kind), pa.array(score, pa.float64()), pa.array(items, pa.list_(kind))], ["text", "item_id", "score", "items"])
 
     return run
 
@@ -219,17 +221,23 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def _id_kind(benchmark: DataFrame) -> str:
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return "long" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
 def findings(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """text (md5), item_id, score and items of each distinct text that holds a seed. A written
     table."""
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     texts = docs.select("text").where("text is not null")
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    items = common.written(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(_items, "item long, item_id long, words binary"), "items")
+    kind = _id_kind(benchmark)
+    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast(kind).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = common.written(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(_items, f"item long, item_id {kind}, words binary"), "items")
     lengths = {r[0] for r in items.select(F.least(F.octet_length("words") / 8, F.lit(LENGTHS[0])).cast("int")).distinct().collect()}  # at most LENGTHS[0] rows
     if not lengths:
-        return spark.createDataFrame([], "text binary, item_id long, score double, items array<long>")
+        return spark.createDataFrame([], f"text binary, item_id {kind}, score double, items array<{kind}>")
     spots = items.select("item", "words").mapInArrow(_spots, "item long, at int, word long")
     words = common.written(spots.select("word").distinct(), "item-words")
     # a word costs 24 bytes by the measure of `fits`, and 8 in the array that is broadcast
@@ -253,7 +261,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD
     near = pairs.join(common.small(items), "item").groupBy("text").agg(F.collect_list(F.struct("item_id", "words", "diagonals")).alias("near"))
     near = common.written(near.withColumnRenamed("text", "key"), "candidates")
     held = texts.select(_key(F.col("text")).alias("key"), "text").join(common.small(near.select("key")), "key", "left_semi").dropDuplicates(["key"])
-    return common.written(held.join(near, "key").select("key", "text", "near").mapInArrow(_align(threshold), "text binary, item_id long, score double, items array<long>"), "findings")
+    return common.written(held.join(near, "key").select("key", "text", "near").mapInArrow(_align(threshold), f"text binary, item_id {kind}, score double, items array<{kind}>"), "findings")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -263,7 +271,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     rows = docs.select("doc_id", _key(F.col("text")).alias("key"))
     rows = common.attach(rows, found, ["key"], rows.groupBy("key").count().where(F.col("count") > common.HOT_ROWS))
     hit = F.coalesce(F.size("items") > 0, F.lit(False))
-    return rows.select("doc_id", hit.alias("contaminated"), F.when(hit, F.col("item_id")).alias("item_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return rows.select("doc_id", hit.alias("contaminated"), F.when(hit, F.col("item_id")).alias("item_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("items", F.array().cast(f"array<{_id_kind(benchmark)}>")).alias("items"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

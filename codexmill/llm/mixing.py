@@ -16,7 +16,7 @@ extra columns are ignored by `plan`. `mix_rows` emits the input's own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,9 +52,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple
     return out.select("source", "source_size", F.col("number").cast("int").alias("number"), "weight", F.when(F.col("_stops"), (F.col("source_size") * most).cast("double")).otherwise(share_of).alias("target"))
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (and source, text_crc32) of every row."""
-    rows = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    """doc_id, size, source_size, target, taken, copies (and source, text_crc32, text_key) of every
+    row."""
+    rows = docs.select("doc_id", "source", common.word_count(F.col("text")).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), _text_key().alias("text_key"))
     rows = common.written(rows, "mix-sizes")
     sources = common.written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
     rows = rows.join(common.small(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
@@ -66,24 +71,25 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int,
     offset = unit(F.concat(F.lit(seed + ":"), F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))))
     crossed = F.floor(offset + (place + 1) * rate) - F.floor(offset + place * rate)
     placed = placed.withColumn("copies", F.least(crossed, F.lit(most)).cast("long"))
-    return placed.select("doc_id", "source", "text_crc32", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return placed.select("doc_id", "source", "text_crc32", "text_key", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is drawn, with the input's columns."""
     drawn = plan(docs, **options)
-    keys = ["doc_id", "source", "text_crc32"]
-    doc_id, source, crc, copies, rows, own, nth, times, draw = common.fresh(docs.columns, "_id", "_source", "_crc", "_copies", "_rows", "_own", "_nth", "_times", "_draw")
+    keys = ["doc_id", "source", "text_key"]
+    doc_id, source, key, copies, rows, own, nth, times, draw = common.fresh(docs.columns, "_id", "_source", "_key", "_copies", "_rows", "_own", "_nth", "_times", "_draw")
     # rows that agree in all keys are interchangeable; the n-th of them takes the n-th count
-    counts = drawn.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).withColumnsRenamed(dict(zip(keys, (doc_id, source, crc))))
+    counts = drawn.groupBy(*keys).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).withColumnsRenamed(dict(zip(keys, (doc_id, source, key))))
     counts = common.written(counts, "mix-plan")
-    named = docs.withColumn(own, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(crc))
+    named = docs.withColumn(own, _text_key())
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(key))
     # whole texts move once, whatever their number: a broadcast would hold a row for each document
-    joined = named.join(counts, same).select(*[F.col(f"`{c}`") for c in docs.columns], copies, rows)
+    joined = named.join(counts, same).select(*[F.col(f"`{c}`") for c in docs.columns], own, copies, rows)
     out = joined.where(F.col(rows) == 1).withColumn(times, F.col(copies))
     if not counts.where(F.col(rows) > 1).isEmpty():
-        number = F.row_number().over(Window.partitionBy("doc_id", "source", "text").orderBy(F.lit(0))) - 1
+        # by the same key as the counts, in an order that a stage run again keeps
+        number = F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(common.row_hash(docs))) - 1
         again = joined.where(F.col(rows) > 1).withColumn(nth, number)
         each = F.floor(F.col(copies) / F.col(rows)) + F.when(F.col(nth) < F.col(copies) % F.col(rows), 1).otherwise(0)
         out = out.unionByName(again.withColumn(times, each).drop(nth))

@@ -21,8 +21,8 @@ With 24 bands of 4 rows a link of similarity 0.85 is missed once in 5 * 10**7.
 Defined results: a null or empty text has an empty set and is linked with nothing; a text of
 fewer words than a shingle has one shingle of all its words; repeated rows are of one class;
 rows that share a doc_id but not a text are linked apart, yet bear one component_id where both
-lead theirs (drop_duplicates keeps one of them); a null doc_id is in its class but is
-never the smallest id, unless all are null; extra columns are ignored.
+lead theirs (drop_duplicates keeps one of them, unless the id is null); a null doc_id is in its
+class but is never the smallest id, unless all are null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from . import common
 from .textcore import U64, Words, argsort64, mix64, shingles, text_slices
 
 SLOTS, BANDS, ROWS, SHINGLE = 97, 24, 4, 5
-#: Up to so many class representatives are broadcast to the second reading of the texts.
-BROADCAST_CLASSES = 1_000_000
+#: Up to so many bytes of class representatives are broadcast to the second reading of the texts.
+CLASS_BYTES = 64 << 20
 #: In buckets of so many classes at most, all pairs of different components are compared after
 #: the first round; larger ones go on with pivots.
 SMALL_BUCKET = 64
@@ -227,14 +227,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def group(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    return _grouped(docs, percent).drop("_text_key")
+    return _grouped(docs, percent).drop("_text_key", "_lead")
 
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = common.written(texts.withColumn("_text_key", F.xxhash64("text")).mapInArrow(_sign, f"doc_id {kind}, _text_key long, n_shingles long, set_id binary, bands array<long>"), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_items"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    classes = signed.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_key")).alias("one"), F.max("n_shingles").alias("n_items"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    # many rows may share an id, so a class is led by a row's id and text
+    classes = classes.withColumns({"rep": F.col("one.doc_id"), "rep_key": F.col("one._text_key")})
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = common.written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
@@ -242,15 +244,17 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     members = common.written(banded.join(common.small(shared), "key"), "members")
     links = _links(texts, classes, members, percent)
     if links is not None:
-        joined = classes.select("node", "rep", "set_id").join(common.small(links), "node", "left").select("rep", "set_id", F.coalesce("root", "node").alias("root"))
-        least = common.written(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-        rooted = joined.join(common.small(least), "root").select("set_id", "component_id")
+        joined = classes.select("node", "one", "set_id").join(common.small(links), "node", "left").select("one", "set_id", F.coalesce("root", "node").alias("root"))
+        least = common.written(joined.groupBy("root").agg(F.min("one").alias("lead")), "least")
+        rooted = joined.join(common.small(least), "root").select("set_id", "lead")
     else:
-        rooted = classes.select("set_id", F.col("rep").alias("component_id"))
+        rooted = classes.select("set_id", F.col("one").alias("lead"))
+    rooted = common.written(rooted.select("set_id", F.col("lead.doc_id").alias("component_id"), F.col("lead._text_key").alias("_lead")), "rooted")
     # texts without words have no class, and the many copies of one text are not dealt to one task
     names = ["doc_id", "_text_key", "n_shingles"]
-    some = common.attach(signed.where("n_shingles > 0").select(*names, "set_id"), common.written(rooted, "rooted"), ["set_id"], classes.where(F.col("rows") > common.HOT_ROWS))
-    out = some.select(*names, "component_id").unionByName(signed.where("n_shingles = 0").select(*names, F.col("doc_id").alias("component_id")))
+    some = common.attach(signed.where("n_shingles > 0").select(*names, "set_id"), rooted, ["set_id"], classes.where(F.col("rows") > common.HOT_ROWS))
+    none = signed.where("n_shingles = 0").select(*names, F.col("doc_id").alias("component_id"), F.col("_text_key").alias("_lead"))
+    out = some.select(*names, "component_id", "_lead").unionByName(none)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -258,11 +262,11 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     """(node, root) of the classes that have links."""
     if members.isEmpty():
         return None
-    needed = members.select("node").distinct().join(classes.select("node", "rep", "set_id", "n_items"), "node")
+    needed = members.select("node").distinct().join(classes.select("node", "rep", "rep_key", "set_id", "n_items"), "node")
     needed = common.written(needed, "needed")
-    few = needed.count() <= BROADCAST_CLASSES
-    side = F.broadcast(needed) if few else needed
-    sets = texts.join(side, texts["doc_id"].eqNullSafe(needed["rep"])).select("node", "text", "set_id")
+    side = common.small(needed, CLASS_BYTES)
+    texts = texts.withColumn("_text_key", F.xxhash64("text"))
+    sets = texts.join(side, texts["doc_id"].eqNullSafe(needed["rep"]) & (texts["_text_key"] == needed["rep_key"])).select("node", "text", "set_id")
     sets = common.written(sets.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "sets")
     total = needed.agg(F.sum("n_items")).first()[0] or 0
     bits = min(30, max(6, (total // 500_000).bit_length()))  # half a million shingles a range
@@ -337,21 +341,21 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
 
 def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows to keep, with the input's columns: all rows without words, and one row of each
-    component, that of the smallest doc_id (where rows share it, of the least text key)."""
+    component, that of the smallest doc_id. Of components whose doc_id is the same one stays, that of
+    the least text key; of those without any doc_id each."""
     marked = common.written(_grouped(docs, percent), "grouped")
     id_key = common.fresh(docs.columns, "_id", "_key")
     named = marked.where("n_shingles > 0").withColumnsRenamed(dict(zip(("doc_id", "_text_key"), id_key)))
-    stays = named.where("kept").groupBy("component_id").agg(F.min(id_key[1]).alias("_stay"), F.count(F.lit(1)).alias("_rows"))
-    twice = common.written(stays.where("_rows > 1"), "repeated")
-    repeated = not twice.isEmpty()
-    gone = named.where("not kept").select(*id_key)
-    if repeated:
-        also = named.where("kept").join(common.small(twice), named["component_id"].eqNullSafe(twice["component_id"])).where(F.col(id_key[1]) != F.col("_stay")).select(*id_key)
-        gone = gone.unionByName(also)
-    gone = common.written(gone.distinct(), "gone")
+    leads = F.col(id_key[0]).eqNullSafe(F.col("component_id")) & (F.col(id_key[1]) == F.col("_lead"))
+    heads = common.written(named.where(leads).groupBy(*id_key).agg(F.count(F.lit(1)).alias("_rows")), "heads")
+    # different texts of one id are one document; null is no id
+    rivals = heads.where(F.col(id_key[0]).isNotNull()).groupBy(id_key[0]).agg(F.min(id_key[1]).alias("_stay"), F.count(F.lit(1)).alias("_texts"))
+    rivals = heads.join(common.small(common.written(rivals.where("_texts > 1"), "rivals")), id_key[0]).where(F.col(id_key[1]) != F.col("_stay"))
+    gone = common.written(named.where(~leads).select(*id_key).distinct().unionByName(rivals.select(*id_key)), "gone")
+    twice = common.written(heads.where("_rows > 1").select(*id_key), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col(id_key[0])) & (F.xxhash64("text") == F.col(id_key[1]))
     out = docs.join(common.small(gone), same, "left_anti")
-    if repeated:  # equal rows: one of each stays
-        stay = common.small(common.written(twice.select(F.col("component_id").alias(id_key[0]), F.col("_stay").alias(id_key[1])), "stay"))
+    if not twice.isEmpty():  # equal rows: one of each stays
+        stay = common.small(twice)
         out = out.join(stay, same, "left_anti").unionByName(out.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

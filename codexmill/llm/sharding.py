@@ -46,6 +46,6 @@ def shard_rows(docs: DataFrame, shards: int = 24) -> DataFrame:
     spans = key(assign(docs, shards)).groupBy(*names, "shard").agg(F.min("slot").alias(first), F.count(F.lit(1)).alias(n))
     earlier = Window.partitionBy(*names).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn(skip, F.coalesce(F.sum(n).over(earlier), F.lit(0)))
-    numbered = rows.withColumn(copy, F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))) - 1)
+    numbered = rows.withColumn(copy, F.row_number().over(Window.partitionBy(*names).orderBy(common.row_hash(rows))) - 1)
     placed = numbered.join(spans, names).where((F.col(copy) >= F.col(skip)) & (F.col(copy) < F.col(skip) + F.col(n)))
     return placed.select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", (F.col(first) + F.col(copy) - F.col(skip)).alias("slot"))

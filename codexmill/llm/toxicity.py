@@ -279,7 +279,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Tagger:
     """Fit on up to `sample` labelled rows of each label among those that `usable` (a condition
-    on doc_id) lets through, and of those on as many as come to `sample_bytes` of text."""
+    on doc_id) lets through, and of those on as many as come to `sample_bytes` of text. Rows longer
+    than a thirty-second of that stand behind all others, and each label keeps its first row, so no
+    single text displaces the rest."""
     known = labels.where("doc_id is not null and toxic is not null")
     known = known.where(usable) if usable is not None else known
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -290,10 +292,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None, sample: int = SAMPLE,
     each = held.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"))
     each = common.written(each.select("doc_id", "toxic", F.coalesce("t.text", F.lit("")).alias("text")), "sample")
     # the labels take turns, so a bound on bytes keeps both
-    turn = Window.partitionBy("toxic").orderBy(*order)
-    sizes = each.select("doc_id", "toxic", F.octet_length("text").alias("size")).withColumn("turn", F.row_number().over(turn))
+    turn = Window.partitionBy("toxic").orderBy(F.col("size") > sample_bytes // 32, *order)
+    sizes = each.select("doc_id", "toxic", F.octet_length("text").cast("long").alias("size")).withColumn("turn", F.row_number().over(turn))
     until = Window.orderBy("turn", "toxic", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # 2 * sample rows
-    fits = sizes.withColumn("until", F.sum("size").over(until)).where(F.col("until") <= sample_bytes).select("doc_id")
+    fits = sizes.withColumn("until", F.sum("size").over(until)).where((F.col("until") <= sample_bytes) | (F.col("turn") == 1)).select("doc_id")
     # the bounded sample meets in one task, which returns the model (4 MB)
     fitted = each.join(F.broadcast(fits), "doc_id", "left_semi").repartition(1).mapInPandas(_fit, "model binary").first()
     return pickle.loads(fitted["model"]) if fitted else Tagger()

@@ -127,3 +127,18 @@ def test_nothing_fits_a_broadcast(spark, docs, prose, monkeypatch):
     monkeypatch.setattr(nd.common, "HOT_ROWS", 5)
     rows = family(prose, 0, 30, 80, (0, 3), 1) + [(100 + i, prose(1) if i % 2 else None) for i in range(9)] + [(200 + i, "a b c d e f") for i in range(9)]
     check(spark, docs, rows)
+
+
+def test_many_rows_of_one_id(spark, docs, prose, monkeypatch):
+    """Texts meet the classes that they lead, not all classes of their id."""
+    rows = [(None, t) for _, t in family(prose, 0, 300, 60, (0, 2), 7)] * 2 + [(None, prose(30)) for _ in range(400)] + [(5, prose(30)), (5, prose(40))]
+    seen = []
+    written = nd.common.written
+    monkeypatch.setattr(nd.common, "written", lambda df, label="cut": seen.append((label, out.count())) or out if (out := written(df, label)) is not None else None)
+    got = nd.group(docs(rows)).collect()
+    assert len(got) == len(rows) and all(r.component_id is None or r.component_id == 5 for r in got)
+    assert dict(seen)["sets"] <= 300
+    assert max(n for _, n in seen) < 40 * len(rows)
+    named = brute(list(enumerate(t for _, t in rows)), 85)
+    kept = nd.drop_duplicates(docs(rows), percent=85).count()
+    assert kept == len({c for _, c in named.values()}) - 1  # the two texts of id 5 are one document

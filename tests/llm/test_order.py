@@ -129,3 +129,24 @@ def test_many_sources(spark, docs):
     sizes = [sum(len(words_of(t)) for _, t, s in rows if s == n) for n in names]
     want = water(sizes, [(3, 1, 2)[k % 3] for k in range(len(names))])
     assert all(got[n].target == pytest.approx(w) and got[n].source_size == z for n, w, z in zip(names, want, sizes))
+
+
+def test_mix_of_texts_with_one_checksum(spark, docs):
+    """Different texts of equal crc32 under a null id keep the planned number of rows."""
+    import random
+    from zlib import crc32
+
+    seen, pair, rng = {}, None, random.Random(1)
+    while pair is None:
+        text = "%014x x" % rng.getrandbits(56)
+        if (other := seen.setdefault(crc32(text.encode()), text)) != text:
+            pair = (other, text)
+    rows = [(None, pair[i % 2], "a") for i in range(5)] + [(None, pair[0], "b"), (1, "one two three", "b")]
+    d = docs(rows).withColumn("extra", F.monotonically_increasing_id())
+    planned = Counter()
+    for r in mixing.plan(d).collect():
+        planned[r.doc_id, r.source] += r.copies
+    got = mixing.mix_rows(d)
+    first = sorted(map(str, got.collect()))
+    assert Counter((r.doc_id, r.source) for r in got.collect()) == +planned
+    assert first == sorted(map(str, mixing.mix_rows(d.repartition(7)).collect()))

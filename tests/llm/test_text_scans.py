@@ -1,3 +1,4 @@
+import pickle
 """Toxicity, decontamination, licenses and the pipeline."""
 
 import random
@@ -56,6 +57,20 @@ def test_held_out_accuracy_and_spans(spark, docs, prose):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_one_long_labelled_text_displaces_no_others(spark, docs, prose):
+    rows, labels = toxic_docs(prose)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clean = [i for i, _, t in labels if not t]
+    for long in (clean[0], clean[1]):  # wherever the order of hashes puts it
+        some = [(i, t if i != long else prose(20_000)) for i, t in rows]
+        without = [(i, t) for i, t in rows if i != long]
+        fit = lambda r, known: toxicity.train(docs(r), known, sample_bytes=90_000)
+        tagger, other = fit(some, lab), fit(without, lab.where(F.col("doc_id") != long))
+        assert tagger.fitted and pickle.dumps(tagger) == pickle.dumps(other)
+    only = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(docs([(1, "zorg " * 900), (2, prose(900))]), only, sample_bytes=1000).fitted
+
+
 def test_toxicity_without_labels(spark, docs):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.toxicity(docs([(1, "a b")]), lab).collect()] == [0.5]
@@ -260,3 +275,10 @@ def test_pipeline_on_edge_tables(spark, tmp_path, docs, prose):
     left = [(r.doc_id, (r.text or "")[:5]) for r in spark.read.parquet(str(some / "decontamination")).collect()]
     assert sorted(left, key=str) == sorted([(None, text[:5]), (1, ""), (1, ""), (2, ""), (3, "w w w"), (4, rows[-1][1][:5])], key=str)
     assert corpus_pipeline.run(spark, str(some)).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+
+
+def test_items_with_text_ids(spark, docs, prose):
+    item = prose(40)
+    bench = spark.createDataFrame([("q-1", item), ("q-2", prose(40)), (None, prose(30))], "item_id string, text string")
+    got = {r.doc_id: r for r in dc.scan(docs([(1, f"{prose(20)} {item} {prose(20)}"), (2, prose(60)), (3, None)]), bench).collect()}
+    assert (got[1].item_id, got[1].items, got[2].contaminated, got[3].items) == ("q-1", ["q-1"], False, [])
