@@ -1,3 +1,3 @@
 """Queries by subject, registered on import."""
 
-from . import decisions, files, identity, reports  # noqa: F401
+from . import decisions, files, identity, pages, reports  # noqa: F401

@@ -186,27 +186,12 @@ def inference_blocks(spark, sf):
     return blocks.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("first"))
 
 
-@query("SELECT conv_id, md5(string_agg(CASE WHEN turn % 3 = 0 THEN replace(coalesce(text, ''), 'the', 'THE') ELSE coalesce(text, '') END, chr(10) ORDER BY turn)) digest FROM conversations GROUP BY 1")
-def anchored_edits(spark, sf):
-    """Edits that name the passage they replace, applied in order."""
-    c = table(spark, sf, "conversations").withColumn("t", M.edited(F.coalesce("text", F.lit("")), [("the", "THE")], F.col("turn") % 3 == 0))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n")
-    return c.groupBy("conv_id").agg(F.md5(body.cast("binary")).alias("digest"))
-
-
 @query("SELECT doc_id, 'https://' || regexp_replace(coalesce(source, ''), '^src', 'source-') || '/1' source FROM documents")
 def migrated_sources(spark, sf):
     old = F.concat(F.lit("src:"), F.coalesce("source", F.lit("")))
     return table(spark, sf, "documents").select("doc_id", R.migrated(old, [("^src:src", "https://source-"), ("^src:", "https://"), ("$", "/1")]).alias("source"))
 
 
-@query("SELECT user_id, max(ts::DATE) AS last, count(*) FILTER (event_type = 'view') pushes, count(*) FILTER (event_type = 'click') referenced FROM events GROUP BY 1")
-def session_references(spark, sf):
-    """What a session was pushed, and how much of it its transcript refers to."""
-    e = table(spark, sf, "events")
-    return R.references(e, "user_id", F.to_date("ts"), F.col("event_type") == "view", F.col("event_type") == "click")
-
-
 _CROSS = "WITH e AS (SELECT vec_id, label, embedding v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) n FROM (SELECT min(vec_id) vec_id, arg_min(label, vec_id) label, embedding FROM embeddings GROUP BY embedding)), p AS (SELECT a.vec_id a, b.vec_id b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1]::DOUBLE * z[2])) / (a.n * b.n), 9) similarity FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE NOT (a.label > 6 AND b.label > 6)) "
 
 

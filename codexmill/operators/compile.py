@@ -64,14 +64,6 @@ def claim_source(claims: DataFrame, turns: DataFrame, key: str, session: str, cl
     return rows.select(key, out.otherwise("inferred").alias("source"))
 
 
-def edited(body: Column, edits: list[tuple[str, str]], where: Column) -> Column:
-    """A body after edits that name the passage they replace; one whose passage is missing does nothing."""
-    out = body
-    for anchor, text in edits:
-        out = F.replace(out, F.lit(anchor), F.lit(text))
-    return F.when(where, out).otherwise(body)
-
-
 def as_of(members: DataFrame, group: str, key: str, valid_until: Column, day: Column) -> DataFrame:
     """(group, members, last, tag) of each cluster from the members valid at a day."""
     live = members.where(~F.coalesce(day > valid_until, F.lit(False)))

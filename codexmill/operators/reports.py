@@ -61,11 +61,6 @@ def migrated(value: Column, rules: list[tuple[str, str]]) -> Column:
     return value
 
 
-def references(events: DataFrame, session: str, day: Column, pushed: Column, referred: Column) -> DataFrame:
-    """(session, last, pushes, referenced) of each session."""
-    return events.groupBy(session).agg(F.max(day).alias("last"), F.count_if(pushed).alias("pushes"), F.count_if(referred).alias("referenced"))
-
-
 def worksheet(events: DataFrame, session: str, item: str, wanted: Column, pushed: Column) -> DataFrame:
     """(session, missed): distinct items that a session wanted and was not pushed, sorted."""
     each = events.groupBy(session, item).agg(F.max(wanted).alias("_w"), F.max(pushed).alias("_p"))
