@@ -1,34 +1,40 @@
-"""A stored lexical index: posting lists in buckets of terms, read only where a query's words are.
-
-Layout below a folder: `postings/bucket=<b>` holds (term, key, tf, length, segment), sorted by
-term, where tf counts each field and b is a hash of the term; `docs/v=<n>` holds one row per
-indexed page (key, the columns that filters need, length, segment). An update appends the changed
-pages as a new segment and writes the narrow docs table anew; postings whose segment is not the
-page's present one are dead. Queries prune to their words' buckets and row groups, and filters
-hold before the ranking.
+"""A stored lexical index over several fields: stems of words, posting lists in ranges of terms,
+read only where a query's words are.
+
+Layout below a folder: `postings/segment=<n>/part=<r>` holds (term, key, tf, length) sorted by term
+and key, where tf counts each field; parts are ranges of (term, key) of about equal size, so their
+number follows the postings and the list of a common word lies in several. `ranges/segment=<n>`
+names each part's first and last term; `docs/v=<n>` holds one row per indexed page (key, the
+columns that filters need, length, segment). An update appends the changed pages as a new segment
+and writes the narrow docs table anew; postings whose segment is not the page's present one are
+dead. Queries read the parts that their words' terms fall in, and filters hold before the ranking.
+
+Words are counted within a page before anything is shuffled; postings are shuffled once.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
+from codexmill.functions.stemming import stem, stems, words
+from codexmill.session import spread
 
 from .retrieval import STOPWORDS
 
-BUCKETS = 64
-
-
-def tokens(field: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(field, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+#: Postings of a part: at most about so many; smaller indexes have parts down to the second figure,
+#: so that all tasks take part.
+PART_ROWS, LEAST_ROWS = 4_000_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -47,40 +53,68 @@ class Index:
         return spark.read.parquet(f"{self.path}/docs/v={self.version}")
 
     def postings(self, spark: SparkSession, terms: list[str] | None = None) -> DataFrame:
-        """Live postings, of some terms or of all; of terms only their buckets are listed and read."""
+        """Live postings, of some terms or of all; of terms only their parts are listed and read."""
         at = f"{self.path}/postings"
         if terms is None:
             rows = spark.read.schema(self.schema).parquet(at)
         else:
-            buckets = spark.sql("SELECT 1").select(F.array_distinct(F.array(*[_bucket(F.lit(t)) for t in terms])).alias("b")).first()["b"]
-            held = [d for d in (f"{at}/bucket={b}" for b in buckets) if _exists(spark, d)]
+            ranges = spark.read.schema("low string, high string, part int, segment int").parquet(f"{self.path}/ranges")
+            held = ranges.where(reduce(Column.__or__, [(F.col("low") <= t) & (F.col("high") >= t) for t in terms])).collect()  # parts of the query's words
             if not held:
                 return spark.createDataFrame([], self.schema)
-            rows = spark.read.schema(self.schema).option("basePath", at).parquet(*held).where(F.col("term").isin(*terms))
+            rows = spark.read.schema(self.schema).option("basePath", at).parquet(*[f"{at}/segment={r.segment}/part={r.part}" for r in held]).where(F.col("term").isin(*terms))
         if self.version:
             rows = rows.join(self.docs(spark).select(self.key, "segment"), [self.key, "segment"], "left_semi")
         return rows
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _counted(fields: int, extra: int):
+    """For each page a row without a term, with the extra columns, and a row for each of its stems."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, heads, lengths, terms, tfs = [], [], [], [], []
+            for row, texts in enumerate(zip(*(batch.column(1 + extra + i).to_pylist() for i in range(fields)))):
+                counts: dict[str, list[int]] = {}
+                total = 0
+                for i, text in enumerate(texts):
+                    for word, n in Counter(words(text)).items():
+                        total += n
+                        counts.setdefault(stem(word), [0] * fields)[i] += n
+                at += [row] * (1 + len(counts))
+                heads += [row, *[None] * len(counts)]
+                lengths += [total] * (1 + len(counts))
+                terms += [None, *counts]
+                tfs += [[0] * fields, *counts.values()]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(tfs) + 1) * fields, pa.int32()), pa.array(list(chain.from_iterable(tfs)), pa.int32()))
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), *(batch.column(1 + i).take(pa.array(heads, pa.int64())) for i in range(extra))]
+            yield pa.record_batch([*columns, pa.array(lengths, pa.int32()), pa.array(terms, pa.string()), listed], [*batch.schema.names[: 1 + extra], "length", "term", "tf"])
+
+    return run
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _segment(pages: DataFrame, key: str, fields: dict[str, Column], extra: list[str], number: int) -> tuple[DataFrame, DataFrame]:
-    """(docs, postings) of some pages."""
-    words = pages.select(key, *extra, *[tokens(c).alias(f"_w{i}") for i, c in enumerate(fields.values())])
-    length = sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0))
-    words = words.withColumn("length", length).withColumn("segment", F.lit(number))
-    marked = lambda i: F.transform(f"_w{i}", lambda w: F.struct(w.alias("term"), F.lit(i).alias("field")))
-    each = F.concat(*[marked(i) for i in range(len(fields))])
-    rows = words.select(key, "length", "segment", F.explode(each).alias("t")).select(key, "length", "segment", "t.term", "t.field")
-    counts = F.array(*[F.count_if(F.col("field") == i).cast("int") for i in range(len(fields))])
-    return words.select(key, *extra, "length", "segment"), rows.groupBy(key, "length", "segment", "term").agg(counts.alias("tf"))
-
-
-def _write(postings: DataFrame, path: str, mode: str) -> None:
-    postings.withColumn("bucket", _bucket(F.col("term"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term").write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _segment(pages: DataFrame, key: str, fields: dict[str, Column], extra: list[str], number: int, path: str) -> DataFrame:
+    """Write the postings of some pages as a segment; their docs rows."""
+    spark = pages.sparkSession
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in [key, *extra])
+    read = spread(pages.select(key, *extra, *[c.cast("string").alias(f"_f{i}") for i, c in enumerate(fields.values())]))
+    counted = f"{path}/counted-{number}"
+    read.mapInArrow(_counted(len(fields), len(extra)), f"{kinds}, length int, term string, tf array<int>").write.mode("overwrite").parquet(counted)
+    rows = spark.read.parquet(counted)
+    postings = rows.where("term is not null").select("term", key, "tf", "length")
+    n = postings.count()
+    parts = max(math.ceil(n / PART_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LEAST_ROWS)), 1)
+    at = f"{path}/postings/segment={number}"
+    placed = postings.repartitionByRange(parts, "term", key).sortWithinPartitions("term", key)
+    placed.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(at)
+    ranges = spark.read.schema(", ".join(f"`{c}` {t}" for c, t in [*postings.dtypes, ("part", "int")])).parquet(at).groupBy("part").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    ranges.select("low", "high", "part").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranges/segment={number}")
+    return rows.where("term is null").select(key, *extra, "length", F.lit(number).alias("segment"))
 
 
 def _open(spark: SparkSession, index: Index) -> Index:
@@ -90,33 +124,35 @@ def _open(spark: SparkSession, index: Index) -> Index:
 
 def build(pages: DataFrame, key: str, fields: dict[str, Column], path: str, extra: list[str] | None = None) -> Index:
     """Index whole fields of all pages below `path`."""
-    docs, postings = _segment(pages, key, fields, extra or [], 0)
+    spark = pages.sparkSession
+    docs = _segment(pages, key, fields, extra or [], 0, path)
     docs.write.mode("overwrite").parquet(f"{path}/docs/v=0")
-    _write(postings, path, "overwrite")
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*postings.dtypes, ("bucket", "int")])
-    return _open(pages.sparkSession, Index(path, key, tuple(fields), 0, 0, 0.0, schema))
+    _remove(spark, f"{path}/counted-0")
+    schema = f"term string, `{key}` {pages.schema[key].dataType.simpleString()}, tf array<int>, length int, segment int, part int"
+    return _open(spark, Index(path, key, tuple(fields), 0, 0, 0.0, schema))
 
 
 def update(index: Index, changed: DataFrame, fields: dict[str, Column], removed: DataFrame) -> Index:
     """The next version: changed and added pages in, removed keys out. Answers as a rebuild does."""
-    spark, key = changed.sparkSession, index.key
+    spark, key, number = changed.sparkSession, index.key, index.version + 1
     old = index.docs(spark)
     extra = [c for c in old.columns if c not in (key, "length", "segment")]
-    docs, postings = _segment(changed, key, fields, extra, index.version + 1)
+    docs = _segment(changed, key, fields, extra, number, index.path)
     gone = changed.select(key).unionByName(removed.select(key)).distinct()
-    old.join(gone, key, "left_anti").unionByName(docs).write.mode("overwrite").parquet(f"{index.path}/docs/v={index.version + 1}")
-    _write(postings, index.path, "append")
-    return _open(spark, replace(index, version=index.version + 1))
+    old.join(gone, key, "left_anti").unionByName(docs).write.mode("overwrite").parquet(f"{index.path}/docs/v={number}")
+    _remove(spark, f"{index.path}/counted-{number}")
+    return _open(spark, replace(index, version=number))
 
 
 def query_terms(query: str) -> list[str]:
-    """Up to eight distinct words of three letters or more, in order, common ones left out."""
-    return list(dict.fromkeys(T.query_tokens(query, least=3, most=8, stopwords=STOPWORDS)))
+    """Distinct stems of up to eight words of three letters or more, common ones left out."""
+    return list(dict.fromkeys(s for w in T.query_tokens(query, least=3, most=8, stopwords=STOPWORDS) for s in stems(w)))
 
 
-def search(spark: SparkSession, index: Index, query: str, k: int, where: Column | None = None, weights: tuple[float, ...] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def search(spark: SparkSession, index: Index, query: str, k: int, where: Column | None = None, weights: tuple[float, ...] | None = None, k1: float = 1.2, b: float = 0.75, floor: float | None = None) -> DataFrame:
     """(key, score) of the k best pages by BM25 over the fields, words joined by OR; counts are
-    of all pages, the filter holds before the ranking; ties by key."""
+    of all pages, the filter holds before the ranking; ties by key. A word's weight is
+    ln(1 + odds); with `floor`, ln(odds), but `floor` for words that most pages hold."""
     terms = query_terms(query)
     if not terms or not index.pages:
         return index.docs(spark).select(index.key, F.lit(0.0).alias("score")).limit(0)
@@ -124,7 +160,9 @@ def search(spark: SparkSession, index: Index, query: str, k: int, where: Column
     found = {r["term"]: r["n"] for r in rows.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per query word
     idf = F.lit(0.0)
     for term, n in found.items():
-        idf = F.when(F.col("term") == term, math.log(1 + (index.pages - n + 0.5) / (n + 0.5))).otherwise(idf)
+        odds = (index.pages - n + 0.5) / (n + 0.5)
+        weight = math.log(1 + odds) if floor is None else math.log(odds) if odds > 1 else floor
+        idf = F.when(F.col("term") == term, weight).otherwise(idf)
     tf = F.lit(0.0)
     for i, weight in enumerate(weights or (1.0,) * len(index.fields)):
         tf = tf + F.col("tf")[i] * weight
@@ -136,6 +174,6 @@ def search(spark: SparkSession, index: Index, query: str, k: int, where: Column
 
 
 def dictionary(spark: SparkSession, index: Index) -> DataFrame:
-    """(term, df, cf): the index's words with their pages and occurrences."""
+    """(term, df, cf): the index's stems with their pages and occurrences."""
     count = F.aggregate("tf", F.lit(0), lambda acc, x: acc + x)
     return index.postings(spark).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(count).alias("cf"))

@@ -35,42 +35,6 @@ def keyword_search(pages: DataFrame, key: str, head: Column, body: Column, query
     return pages.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
-def postings(pages: DataFrame, key: str, body: Column) -> DataFrame:
-    """(key, term, tf, length): runs of letters and digits, lower case."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    terms = pages.select(key, words.alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return terms.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def index_terms(pages: DataFrame, key: str, body: Column) -> DataFrame:
-    """(term, df, cf): the index's dictionary."""
-    return postings(pages, key, body).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-
-
-def _matches(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
-def bm25(pages: DataFrame, key: str, body: Column, query: str, k: int, where: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over up to eight query words of three letters or more, joined by OR. Words and text
-    lengths are counted over all pages, the filter holds before the ranking.
-
-    Only query words leave the scan: a row's counts are an array as long as the query."""
-    terms = T.query_tokens(query, least=3, most=8, stopwords=STOPWORDS)
-    terms = list(dict.fromkeys(terms))
-    if not terms:
-        return pages.select(key, F.lit(0.0).alias("score")).limit(0)
-    words = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit("[a-z0-9]+"), 0)
-    seen = pages.withColumn("_w", words).withColumn("_len", F.size("_w"))
-    seen = seen.select("*", *[_matches("_w", t).alias(f"_t{i}") for i, t in enumerate(terms)]).drop("_w")
-    stats = seen.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_t{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
-    rows = seen.where(where) if where is not None else seen
-    part = lambda i: F.when(F.col(f"_t{i}") > 0, F.log(1 + (F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5)) * F.col(f"_t{i}") * (k1 + 1) / (F.col(f"_t{i}") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))).otherwise(0.0)
-    score = F.round(reduce(lambda x, y: x + y, [part(i) for i in range(len(terms))]), 6)
-    found = rows.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))  # one row of statistics
-    return found.where("score > 0").orderBy(F.desc("score"), key).limit(k)
-
-
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import compare as C
 from .functions import gates as G
 from .functions import privacy as P
+from .functions import stemming as Z
 from .functions import text as T
 from .operators import access as A
 from .operators import cluster as K
@@ -24,7 +25,7 @@ from .operators import rules as U
 from .operators import verdicts as V
 from .plans import recall as plans
 from .registered import ALL, Query, query
-from .session import table
+from .session import spread, table
 from .streaming import ingest as S
 
 
@@ -63,7 +64,7 @@ def _count(column: str, token: str) -> str:
     "WHERE 3.0 * ({h}) + ({b}) > 0 ORDER BY score DESC, doc_id LIMIT 20".format(h=" + ".join(_count("h", t) for t in ("the", "station", "en")), b=" + ".join(_count("b", t) for t in ("the", "station", "en")))
 )
 def recall_keyword(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
     return R.keyword_search(d, "doc_id", F.concat_ws(" ", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))), F.col("text"), "the station: en", 20)
 
 
@@ -77,13 +78,53 @@ def recall_keyword_authorized(spark, sf):
     return R.keyword_search(table(spark, sf, "documents"), "doc_id", F.lit(""), F.col("text"), "les der", 15, allowed)
 
 
+def _porter_sql(words: str) -> str:
+    """CTEs that end in st(word, stem) from a query of distinct words: the stemmer as a chain of
+    patterns, of which each step sees what the one before left. A first y is a consonant."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    m0, m1, once = f"^({c})?{v}{c}", f"^({c})?{v}{c}{v}{c}", f"^({c})?{v}{c}({v})?$"
+    vowel, short = f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    is_ = lambda x, p: f"regexp_matches({x}, '{p}')"
+    head = lambda n: f"left(s, greatest(length(s) - {n}, 0))"
+
+    def swap(endings: dict[str, str], measure: str, more: str = "true") -> str:
+        each = " ".join(f"WHEN ends_with(s, '{e}') THEN CASE WHEN {is_(head(len(e)), measure)} AND {more if e == 'ion' else 'true'} THEN {head(len(e))} || '{to}' ELSE s END" for e, to in sorted(endings.items(), key=lambda x: -len(x[0])))
+        return f"CASE {each} ELSE s END"
+
+    cut = "CASE WHEN ends_with(s, 'ed') THEN left(s, length(s) - 2) ELSE left(s, length(s) - 3) END"
+    mended = f"CASE WHEN {is_('x', '(at|bl|iz)$')} THEN x || 'e' WHEN length(x) > 1 AND right(x, 1) = left(right(x, 2), 1) AND right(x, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') THEN left(x, length(x) - 1) WHEN {is_('x', once)} AND {is_('x', short)} THEN x || 'e' ELSE x END"
+    steps = [
+        f"CASE WHEN {is_('s', '(ss|i)es$')} THEN {head(2)} WHEN {is_('s', '[^s]s$')} THEN {head(1)} ELSE s END",
+        f"CASE WHEN ends_with(s, 'eed') THEN CASE WHEN {is_(head(3), m0)} THEN {head(1)} ELSE s END WHEN {is_('s', '(ed|ing)$')} AND {is_(cut, vowel)} THEN (SELECT {mended} FROM (SELECT {cut} x)) ELSE s END",
+        f"CASE WHEN ends_with(s, 'y') AND {is_(head(1), vowel)} THEN {head(1)} || 'i' ELSE s END",
+        swap(Z.STEP2, m0),
+        swap(Z.STEP3, m0),
+        swap(dict.fromkeys(Z.STEP4, ""), m1, f"{is_(head(3), '[st]$')}"),
+        f"CASE WHEN ends_with(s, 'e') AND ({is_(head(1), m1)} OR {is_(head(1), once)} AND NOT {is_(head(1), short)}) THEN {head(1)} ELSE s END",
+        f"CASE WHEN ends_with(s, 'll') AND {is_(head(1), m1)} THEN {head(1)} ELSE s END",
+    ]
+    chain = [f"p0 AS (SELECT word, CASE WHEN starts_with(word, 'y') THEN 'Y' || substr(word, 2) ELSE word END s FROM ({words}) WHERE length(word) >= 3 AND strlen(word) <= 64)"]
+    chain += [f"p{i} AS (SELECT word, {step} s FROM p{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join([*chain, f"st AS (SELECT word, lower(s) stem FROM p{len(steps)} UNION ALL SELECT word, word FROM ({words}) WHERE length(word) < 3 OR strlen(word) > 64)"])
+
+
+_FIELDS = {"title": "regexp_extract(text, '^[^\\n]*', 0)", "tags": "concat_ws(' ', lang, source)", "body": "text"}
+_WEIGHTS, _FLOOR = (3.0, 2.0, 1.0), 1e-6
+#: Words of all fields, without case and accents, and their stems.
+_INDEXED = (
+    "f AS (SELECT doc_id, lang, source, unnest([0, 1, 2]) field, unnest([regexp_extract(text, '^[^\\n]*'), concat_ws(' ', lang, source), text]) t FROM documents), "
+    r"w AS (SELECT doc_id, field, unnest(regexp_extract_all(strip_accents(lower(coalesce(t, ''))), '[\p{L}\p{N}]+')) word FROM f), " + _porter_sql("SELECT DISTINCT word FROM w") + ", "
+    "t AS (SELECT doc_id, field, stem, count(*) n FROM w JOIN st USING (word) GROUP BY ALL)"
+)
+
+
 def _bm25_sql(terms: list[str], where: str, k: int) -> str:
-    counts = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) t{i}" for i, t in enumerate(terms))
-    stats = ", ".join(f"count(*) FILTER (t{i} > 0) d{i}" for i in range(len(terms)))
-    score = " + ".join(f"CASE WHEN t{i} > 0 THEN ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * len / a)) ELSE 0 END" for i in range(len(terms)))
+    weights = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(_WEIGHTS))
     return (
-        f"WITH d AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w FROM documents), c AS (SELECT doc_id, lang, source, len(w) len, {counts} FROM d), s AS (SELECT count(*)::DOUBLE n, avg(len) a, {stats} FROM c) "
-        f"SELECT doc_id, score FROM (SELECT doc_id, round({score}, 6) score FROM c, s WHERE {where}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {k}"
+        f"WITH {_INDEXED}, len AS (SELECT doc_id, sum(n)::DOUBLE len FROM t GROUP BY 1), a AS (SELECT (SELECT count(*) FROM documents)::DOUBLE n, sum(len) / (SELECT count(*) FROM documents) mean FROM len), "
+        f"h AS (SELECT doc_id, stem, sum(n * CASE field {weights} END)::DOUBLE tf FROM t WHERE stem IN ({', '.join(repr(x) for x in terms)}) GROUP BY ALL), o AS (SELECT stem, ((SELECT n FROM a) - count(*) + 0.5) / (count(*) + 0.5) odds FROM h GROUP BY 1), "
+        f"z AS (SELECT doc_id, round(sum(CASE WHEN odds > 1 THEN ln(odds) ELSE {_FLOOR} END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) score FROM h JOIN o USING (stem) JOIN len USING (doc_id) JOIN documents USING (doc_id), a WHERE {where} GROUP BY 1) "
+        f"SELECT doc_id, score FROM z WHERE score > 0 ORDER BY score DESC, doc_id LIMIT {k}"
     )
 
 
@@ -95,25 +136,29 @@ def _index(spark, sf) -> X.Index:
     at = (spark.sparkContext.applicationId, sf)
     if at not in _INDEXES:
         path = K.shared(spark, "lexical")
-        _INDEXES[at] = X.build(table(spark, sf, "documents"), "doc_id", {"text": F.col("text")}, path, ["lang", "source"])
+        _INDEXES[at] = X.build(table(spark, sf, "documents"), "doc_id", {c: F.expr(e) for c, e in _FIELDS.items()}, path, ["lang", "source"])
     return _INDEXES[at]
 
 
-_BM25_QUERY, _BM25_TERMS = "Where is the station of worthless thing, erthing and heration?", ["station", "worthless", "erthing", "heration"]
+_BM25_QUERY, _BM25_TERMS = "Where is the station of worthless thing, erthing and heration?", ["station", "worthless", "erth", "herat"]
+
+
+def _search(spark, sf, k: int, where: Column | None = None):
+    return X.search(spark, _index(spark, sf), _BM25_QUERY, k, where, _WEIGHTS, floor=_FLOOR)
 
 
 @query(_bm25_sql(_BM25_TERMS, "true", 20))
 def recall_bm25(spark, sf):
-    return X.search(spark, _index(spark, sf), _BM25_QUERY, 20)
+    return _search(spark, sf, 20)
 
 
 @query(_bm25_sql(_BM25_TERMS, "lang = 'en' AND doc_id % 4 = 0", 10))
 def recall_bm25_filtered(spark, sf):
     where = (F.col("lang") == "en") & A.authorized(_audience(), F.array().cast("array<string>"), ["none"])
-    return X.search(spark, _index(spark, sf), _BM25_QUERY, 10, where)
+    return _search(spark, sf, 10, where)
 
 
-@query("SELECT term, count(*) df, sum(tf)::BIGINT cf FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) term FROM documents) GROUP BY ALL) GROUP BY term")
+@query(f"WITH {_INDEXED} SELECT stem AS term, count(DISTINCT doc_id) df, sum(n)::BIGINT cf FROM t GROUP BY 1")
 def index_dictionary(spark, sf):
     return X.dictionary(spark, _index(spark, sf))
 
@@ -146,14 +191,14 @@ def recall_degenerate(spark, sf):
     "SELECT doc_id, arm, position FROM (SELECT doc_id, arm, row_number() OVER (ORDER BY arm, rank) position FROM b) WHERE position <= 3"
 )
 def recall_hybrid(spark, sf):
-    lexical = R.ranked(X.search(spark, _index(spark, sf), _BM25_QUERY, 3), [F.desc("score"), F.col("doc_id")])
+    lexical = R.ranked(_search(spark, sf, 3), [F.desc("score"), F.col("doc_id")])
     vector = R.nearest(table(spark, sf, "embeddings"), "vec_id", "embedding", _probe(), 3).withColumnRenamed("vec_id", "doc_id")
     return R.hybrid(lexical, R.ranked(vector, [F.col("distance"), F.col("doc_id")]), "doc_id")
 
 
 @query(f"SELECT doc_id, score, row_number() OVER (ORDER BY (doc_id % 3 = 0)::INT, score DESC, doc_id) position FROM ({_bm25_sql(_BM25_TERMS, 'true', 20)})")
 def recall_by_currency(spark, sf):
-    hits = R.ranked(X.search(spark, _index(spark, sf), _BM25_QUERY, 20), [F.desc("score"), F.col("doc_id")])
+    hits = R.ranked(_search(spark, sf, 20), [F.desc("score"), F.col("doc_id")])
     return R.by_currency(hits, F.pmod("doc_id", F.lit(3)) == 0).select("doc_id", "score", "position")
 
 
@@ -164,7 +209,8 @@ _FIRST = "least({})".format(", ".join(f"nullif(instr(lower(text), '{t}'), 0)" fo
 @query(f"SELECT doc_id, score, row_number() OVER (ORDER BY (doc_id % 5 = 0)::INT, score DESC, doc_id) AS position, substr(text, greatest(1, coalesce({_FIRST}, 1) - 30), 120) snippet FROM ({_bm25_sql(_BM25_TERMS, _ALLOWED, 10)}) JOIN documents USING (doc_id)")
 def recall_plan(spark, sf):
     docs = table(spark, sf, "documents")
-    return plans.recall(docs, "doc_id", "text", _BM25_QUERY, 10, A.authorized(_audience(), F.array("source"), ["src0", "src2"]), F.pmod("doc_id", F.lit(5)) == 0)
+    allowed = A.authorized(_audience(), F.array("source"), ["src0", "src2"])
+    return plans.recall(_index(spark, sf), docs, "text", _BM25_QUERY, 10, allowed, F.pmod("doc_id", F.lit(5)) == 0, weights=_WEIGHTS, floor=_FLOOR)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
@@ -262,7 +308,7 @@ def lookup_alias(spark, sf):
 def names_in_texts(spark, sf):
     words = _words()
     names = table(spark, sf, "benchmark").select(words.alias("w")).where(F.size("w") >= 2).select(F.array_join(F.slice("w", 1, 2), " ").alias("name")).distinct()
-    return E.names_in_texts(table(spark, sf, "documents"), "doc_id", F.col("text"), names, "name", 2)
+    return E.names_in_texts(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", F.col("text"), names, "name", 2)
 
 
 @query("SELECT key, side FROM (SELECT DISTINCT c_custkey key, 'left' side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))")
@@ -562,7 +608,7 @@ _EMAILS = "SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '
 
 @query(f"SELECT doc_id, list_sort(e) emails, len(e) n FROM ({_EMAILS}) WHERE len(e) > 0")
 def inline_emails(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", P.emails(F.col("text")).alias("e")).where(F.size("e") > 0)
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", P.emails(F.col("text")).alias("e")).where(F.size("e") > 0)
     return d.select("doc_id", F.array_sort("e").alias("emails"), F.size("e").cast("long").alias("n"))
 
 
@@ -595,7 +641,7 @@ def _phones_sql() -> str:
 
 @query(_phones_sql())
 def inline_phones(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", P.phones(F.col("text")).alias("phones")).where(F.size("phones") > 0)
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", P.phones(F.col("text")).alias("phones")).where(F.size("phones") > 0)
 
 
 def _medical_sql() -> str:
@@ -609,7 +655,7 @@ def _medical_sql() -> str:
 
 @query(_medical_sql())
 def medical_screen(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(P.is_medical(F.col("text")), "personal").alias("access"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.when(P.is_medical(F.col("text")), "personal").alias("access"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[redacted]', 'g')) digest FROM documents")

@@ -181,6 +181,8 @@ def test_routing_leaves_no_value(spark):
 def test_stored_index_update_equals_rebuild(spark, tmp_path):
     from codexmill.operators import lexical as X
 
+    from scan import bm25
+
     rows = [(i, f"alpha {'beta ' * (i % 4)}gamma{i % 3}", f"title {i % 5}", "en" if i % 2 else "de") for i in range(60)]
     pages = spark.createDataFrame(rows, "k int, body string, name string, lang string")
     fields = {"name": F.col("name"), "body": F.col("body")}
@@ -198,10 +200,28 @@ def test_stored_index_update_equals_rebuild(spark, tmp_path):
     assert [r.k for r in X.search(spark, index, "beta", 60).collect()] != [r.k for r in X.search(spark, after, "beta", 60).collect()]
     assert sorted(map(tuple, X.dictionary(spark, after).collect())) == sorted(map(tuple, X.dictionary(spark, fresh).collect()))
     assert X.search(spark, after, "title", 1, weights=(5.0, 1.0)).first().score > X.search(spark, after, "title", 1).first().score
-    scan = R.bm25(whole, "k", F.concat_ws(" ", "name", "body"), "beta gamma1", 9).collect()
+    scan = bm25(whole, "k", F.concat_ws(" ", "name", "body"), "beta gamma1", 9).collect()
     assert scan == X.search(spark, fresh, "beta gamma1", 9).collect()
 
 
+def test_stored_index_of_many_parts(spark, tmp_path, monkeypatch):
+    """A common word's list lies in several parts; only the parts of a query's words are read."""
+    from codexmill.operators import lexical as X
+
+    monkeypatch.setattr(X, "PART_ROWS", 60)
+    rows = [(i, f"Común running word{i} other{i % 9}", None if i % 3 else f"Headed {i}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "k int, body string, name string")
+    index = X.build(pages, "k", {"name": F.col("name"), "body": F.col("body")}, str(tmp_path), [])
+    ranges = spark.read.parquet(f"{tmp_path}/ranges").collect()
+    assert len(ranges) > 15 and sum(r.low <= "run" <= r.high for r in ranges) > 3
+    files = lambda q: len(index.postings(spark, X.query_terms(q)).inputFiles())
+    assert files("word250") < 3 < files("runs comun")
+    assert [r.k for r in X.search(spark, index, "WORD17 comun", 2).collect()] == [17, 1]
+    assert X.search(spark, index, "heads", 500).count() == 100
+    assert X.search(spark, index, "run", 500, floor=1e-6).count() == 300
+    assert {r.term: (r.df, r.cf) for r in X.dictionary(spark, index).collect()}["run"] == (300, 300)
+
+
 def test_linkage_against_a_matrix():
     import random
 
