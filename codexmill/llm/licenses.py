@@ -29,6 +29,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codexmill.session import spread
+
 from . import common
 from .license_texts import TEXTS
 
@@ -140,10 +142,10 @@ def passages(docs: DataFrame, templates, threshold: float = THRESHOLD) -> DataFr
     # a passage counts where no place of it lies in one that ranks higher (of equal ones of a
     # license, the first)
     key = ["doc_id", "h", "license", "at", "end", "rank", "words"]
-    spread = found.select(*key, F.explode(F.sequence("at", "end")).alias("place"), F.struct("rank", -F.col("at"), -F.col("end")).alias("own"))
+    dealt = found.select(*key, F.explode(F.sequence("at", "end")).alias("place"), F.struct("rank", -F.col("at"), -F.col("end")).alias("own"))
     top, first = Window.partitionBy("doc_id", "h", "place"), Window.partitionBy("doc_id", "h", "place", "license")
-    spread = spread.withColumn("keep", (F.col("rank") == F.max("rank").over(top)) & (F.col("own") == F.max("own").over(first)))
-    held = spread.groupBy(*key).agg(F.bool_and("keep").alias("keep")).where("keep")
+    dealt = dealt.withColumn("keep", (F.col("rank") == F.max("rank").over(top)) & (F.col("own") == F.max("own").over(first)))
+    held = dealt.groupBy(*key).agg(F.bool_and("keep").alias("keep")).where("keep")
     return held.groupBy("doc_id", "license").agg(F.max("rank.dice").alias("dice"), F.count_distinct("words").alias("lines"))
 
 
@@ -161,6 +163,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
     templates, texts = listed(templates), listed(texts)
     if not templates:
         raise ValueError("no template holds two words")
+    docs = spread(docs.select("doc_id", "text"))
     both = _lines(docs, templates, threshold).unionByName(passages(docs, [*templates, *texts], threshold))
     return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.max("lines").alias("lines"))
 
