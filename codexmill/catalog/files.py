@@ -12,6 +12,7 @@ from codexmill.operators import cluster as K
 from codexmill.registered import query
 from codexmill.session import table
 from codexmill.sources import files as X
+from codexmill.sources import store as O
 from codexmill.streaming import ingest as I
 
 _TREES: dict[tuple[str, str], str] = {}
@@ -115,8 +116,8 @@ def manifest_changes(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", F.concat(F.regexp_replace(F.lower("n_name"), " ", "-"), F.lit(".md")).alias("name"))
     known = listed.join(n, "name").where("n_nationkey % 7 > 0").select("name", F.when(F.col("n_nationkey") % 7 == 1, "old").otherwise(F.col("version")).alias("version"))
     path = K.shared(spark, "manifest")
-    X.write_manifest(known.unionByName(spark.range(1).select(F.lit("gone.md").alias("name"), F.lit("1").alias("version"))), path)
-    return X.changed(listed, X.read_manifest(spark, path))
+    O.write_manifest(known.unionByName(spark.range(1).select(F.lit("gone.md").alias("name"), F.lit("1").alias("version"))), path)
+    return X.changed(listed, O.read_manifest(spark, path))
 
 
 @query("SELECT count(*) rows, round(sum(i / 4.0), 4)::DOUBLE cost, 1 torn FROM range(100) t(i) WHERE i % 28 + 1 >= 5 AND i % 28 + 1 < 20")
@@ -169,20 +170,54 @@ def type_index(spark, sf):
     return good.groupBy("type").agg(F.array_join(F.transform(pages, lambda p: F.concat(p["title"], F.lit("="), p["uid"])), ";").alias("pages"))
 
 
+_STORED = "SELECT page_id, CASE WHEN page_id % 5 = 2 THEN NULL WHEN page_id % 3 = 0 THEN upper(url) ELSE url END body, CASE WHEN page_id % 3 = 0 OR page_id % 5 = 2 THEN 1 ELSE 0 END AS version FROM pages"
+
+
+def _stored(spark, sf) -> str:
+    """A store of all pages' addresses: written, then a part of them changed or removed."""
+    root, rows = K.shared(spark, "store"), table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("key"), F.col("url").alias("body"))
+    O.register(spark)
+    put = lambda df: df.write.format("codexmill").mode("append").save(root)
+    put(rows)
+    n = F.col("key").cast("long")
+    put(rows.where((n % 3 == 0) | (n % 5 == 2)).select("key", F.when(n % 5 != 2, F.upper("body")).alias("body")))
+    return root
+
+
+@query(f"SELECT page_id::VARCHAR AS key, body, version::BIGINT AS version FROM ({_STORED}) WHERE body IS NOT NULL")
+def stored_pages(spark, sf):
+    """The last text of each key of a store."""
+    root = _stored(spark, sf)
+    return O.latest(spark.read.format("codexmill").load(root))
+
+
+@query(f"SELECT page_id::VARCHAR AS key, url AS body, 0::BIGINT AS version FROM pages WHERE url IS NOT NULL UNION ALL SELECT 'put', 'text', 3::BIGINT UNION ALL SELECT 'count', (SELECT count(*) FROM ({_STORED}) WHERE body IS NOT NULL)::VARCHAR, 2::BIGINT")
+def store_versions(spark, sf):
+    """A store as it was after its first commit, beside what stands after it was compacted and
+    written to by a checked put."""
+    root = _stored(spark, sf)
+    first = O.latest(spark.read.format("codexmill").option("version", "0").load(root))
+    first = first.select("key", "body", "version")
+    number = O.compact(spark, root)
+    O.put(root, "put", "text")
+    now = O.latest(spark.read.format("codexmill").load(root))
+    held = now.where("key <> 'put'").agg(F.count(F.lit(1)).cast("string").alias("body")).select(F.lit("count").alias("key"), "body", F.lit(number).cast("long").alias("version"))
+    return first.unionByName(now.where("key = 'put'")).unionByName(held)
+
+
 @query("SELECT n_nationkey, '1' AS first, 's-' || n_nationkey::VARCHAR AS second, n_nationkey % 2 = 1 refused FROM nation")
 def checked_puts(spark, sf):
     """A put that expects a version goes through only where that version stands."""
     root, rows = K.shared(spark, "puts"), []
+    O.register(spark)
     for k in (r[0] for r in table(spark, sf, "nation").select("n_nationkey").collect()):  # 25 rows
-        path = f"{root}/{k}.txt"
-        seen = X.put(spark, path, "1", expect="")
-        refused = False
+        seen, refused = O.put(root, str(k), "1"), False
         try:
-            X.put(spark, path, f"s-{k}", expect="0-0" if k % 2 else seen)
-        except FileExistsError:
+            O.put(root, str(k), f"s-{k}", expect=seen + 1000 if k % 2 else seen)
+        except O.Conflict:
             refused = True
-            X.put(spark, path, f"s-{k}")
+            O.put(root, str(k), f"s-{k}", expect=seen)
         rows.append((k, refused))
     done = spark.createDataFrame(rows, "n_nationkey int, refused boolean")
-    text = spark.read.format("binaryFile").load(root).select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("int").alias("n_nationkey"), F.col("content").cast("string").alias("second"))
+    text = O.latest(spark.read.format("codexmill").load(root)).select(F.col("key").cast("int").alias("n_nationkey"), F.col("body").alias("second"))
     return done.join(text, "n_nationkey").select("n_nationkey", F.lit("1").alias("first"), "second", "refused")

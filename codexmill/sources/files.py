@@ -96,15 +96,6 @@ def changed(listed: DataFrame, manifest: DataFrame) -> DataFrame:
     return both.select("name", F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "removed").when(F.col("_a") != F.col("_b"), "changed").alias("change")).where("change is not null")
 
 
-def write_manifest(rows: DataFrame, path: str) -> None:
-    """Replace a manifest; a reader sees the old one or the new one."""
-    rows.write.mode("overwrite").parquet(path)
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def memories(spark: SparkSession, root: str, kinds: list[str]) -> DataFrame:
     """(scope, kind, slug, path, content) of `<scope>/<kind>_<slug>.md` files; indexes and names
     of other kinds are left out."""
@@ -137,35 +128,6 @@ def dangling(index: DataFrame, listed: DataFrame) -> DataFrame:
     return targets.withColumn("name", F.concat_ws("/", "scope", "target")).join(listed.select("name"), "name", "left_anti").select("scope", "target")
 
 
-def put(spark: SparkSession, path: str, text: str, expect: str | None = None) -> str:
-    """Write a small text file if its present version is the expected one ('' for none); its new
-    version. A lost race raises FileExistsError."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    version = lambda: (lambda st: f"{st.getModificationTime()}-{st.getLen()}")(fs.getFileStatus(at)) if fs.exists(at) else ""
-    if expect is not None and version() != expect:
-        raise FileExistsError(f"{path}: version {version()!r}, not {expect!r}")
-    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    if expect is not None and expect:
-        fs.delete(at, False)
-    elif expect is None and fs.exists(at):
-        fs.delete(at, False)
-    if not fs.rename(part, at):
-        fs.delete(part, False)
-        raise FileExistsError(path)
-    return version()
-
-
-def snapshot(rows: DataFrame, root: str, label: str) -> str:
-    """A copy of a table under a version's label; labels are never written twice."""
-    path = f"{root.rstrip('/')}/v={label}"
-    rows.write.mode("errorifexists").parquet(path)
-    return path
-
-
 def torn(spark: SparkSession, path: str, schema: str) -> int:
     """How many lines of a ledger can't be read by its schema."""
     parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
