@@ -9,6 +9,7 @@ from codexmill.functions import privacy as P
 from codexmill.functions import spans as N
 from codexmill.operators import cluster as K
 from codexmill.operators import edits, mentions
+from codexmill.operators import vectors as W
 from codexmill.registered import query
 from codexmill.session import table
 from codexmill.streaming import bounds
@@ -136,3 +137,32 @@ def bound_violations(spark, sf):
         halves.where((F.col("seq") > F.col("half")) == late).drop("half").write.mode("append").parquet(f"{at}/in")
         bounds.run(spark, f"{at}/in", "key string, seq long, content string, violated boolean", f"{at}/checkpoint", f"{at}/out", 3)
     return bounds.latest(spark, f"{at}/out")
+
+
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 THEN -x ELSE x END) v FROM embeddings WHERE vec_id % 11 <> 0"
+
+
+def _vectors(spark, sf):
+    """A stored index of which a seventh was replaced and an eleventh purged."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    index = W.build(rows, "vec_id", "embedding", K.shared(spark, "vectors"), ["label"])
+    index = W.upsert(index, rows.where("vec_id % 7 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return W.purge(index, rows.where("vec_id % 11 = 0"))
+
+
+@query(f"SELECT vec_id, len(v)::INT dims, round(list_sum(list_transform(v, lambda x: x::DOUBLE)), 6) total, round(v[1]::DOUBLE, 6) AS first FROM ({_VECTORS}) WHERE vec_id % 10 = 3 AND vec_id < 500 OR vec_id = 7")
+def stored_vectors(spark, sf):
+    """Vectors looked up by key after an upsert and a purge."""
+    keys = [7, *range(3, 500, 10)]
+    found = W.fetch(spark, _vectors(spark, sf), keys)
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x)
+    return found.select("vec_id", F.size("embedding").alias("dims"), F.round(total, 6).alias("total"), F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+_Q = [((i * 37) % 11 - 5) / 20 for i in range(64)]
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(list_zip(v, [{', '.join(f'{x}::DOUBLE' for x in _Q)}]), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))), 6) distance FROM ({_VECTORS}) ORDER BY distance, vec_id LIMIT 20")
+def stored_vectors_nearest(spark, sf):
+    """The nearest vectors by lists, none missed."""
+    return W.nearest(spark, _vectors(spark, sf), _Q, 20)
