@@ -347,13 +347,13 @@ def low_cohesion(spark, sf):
     return g.select("p_size", K.low_cohesion(F.col("mean"), F.col("scopes"), 0.75, 3).alias("held"))
 
 
-@query("SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%a%' AND p_size % 10 = 0 THEN 'mirror' WHEN p_partkey % 19 = 0 THEN 'flag' WHEN p_partkey % 7 = 0 THEN 'phrase: still needs' END reason FROM part")
+@query("SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%a%' AND p_size % 10 = 0 THEN 'mirror' WHEN p_partkey % 19 = 0 OR p_partkey % 17 = 0 THEN 'flag' WHEN p_partkey % 7 = 0 THEN 'phrase: still needs' END reason FROM part")
 def never_ingested(spark, sf):
     """Why a page is refused: a live source owns its topic, or it only tells of work to do."""
     p = table(spark, sf, "part")
     owned = F.contains(F.lower("p_name"), F.lit("a")) & (F.col("p_size") % 10 == 0)
     text = F.when(F.col("p_partkey") % 7 == 0, "It STILL needs work").otherwise("done")
-    state = S.pending_state(F.when(F.col("p_partkey") % 19 == 0, " Yes "), F.lit("name"), text)
+    state = S.pending_state(F.when(F.col("p_partkey") % 19 == 0, " Yes ").when(F.col("p_partkey") % 17 == 0, "ON").otherwise("no"), F.lit("name"), text)
     return p.select("p_partkey", F.when(owned, "mirror").otherwise(state).alias("reason"))
 
 

@@ -140,11 +140,16 @@ def authorised_operations(spark, sf):
     return rows.where(R.fresh(F.col("stale"))).select("user_id", "event_id")
 
 
-@query("SELECT user_id, CASE WHEN open THEN 'refused' ELSE 'opened' END state, version FROM (SELECT user_id, arg_max(event_type, event_id) <> 'purchase' AS open, CASE WHEN arg_max(event_type, event_id) <> 'purchase' THEN max(event_id) ELSE max(event_id) + 1 END version FROM events GROUP BY 1)")
+_REGISTRY = "SELECT user_id, 'v' || max(event_id)::VARCHAR AS version, arg_max(event_type, event_id) <> 'purchase' AS wave_open, count(*) FILTER (event_type = 'click') nights_in_wave, count(*) nights_total, 7 batch_interval_days FROM events WHERE user_id % 4 <> 3 GROUP BY 1"
+
+
+@query(f"WITH r AS ({_REGISTRY}), q AS (SELECT user_id, 'w' || min(event_id)::VARCHAR v, CASE WHEN user_id % 2 = 0 THEN 14 END span FROM events GROUP BY 1) SELECT q.user_id, CASE WHEN coalesce(wave_open, false) THEN 'refused' ELSE 'opened' END state, CASE WHEN wave_open THEN version ELSE v END AS version, true AS wave_open, CASE WHEN wave_open THEN nights_in_wave ELSE 0 END nights_in_wave, coalesce(nights_total, 0) nights_total, CASE WHEN wave_open THEN 7 ELSE coalesce(span, 30) END::INT batch_interval_days FROM q LEFT JOIN r USING (user_id)")
 def epochs_opened(spark, sf):
-    """A branch with an open wave refuses a new epoch."""
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.max("event_id").alias("version"))
-    return R.opened(e, "user_id", F.col("last") != "purchase", "version")
+    """A branch with an open wave refuses a new epoch; others take the version asked for."""
+    e = table(spark, sf, "events")
+    registry = e.where("user_id % 4 <> 3").groupBy("user_id").agg(F.concat(F.lit("v"), F.max("event_id")).alias("version"), (F.max_by("event_type", "event_id") != "purchase").alias("wave_open"), F.count_if(F.col("event_type") == "click").alias("nights_in_wave"), F.count(F.lit(1)).alias("nights_total"), F.lit(7).alias("batch_interval_days"))
+    asked = e.groupBy("user_id").agg(F.concat(F.lit("w"), F.min("event_id")).alias("version"), F.when(F.col("user_id") % 2 == 0, 14).alias("batch_interval_days"))
+    return R.opened(registry, asked, "user_id")
 
 
 _SAID = "lower(trim(regexp_replace({c}, '\\s+', ' ', 'g')))"

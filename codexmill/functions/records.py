@@ -124,7 +124,7 @@ def miss_bounds(pushed: Column, pool: Column) -> tuple[Column, Column]:
 def pending_state(flag: Column, *texts: Column) -> Column:
     """Why a text only tells of work to do: the flag, or the first phrase that it holds."""
     hay = F.lower(F.concat_ws(" ", *texts))
-    out = F.when(F.coalesce(F.lower(F.trim(flag)).isin("true", "1", "yes"), F.lit(False)), "flag")
+    out = F.when(F.coalesce(F.lower(F.trim(flag)).isin("true", "1", "yes", "on"), F.lit(False)), "flag")
     for phrase in PENDING_PHRASES:
         out = out.when(F.contains(hay, F.lit(phrase)), f"phrase: {phrase}")
     return out

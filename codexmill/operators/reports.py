@@ -49,9 +49,17 @@ def fresh(stale: Column) -> Column:
     return F.trim(F.coalesce(stale, F.lit(""))) == ""
 
 
-def opened(branches: DataFrame, key: str, wave_open: Column, version: str) -> DataFrame:
-    """(key, state, version): a branch with an open wave refuses a new epoch and keeps its version."""
-    return branches.select(key, F.when(wave_open, "refused").otherwise("opened").alias("state"), F.when(wave_open, F.col(version)).otherwise(F.col(version) + 1).alias("version"))
+def opened(registry: DataFrame, asked: DataFrame, key: str, days: int = 30) -> DataFrame:
+    """(key, state, version, wave_open, nights_in_wave, nights_total, batch_interval_days) of the
+    branches that epochs are asked for. An open wave refuses and stays as it is; else the wave opens
+    with the version asked for and its interval (`days` where none is given), its nights begin anew
+    and those in all go on. A branch that the registry lacks begins with none."""
+    held = ("version", "wave_open", "nights_in_wave", "nights_total", "batch_interval_days")
+    rows = asked.select(key, F.col("version").alias("_version"), F.coalesce("batch_interval_days", F.lit(days)).alias("_days")).join(registry.select(key, *held), key, "left")
+    refused = F.coalesce("wave_open", F.lit(False))
+    pick = lambda c, new: F.when(refused, F.col(c)).otherwise(new).alias(c)
+    state = F.when(refused, "refused").otherwise("opened").alias("state")
+    return rows.select(key, state, pick("version", F.col("_version")), F.lit(True).alias("wave_open"), pick("nights_in_wave", F.lit(0).cast("long")), F.coalesce("nights_total", F.lit(0)).cast("long").alias("nights_total"), pick("batch_interval_days", F.col("_days")))
 
 
 def migrated(value: Column, rules: list[tuple[str, str]]) -> Column:
