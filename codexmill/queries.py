@@ -19,6 +19,7 @@ from .operators import folds as D
 from .operators import incremental as I
 from .operators import lexical as X
 from .operators import ledger as L
+from .operators import partitions as H
 from .operators import resolve as E
 from .operators import retrieval as R
 from .operators import rules as U
@@ -344,6 +345,32 @@ def cosine_components(spark, sf):
     return K.components(_edges(spark, sf))
 
 
+_LINKED = _EDGES.replace("WITH e", "WITH RECURSIVE e") + ", g AS (SELECT a x, b y FROM p WHERE similarity >= 0.33 UNION ALL SELECT b, a FROM p WHERE similarity >= 0.33), r AS (SELECT DISTINCT x node, x reach FROM g UNION SELECT r.node, g.y FROM r JOIN g ON g.x = r.reach), "
+_LINKED += "k AS (SELECT vec_id, coalesce((SELECT min(reach) FROM r WHERE node = vec_id), vec_id) a, label b FROM embeddings), c AS (SELECT a, b, count(*) n FROM k GROUP BY ALL), x AS (SELECT a, sum(n) n, count(*) parts FROM c GROUP BY 1), y AS (SELECT b, sum(n) n, count(*) parts FROM c GROUP BY 1)"
+
+
+@query(_LINKED + " SELECT a AS \"group\", n::BIGINT members, parts, (SELECT max(n) FROM c WHERE c.a = x.a) largest FROM x WHERE parts > 1")
+def linkage_splits(spark, sf):
+    """Components of similar vectors whose members bear several labels."""
+    return H.parted(_linkage_table(spark, sf), "a", "b")
+
+
+def _linkage_table(spark, sf):
+    e = table(spark, sf, "embeddings")
+    linked = K.components(_edges(spark, sf)).select(F.col("node").alias("vec_id"), F.col("root").alias("g"))
+    return H.contingency(e, linked, e.select("vec_id", F.col("label").alias("g")), "vec_id", "g")
+
+
+@query(
+    _LINKED + ", t AS (SELECT (SELECT sum(n) FROM c)::BIGINT rows, (SELECT count(*) FROM x) groups_a, (SELECT count(*) FROM y) groups_b, (SELECT count(*) FILTER (parts > 1) FROM x) splits, (SELECT count(*) FILTER (parts > 1) FROM y) merges, "
+    "(SELECT sum(n * (n - 1) / 2) FROM x)::DOUBLE pairs_a, (SELECT sum(n * (n - 1) / 2) FROM y)::DOUBLE pairs_b, (SELECT sum(n * (n - 1) / 2) FROM c)::DOUBLE pairs_both), w AS (SELECT *, rows * (rows - 1) / 2 whole FROM t) "
+    "SELECT rows, groups_a, groups_b, splits, merges, pairs_a, pairs_b, pairs_both, round((whole + 2 * pairs_both - pairs_a - pairs_b) / whole, 9)::DOUBLE AS rand, round((pairs_both - pairs_a * pairs_b / whole) / ((pairs_a + pairs_b) / 2 - pairs_a * pairs_b / whole), 9)::DOUBLE adjusted FROM w"
+)
+def linkage_agreement(spark, sf):
+    """How far components of similar vectors and labels agree, over all pairs."""
+    return H.agreement(_linkage_table(spark, sf))
+
+
 @query()
 def cosine_clusters(spark, sf):
     edges = K._written(_edges(spark, sf))
