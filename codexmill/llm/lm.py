@@ -11,8 +11,10 @@ costs one entry per map task. The reducer of one order sends on the counts of th
 Storing: each shard becomes sorted arrays of n-gram and context hashes with counts in the shared
 folder. A shard's arrays keep the next bits of the hashes: buckets of about eight keys by the
 first of them, 24 bits in three bytes for each key, so an absent n-gram is taken for a present
-one about once in two million look-ups. Scoring: workers map the arrays into memory and search
-the buckets of sorted batches of keys.
+one about once in two million look-ups. Where there are more than 2**6 shards, the files of
+neighbours are put together to so many, so that a look-up of a batch opens and searches a number
+of files that does not grow with the corpus. Scoring: workers map the arrays into memory and
+search the buckets of sorted batches of keys.
 
 Every order below the highest counts distinct preceding words (continuation counts); the
 lowest interpolates with the uniform distribution over the vocabulary and one unknown word.
@@ -44,6 +46,8 @@ BEGIN, UNKNOWN, FIRST = 0, 1, 2
 #: A shard holds the n-grams of about so many bytes of text; there are at least 2**6 shards and
 #: at most 2**22 (32 TB of text, beyond which shards grow).
 SHARD_TEXT, LEAST_BITS, MOST_BITS = 8 << 20, 6, 22
+#: Stored tables lie in at most 2**JOIN files each, whatever the number of shards.
+JOIN = 6
 #: Bits of a key beside those of its shard and bucket.
 PRINT = 24
 #: A map task folds its n-grams after so many tokens.
@@ -171,14 +175,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(block, pa.binary())], ["kind", "shard", "block"])
 
 
-def _save(path: str, arrays: list[np.ndarray]) -> None:
-    """Arrays in one file, whole or not at all: a repeated task writes the same file again."""
+def _save(path: str, arrays: list[np.ndarray | list[np.ndarray]]) -> None:
+    """Arrays in one file, whole or not at all: a repeated task writes the same file again. A list
+    of arrays is written as one, in the widest of their types, piece by piece."""
     part = f"{path}.{uuid.uuid4().hex}"
+    pieces = [a if isinstance(a, list) else [a] for a in arrays]
+    kinds = [max((x.dtype for x in a), key=lambda t: t.itemsize) for a in pieces]
     with open(part, "wb") as f:
-        f.write(np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], np.int64).tobytes())
-        for a in arrays:
-            f.write(a.tobytes())
-            f.write(bytes(-a.nbytes % 8))
+        f.write(np.array([len(pieces), *(x for a, kind in zip(pieces, kinds) for x in (kind.itemsize, sum(map(len, a))))], np.int64).tobytes())
+        for a, kind in zip(pieces, kinds):
+            for x in a:
+                f.write(x.astype(kind, copy=False).tobytes())
+            f.write(bytes(-kind.itemsize * sum(map(len, a)) % 8))
     os.replace(part, path)
 
 
@@ -212,12 +220,52 @@ def store(folder: str, name: str, shard: int, bits: int, key: np.ndarray, column
         _save(f"{folder}/{name}{layer}-{shard:07d}", [ends, rest.astype(np.uint16), (rest >> U64(16)).astype(np.uint8), *values])
 
 
-def _search(arrays: list[np.ndarray], query: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _file(model: Model, name: str, number: int) -> str:
+    """The file of one shard's table, or of neighbouring ones put together."""
+    return f"{model.folder}/{name}{'~' if model.join < model.bits else '-'}{number:07d}"
+
+
+def _put_together(folder: str, names: list[str], bits: int, join: int):
+    """For each number of 2**join, one file of the tables of its shards: where the buckets of each
+    shard begin and how many bits name one, then the arrays of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                shards = range(number << bits - join, number + 1 << bits - join)
+                for name in names:
+                    path = f"{folder}/{name}~{number:07d}"
+                    held = [] if os.path.exists(path) else [_open.__wrapped__(f"{folder}/{name}-{s:07d}") for s in shards]
+                    some = [x for x in held if x is not None]
+                    if some and name == "w":
+                        _save(path, [list(x) for x in zip(*some)])
+                    elif some:
+                        begin, spare, ends, rows = [], [], [], 0
+                        at = 0
+                        for x in held:
+                            own = x[0].astype(np.uint64) + U64(rows) if x is not None else np.full(2, rows, U64)
+                            begin.append(at)
+                            spare.append((len(own) - 1).bit_length() - 1)
+                            ends.append(own)
+                            at, rows = at + len(own), rows + (len(x[1]) if x is not None else 0)
+                        _save(path, [np.array(begin, np.uint64), np.array(spare, np.uint8), narrow(np.concatenate(ends)), *(list(x) for x in zip(*(x[1:] for x in some)))])
+            yield batch
+
+    return run
+
+
+def _search(arrays: list[np.ndarray], query: np.ndarray, bits: int, join: int) -> tuple[np.ndarray, np.ndarray]:
     """(which queries are found, where) in one layer."""
-    ends, low, high = arrays[:3]
-    spare = (len(ends) - 1).bit_length() - 1
-    rest = query << U64(bits) >> U64(64 - PRINT - spare)
-    bucket, want = (rest >> U64(PRINT)).astype(np.int64), (rest & U64((1 << PRINT) - 1)).astype(np.int32)
+    if join < bits:
+        begin, spares, ends, low, high = arrays[:5]
+        shard = (query >> U64(64 - bits) & U64((1 << bits - join) - 1)).astype(np.int64)
+        rest = query << U64(bits) >> (U64(64 - PRINT) - spares[shard].astype(U64))
+        bucket = (rest >> U64(PRINT)).astype(np.int64) + begin[shard].astype(np.int64)
+    else:
+        ends, low, high = arrays[:3]
+        rest = query << U64(bits) >> U64(64 - PRINT - ((len(ends) - 1).bit_length() - 1))
+        bucket = (rest >> U64(PRINT)).astype(np.int64)
+    want = (rest & U64((1 << PRINT) - 1)).astype(np.int32)
     a, stop = ends[bucket].astype(np.int64), ends[bucket + 1].astype(np.int64)
     left, last = stop - a, len(low) - 1
     for _ in range(int(left.max(initial=0)).bit_length()):
@@ -235,17 +283,17 @@ def find(model: Model, name: str, query: np.ndarray, width: int) -> np.ndarray:
     the first two columns."""
     unique, back = unique_inverse(query)
     out = np.zeros((len(unique), width), np.int64)
-    for s, part in parts(unique, model.bits):
+    for s, part in parts(unique, model.join):
         left = np.arange(part.start, part.stop)  # a key is in one layer only
         for layer in LAYERS:
-            arrays = _open(f"{model.folder}/{name}{layer}-{s:07d}") if len(left) else None
+            arrays = _open(_file(model, name + layer, s)) if len(left) else None
             if arrays is None:
                 continue
-            hit, at = _search(arrays, unique[left], model.bits)
+            hit, at = _search(arrays, unique[left], model.bits, model.join)
             if layer == LAYERS[0]:
                 out[left[hit], : min(2, width)] = 1
             else:
-                for k, values in enumerate(arrays[3:]):
+                for k, values in enumerate(arrays[5 if model.join < model.bits else 3 :]):
                     out[left[hit], k] = values[at[hit]]
             left = np.delete(left, hit)
     return out[back]
@@ -257,19 +305,21 @@ def vocabulary(model: Model, h: np.ndarray) -> np.ndarray:
     unique, back = unique_inverse(h)
     out = np.zeros((len(unique), 3), np.int64)
     out[:, 0] = UNKNOWN
-    for s, part in parts(unique, model.bits):
-        arrays = _open(f"{model.folder}/w-{s:07d}")
+    for s, part in parts(unique, model.join):
+        arrays = _open(_file(model, "w", s))
         if arrays is None:
             continue
         keys, counts, rank = arrays
         at = np.minimum(np.searchsorted(keys, unique[part]), len(keys) - 1)
         hit = np.flatnonzero(keys[at] == unique[part])
         place = rank[at[hit]].astype(np.int64)
-        out[part.start + hit, 0] = FIRST + (place << model.bits) + s
+        shard = (unique[part][hit] >> U64(64 - model.bits)).astype(np.int64)
+        out[part.start + hit, 0] = FIRST + (place << model.bits) + shard
         out[part.start + hit, 1] = counts[at[hit]]
-        lower = _open(f"{model.folder}/l-{s:07d}") if model.stats else None
+        lower = _open(_file(model, "l", s)) if model.stats else None
         if lower is not None:
-            out[part.start + hit, 2] = lower[0][place]
+            begin, after = lower
+            out[part.start + hit, 2] = after[begin[shard & (1 << model.bits - model.join) - 1].astype(np.int64) + place]
     return out[back]
 
 
@@ -343,7 +393,7 @@ def _tally(counts: np.ndarray) -> list[int]:
     return [len(counts), int(counts.sum()), *(int(x) for x in few[1:5])]
 
 
-def _reduce(folder: str, bits: int):
+def _reduce(folder: str, bits: int, join: int):
     """One shard of one order >= 2: store its arrays; send on the continuation counts."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -355,25 +405,28 @@ def _reduce(folder: str, bits: int):
         n, edge = counts[at], _edges(ctx[at])
         per = [np.add.reduceat(x.astype(np.int64), edge) for x in (n, n == 1, n == 2, n >= 3)]
         store(folder, f"c{kind}", shard, bits, ctx[at][edge], per)
-        # without the oldest word; a single word goes to the shard that its number names
+        # without the oldest word; a single word goes to the file that its number names
         below = ids[:-1] if kind > 2 else [ids[0] - U64(FIRST)]
         low, below, _, n = fold(below, np.ones(len(counts), np.int64), bits)
-        out = [(kind, -1, np.array(_tally(counts), np.int64).tobytes()), *blocks(kind - 1, low, below, n, bits)]
+        out = [(kind, -1, np.array(_tally(counts), np.int64).tobytes()), *blocks(kind - 1, low, below, n, bits if kind > 2 else join)]
         return pd.DataFrame(out, columns=["kind", "shard", "block"])
 
     return run
 
 
-def _lowest(folder: str, bits: int):
-    """Continuation counts of one shard of words, by rank."""
+def _lowest(model: Model):
+    """Continuation counts of one file of words: where each shard begins, counts by rank."""
+    bits, join = model.bits, model.join
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(key[0])
+        number = int(key[0])
         ids, counts = (np.concatenate(x) for x in zip(*map(unpack_grams, pdf["block"])))
-        keys = _open(f"{folder}/w-{shard:07d}")[0]
+        keys = _open(_file(model, "w", number))[0]
+        own = 1 << bits - join
+        begin = np.searchsorted(keys, (np.arange(own).astype(U64) + U64(number * own)) << U64(64 - bits))
         after = np.zeros(len(keys), np.int64)
-        np.add.at(after, (ids >> U64(bits)).astype(np.int64), counts)
-        _save(f"{folder}/l-{shard:07d}", [narrow(after)])
+        np.add.at(after, begin[(ids & U64(own - 1)).astype(np.int64)] + (ids >> U64(bits)).astype(np.int64), counts)
+        _save(_file(model, "l", number), [begin.astype(np.uint64), narrow(after)])
         return pd.DataFrame([(1, *_tally(after[after > 0]))], columns=["kind", "entries", "total", "n1", "n2", "n3", "n4"])
 
     return run
@@ -392,8 +445,9 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """What a worker needs: the folder of arrays, discounts and totals."""
 
-    def __init__(self, folder: str, order: int, bits: int, stats: dict[int, list[int]]):
+    def __init__(self, folder: str, order: int, bits: int, stats: dict[int, list[int]], join: int | None = None):
         self.folder, self.order, self.bits, self.stats = folder, order, bits, stats
+        self.join = bits if join is None else join  # bits that name a file
         self.words, self.total = stats.get(0, [0, 0])[:2]
         self.kinds = stats.get(1, [0, 0])[1]
         self.discount = {k: discounts(*v[2:]) for k, v in stats.items()}
@@ -463,22 +517,34 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, folder: str
         for r in table.groupBy("kind").agg(*(F.sum(c).alias(c) for c in table.columns[1:])).collect():  # a row per kind
             _add(stats, r["kind"], np.array(r[1:]))
 
+    join = min(bits, JOIN)
+
+    def put_together(names: list[str]) -> None:
+        if join == bits:
+            return
+        spark.range(0, 1 << join, 1, 1 << join).mapInArrow(_put_together(folder, names, bits, join), "id long").count()
+        for x in os.listdir(folder):
+            if "-" in x:
+                os.remove(f"{folder}/{x}")
+
     gather(rows.mapInArrow(_count_words(bits), BLOCK).groupBy("shard").applyInPandas(_vocabulary(folder), STATS))
+    put_together(["w"])
     if order < 2 or not stats:
-        return Model(folder, order, bits, stats)
-    counting = Model(folder, order, bits, {})
+        return Model(folder, order, bits, stats, join)
+    counting = Model(folder, order, bits, {}, join)
     level, path = rows.mapInArrow(_count_grams(counting), BLOCK), None
     for k in range(order, 1, -1):
-        reduced, made = common.written_at(level.groupBy("kind", "shard").applyInPandas(_reduce(folder, bits), BLOCK), "lm-level")
+        reduced, made = common.written_at(level.groupBy("kind", "shard").applyInPandas(_reduce(folder, bits, join), BLOCK), "lm-level")
         if path:
             common.remove(spark, path)
         path = made
         for r in reduced.where("shard < 0").toLocalIterator():
             _add(stats, int(r["kind"]), np.frombuffer(r["block"], np.int64))
         level = reduced.where("shard >= 0")
-    gather(level.groupBy("shard").applyInPandas(_lowest(folder, bits), STATS))
+    gather(level.groupBy("shard").applyInPandas(_lowest(counting), STATS))
     common.remove(spark, path)
-    return Model(folder, order, bits, stats)
+    put_together([f"{table}{k}{layer}" for k in range(order, 1, -1) for table in "gc" for layer in LAYERS])
+    return Model(folder, order, bits, stats, join)
 
 
 def _add(stats: dict[int, list[int]], kind: int, values: np.ndarray) -> None:

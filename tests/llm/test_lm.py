@@ -126,3 +126,16 @@ def test_the_query_sees_more_than_one_word_back(spark, docs, prose, tmp_path):
     want = brute(rows, 3)
     got = {r.doc_id: r.score for r in queries.op1_lm_score(spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i][5], rel=1e-6) for i in want)
+
+
+def test_files_do_not_grow_with_the_shards(spark, docs, prose, tmp_path, monkeypatch):
+    import os
+
+    base = prose(60)
+    rows = [(i, prose(40) + " " + " ".join(base.split()[i % 7 :])) for i in range(40)] + [(100, None), (101, "one " * 300)]
+    few = {r.doc_id: tuple(r) for r in lm.lm_score(docs(rows)).collect()}
+    monkeypatch.setattr(lm, "LEAST_BITS", 9)
+    model = lm.train(docs(rows).where("crc32(cast(doc_id as string)) % 10 <> 0"), folder=str(tmp_path / "model"))
+    assert len(os.listdir(tmp_path / "model")) <= 14 << lm.JOIN and model.bits == 9
+    many = {r.doc_id: tuple(r) for r in lm.score(docs(rows), model).collect()}
+    assert few.keys() == many.keys() and all(many[i][:5] == few[i][:5] and many[i][5:] == pytest.approx(few[i][5:], rel=1e-9) for i in few)
