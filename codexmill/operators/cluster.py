@@ -1,23 +1,35 @@
 """Clustering by cosine: edges, components, complete linkage, cohesion, labels, claims.
 
-Equal vectors are one class. Classes meet in pairs of blocks of bounded size, each pair of blocks
-once, one matrix product each; only pairs at or above the threshold leave a task. Components run
-on those edges by alternating minimum steps with written rounds."""
+Equal vectors are one class. Classes are dealt to a fixed number of blocks and meet in pairs of
+blocks, each pair once, by matrix products of bounded tiles; only pairs at or above the threshold
+leave a task, tile by tile. Each task cuts its edges to a spanning forest before components run on
+them by alternating minimum steps with written rounds. Complete linkage joins all pairs of groups
+that are each other's nearest, round by round."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+#: Blocks hold at least and at most about so many classes; between the two there are BLOCKS, so
+#: each class is sent to a fixed number of tasks.
+BLOCK, MOST_BLOCK, BLOCKS = 1024, 1 << 17, 24
+#: Rows and columns of one matrix product.
+TILE = 1024, 4096
+#: A task cuts its edges to a forest after so many; as many links of groups at most are left to
+#: one task.
+FOREST, FEW = 500_000, 100_000
+#: A table is broadcast if its rows, at 32 bytes each, come to no more.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared(spark: SparkSession, label: str) -> str:
@@ -51,17 +63,30 @@ def classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _near(threshold: float):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"a": [], "b": [], "similarity": []}
-        if len(left) and len(right):
-            x, y = (np.stack([np.asarray(v, np.float64) for v in c]) for c in (left["xv"], right["yv"]))
-            unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
-            sim = np.round(unit(x) @ unit(y).T, 9)
-            i, j = np.nonzero(sim >= threshold)
-            a, b = left["xclass"].to_numpy()[i], right["yclass"].to_numpy()[j]
-            keep = a < b if left["xx"].iloc[0] == right["yy"].iloc[0] else np.ones(len(a), bool)
-            out = {"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": sim[i, j][keep]}
-        return pd.DataFrame(out).astype({"a": "int64", "b": "int64", "similarity": "float64"})
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, left, right = (k.as_py() for k in key)
+        held = [([], []), ([], [])]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("block").to_numpy()
+            names, width = batch.column("class").to_numpy(), len(batch.column("v")[0])
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            v /= np.where(norm == 0, 1, norm)
+            for (ids, rows), of in zip(held, (left, right)):
+                ids.append(names[block == of])
+                rows.append(v[block == of])
+        (xs, x), (ys, y) = ((np.concatenate(ids), np.concatenate(rows)) for ids, rows in held)
+        for at in range(0, len(xs), TILE[0]):
+            for to in range(0, len(ys), TILE[1]):
+                sim = x[at : at + TILE[0]] @ y[to : to + TILE[1]].T
+                i, j = np.nonzero(sim >= threshold - 1e-8)
+                s = np.round(sim[i, j], 9)
+                a, b = xs[at + i], ys[to + j]
+                keep = (s >= threshold) & (a < b) if left == right else s >= threshold
+                a, b = a[keep], b[keep]
+                yield pa.record_batch([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(s[keep], pa.float64())], ["a", "b", "similarity"])
 
     return run
 
@@ -70,24 +95,66 @@ def cosine_edges(named: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of class pairs at or above the threshold, a < b."""
     named = _written(named)
     n = named.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, min(BLOCKS, -(-n // BLOCK)), -(-n // MOST_BLOCK))
     dealt = named.select("class", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int").alias("block"))
-    # x stands in its block with all blocks from there on, y in its block with all up to it
-    x = dealt.select(F.col("class").alias("xclass"), F.col("v").alias("xv"), F.col("dim").alias("xdim"), F.col("block").alias("xx"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("xy"))
-    y = dealt.select(F.col("class").alias("yclass"), F.col("v").alias("yv"), F.col("dim").alias("ydim"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("yx"), F.col("block").alias("yy"))
-    return x.groupBy("xdim", "xx", "xy").cogroup(y.groupBy("ydim", "yx", "yy")).applyInPandas(_near(threshold), "a long, b long, similarity double")
+    # a class meets its own block once and each other block once
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.select("class", "v", "block", "dim", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    return met.groupBy("dim", "left", "right").applyInArrow(_near(threshold), "a long, b long, similarity double")
 
 
-def cross_pairs(edges: DataFrame, settled: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """Similar pairs of which at least one side is not settled, without known pairs."""
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n * 32 <= BROADCAST_BYTES else rows
+
+
+def cross_pairs(edges: DataFrame, settled: DataFrame, key: str, known: DataFrame | Column) -> DataFrame:
+    """Similar pairs of which at least one side is not settled, without known pairs: a table of
+    them, or a condition on a and b, for which no pair is moved."""
+    if isinstance(known, Column):
+        edges = edges.where(~F.coalesce(known, F.lit(False)))
     ids = settled.select(F.col(key).alias("_s"), F.lit(1).alias("_y"))
+    ids = _small(ids, settled.count())
     left = edges.join(ids.withColumnsRenamed({"_s": "a", "_y": "_l"}), "a", "left").join(ids.withColumnsRenamed({"_s": "b", "_y": "_r"}), "b", "left")
-    return left.where("_l is null or _r is null").join(known, ["a", "b"], "left_anti").select("a", "b", "similarity")
+    left = left.where("_l is null or _r is null").select("a", "b", "similarity")
+    return left if isinstance(known, Column) else left.join(known, ["a", "b"], "left_anti")
+
+
+def _star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of nodes that are not the least."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while len(left):
+        x, y = root[left], root[right]
+        live = x != y
+        left, right = np.minimum(x, y)[live], np.maximum(x, y)[live]
+        np.minimum.at(root, right, left)
+        while (root[root] != root).any():
+            root = root[root]
+    away = root != np.arange(len(ids))
+    return ids[away], ids[root[away]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what a task's edges connect, less than one for each node."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = base = 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= FOREST + 2 * base:
+            held = [_star(*map(np.concatenate, zip(*held)))]
+            size = base = len(held[0][0])
+    if held:
+        yield pa.record_batch(list(map(pa.array, _star(*map(np.concatenate, zip(*held))))), ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of nodes with an edge: least node of each connected component."""
-    now = _written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    if dict(pairs.dtypes) == {"a": "bigint", "b": "bigint"}:
+        pairs = pairs.mapInArrow(_forest, "a long, b long")
+    now = _written(pairs.distinct())
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -156,11 +223,43 @@ def _linkage(threshold: float):
     return run
 
 
-def complete_linkage(edges: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(class, cluster): complete linkage inside each component of classes with an edge."""
-    # the larger end of an edge is never its component's least node, which `roots` leaves out
-    inside = edges.join(roots, edges["b"] == roots["node"]).select("root", "a", "b", "similarity")
-    return inside.groupBy("root").applyInPandas(_linkage(threshold), "class long, cluster long")
+def complete_linkage(edges: DataFrame, roots: DataFrame | None, threshold: float) -> DataFrame:
+    """(class, cluster): complete linkage of classes with an edge, each edge given once; of those
+    in the components of `roots` where these are given (no step needs them).
+
+    A joined group is never nearer to a third than its parts were, so two groups that are each
+    other's nearest join whatever joins before; all such pairs of a round join at once, with the
+    same result as `linked`, ties by the least members. Only links of joined groups are shuffled,
+    and most of them end, as a link to a joined group needs one to either part."""
+    links = edges.where((F.col("a") != F.col("b")) & (F.col("similarity") >= threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    if roots is not None:
+        # the larger end of an edge is never its component's least node, which `roots` leaves out
+        links = links.join(roots.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "similarity")
+    links = _written(links)
+    ends = lambda df, *columns: df.select(F.col("a").alias("x"), *columns).unionByName(df.select(F.col("b").alias("x"), *columns))
+    clusters = _written(ends(links).distinct().select(F.col("x").alias("class"), F.col("x").alias("cluster")))
+    nodes = clusters.count()
+    while links.count() > FEW:
+        most = _written(ends(links, "similarity").groupBy("x").agg(F.max("similarity").alias("most")))
+        most = _small(most, nodes)
+        near = links.join(most.select(F.col("x").alias("a"), F.col("most").alias("_l")), "a").join(most.select(F.col("x").alias("b"), F.col("most").alias("_r")), "b")
+        # a group's nearest: of its links of the highest similarity the first by members
+        near = near.where("similarity = _l or similarity = _r").select("a", "b", "similarity", "_l", "_r")
+        first = near.where("similarity = _l").select(F.col("a").alias("x"), "a", "b").unionByName(near.where("similarity = _r").select(F.col("b").alias("x"), "a", "b"))
+        pairs = first.groupBy("x").agg(F.min(F.struct("a", "b")).alias("p")).groupBy("p.a", "p.b").count().where("count = 2")
+        joined = _written(pairs.select(F.explode(F.array("a", "b")).alias("x"), F.col("a").alias("to")))
+        to = _small(joined, nodes)
+        moved = links.join(to.select(F.col("x").alias("a"), F.col("to").alias("_l")), "a", "left").join(to.select(F.col("x").alias("b"), F.col("to").alias("_r")), "b", "left")
+        still = moved.where("_l is null and _r is null").select("a", "b", "similarity")
+        x, y = F.coalesce("_l", "a"), F.coalesce("_r", "b")
+        touched = moved.where("_l is not null or _r is not null").where(x != y)
+        touched = touched.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), "similarity", F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), 4).otherwise(2).alias("parts"))
+        # linked if all parts are
+        whole = touched.groupBy("a", "b").agg(F.min("similarity").alias("similarity"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts")).where("n = parts").select("a", "b", "similarity")
+        links = _written(still.unionByName(whole))
+        clusters = _written(clusters.join(to.select(F.col("x").alias("cluster"), "to"), "cluster", "left").select("class", F.coalesce("to", "cluster").alias("cluster")))
+    rest = links.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_linkage(threshold), "class long, cluster long").select(F.col("class").alias("cluster"), F.col("cluster").alias("to"))
+    return clusters.join(rest, "cluster", "left").select("class", F.coalesce("to", "cluster").alias("cluster"))
 
 
 def cohesion(edges: DataFrame, clusters: DataFrame) -> DataFrame:

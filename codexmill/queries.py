@@ -374,7 +374,7 @@ def linkage_agreement(spark, sf):
 @query()
 def cosine_clusters(spark, sf):
     edges = K._written(_edges(spark, sf))
-    clusters = K.complete_linkage(edges, K.components(edges), 0.33)
+    clusters = K.complete_linkage(edges, None, 0.33)
     shape = K.cohesion(edges, clusters)
     return shape.withColumn("reason", K.gate(F.col("members"), F.lit(1.0), F.col("mean_similarity"), F.col("min_similarity")))
 
@@ -715,7 +715,7 @@ def routed_values(spark, sf):
 def affected_clusters(spark, sf):
     """Classes that a change of every seventh vector can reach."""
     edges = K._written(_edges(spark, sf))
-    prior = K.complete_linkage(edges, K.components(edges), 0.33)
+    prior = K.complete_linkage(edges, None, 0.33)
     changed = table(spark, sf, "embeddings").where("vec_id % 7 = 0").select(F.col("vec_id").alias("class"))
     return K.affected(prior, edges, changed)
 

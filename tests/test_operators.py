@@ -246,6 +246,43 @@ def test_linkage_against_a_matrix():
         assert K.linked([(a, b, s) for (a, b), s in edges.items()], 0.3) == {x: min(g) for g in group.values() for x in g}
 
 
+def test_linkage_in_rounds_equals_one_by_one(spark, monkeypatch):
+    import random
+
+    assert K.complete_linkage(spark.createDataFrame([], "a long, b long, similarity double"), None, 0.3).count() == 0
+    run = K.linked
+    monkeypatch.setattr(K, "FEW", 0)
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = [(a, b, round(rng.random(), 1)) for a in range(25) for b in range(a + 1, 25) if rng.random() < 0.6]
+        want = run(edges, 0.3)
+        found = K.complete_linkage(spark.createDataFrame([(b, a, s) if (a + b) % 3 else (a, b, s) for a, b, s in edges], "a long, b long, similarity double"), None, 0.3)
+        assert {r["class"]: r["cluster"] for r in found.collect()} == {x: want.get(x, x) for a, b, s in edges if s >= 0.3 for x in (a, b)}
+
+
+def test_a_task_cuts_its_edges_to_a_forest(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(K, "FOREST", 50)
+    rng = random.Random(1)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(900)]
+    batches = [pa.record_batch([pa.array([a for a, _ in edges[i : i + 30]]), pa.array([b for _, b in edges[i : i + 30]])], ["a", "b"]) for i in range(0, 900, 30)]
+    (out,) = K._forest(iter(batches))
+    assert out.num_rows <= 60
+    long = [(i, i + 1) for i in range(100, 400)] + [(1000 - i, 3) for i in range(50)]
+    got = K.components(spark.createDataFrame(long, "a long, b long").repartition(5)).collect()
+    assert {r.node: r.root for r in got} == {**{i: 100 for i in range(101, 401)}, **{1000 - i: 3 for i in range(50)}}
+
+
+def test_known_pairs_as_a_condition(spark):
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (4, 6, 0.7)], "a long, b long, similarity double")
+    settled = spark.createDataFrame([(2,), (3,)], "id long")
+    table = spark.createDataFrame([(4, 6)], "a long, b long")
+    assert rows(K.cross_pairs(edges, settled, "id", F.col("a") + F.col("b") == 10), "a", "b") == rows(K.cross_pairs(edges, settled, "id", table), "a", "b") == [(1, 2)]
+
+
 def test_a_pair_is_declared_once(spark):
     from codexmill.operators import ladder
 
