@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMAIL = "email"
+#: Rows that can match nothing are dealt to so many keys, not all to one task.
+DEALT = 256
 
 
 def normal(identifier: Column) -> Column:
@@ -56,6 +58,13 @@ def other_type(page_type: Column, wanted: Column) -> Column:
     return (F.trim(F.coalesce(wanted, F.lit(""))) != "") & (known != "") & (known != F.trim(wanted))
 
 
+def _matched(left: Column, right: str, wanted: Column) -> Column:
+    """Whether keys are equal and the left one is wanted; a key that is not is dealt by its id."""
+    spare = F.when(wanted, 0).otherwise(1 + F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int"))
+    # always 0, but not a literal, which would leave the join to the first condition alone
+    return (left == F.col(right)) & (spare == F.pmod(F.hash(right), F.lit(1)))
+
+
 def resolve(targets: DataFrame, pages: DataFrame, index: DataFrame, contacts: DataFrame, allowed: list[str], seq: str = "seq") -> DataFrame:
     """(id, kind, page, reason) of targets (id, uid, type, name, key, value).
 
@@ -67,10 +76,13 @@ def resolve(targets: DataFrame, pages: DataFrame, index: DataFrame, contacts: Da
     held = handle_matches(index).join(by_uid, F.col("uid") == F.col("_uid"), "left").select(F.col("key").alias("_key"), F.col("value").alias("_value"), F.col("matches").alias("_m"), F.col("_uid").alias("_h"), F.col("_type").alias("_ht"))
     mails = contacts.join(by_uid, F.col("uid") == F.col("_uid"), "left").select(F.col("address").alias("_address"), "uids", F.col("_uid").alias("_e"), F.col("_type").alias("_et"))
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    out = targets.join(by_uid, F.trim("uid") == F.col("_uid"), "left")
-    out = out.join(named, normal(F.col("name")) == F.col("_name"), "left")
-    out = out.join(held, (F.col("key") == F.col("_key")) & (F.trim("value") == F.col("_value")), "left")
-    out = out.join(mails, (F.col("key") == EMAIL) & (normal(F.col("value")) == F.col("_address")), "left")
+    present = lambda c: F.col(c).isNotNull()
+    may = F.coalesce(F.col("key").isin(*allowed), F.lit(False)) & present("value")  # only such handles count
+    mail = F.coalesce(F.col("key") == EMAIL, F.lit(False)) & present("value")
+    out = targets.join(by_uid, _matched(F.trim("uid"), "_uid", present("uid")), "left")
+    out = out.join(named, _matched(normal(F.col("name")), "_name", present("name")), "left")
+    out = out.join(held, (F.col("key") == F.col("_key")) & _matched(F.trim("value"), "_value", may), "left")
+    out = out.join(mails, _matched(normal(F.col("value")), "_address", mail), "left")
     mail_reason = email_outcome(F.col("_address"), F.col("uids"), F.col("_et"), F.col("_e").isNotNull(), F.col("type"))
     is_mail = F.coalesce(F.col("key") == EMAIL, F.lit(False))
     page = (
