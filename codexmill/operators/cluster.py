@@ -288,11 +288,18 @@ def cluster_id(members: Column, scope: Column) -> Column:
 
 
 def topic_words(rows: DataFrame, group: str, key: str, words: Column, most: int = 3) -> DataFrame:
-    """(group, topic): the words in most members, then most often, then first in the alphabet."""
+    """(group, topic): the words in most members, then most often, then first in the alphabet.
+    Where no member has several rows, words are counted within rows, and only words of groups are
+    shuffled."""
     from pyspark.sql import Window
 
-    terms = rows.select(group, key, F.explode(words).alias("word"))
-    per = terms.groupBy(group, key, "word").agg(F.count(F.lit(1)).alias("n")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
+    if rows.groupBy(group, key).count().where("count > 1").isEmpty():
+        each = rows.select(group, words.alias("w")).withColumn("d", F.array_distinct("w"))
+        terms = each.select(group, F.size("d").alias("k"), F.posexplode(F.concat("d", "w")).alias("at", "word"))
+        per = terms.groupBy(group, "word").agg(F.count_if(F.col("at") < F.col("k")).alias("members"), F.count_if(F.col("at") >= F.col("k")).alias("total"))
+    else:
+        terms = rows.select(group, key, F.explode(words).alias("word"))
+        per = terms.groupBy(group, key, "word").agg(F.count(F.lit(1)).alias("n")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     order = Window.partitionBy(group).orderBy(F.desc("members"), F.desc("total"), "word")
     top = per.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     return top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "-").alias("topic"))
