@@ -23,18 +23,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexmill.functions import text as T
 from codexmill.functions.stemming import stem, stems, words
-from codexmill.session import spread
+from codexmill.session import bound_batches, spread
 
 from .retrieval import STOPWORDS
 
 #: Postings of a part: at most about so many; smaller indexes have parts down to the second figure,
 #: so that all tasks take part.
 PART_ROWS, LEAST_ROWS = 4_000_000, 100_000
+#: Words are counted in slices of a batch of about so many bytes of text, or of one longer page.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -68,11 +71,24 @@ class Index:
         return rows
 
 
+def _slices(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts from column `first` on come to about SLICE_BYTES."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns[first:]:
+            size += pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _counted(fields: int, extra: int):
     """For each page a row without a term, with the extra columns, and a row for each of its stems."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1 + extra):
             at, heads, lengths, terms, tfs = [], [], [], [], []
             for row, texts in enumerate(zip(*(batch.column(1 + extra + i).to_pylist() for i in range(fields)))):
                 counts: dict[str, list[int]] = {}
@@ -101,6 +117,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _segment(pages: DataFrame, key: str, fields: dict[str, Column], extra: list[str], number: int, path: str) -> DataFrame:
     """Write the postings of some pages as a segment; their docs rows."""
     spark = pages.sparkSession
+    bound_batches(spark)
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in [key, *extra])
     read = spread(pages.select(key, *extra, *[c.cast("string").alias(f"_f{i}") for i, c in enumerate(fields.values())]))
     counted = f"{path}/counted-{number}"

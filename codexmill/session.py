@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold no more than 4 MB, whatever the length of their rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt evenly where their scan has fewer splits than the cluster has cores, as a small
     table of few row groups does; a large table has more and is left where it lies."""
