@@ -106,6 +106,10 @@ def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:
     return counts.select("_n", pairs.alias("p")).select("p.field", "p.populated", F.round(F.coalesce(F.try_divide("p.populated", "_n"), F.lit(1.0)), 6).alias("ratio"))
 
 
+#: So many words at most are remembered with their hashes.
+KNOWN_WORDS = 20_000
+
+
 def hash_embedding(size: int = 384):
     """A pandas UDF: words of two letters or more, signed by a hash, counted into `size` places
     and normalised; a text without words is the first unit vector."""
@@ -123,6 +127,8 @@ def hash_embedding(size: int = 384):
                 if len(w) < 2:
                     continue
                 if w not in known:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
                     d = hashlib.sha256(w.encode()).digest()
                     known[w] = int.from_bytes(d[:4], "big") % size, 1.0 if d[4] % 2 == 0 else -1.0
                 at, sign = known[w]

@@ -26,7 +26,7 @@ from .operators import rules as U
 from .operators import verdicts as V
 from .plans import recall as plans
 from .registered import ALL, Query, query
-from .session import spread, table
+from .session import bound_batches, spread, table
 from .streaming import ingest as S
 
 
@@ -938,6 +938,7 @@ def field_coverage(spark, sf):
 )
 def hashed_embeddings(spark, sf):
     """Each text's vector: its places that are not 0."""
+    bound_batches(spark)
     v = table(spark, sf, "documents").select("doc_id", M.hash_embedding()(F.col("text")).alias("v")).select("doc_id", F.posexplode("v").alias("at", "x"))
     return v.where("x <> 0").select("doc_id", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
