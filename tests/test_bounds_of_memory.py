@@ -10,7 +10,7 @@ from codexmill.operators import lexical as X
 
 
 def test_a_stopped_stream_loses_no_row(spark, tmp_path, monkeypatch):
-    events = [(i, f"2024-01-0{1 + i // 300} 00:00:00", i % 7, "error" if i % 5 else "purchase") for i in range(600)]
+    events = [(i, "2024-01-01 00:00:00", i % 7, "error" if i > 50 else "purchase") for i in range(600)]
     frame = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
     frame.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     monkeypatch.setattr(pages.F, "percentile_approx", lambda column, part: F.max(column) * part + F.pmod(F.unix_micros(F.now()), F.lit(200)))  # another one each time that it is worked out
