@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Splits a text into words; `[^\x20\x09-\x0D]+` is a word.
@@ -98,17 +98,23 @@ def written(df: DataFrame, label: str = "cut") -> DataFrame:
     return written_at(df, label)[0]
 
 
-def fits(rows: DataFrame, most: int | None = None) -> bool:
-    """Whether a (written) table's rows come to at most `most` bytes: 8 for a number, text and
-    lists by their length, 16 for each row."""
+def measure(rows: DataFrame, *more: Column) -> Row:
+    """n and bytes of a (written) table: 8 for a number, text and lists by their length, 16 for
+    each row; and more aggregates of it in the same job."""
     width = lambda c, t: F.octet_length(c) if t in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if t.startswith(("array", "struct", "map")) else F.lit(8)
     row = sum((F.coalesce(width(F.col(f"`{c}`"), t), F.lit(0)) for c, t in rows.dtypes), F.lit(16))
-    return (rows.agg(F.sum(row.cast("long"))).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("bytes"), *more).first()
 
 
-def small(rows: DataFrame, most: int | None = None) -> DataFrame:
+def fits(rows: DataFrame, bound: int | None = None) -> bool:
+    """Whether a (written) table's rows come to at most BROADCAST_BYTES. `bound`: bytes that they
+    are known not to exceed; a table that fits by it is not measured."""
+    return bound is not None and bound <= BROADCAST_BYTES or measure(rows)["bytes"] <= BROADCAST_BYTES
+
+
+def small(rows: DataFrame, bound: int | None = None) -> DataFrame:
     """A broadcast of a (written) table that `fits`; beyond that the join shuffles."""
-    return F.broadcast(rows) if fits(rows, most) else rows
+    return F.broadcast(rows) if fits(rows, bound) else rows
 
 
 def fresh(columns: list[str], *names: str) -> list[str]:

@@ -39,8 +39,6 @@ from . import common
 from .textcore import U64, Words, argsort64, mix64, shingles, text_slices
 
 SLOTS, BANDS, ROWS, SHINGLE = 97, 24, 4, 5
-#: Up to so many bytes of class representatives are broadcast to the second reading of the texts.
-CLASS_BYTES = 64 << 20
 #: In buckets of so many classes at most, all pairs of different components are compared after
 #: the first round; larger ones go on with pivots.
 SMALL_BUCKET = 64
@@ -214,14 +212,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         seen = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if seen.where("up > 1 or (up = 1 and down = 1)").isEmpty():
+        state = seen.agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.expr("up > 1 or (up = 1 and down = 1)")).alias("astray")).first()
+        if not state["astray"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        # no step adds a node; what is sent is not written before
+        near = 32 * state["nodes"] <= common.BROADCAST_BYTES
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # a root has as many links as its component has nodes: they are not dealt by root where a broadcast does
-        least = common.written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = common.written(both.where("b > a").join(common.small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
-        least = common.written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(common.small(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = F.broadcast(least) if near else common.written(least, "least")
+        large = common.written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"), "large")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = least if near else common.written(least, "least")
+        small = large.join(F.broadcast(least) if near else least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = common.written(small.where("a <> b").distinct(), "stars")
 
 
@@ -240,11 +243,12 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = common.written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    # a large group of near copies shares its keys: they are not dealt by key where a broadcast does
-    members = common.written(banded.join(common.small(shared), "key"), "members")
-    links = _links(texts, classes, members, percent)
-    if links is not None:
-        joined = classes.select("node", "one", "set_id").join(common.small(links), "node", "left").select("one", "set_id", F.coalesce("root", "node").alias("root"))
+    held = common.measure(shared)
+    if held["n"]:
+        # a large group of near copies shares its keys: they are not dealt by key where a broadcast does
+        members = common.written(banded.join(common.small(shared, held["bytes"]), "key"), "members")
+        links, bound = _links(texts, classes, members, percent)
+        joined = classes.select("node", "one", "set_id").join(common.small(links, bound), "node", "left").select("one", "set_id", F.coalesce("root", "node").alias("root"))
         least = common.written(joined.groupBy("root").agg(F.min("one").alias("lead")), "least")
         rooted = joined.join(common.small(least), "root").select("set_id", "lead")
     else:
@@ -258,29 +262,30 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that have links."""
-    if members.isEmpty():
-        return None
+def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """(node, root) of the classes that have links, and bytes that these do not exceed."""
     needed = members.select("node").distinct().join(classes.select("node", "rep", "rep_key", "set_id", "n_items"), "node")
     needed = common.written(needed, "needed")
-    side = common.small(needed, CLASS_BYTES)
+    # rows of these classes and of no more columns than here are no larger: one measure serves them all
+    size = common.measure(needed, F.sum("n_items").alias("items"))
+    bound = size["bytes"]
+    side = common.small(needed, bound)
     texts = texts.withColumn("_text_key", F.xxhash64("text"))
     sets = texts.join(side, texts["doc_id"].eqNullSafe(needed["rep"]) & (texts["_text_key"] == needed["rep_key"])).select("node", "text", "set_id")
     sets = common.written(sets.mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]), "sets")
-    total = needed.agg(F.sum("n_items")).first()[0] or 0
-    bits = min(30, max(6, (total // 500_000).bit_length()))  # half a million shingles a range
+    bits = min(30, max(6, ((size["items"] or 0) // 500_000).bit_length()))  # half a million shingles a range
     alone = sets.mapInArrow(_item_blocks(bits), "shard int, block binary").groupBy("shard").applyInPandas(_single_holders, "node long, singles long")
     alone = alone.groupBy("node").agg(F.sum("singles").alias("singles"))
     sized = needed.select("node", "n_items").join(alone, "node", "left").select("node", "n_items", (F.col("n_items") - F.coalesce("singles", F.lit(0))).alias("common"))
     # what a class can share with any other must reach the threshold even against itself
     sized = common.written(sized.where(F.col("common") * 100 >= F.col("n_items") * percent), "sized")
-    members = common.written(members.join(common.small(sized), "node"), "members")
+    members = common.written(members.join(common.small(sized, bound), "node"), "members")
     # fewest single shingles first: share of singles in thousandths, then the node
     rank = (((F.col("n_items") - F.col("common")) * 1000 / F.col("n_items")).cast("long") * F.lit(1 << 50) + F.col("node")).alias("rank")
     members = members.withColumn("rank", rank)
     buckets = common.written(members.groupBy("key").agg(F.min("rank").alias("pivot_rank"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = common.written(members.join(common.small(buckets), "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)), "ranked")
+    held = common.measure(buckets, F.max("n").alias("largest"))
+    members = common.written(members.join(common.small(buckets, held["bytes"]), "key").withColumn("pivot", F.col("pivot_rank") % F.lit(1 << 50)), "ranked")
 
     def possible() -> Column:
         """Whether bounds leave room for a link. Two classes share at most what each shares with
@@ -310,10 +315,10 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
     pivots = members.select("key", F.col("pivot").alias("node")).distinct()
     as_pivot = {"node": "pivot", "root": "pivot_root", "n_items": "p_items", "common": "p_common", "ref": "p_ref", "hits": "p_hits", "bands": "p_bands"}
     more = 0
-    while True:
-        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n").join(common.small(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    while (held["largest"] or 0) > (2 if more == 0 else SMALL_BUCKET):
+        named = members.where("n > 2" if more == 0 else f"n > {SMALL_BUCKET}").select("key", "node", "n").join(common.small(links, bound), "node", "left").withColumn("root", F.coalesce("root", "node"))
         live = common.written(named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key"), "live")
-        open_ = named.join(common.small(live), "key").select("key", "node", "root", "n").join(common.small(sized), "node")
+        open_ = named.join(common.small(live, held["bytes"]), "key").select("key", "node", "root", "n").join(common.small(sized, bound), "node")
         open_ = common.written(open_.join(classes.select("node", "bands"), "node"), "open")
         # small buckets: every member is a pivot now; others: members of most links, one from each of `more` parts
         fresh = open_.join(pivots, ["key", "node"], "left_anti")
@@ -323,12 +328,13 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         best = fresh.where(f"n > {SMALL_BUCKET}").join(degree, "node", "left").groupBy("key", F.pmod(F.xxhash64("node", F.lit(more)), F.lit(more)).alias("part")).agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), *as_pivot)).alias("best"))
         best = best.select("key", *[F.col(f"best.{c}").alias(p) for c, p in as_pivot.items()])
         chosen = common.written(best if chosen is None else chosen.unionByName(best), "pivots")
-        if chosen.isEmpty():
-            return links
+        taken = common.measure(chosen)
+        if not taken["n"]:
+            break
         pivots = pivots.unionByName(chosen.select("key", F.col("pivot").alias("node")))
         # a pair is made once, in the least bucket that it shares
         once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("key")
-        pairs = open_.join(common.small(chosen), "key").where((F.col("root") != F.col("pivot_root")) & possible() & once)
+        pairs = open_.join(common.small(chosen, taken["bytes"]), "key").where((F.col("root") != F.col("pivot_root")) & possible() & once)
         # a pair may have been compared in either direction
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         pairs = common.written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
@@ -337,6 +343,7 @@ def _links(texts: DataFrame, classes: DataFrame, members: DataFrame, percent: in
         edges = edges.unionByName(found)
         if not found.isEmpty():
             links = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    return links, bound
 
 
 def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -355,7 +362,8 @@ def drop_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twice = common.written(heads.where("_rows > 1").select(*id_key), "repeated")
     same = F.col("doc_id").eqNullSafe(F.col(id_key[0])) & (F.xxhash64("text") == F.col(id_key[1]))
     out = docs.join(common.small(gone), same, "left_anti")
-    if not twice.isEmpty():  # equal rows: one of each stays
-        stay = common.small(twice)
+    again = common.measure(twice)
+    if again["n"]:  # equal rows: one of each stays
+        stay = common.small(twice, again["bytes"])
         out = out.join(stay, same, "left_anti").unionByName(out.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return out

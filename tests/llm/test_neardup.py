@@ -142,3 +142,19 @@ def test_many_rows_of_one_id(spark, docs, prose, monkeypatch):
     named = brute(list(enumerate(t for _, t in rows)), 85)
     kept = nd.drop_duplicates(docs(rows), percent=85).count()
     assert kept == len({c for _, c in named.values()}) - 1  # the two texts of id 5 are one document
+
+
+def test_few_jobs_and_broadcasts(spark, docs, prose, monkeypatch):
+    """What the driver holds follows the jobs and broadcasts: no table is measured that another
+    bounds, and nothing has a wider bound than BROADCAST_BYTES (133 jobs before, 100 now)."""
+    rows = family(prose, 0, 70, 60, (0, 2), 1) + family(prose, 100, 40, 60, (1, 4), 2) + [(300 + i, prose(80)) for i in range(30)]
+    bounds, fits = [], nd.common.fits
+    monkeypatch.setattr(nd.common, "fits", lambda df, bound=None: bounds.append(bound) or fits(df, bound))
+    spark.sparkContext.setJobGroup("few-jobs", "near duplicates")
+    try:
+        assert nd.drop_duplicates(docs(rows), 80).count() < 100
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 120
+    assert sum(b is not None for b in bounds) >= 8 and max(b or 0 for b in bounds) < nd.common.BROADCAST_BYTES
