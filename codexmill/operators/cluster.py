@@ -62,6 +62,14 @@ def classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.col(vector).alias("v")).agg(F.min(key).alias("class"), F.count(F.lit(1)).alias("size"))
 
 
+def copies(rows: DataFrame, named: DataFrame, key: str, vector: str) -> DataFrame:
+    """(a, b): from each class to every other key that bears its vector. Vectors without a norm, or
+    whose norm is not finite, are similar to nothing, so their copies have no link."""
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x, F.lit(0.0)))
+    several = named.where("size > 1").where((norm > 0) & (norm < float("inf"))).select("v", "class")
+    return rows.select(F.col(vector).alias("v"), F.col(key).alias("b")).join(several, "v").where("class <> b").select(F.col("class").alias("a"), "b")
+
+
 def _near(threshold: float):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, left, right = (k.as_py() for k in key)
@@ -71,7 +79,7 @@ def _near(threshold: float):
                 continue
             block = batch.column("block").to_numpy()
             names, width = batch.column("class").to_numpy(), len(batch.column("v")[0])
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+            v = batch.column("v").flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             v /= np.where(norm == 0, 1, norm)
             for (ids, rows), of in zip(held, (left, right)):

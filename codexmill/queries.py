@@ -349,10 +349,17 @@ _LINKED = _EDGES.replace("WITH e", "WITH RECURSIVE e") + ", g AS (SELECT a x, b
 _LINKED += "k AS (SELECT vec_id, coalesce((SELECT min(reach) FROM r WHERE node = vec_id), vec_id) a, label b FROM embeddings), c AS (SELECT a, b, count(*) n FROM k GROUP BY ALL), x AS (SELECT a, sum(n) n, count(*) parts FROM c GROUP BY 1), y AS (SELECT b, sum(n) n, count(*) parts FROM c GROUP BY 1)"
 
 
-@query(_LINKED + " SELECT a AS \"group\", n::BIGINT members, parts, (SELECT max(n) FROM c WHERE c.a = x.a) largest FROM x WHERE parts > 1")
+@query(_LINKED.replace("(SELECT min(vec_id) vec_id, embedding FROM embeddings GROUP BY embedding)", "embeddings") + " SELECT a AS \"group\", n::BIGINT members, parts, (SELECT max(n) FROM c WHERE c.a = x.a) largest FROM x WHERE parts > 1")
 def linkage_splits(spark, sf):
-    """Components of similar vectors whose members bear several labels."""
-    return H.parted(_linkage_table(spark, sf), "a", "b")
+    """Components of similar vectors, equal ones among them, whose members bear several labels."""
+    e = table(spark, sf, "embeddings")
+    named = K._written(K.classes(e, "vec_id", "embedding"))
+    links = K.cosine_edges(named, 0.33).select("a", "b").unionByName(K.copies(e, named, "vec_id", "embedding"))
+    linked = K.components(links).select(F.col("node").alias("vec_id"), "root")
+    held = e.select("vec_id", "label").join(linked, "vec_id", "left")
+    counts = held.groupBy(F.coalesce("root", "vec_id").alias("a"), F.col("label").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    # rows without a key have no largest part in the SQL, where null equals nothing
+    return H.parted(counts, "a", "b").withColumn("largest", F.when(F.col("group").isNotNull(), F.col("largest")))
 
 
 def _linkage_table(spark, sf):
